@@ -40,6 +40,11 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.withColumn("item", F.xxhash64("item_id", "item_words")).withColumn("span", F.least(F.size("item_words"), F.lit(WINDOW)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key, a hash of the row's id and text: rows of one id but other texts, and rows without id, stay apart."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 class Index:
     """Rarest terms of the items' windows and their postings in the documents."""
 
@@ -55,33 +60,33 @@ class Index:
         rarest = starts.groupBy("item", "start").agg(F.min(F.struct("df", "term", "q")).alias("r")).where("r.df > 0")
         self.anchors = materialize(rarest.select("item", "r.term", "r.q").distinct(), "anchors")
         wanted = self.anchors.select("term").distinct()
-        postings = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("p", "term")).join(self._side(wanted), "term")
-        self.postings = materialize(postings.select("term", "doc_id", "p"), "postings")
+        postings = keyed(docs).select("_key", "doc_id", F.posexplode(words(F.col("text"))).alias("p", "term")).join(self._side(wanted), "term")
+        self.postings = materialize(postings.select("term", "_key", "doc_id", "p"), "postings")
 
     def _side(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.small else df
 
     def alignments(self) -> DataFrame:
-        """Distinct (doc_id, item, shift)."""
-        return self.postings.join(self._side(self.anchors), "term").select("doc_id", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
+        """Distinct (_key, item, shift)."""
+        return self.postings.join(self._side(self.anchors), "term").select("_key", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
 
 
 def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, n_words, hit positions, item_ids and contaminated, for each row of docs."""
-    per_doc = index.alignments().join(index._side(index.items.select("item", F.size("item_words").alias("m"))), "item").groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift", "m")).alias("near"))
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w")).join(per_doc, "doc_id", "left")
+    """_key, doc_id, n_words, hit positions, item_ids and contaminated, for each row of docs."""
+    per_doc = index.alignments().join(index._side(index.items.select("item", F.size("item_words").alias("m"))), "item").groupBy("_key").agg(F.collect_list(F.struct("item", "shift", "m")).alias("near"))
+    tokens = keyed(docs).select("_key", "doc_id", words(F.col("text")).alias("w")).join(per_doc, "_key", "left")
     cut = F.transform("near", lambda c: F.struct(c["item"].alias("item"), c["shift"].alias("shift"), F.slice("w", F.greatest(c["shift"], F.lit(0)) + 1, F.greatest(F.lit(0), c["m"] + F.least(c["shift"], F.lit(0)))).alias("seen")))
-    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.size("w").cast("long").alias("n_words"), cut.alias("near"))
-    plain = rows.where(F.col("near").isNull()).select("doc_id", "n_words", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
-    each = rows.where(F.col("near").isNotNull()).select("_row", "doc_id", "n_words", F.explode("near").alias("c")).select("_row", "doc_id", "n_words", "c.*").join(index._side(index.items), "item")
+    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), "_key", "doc_id", F.size("w").cast("long").alias("n_words"), cut.alias("near"))
+    plain = rows.where(F.col("near").isNull()).select("_key", "doc_id", "n_words", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
+    each = rows.where(F.col("near").isNotNull()).select("_row", "_key", "doc_id", "n_words", F.explode("near").alias("c")).select("_row", "_key", "doc_id", "n_words", "c.*").join(index._side(index.items), "item")
     lost = -F.least("shift", F.lit(0))  # item words before the document's first
     whole = lambda i: F.slice("item_words", i + 1, F.col("span")) == F.slice("seen", i - lost + 1, F.col("span"))
     last = F.least(F.size("item_words"), lost + F.size("seen")) - F.col("span")
     found = F.when(last >= lost, F.filter(F.sequence(lost, F.greatest(last, lost)), whole)).otherwise(F.array().cast("array<int>"))
     each = each.withColumn("found", found)
     hit = F.flatten(F.transform("found", lambda i: F.sequence(F.col("shift") + i, F.col("shift") + i + F.col("span") - 1)))
-    each = each.select("_row", "doc_id", "n_words", F.array_distinct(hit).alias("hit"), F.when(F.size("found") > 0, F.col("item_id")).alias("item_id"))
-    hits = each.groupBy("_row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).drop("_row")
+    each = each.select("_row", "_key", "doc_id", "n_words", F.array_distinct(hit).alias("hit"), F.when(F.size("found") > 0, F.col("item_id")).alias("item_id"))
+    hits = each.groupBy("_row", "_key", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).drop("_row")
     return plain.unionByName(hits)
 
 
@@ -91,10 +96,10 @@ def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
     rare = index.places.where("df > 0").withColumn("k", rank).where("k <= 2")
     one, two = (rare.where(f"k = {k}").select("item", F.col("term").alias(f"t{k}"), F.col("q").alias(f"q{k}")) for k in (1, 2))
     pairs = one.join(two, "item").join(index.items.select("item", "item_id"), "item")
-    first = index.postings.select(F.col("term").alias("t1"), "doc_id", F.col("p").alias("p1"))
-    second = index.postings.select(F.col("term").alias("t2"), "doc_id", F.col("p").alias("p2"))
+    first = index.postings.select(F.col("term").alias("t1"), "_key", "doc_id", F.col("p").alias("p1"))
+    second = index.postings.select(F.col("term").alias("t2"), "_key", F.col("p").alias("p2"))
     reach = F.abs(F.col("q2") - F.col("q1")) + slop
-    near = first.join(index._side(pairs), "t1").join(second, ["doc_id", "t2"]).where(F.abs(F.col("p2") - F.col("p1")) <= reach)
+    near = first.join(index._side(pairs), "t1").join(second, ["_key", "t2"]).where(F.abs(F.col("p2") - F.col("p1")) <= reach)
     return near.groupBy("doc_id", "item_id").agg(F.min(F.abs(F.col("p2") - F.col("p1"))).alias("distance"))
 
 

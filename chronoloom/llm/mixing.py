@@ -46,11 +46,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of (doc_id, source, size, weight) with source_size, target, epochs (complete passes), picked (in the fractional pass) and taken.
+    """Rows of (doc_id, source, size, weight), with whatever other columns, with source_size, target, epochs (complete passes), picked (in the fractional pass) and taken.
 
     A document is in the fractional pass if the middle of its words lies within the budget, so that a source misses its target by half a document at most.
     """
-    d = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)).alias("_weight"))
+    kept = docs.drop("weight", "source_size", "target", "epochs", "picked", "taken").columns
+    d = docs.select(*kept, F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)).alias("_weight")).withColumn("size", F.col("size").cast("long"))
     d = d.withColumn("_key", -F.log(uniform(seed, F.col("doc_id"))) / F.col("_weight"))
     d = d.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).cast("int"))
     d = d.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))  # a key that is never null
@@ -64,7 +65,7 @@ def mix_documents(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share:
     d = d.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     d = d.withColumn("picked", (F.col("size") > 0) & (F.col("_offset") + F.col("_inner") + F.col("size") / 2 <= rest))
-    return d.select("doc_id", "source", "size", "source_size", "target", "epochs", "picked", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"))
+    return d.select(*kept, "source_size", "target", "epochs", "picked", (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"))
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

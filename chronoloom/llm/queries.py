@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, fingerprints, lm, mixing, secrets, sharding, warc
+from . import decontamination, fingerprints, lm, mixing, neardup, packing, secrets, sharding, toxicity, warc
 from .common import new_path, table
 
 
@@ -12,6 +12,10 @@ def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -27,6 +31,17 @@ def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
 
 
+def toxicity_held_out():
+    """Rows whose labels are never learnt."""
+    return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity_held_out())
+    return toxicity.score_documents(docs, network, toxicity_held_out())
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan_corpus(table(spark, sf_dir, "documents")))
 
@@ -48,5 +63,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.phrase_matches(docs, index))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op3_warc, op4_sharding, op5_backoff, op7_secrets, op8_mixing, op9_decontamination)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup)}
 ORACLES = {"op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}

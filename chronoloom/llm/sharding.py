@@ -5,8 +5,8 @@ of a group in one shard are interchangeable: the state is the table of cells (gr
 most `shards` rows for a group however hot it is.
 
 Every round joins each cell with its group's most frequent shard; members elsewhere want to move there. The
-demand between shards (shards x shards numbers) goes to the driver, which grants quotas that keep every shard
-within SLACK of its share; cells move their granted part. A last step moves single documents first, then
+demand between shards (shards x shards numbers) goes to the driver, which grants quotas that keep the linked documents of
+every shard within its share (single documents give way later); cells move their granted part. A last step moves single documents first, then
 whole or split cells, until the counts of all shards are at most one apart (law `rows`). Documents are then dealt to the
 cells of their group by rank, with ranks in two levels so that no task holds a group or a shard.
 
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-SHARDS, ROUNDS, SLACK = 24, 3, 0.05
+SHARDS, ROUNDS = 24, 3
 
 
 def _uniform(*parts: Column) -> Column:
@@ -83,7 +83,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, s
             demand[s, t] = k
         if not demand.any():
             break
-        part = granted(demand, alone + counts_of(linked), n / shards * (1 + SLACK))
+        part = granted(demand, counts_of(linked), n / shards)
         quota = F.element_at(F.array(*[F.lit(float(x)) for x in part.ravel()]), F.col("_s") * shards + F.col("_to") + 1)
         moved = F.when(F.col("_s") == F.col("_to"), F.lit(0)).otherwise(F.least(F.col("_n"), F.floor(F.col("_n") * quota + _uniform("_g", "_s", F.lit(seed + r))))).cast("long")
         wishes = wishes.withColumn("_moved", moved)
