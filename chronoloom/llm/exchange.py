@@ -82,13 +82,15 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def count_exchange(blocks: DataFrame, sender: Callable[[pd.DataFrame], list[tuple]], name: str) -> DataFrame:
-    """Answers (ANSWER) for the blocks; sender gives the packets of a block's rows. They are written to the shared folder."""
+def count_exchange(blocks: DataFrame, sender: Callable[[pd.DataFrame], list[tuple]], name: str | None = None) -> DataFrame:
+    """Answers (ANSWER) for the blocks; sender gives the packets of a block's rows. With a name they are written to the shared folder;
+    without one they are part of the caller's plan, which then deals the texts to blocks once for both."""
 
     def packets(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(sender(pdf), columns=["kind", "part", "block", "keys", "counts"])
 
-    return materialize(blocks.groupBy("block").applyInPandas(packets, PACKET).groupBy("kind", "part").applyInPandas(_add_up, ANSWER), name)
+    answers = blocks.groupBy("block").applyInPandas(packets, PACKET).groupBy("kind", "part").applyInPandas(_add_up, ANSWER)
+    return materialize(answers, name) if name else answers
 
 
 def answer_of(answers: pd.DataFrame, kind: int) -> np.ndarray:

@@ -5,32 +5,36 @@ shingle weighs its count times the mean inverse document frequency of its words,
 words, not of whole shingles: a shingle of a much copied text occurs in every copy, so a frequency of shingles would take the weight
 from just the part that copies share and put it on their edits, and large groups of near copies would come apart.
 
-1. Exact copies (equal texts) are one class from the start; their smallest doc_id stands for them.
+1. Exact copies (equal texts, by half of their SHA-256) are one node from the start; the row of their smallest doc_id stands for them.
 2. Blocks of documents get the document frequencies of their words from the whole corpus (exchange.py), draw
    BANDS x ROWS samples for each document and write bands and packed weight vectors to the shared folder.
-3. Within each bucket of a band the smallest id leads; the others are compared with it. Those that are not similar stay, and
-   the next smallest leads them, until no bucket has two left: pairs grow with a bucket, not with its square,
-   and none is capped. A pair counts if the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD.
+3. A document's standing is the number of documents in its buckets, over all bands: the source of a family of near copies
+   shares more bands with its copies than they do with each other and stands highest. In each bucket the HUBS highest are compared with
+   all members: every pair of a bucket of up to HUBS + 1, and a number of pairs in proportion to the members of a
+   larger one. A pair counts if the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD; pairs whose
+   total weights rule that out aren't compared.
 4. Classes are connected components by minimum labels with pointer jumping.
 
-Two members of a bucket that are linked to different leaders aren't compared there; they share other bands with other
-leaders. A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998.
+A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998. A link can be missed if all
+buckets that the pair shares have more than HUBS + 1 members and neither is among the highest there; it matters to
+the classes only if neither is linked to the family in another way.
 
 Edge cases: null texts and texts without words have no shingle; they are in a class with exactly equal texts only
-(null with none). Rows of one doc_id fall into one class. A null doc_id is a class of its own, without id. An empty
-table gives an empty result.
+(null with none but its own id's nulls). Rows of one doc_id with different texts are texts of their own. A row without doc_id
+is in the class of its text if that text occurs with an id as well; else its class_id is null. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, text_totals
 from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 12, 3
+SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
 
@@ -134,7 +138,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return less / (both - less) if both > less else 1.0
 
 
-SKETCH = "doc_id long, bands array<long>, vector binary"
+SKETCH = "doc_id long, node binary, total long, bands array<long>, vector binary"
 
 
 def _sender(blocks: int):
@@ -157,7 +161,7 @@ def _sketcher(n_docs: int):
             parts.append((a, Words(texts[a:b], NOT_ALNUM)))
         known = np.unique(np.concatenate([w.hash for _, w in parts])) if parts else np.zeros(0, np.uint64)
         idf = np.rint(IDF_STEPS * np.log1p(n_docs / np.maximum(answer_of(answers, 0).astype(np.float64), 1))).astype(np.int64)
-        ids, bands, vectors = [], [], []
+        ids, nodes, totals, bands, vectors = [], [], [], [], []
         for a, w in parts:
             doc, key, mass, first = _shingles(w, known, idf)
             if not len(doc):
@@ -166,9 +170,11 @@ def _sketcher(n_docs: int):
             ends = np.r_[first[1:], len(doc)]
             for i, (x, y) in enumerate(zip(first, ends, strict=True)):
                 ids.append(pdf["doc_id"].iloc[a + doc[x]])
+                nodes.append(pdf["node"].iloc[a + doc[x]])
+                totals.append(int(mass[x:y].sum()))
                 bands.append(keys[i].view(np.int64))
                 vectors.append(pack_vector(key[x:y], mass[x:y].astype(np.uint64)))
-        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "bands": bands, "vector": vectors})
+        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "node": nodes, "total": np.array(totals, np.int64), "bands": bands, "vector": vectors})
 
     return sketch
 
@@ -197,42 +203,39 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "class_id")
 
 
-def near_links(sketches: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b, similarity), a < b, between rows of SKETCH with distinct ids."""
-    buckets = sketches.select("doc_id", F.explode("bands").alias("band"))
-    left = buckets.groupBy("band").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = materialize(buckets.join(left, "band").where("doc_id != a").select("band", "a", F.col("doc_id").alias("b")), "near-bucket")
-    known = None
-    first, second = sketches.select(F.col("doc_id").alias("a"), F.col("vector").alias("va")), sketches.select(F.col("doc_id").alias("b"), F.col("vector").alias("vb"))
-    while True:
-        pairs = left.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        checked = pairs.join(second, "b").join(first, "a").select("a", "b", similarity("va", "vb").alias("similarity"))
-        checked = materialize(checked, "near-pairs")
-        known = checked if known is None else known.unionByName(checked)
-        rest = left.join(known.where(F.col("similarity") < threshold).select("a", "b"), ["a", "b"])
-        heads = rest.groupBy("band").agg(F.min("b").alias("head"))
-        left = materialize(rest.join(heads, "band").where("b != head").select("band", F.col("head").alias("a"), "b"), "near-bucket")
-        if not left.limit(1).count():
-            return known.where(F.col("similarity") >= threshold)
+def near_links(sketches: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
+    """Verified links (a, b, similarity) between nodes: sketches has a row (node, doc_id, total, bands) for each, vectors the vector of each (node, doc_id)."""
+    buckets = sketches.select("node", "doc_id", "total", F.explode("bands").alias("band"))
+    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(buckets.join(sizes, "band"), "near-shared")
+    standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
+    members = shared.join(standing, "node").select("band", F.struct("standing", "doc_id", "node").alias("m"), "total")
+    highest = W.partitionBy("band").orderBy(F.desc("m"))
+    heads = members.withColumn("rank", F.row_number().over(highest)).where(F.col("rank") <= hubs)  # cut to `hubs` a bucket before the shuffle as well
+    heads = heads.select("band", F.col("m").alias("h"), F.col("total").alias("t"))
+    alike = F.least("t", "total") >= threshold * F.greatest("t", "total")
+    pairs = materialize(members.join(heads, "band").where((F.col("m") < F.col("h")) & alike).select("h", "m").distinct(), "near-pairs")
+    pairs = pairs.select(F.col("h.node").alias("a"), F.col("h.doc_id").alias("ia"), F.col("m.node").alias("b"), F.col("m.doc_id").alias("ib"))
+    first, second = (vectors.select(F.col("node").alias(x), F.col("doc_id").alias(f"i{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
+    checked = pairs.join(second, ["b", "ib"]).join(first, ["a", "ia"]).select("a", "b", similarity("va", "vb").alias("similarity"))
+    return checked.where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class), n_links (verified links of the text to other texts)."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    own = materialize(docs.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 256)).alias("digest")), "near-digests")
-    exact = own.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    firsts = exact.where("first IS NOT NULL").select(F.col("first").alias("doc_id")).distinct()
-    rows = docs.where("text IS NOT NULL").join(firsts, "doc_id")
+    own_text = F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.substring(F.sha2(own_text, 256), 1, 32)).alias("node"))
     n_docs, size = text_totals(docs)
-    rows, blocks = blocked(rows, size)
-    answers = count_exchange(rows, _sender(blocks), "near-counts")
+    rows, blocks = blocked(docs.where("text IS NOT NULL AND doc_id IS NOT NULL"), size)
+    answers = count_exchange(rows, _sender(blocks))
     sketches = materialize(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_sketcher(n_docs), SKETCH), "near-sketches")
-    links = materialize(near_links(sketches, threshold), "near-links")
-    # An id whose rows have different texts links their classes.
-    stars = own.join(exact, "digest").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    classes = components(links.select("a", "b").unionByName(stars))
-    ends = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    placed = own.join(exact.join(ends, "first", "left"), "digest").join(classes, own["doc_id"] == classes["id"], "left")
-    return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = materialize(docs.select("doc_id", "node"), "near-nodes")
+    firsts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = sketches.select("node", "doc_id", "total", "bands").join(firsts, ["node", "doc_id"]).dropDuplicates(["node"])
+    links = materialize(near_links(one, sketches.select("node", "doc_id", "vector"), threshold), "near-links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    nodes = firsts.join(ends, "node", "left").join(components(links.select("a", "b")).withColumnRenamed("id", "node"), "node", "left")
+    nodes = nodes.select("node", "doc_id", "n_links", F.coalesce("class_id", "node").alias("class_node"))
+    least = nodes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
+    nodes = nodes.join(least, "class_node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return own.join(nodes, "node").select("doc_id", "class_id", "n_links")
