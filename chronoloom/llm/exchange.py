@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
