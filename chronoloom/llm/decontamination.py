@@ -31,7 +31,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """The words of a text. lower() does for ASCII texts; others must keep their upper-case letters beyond Z."""
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.coalesce(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -59,8 +61,10 @@ class Index:
         starts = self.places.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("span") + 1), F.least(F.col("q"), F.col("m") - F.col("span")))))
         rarest = starts.groupBy("item", "start").agg(F.min(F.struct("df", "term", "q")).alias("r")).where("r.df > 0")
         self.anchors = materialize(rarest.select("item", "r.term", "r.q").distinct(), "anchors")
-        wanted = self.anchors.select("term").distinct()
-        postings = keyed(docs).select("_key", "doc_id", F.posexplode(words(F.col("text"))).alias("p", "term")).join(self._side(wanted), "term")
+        # The empty term closes each document: its posting is a row a document and its position the number of words.
+        wanted = self.anchors.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        closed = F.array_append(words(F.col("text")), F.lit(""))
+        postings = keyed(docs).select("_key", "doc_id", F.posexplode(closed).alias("p", "term")).join(self._side(wanted), "term")
         self.postings = materialize(postings.select("term", "_key", "doc_id", "p"), "postings")
 
     def _side(self, df: DataFrame) -> DataFrame:
@@ -72,22 +76,22 @@ class Index:
 
 
 def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
-    """_key, doc_id, n_words, hit positions, item_ids and contaminated, for each row of docs."""
+    """_key, doc_id, n_words, hit positions and item_ids, for each row of docs. Only texts with an alignment are split into words again."""
     per_doc = index.alignments().join(index._side(index.items.select("item", F.size("item_words").alias("m"))), "item").groupBy("_key").agg(F.collect_list(F.struct("item", "shift", "m")).alias("near"))
-    tokens = keyed(docs).select("_key", "doc_id", words(F.col("text")).alias("w")).join(per_doc, "_key", "left")
+    texts = keyed(docs).select("_key", "text").join(per_doc, "_key").select("_key", "near", words(F.col("text")).alias("w"))
     cut = F.transform("near", lambda c: F.struct(c["item"].alias("item"), c["shift"].alias("shift"), F.slice("w", F.greatest(c["shift"], F.lit(0)) + 1, F.greatest(F.lit(0), c["m"] + F.least(c["shift"], F.lit(0)))).alias("seen")))
-    rows = tokens.select(F.monotonically_increasing_id().alias("_row"), "_key", "doc_id", F.size("w").cast("long").alias("n_words"), cut.alias("near"))
-    plain = rows.where(F.col("near").isNull()).select("_key", "doc_id", "n_words", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("item_ids"))
-    each = rows.where(F.col("near").isNotNull()).select("_row", "_key", "doc_id", "n_words", F.explode("near").alias("c")).select("_row", "_key", "doc_id", "n_words", "c.*").join(index._side(index.items), "item")
+    each = texts.select("_key", F.explode(cut).alias("c")).select("_key", "c.*").join(index._side(index.items), "item")
     lost = -F.least("shift", F.lit(0))  # item words before the document's first
     whole = lambda i: F.slice("item_words", i + 1, F.col("span")) == F.slice("seen", i - lost + 1, F.col("span"))
     last = F.least(F.size("item_words"), lost + F.size("seen")) - F.col("span")
     found = F.when(last >= lost, F.filter(F.sequence(lost, F.greatest(last, lost)), whole)).otherwise(F.array().cast("array<int>"))
     each = each.withColumn("found", found)
     hit = F.flatten(F.transform("found", lambda i: F.sequence(F.col("shift") + i, F.col("shift") + i + F.col("span") - 1)))
-    each = each.select("_row", "_key", "doc_id", "n_words", F.array_distinct(hit).alias("hit"), F.when(F.size("found") > 0, F.col("item_id")).alias("item_id"))
-    hits = each.groupBy("_row", "_key", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids")).drop("_row")
-    return plain.unionByName(hits)
+    each = each.where(F.size("found") > 0).select("_key", F.array_distinct(hit).alias("hit"), "item_id")
+    hits = each.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    rows = index.postings.where("term = ''").select("_key", "doc_id", F.col("p").cast("long").alias("n_words"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return rows.join(hits, "_key", "left").select("_key", "doc_id", "n_words", none("hits", "array<int>"), none("item_ids", "array<string>"))
 
 
 def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
