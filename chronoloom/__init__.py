@@ -1,0 +1 @@
+"""Time-series clustering and comparison on Spark DataFrames."""

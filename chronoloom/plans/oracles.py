@@ -1 +1,155 @@
-ORACLES = {}
+"""SQL for the registered queries, written for DuckDB."""
+
+from __future__ import annotations
+
+DAILY = """
+ev AS (SELECT user_id AS id, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS t, coalesce(sum(value), 0.0) AS v FROM events GROUP BY 1, 2),
+bound AS (SELECT min(t) AS lo, max(t) AS hi FROM ev),
+obs AS (SELECT g.id, CAST(g.t - g.lo AS INT) AS t, coalesce(ev.v, 0.0) AS v FROM (SELECT id, lo, unnest(range(lo, hi + 1)) AS t FROM (SELECT DISTINCT id FROM ev), bound) g LEFT JOIN ev ON ev.id = g.id AND ev.t = g.t)"""
+NATION = """
+ev AS (SELECT c_nationkey AS id, year(o_orderdate) * 12 + month(o_orderdate) AS t, CAST(sum(o_totalprice) AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+bound AS (SELECT min(t) AS lo, max(t) AS hi FROM ev),
+obs AS (SELECT g.id, CAST(g.t - g.lo AS INT) AS t, coalesce(ev.v, 0.0) AS v FROM (SELECT id, lo, unnest(range(lo, hi + 1)) AS t FROM (SELECT DISTINCT id FROM ev), bound) g LEFT JOIN ev ON ev.id = g.id AND ev.t = g.t)"""
+Z = """,
+z AS (SELECT id, t, CASE WHEN stddev_samp(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_samp(v) OVER w ELSE 0.0 END AS v FROM obs WINDOW w AS (PARTITION BY id)),
+s AS (SELECT id, list(v ORDER BY t) AS x FROM z GROUP BY id)"""
+LOWER = "SELECT a.id AS i, b.id AS j, a.x AS x, b.x AS y FROM s a JOIN s b ON a.id > b.id"
+LOWER_SELF = LOWER.replace("a.id > b.id", "a.id >= b.id")
+
+
+def dynamic(with_: str, pairs: str, cost: str, first: str, cell: str, allowed: str = "TRUE", outside: str = "'inf'::DOUBLE") -> str:
+    """Row-major recursion over the cells of each pair: p is the row above, q the current one, a and b 0-based positions, c the local cost."""
+    return f"""WITH RECURSIVE {with_}, pairs AS ({pairs}),
+run AS (
+  SELECT i, j, x, y, 0 AS k, []::DOUBLE[] AS p, []::DOUBLE[] AS q FROM pairs
+  UNION ALL
+  SELECT i, j, x, y, k + 1, p, list_append(q, CASE WHEN NOT ({allowed}) THEN {outside} WHEN k = 0 THEN {first} ELSE {cell} END) FROM (
+    SELECT *, {cost} AS c, CASE WHEN a > 0 AND b > 0 THEN p[b] ELSE {outside} END AS diag, CASE WHEN b > 0 THEN q[b] ELSE {outside} END AS lft, CASE WHEN a > 0 THEN p[b + 1] ELSE {outside} END AS up FROM (
+      SELECT i, j, x, y, k, k // len(y) AS a, k % len(y) AS b, CASE WHEN k % len(y) = 0 THEN q ELSE p END AS p, CASE WHEN k % len(y) = 0 THEN []::DOUBLE[] ELSE q END AS q FROM run WHERE k < len(x) * len(y)
+    )
+  )
+), done AS (SELECT i, j, x, y, q[len(y)] AS d FROM run WHERE k = len(x) * len(y))
+"""
+
+
+ABS, SQUARE = "abs(x[a + 1] - y[b + 1])", "(x[a + 1] - y[b + 1]) ** 2"
+
+
+def dtw(with_: str, pairs: str = LOWER, norm: str = "L1", step: int = 2, window: int | None = None) -> str:
+    band = "TRUE" if window is None else f"(b + 1) >= ceil((a + 1) * len(y) / len(x) - {window}) AND (b + 1) <= floor((a + 1) * len(y) / len(x) + {window})"
+    return dynamic(with_, pairs, ABS if norm == "L1" else SQUARE, "c", f"least(diag + {step} * c, lft + c, up + c)", band)
+
+
+EMB = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+l AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS t FROM e),
+m AS (SELECT label AS c, t, avg(v) AS v FROM l GROUP BY 1, 2),
+dc AS (SELECT id, c, sqrt(sum((l.v - m.v) ** 2)) AS d FROM l JOIN m USING (t) GROUP BY 1, 2),
+lab AS (SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM dc GROUP BY 1),
+u AS (SELECT id, c, d, CASE WHEN bool_or(d = 0) OVER w THEN (d = 0)::INT / sum((d = 0)::INT) OVER w ELSE (1 / d ** 2) / sum(1 / d ** 2) OVER w END AS u FROM dc WINDOW w AS (PARTITION BY id))"""
+DM = "dm AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.id <> b.id)"
+BETWEEN = "bt AS (SELECT a.c AS i, b.c AS j, sqrt(sum((a.v - b.v) ** 2)) AS d FROM m a JOIN m b ON a.t = b.t AND a.c <> b.c GROUP BY 1, 2)"
+GLOBAL = "gm AS (SELECT t, avg(v) AS v FROM l GROUP BY 1), gc AS (SELECT c, sqrt(sum((m.v - gm.v) ** 2)) AS g FROM m JOIN gm USING (t) GROUP BY 1), gs AS (SELECT id, sqrt(sum((l.v - gm.v) ** 2)) AS g FROM l JOIN gm USING (t) GROUP BY 1)"
+FLAGS = f"""WITH {DAILY}, sums AS (SELECT id, w, sum(v) FILTER (t < w) AS v FROM obs, (SELECT unnest([3, 5, 8, 12]) AS w) GROUP BY 1, 2),
+labels AS (SELECT id, w, ((CAST(floor(round(v, 2) / 50) AS BIGINT) % 3) + 3) % 3 AS c FROM sums),
+ids AS (SELECT DISTINCT id FROM obs), links AS (SELECT id AS i, id + 10 AS j, 1 AS type FROM ids UNION ALL SELECT id, id + 1, 0 FROM ids),
+flags AS (SELECT i, j, type, a.w, (a.c = b.c) = (type = 1) AS ok FROM links JOIN labels a ON a.id = i JOIN labels b ON b.id = j AND a.w = b.w),
+steps AS (SELECT *, coalesce((ok <> lag(ok) OVER o)::INT, 0) AS ch FROM flags WINDOW o AS (PARTITION BY i, j, type ORDER BY w)),
+islands AS (SELECT *, sum(ch) OVER (PARTITION BY i, j, type ORDER BY w) AS g FROM steps),
+runs AS (SELECT i, j, type, g, sum(ch) AS ch, count(*) FILTER (ok) AS run, count(*) AS n, min(w) FILTER (ok) AS first FROM islands GROUP BY ALL),
+comp AS (SELECT i, j, type, CASE WHEN sum(n) <= 1 THEN 0.0 WHEN max(run) = 0 THEN 'inf'::DOUBLE ELSE sum(ch) / (sum(n) - 1) / max(run) END AS complexity, CAST(min(first) AS INT) AS first_ok FROM runs GROUP BY 1, 2, 3)"""
+CELLS = "cells AS (SELECT a, b, count(*) AS n FROM {rows} GROUP BY 1, 2), ca AS (SELECT sum(n) AS n FROM cells GROUP BY a), cb AS (SELECT sum(n) AS n FROM cells GROUP BY b)"
+COUNTS = """pc AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM cells) AS bth, (SELECT sum(n * (n - 1) / 2.0) FROM ca) AS pa, (SELECT sum(n * (n - 1) / 2.0) FROM cb) AS pb, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM cells) AS total, (SELECT sum(n) FROM cells) AS n)"""
+PAIR_INDICES = "(total + 2 * bth - pa - pb) / total AS \"RI\", (bth - pa * pb / total) / ((pa + pb) / 2 - pa * pb / total) AS \"ARI\", bth / (pa + pb - bth) AS \"J\", bth / sqrt(pa * pb) AS \"FM\""
+
+
+def _matrix(power: int) -> str:
+    d = "sum(abs(a.v - b.v))" if power == 1 else "sqrt(sum((a.v - b.v) ** 2))"
+    return f"WITH {DAILY} SELECT a.id AS i, b.id AS j, round({d}, 6) AS d FROM obs a JOIN obs b ON a.t = b.t AND a.id > b.id GROUP BY 1, 2"
+
+
+def _external_of(rows: str) -> str:
+    return f"{CELLS.format(rows=rows)}, {COUNTS}"
+
+
+ORACLES = {
+    "series_daily": f"WITH {DAILY} SELECT id AS series_id, t, round(v, 6) AS value FROM obs",
+    "series_ragged": "SELECT user_id AS series_id, count(*) AS n, round(sum(value), 4) AS total, round(sqrt(sum(value * value)), 4) AS norm FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "series_multivariate": """WITH t AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INT) AS var FROM (SELECT DISTINCT event_type FROM events)),
+      n AS (SELECT user_id, var, CAST(ts AS DATE) AS day, count(*) AS n FROM events JOIN t USING (event_type) GROUP BY 1, 2, 3)
+      SELECT u.user_id AS series_id, t.var, CAST(coalesce(sum(n), 0) AS DOUBLE) AS total, CAST(coalesce(max(n), 0) AS DOUBLE) AS most FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN t LEFT JOIN n ON n.user_id = u.user_id AND n.var = t.var GROUP BY 1, 2""",
+    "zscore": f"WITH {DAILY}{Z} SELECT id AS series_id, t, round(v, 6) AS value FROM z",
+    "reinterpolate": f"""WITH {DAILY}, s AS (SELECT id, list(v ORDER BY t) AS x FROM obs GROUP BY id), p AS (SELECT id, x, k, k * (len(x) - 1) / 44.0 AS pos FROM s, (SELECT unnest(range(45)) AS k))
+      SELECT id AS series_id, CAST(k AS INT) AS t, round(x[CAST(floor(pos) AS INT) + 1] + (pos - floor(pos)) * (x[CAST(least(floor(pos) + 1, len(x) - 1) AS INT) + 1] - x[CAST(floor(pos) AS INT) + 1]), 6) AS value FROM p""",
+    "envelope": f"WITH {DAILY} SELECT id AS series_id, t, round(min(v) OVER w, 6) AS low, round(max(v) OVER w, 6) AS up FROM obs WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)",
+    "autocorrelation": f"""WITH {DAILY}, c AS (SELECT id, t, v - avg(v) OVER (PARTITION BY id) AS v FROM obs), q AS (SELECT id, sum(v * v) AS q FROM c GROUP BY 1)
+      SELECT a.id AS series_id, CAST(k AS INT) AS t, round(CASE WHEN q > 0 THEN sum(a.v * b.v) / q WHEN k = 0 THEN 1.0 ELSE 0.0 END, 6) AS value FROM c a JOIN (SELECT unnest(range(6)) AS k) ON TRUE JOIN c b ON b.id = a.id AND b.t = a.t + k JOIN q ON q.id = a.id GROUP BY a.id, k, q""",
+    "characteristics": f"WITH {DAILY}{Z} SELECT count(*) AS n_series, FALSE AS multivariate, min(n) = max(n) AS same_length, bool_and(abs(m) < 1e-6) AS centered, bool_and(abs(sd - 1) < 1e-6) AS scaled FROM (SELECT id, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd FROM z GROUP BY 1)",
+    "l1_matrix": _matrix(1),
+    "l2_matrix": _matrix(2),
+    "lb_keogh": f"""WITH {DAILY}{Z}, env AS (SELECT id, t, min(v) OVER w AS lo, max(v) OVER w AS up FROM z WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+      SELECT a.id AS i, b.id AS j, round(sqrt(sum(greatest(a.v - up, lo - a.v, 0) ** 2)), 6) AS d FROM z a JOIN env b ON a.t = b.t GROUP BY 1, 2""",
+    "lb_improved": f"""WITH {DAILY}{Z}, env AS (SELECT id, t, v, min(v) OVER w AS lo, max(v) OVER w AS up FROM z WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+      h AS (SELECT a.id AS i, b.id AS j, a.t, greatest(a.v - up, lo - a.v, 0) AS e, b.v AS y, least(greatest(a.v, lo), up) AS h FROM z a JOIN env b ON a.t = b.t),
+      g AS (SELECT i, j, e, y, min(h) OVER w AS lo, max(h) OVER w AS up FROM h WINDOW w AS (PARTITION BY i, j ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+      SELECT i, j, round(sum(e) + sum(greatest(y - up, lo - y, 0)), 6) AS d FROM g GROUP BY 1, 2""",
+    "sbd_matrix": f"""WITH {DAILY}{Z}, n AS (SELECT id, sqrt(sum(v * v)) AS n FROM z GROUP BY 1), c AS (SELECT a.id AS i, b.id AS j, a.t - b.t AS k, sum(a.v * b.v) AS s FROM z a JOIN z b ON a.id > b.id GROUP BY 1, 2, 3)
+      SELECT i, j, round(CASE WHEN p.n * q.n > 0 THEN 1 - max(s) / (p.n * q.n) ELSE 1.0 END, 6) AS d FROM c JOIN n p ON p.id = i JOIN n q ON q.id = j GROUP BY i, j, p.n, q.n""",
+    "dtw_l1_matrix": dtw(NATION + Z) + "SELECT i, j, round(d, 6) AS d FROM done",
+    "dtw_l2_sym1": dtw(NATION + Z, norm="L2", step=1) + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
+    "dtw_window": dtw(NATION + Z, LOWER.replace("a.id > b.id", "TRUE"), norm="L2", window=5) + "SELECT i, j, round(sqrt(d), 6) AS d FROM done WHERE i > j",
+    "dtw_normalized": dtw(NATION + Z) + "SELECT i, j, round(d / (len(x) + len(y)), 6) AS d FROM done",
+    "dtw_pairwise": dtw(NATION + Z, "SELECT id AS i, id AS j, x, list_reverse(x) AS y FROM s", norm="L2") + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
+    "dtw_nn": dtw(DAILY + Z) + ", bth AS (SELECT i, j, round(d, 6) AS d FROM done UNION ALL SELECT j, i, round(d, 6) FROM done) SELECT i, arg_min(j, (d, j)) AS j, min(d) AS d FROM bth GROUP BY 1",
+    "dtw_lb_nn": dtw(DAILY + Z + ", gr AS (SELECT g AS id, list(v ORDER BY t) AS x FROM (SELECT ((id % 10) + 10) % 10 AS g, t, avg(v) AS v FROM z GROUP BY 1, 2) GROUP BY 1)", "SELECT s.id AS i, gr.id AS j, s.x AS x, gr.x AS y FROM s, gr", window=3)
+    + "SELECT i, arg_min(j, (d, j)) AS j, round(min(d), 6) AS d FROM done GROUP BY 1",
+    "sdtw_matrix": dynamic(NATION + Z, LOWER_SELF, SQUARE, "c", "c + least(diag, lft, up) - ln(exp(least(diag, lft, up) - diag) + exp(least(diag, lft, up) - lft) + exp(least(diag, lft, up) - up))") + "SELECT i, j, round(d, 6) AS d FROM done",
+    "ugak_matrix": dynamic(NATION + Z, LOWER_SELF, f"({SQUARE}) / -8.0 - ln(2 - exp(({SQUARE}) / -8.0))", "c", "greatest(diag, lft, up) + ln(exp(diag - greatest(diag, lft, up)) + exp(lft - greatest(diag, lft, up)) + exp(up - greatest(diag, lft, up))) + c", outside="-10000.0")
+    + "SELECT i, j, round(d, 6) AS d FROM done",
+    "gak_matrix": dynamic(NATION + Z, LOWER_SELF, f"({SQUARE}) / -8.0 - ln(2 - exp(({SQUARE}) / -8.0))", "c", "greatest(diag, lft, up) + ln(exp(diag - greatest(diag, lft, up)) + exp(lft - greatest(diag, lft, up)) + exp(up - greatest(diag, lft, up))) + c", outside="-10000.0")
+    + "SELECT o.i, o.j, round(1 - exp(o.d - (p.d + q.d) / 2), 6) AS d FROM done o JOIN done p ON p.i = o.i AND p.j = o.i JOIN done q ON q.i = o.j AND q.j = o.j WHERE o.i > o.j",
+    "distance_memo": f"WITH {NATION}{Z} SELECT a.id AS i, b.id AS j, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS d FROM z a JOIN z b ON a.t = b.t AND a.id > b.id GROUP BY 1, 2",
+    "cent_mean": f"WITH {EMB} SELECT CAST(c AS INT) AS cluster, CAST(t AS INT) AS t, round(v, 6) AS value FROM m",
+    "cent_median": f"WITH {EMB} SELECT CAST(label AS INT) AS cluster, CAST(t AS INT) AS t, round(median(v), 6) AS value FROM l GROUP BY 1, 2",
+    "medoid": f"WITH {EMB}, {DM}, w AS (SELECT a.label AS c, i, sum(d) AS s FROM dm JOIN e a ON a.id = i JOIN e b ON b.id = j AND a.label = b.label GROUP BY 1, 2) SELECT CAST(c AS INT) AS cluster, arg_min(i, (s, i)) AS series_id FROM w GROUP BY 1",
+    "assign": f"WITH {EMB} SELECT id AS series_id, CAST(c AS INT) AS cluster, round(d, 6) AS d FROM lab",
+    "predict": f"WITH {EMB} SELECT id AS series_id, CAST(c AS INT) AS cluster, round(d, 6) AS d FROM lab",
+    "kmeans_step": f"WITH {EMB} SELECT CAST(lab.c AS INT) AS cluster, CAST(t AS INT) AS t, round(avg(v), 6) AS value FROM l JOIN lab USING (id) GROUP BY 1, 2",
+    "fuzzy_u": f"WITH {EMB} SELECT id AS series_id, CAST(c AS INT) AS cluster, round(u, 6) AS u FROM u",
+    "fcm_step": f"WITH {EMB} SELECT CAST(u.c AS INT) AS cluster, CAST(t AS INT) AS t, round(sum(u ** 2 * v) / sum(u ** 2), 6) AS value FROM l JOIN u USING (id) GROUP BY 1, 2",
+    "fcmdd_step": f"WITH {EMB}, {DM}, w AS (SELECT c, i, sum(dm.d * u ** 2) AS s FROM dm JOIN u ON u.id = j GROUP BY 1, 2) SELECT CAST(c AS INT) AS cluster, arg_min(i, (s, i)) AS series_id FROM w GROUP BY 1",
+    "cvi_external": f"""WITH {EMB}, lr AS (SELECT lab.c AS a, e.label AS b FROM lab JOIN e USING (id)), {_external_of('lr')},
+      h AS (SELECT (SELECT sum(n * log10(n)) FROM ca) AS ha, (SELECT sum(n * log10(n)) FROM cb) AS hb, (SELECT sum(n * log10(n)) FROM cells) AS hab)
+      SELECT round("RI", 6) AS "RI", round("ARI", 6) AS "ARI", round("J", 6) AS "J", round("FM", 6) AS "FM", round(abs(ha + hb - 2 * hab) / n, 6) AS "VI" FROM (SELECT {PAIR_INDICES}, n FROM pc), h""",
+    "cvi_soft_external": f"""WITH {EMB}, t AS (SELECT u.c AS a, e.label AS b, sum(u) AS t FROM u JOIN e USING (id) GROUP BY 1, 2), k AS (SELECT count(*)::DOUBLE AS n FROM e),
+      v AS (SELECT (SELECT sum(t * t) FROM t) AS q, (SELECT sum(t) FROM t) AS s, (SELECT sum(s * s) FROM (SELECT sum(t) AS s FROM t GROUP BY a)) AS qa, (SELECT sum(s * s) FROM (SELECT sum(t) AS s FROM t GROUP BY b)) AS qb,
+        (SELECT -sum(t / n * ln(t / n + 2.2e-16)) FROM t, k) AS hab, (SELECT -sum(s / n * ln(s / n + 2.2e-16)) FROM (SELECT sum(t) AS s FROM t GROUP BY a), k) AS ha, (SELECT -sum(s / n * ln(s / n + 2.2e-16)) FROM (SELECT sum(t) AS s FROM t GROUP BY b), k) AS hb, n FROM k),
+      p AS (SELECT *, (q - s) / 2 AS bo, (n * n + q - qa - qb) / 2 AS ne, (qb - q) / 2 AS x, (qa - q) / 2 AS y FROM v), w AS (SELECT *, bo + ne + x + y AS tot FROM p)
+      SELECT round((bo - (bo + x) * (bo + y) / tot) / ((2 * bo + x + y) / 2 - (bo + x) * (bo + y) / tot), 6) AS "ARI", round((bo + ne) / tot, 6) AS "RI", round(ha + hb - 2 * (ha + hb - hab), 6) AS "VI", round((ha + hb - hab) / greatest(ha, hb), 6) AS "NMIM" FROM w""",
+    "cvi_silhouette": f"""WITH {EMB}, {DM}, n AS (SELECT c, count(*) AS n FROM lab GROUP BY 1), w AS (SELECT i, a.c AS ci, b.c AS cj, sum(dm.d) AS s, count(*) AS k FROM dm JOIN lab a ON a.id = i JOIN lab b ON b.id = j GROUP BY 1, 2, 3),
+      p AS (SELECT i, n, sum(s / (n - 1)) FILTER (ci = cj) AS a, min(s / k) FILTER (ci <> cj) AS b FROM w JOIN n ON n.c = ci GROUP BY 1, 2) SELECT round(avg(CASE WHEN n > 1 AND greatest(a, b) > 0 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS "Sil" FROM p""",
+    "cvi_dunn": f'WITH {EMB}, {DM} SELECT round(min(dm.d) FILTER (a.c <> b.c) / max(dm.d) FILTER (a.c = b.c), 6) AS "D" FROM dm JOIN lab a ON a.id = i JOIN lab b ON b.id = j',
+    "cvi_cop": f"""WITH {EMB}, {DM}, far AS (SELECT c, min(f) AS f FROM (SELECT i, a.c, max(dm.d) AS f FROM dm JOIN lab a ON a.id = i JOIN lab b ON b.id = j AND a.c <> b.c GROUP BY 1, 2) GROUP BY 1)
+      SELECT round(sum(s / f) / sum(n), 6) AS "COP" FROM (SELECT c, sum(d) AS s, count(*) AS n FROM lab GROUP BY 1) JOIN far USING (c)""",
+    "cvi_davies_bouldin": f"""WITH {EMB}, {BETWEEN}, av AS (SELECT c, avg(d) AS s FROM lab GROUP BY 1)
+      SELECT round(avg(r), 6) AS "DB", round(avg(q), 6) AS "DBstar" FROM (SELECT i, max((a.s + b.s) / d) AS r, max(a.s + b.s) / min(d) AS q FROM bt JOIN av a ON a.c = i JOIN av b ON b.c = j GROUP BY 1)""",
+    "cvi_calinski_score": f"""WITH {EMB}, {GLOBAL}, o AS (SELECT c, avg(d) AS av, count(*) AS n, sum(d) AS s FROM lab GROUP BY 1), w AS (SELECT sum(n) AS n, count(*) AS k, sum(n * g) AS b, sum(s) AS w, sum(av) AS v FROM o JOIN gc USING (c))
+      SELECT round((n - k) / (k - 1) * b / w, 6) AS "CH", round(1 - 1 / exp(exp(b / (n * k) - v)), 6) AS "SF" FROM w""",
+    "cvi_fuzzy": f"""WITH {EMB}, {BETWEEN}, {GLOBAL}, a AS (SELECT count(DISTINCT id) AS n, count(DISTINCT c) AS k, sum(u * u) AS uu, sum(u * u * d * d) AS uudd, sum(u * u * d) AS umd FROM u),
+      b AS (SELECT min(d * d) AS lo, max(d) AS hi, sum(d * d) AS bb FROM bt), g AS (SELECT sum(g * g) AS gg FROM gc), x AS (SELECT sum(g) AS e FROM gs), v AS (SELECT sum(v) AS comp FROM (SELECT sum(u * u * d * d) / sum(u) AS v FROM u GROUP BY c)),
+      o AS (SELECT sum(o) AS over FROM (SELECT sum(least(p.u, q.u) ** 2) / sum(least(p.u, q.u)) AS o FROM u p JOIN u q ON p.id = q.id AND p.c < q.c GROUP BY p.c, q.c)), t AS (SELECT sum(w * w) / sum(w) AS top FROM (SELECT max(u) AS w FROM u GROUP BY id))
+      SELECT round(1 - k / (k - 1) * (1 - uu / n), 6) AS "MPC", round((uudd + gg / k) / lo, 6) AS "K", round((uudd + bb / (k * (k - 1))) / (lo + 1 / k), 6) AS "T", round(gg / k / comp - over / top, 6) AS "SC", round((e / k / umd * hi) ** 2, 6) AS "PBMF" FROM a, b, g, x, v, o, t""",
+    "cluster_sizes": f"WITH {EMB} SELECT CAST(c AS INT) AS cluster, count(*) AS size, round(avg(d), 6) AS av_dist FROM lab GROUP BY 1",
+    "config_grid": "SELECT k, preproc, distance, CAST(window_distance AS DOUBLE) AS window_distance FROM (VALUES (2), (3), (4)) a(k), (VALUES ('none'), ('zscore')) b(preproc), (VALUES ('dtw_basic', 5), ('dtw_basic', 10), ('sbd', NULL)) c(distance, window_distance)",
+    "config_grid_shared": "SELECT norm, CAST(window_distance AS DOUBLE) AS window_distance, centroid FROM (VALUES ('L1', 5), ('L2', 10)) a(norm, window_distance) FULL JOIN (VALUES ('L1', 'dba'), ('L3', 'pam')) b(norm, centroid) USING (norm)",
+    "consensus_partition": f"""WITH {EMB}, parts AS (SELECT 1 AS p, id, label AS c FROM e UNION ALL SELECT 2, id, c FROM lab UNION ALL SELECT 3, id, (x[1] > 0)::INT FROM e),
+      ce AS (SELECT a.p AS pa, b.p AS pb, count(*) AS n FROM parts a JOIN parts b USING (id) GROUP BY a.p, b.p, a.c, b.c), s AS (SELECT pa, pb, sum(n * n) AS s FROM ce GROUP BY 1, 2), q AS (SELECT p, sum(n * n) AS q FROM (SELECT p, count(*) AS n FROM parts GROUP BY p, c) GROUP BY 1)
+      SELECT arg_min(pa, (d, pa)) AS part FROM (SELECT pa, sum(a.q + b.q - 2 * s) AS d FROM s JOIN q a ON a.p = pa JOIN q b ON b.p = pb GROUP BY 1)""",
+    "constraint_complexity": FLAGS + " SELECT i, j, type, round(complexity, 6) AS complexity, CAST(first_ok AS DOUBLE) AS first_ok FROM comp",
+    "window_vote": FLAGS + """, votes AS (SELECT first_ok AS w, count(*) AS v FROM comp WHERE complexity > 0 AND complexity < 0.5 AND first_ok IS NOT NULL GROUP BY 1)
+      SELECT coalesce((SELECT arg_min(w, (-v, w)) FROM votes), (SELECT min(first_ok) FROM comp)) AS window, coalesce((SELECT max(v) FROM votes), 0) AS votes""",
+}
+_PICK = f"""WITH {EMB}, l2 AS (SELECT lab.c AS a, e.label AS b FROM lab JOIN e USING (id)), l3 AS (SELECT (x[1] > 0)::INT AS a, label AS b FROM e),
+ one AS (WITH {_external_of('l2')} SELECT 'config2' AS config_id, {PAIR_INDICES} FROM pc), two AS (WITH {_external_of('l3')} SELECT 'config3' AS config_id, {PAIR_INDICES} FROM pc),
+ tall AS (UNPIVOT (SELECT * FROM one UNION ALL SELECT * FROM two) ON "RI", "ARI", "J", "FM" INTO NAME cvi VALUE score), best AS (SELECT cvi, arg_min(config_id, (-score, config_id)) AS config_id FROM tall GROUP BY 1)
+ SELECT config_id, votes FROM (SELECT config_id, count(*) AS votes FROM best GROUP BY 1) ORDER BY votes DESC, config_id LIMIT 1"""
+ORACLES["majority_pick"] = _PICK

@@ -1 +1,438 @@
+"""Registered queries over whole tables: (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from chronoloom.functions import series as S
+from chronoloom.operators import centroids as C, clustering as K, compare, constraints, distances as D, validity as V
+from chronoloom.sources import series as src
+from chronoloom.streaming import predict as streaming
+
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+def _d(df: DataFrame) -> DataFrame:
+    return df.select("i", "j", r("d").alias("d"))
+
+
+def _long(df: DataFrame) -> DataFrame:
+    return src.to_long(df).select("series_id", "t", r("value").alias("value"))
+
+
+def daily_z(spark: SparkSession, d: str) -> DataFrame:
+    return src.daily(spark, d).withColumn("values", S.zscore(F.col("values")))
+
+
+def nation_z(spark: SparkSession, d: str) -> DataFrame:
+    return src.nation_monthly(spark, d).withColumn("values", S.zscore(F.col("values")))
+
+
+def by_label(spark: SparkSession, d: str) -> DataFrame:
+    return src.embeddings(spark, d).withColumn("cluster", F.col("label"))
+
+
+def label_means(spark: SparkSession, d: str) -> DataFrame:
+    return C.mean(by_label(spark, d))
+
+
+def to_means(spark: SparkSession, d: str) -> DataFrame:
+    """(series_id, cluster, d): L2 distance of each embedding to the mean of each label."""
+    return K._to_centroids(src.embeddings(spark, d).select("series_id", "values"), label_means(spark, d), "L2", {})
+
+
+def l2(spark: SparkSession, d: str) -> DataFrame:
+    return D.mirrored(D.distances(src.embeddings(spark, d).select("series_id", "values"), method="L2"))
+
+
+# Series and their functions
+@query
+def series_daily(spark, d):
+    return _long(src.daily(spark, d))
+
+
+@query
+def series_ragged(spark, d):
+    return src.ragged(spark, d).select("series_id", F.size("values").cast("long").alias("n"), r(S.total(F.col("values")), 4).alias("total"), r(S.l2norm(F.col("values")), 4).alias("norm"))
+
+
+@query
+def series_multivariate(spark, d):
+    return src.to_long(src.daily_by_type(spark, d)).groupBy("series_id", "var").agg(F.sum("value").alias("total"), F.max("value").alias("most"))
+
+
+@query
+def zscore(spark, d):
+    return _long(daily_z(spark, d))
+
+
+@query
+def reinterpolate(spark, d):
+    return _long(src.daily(spark, d).withColumn("values", S.reinterpolate(F.col("values"), 45)))
+
+
+@query
+def envelope(spark, d):
+    low, up = S.envelope(F.col("values"), 3)
+    rows = src.daily(spark, d).select("series_id", F.posexplode(F.arrays_zip(low.alias("low"), up.alias("up"))).alias("t", "e"))
+    return rows.select("series_id", "t", r("e.low").alias("low"), r("e.up").alias("up"))
+
+
+@query
+def autocorrelation(spark, d):
+    return _long(src.daily(spark, d).withColumn("values", S.acf(F.col("values"), 5)))
+
+
+@query
+def characteristics(spark, d):
+    return src.characteristics(daily_z(spark, d))
+
+
+# Distances
+@query
+def l1_matrix(spark, d):
+    return _d(D.distances(src.daily(spark, d), method="L1"))
+
+
+@query
+def l2_matrix(spark, d):
+    return _d(D.distances(src.daily(spark, d), method="L2"))
+
+
+@query
+def lb_keogh(spark, d):
+    return _d(D.distances(daily_z(spark, d), method="lbk", window=3, norm="L2"))
+
+
+@query
+def lb_improved(spark, d):
+    return _d(D.distances(daily_z(spark, d), method="lbi", window=3, norm="L1"))
+
+
+@query
+def sbd_matrix(spark, d):
+    return _d(D.distances(daily_z(spark, d), method="sbd"))
+
+
+@query
+def dtw_l1_matrix(spark, d):
+    return _d(D.distances(nation_z(spark, d)))
+
+
+@query
+def dtw_l2_sym1(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", norm="L2", step="symmetric1"))
+
+
+@query
+def dtw_window(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", window=5, norm="L2"))
+
+
+@query
+def dtw_normalized(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", normalize=True))
+
+
+@query
+def dtw_pairwise(spark, d):
+    x = nation_z(spark, d)
+    return _d(D.distances(x, x.withColumn("values", F.reverse("values")), "dtw2", pairwise=True))
+
+
+@query
+def dtw_multivariate(spark, d):
+    return _d(D.distances(src.daily_by_type(spark, d), method="dtw_basic", norm="L1", window=5))
+
+
+@query
+def dtw_path(spark, d):
+    x = nation_z(spark, d)
+    y = x.select("series_id", F.reverse("values").alias("y_values"))
+    paths = D.warping_paths(x.select("series_id", F.col("values").alias("x_values")).join(y, "series_id"), norm="L1")
+    return paths.select("series_id", F.posexplode("path").alias("step", "p")).select("series_id", "step", "p.index1", "p.index2")
+
+
+@query
+def dtw_nn(spark, d):
+    """Nearest neighbour of each user's daily series."""
+    near = D.nearest(D.mirrored(D.distances(daily_z(spark, d))).select("i", "j", r("d").alias("d")))
+    return near.select("i", "j", "d")
+
+
+@query
+def dtw_lb_nn(spark, d):
+    x = daily_z(spark, d)
+    groups = C.mean(x.withColumn("cluster", F.pmod("series_id", F.lit(10)).cast("int"))).select(F.col("cluster").cast("long").alias("series_id"), "values")
+    return _d(D.dtw_lb(x, groups, 3, "L1"))
+
+
+@query
+def sdtw_matrix(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="sdtw", gamma=1.0))
+
+
+@query
+def ugak_matrix(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="ugak", sigma=2.0))
+
+
+@query
+def gak_matrix(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="gak", sigma=2.0))
+
+
+@query
+def distance_memo(spark, d):
+    """A relation computed in two parts, the second without the pairs of the first."""
+    x = nation_z(spark, d)
+    ids = x.select("series_id")
+    pairs = ids.select(F.col("series_id").alias("i")).join(ids.select(F.col("series_id").alias("j")), F.col("i") > F.col("j"))
+    first = D.memoised(None, pairs.where("(i + j) % 2 = 0"), x, "L2")
+    return _d(D.memoised(first, pairs, x, "L2"))
+
+
+# Centroids and assignment
+@query
+def cent_mean(spark, d):
+    return label_means(spark, d).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def cent_median(spark, d):
+    return C.median(by_label(spark, d)).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def medoid(spark, d):
+    return C.medoids(l2(spark, d), by_label(spark, d))
+
+
+@query
+def assign(spark, d):
+    return K.assign(to_means(spark, d)).select("series_id", "cluster", r("d").alias("d"))
+
+
+@query
+def kmeans_step(spark, d):
+    x = src.embeddings(spark, d).select("series_id", "values")
+    new = C.mean(x.join(K.assign(to_means(spark, d)).select("series_id", "cluster"), "series_id"))
+    return new.select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def fuzzy_u(spark, d):
+    return K.memberships(to_means(spark, d)).select("series_id", "cluster", r("u").alias("u"))
+
+
+@query
+def fcm_step(spark, d):
+    new = C.fcm(K.memberships(to_means(spark, d)), src.embeddings(spark, d).select("series_id", "values"))
+    return new.select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def fcmdd_step(spark, d):
+    return C.fcmdd(K.memberships(to_means(spark, d)), l2(spark, d))
+
+
+@query
+def dba_step(spark, d):
+    x = daily_z(spark, d).withColumn("cluster", F.pmod("series_id", F.lit(4)).cast("int"))
+    return C.dba_step(x, C.mean(x), window=5).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def shape_centroid(spark, d):
+    x = daily_z(spark, d).withColumn("cluster", F.pmod("series_id", F.lit(4)).cast("int"))
+    return C.shape(x).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
+@query
+def sdtw_centroid(spark, d):
+    x = src.daily(spark, d, 7).withColumn("values", S.zscore(F.col("values"))).withColumn("cluster", F.lit(1))
+    return C.sdtw_centroid(x, C.mean(x), 1.0, iterations=5).select("cluster", F.posexplode("values").alias("t", "value"))
+
+
+# Clusterings
+@query
+def pam_clustering(spark, d):
+    return K.cluster(nation_z(spark, d), k=4, args={"window": 5}).labels
+
+
+@query
+def kmeans_clustering(spark, d):
+    return K.cluster(src.embeddings(spark, d), k=10, distance="L2", centroid="mean", control=K.Partitional(iterations=10)).labels
+
+
+@query
+def kshape_clustering(spark, d):
+    return K.k_shape(src.daily(spark, d), 4, control=K.Partitional(iterations=5)).labels
+
+
+@query
+def fuzzy_clustering(spark, d):
+    return K.cluster(daily_z(spark, d), "fuzzy", 4, control=K.Fuzzy(iterations=10)).membership
+
+
+@query
+def hierarchical_clustering(spark, d):
+    return K.cluster(daily_z(spark, d), "hierarchical", 5, distance="sbd").labels
+
+
+@query
+def tadpole_clustering(spark, d):
+    return K.cluster(daily_z(spark, d), "tadpole", 4, control=K.Tadpole(6.0, 3)).labels
+
+
+@query
+def predict(spark, d):
+    cents = [(x["cluster"], x["values"]) for x in label_means(spark, d).orderBy("cluster").collect()]  # one a label
+    return streaming.predict(src.embeddings(spark, d), cents).select("series_id", "cluster", r("d").alias("d"))
+
+
+# Validity indices of the assignment to label means
+def _labels(spark, d):
+    return K.assign(to_means(spark, d))
+
+
+def _between(spark, d):
+    c = label_means(spark, d)
+    x = K._to_centroids(c.select(F.col("cluster").cast("long").alias("series_id"), "values"), c, "L2", {})
+    return x.select(F.col("series_id").alias("i"), F.col("cluster").alias("j"), "d")
+
+
+def _global(spark, d):
+    return C.mean(src.embeddings(spark, d).withColumn("cluster", F.lit(1)))
+
+
+def _to_global(spark, d):
+    x = K._to_centroids(label_means(spark, d).select(F.col("cluster").cast("long").alias("series_id"), "values"), _global(spark, d), "L2", {})
+    return x.select(F.col("series_id").cast("int").alias("cluster"), "d")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r(c).alias(c) for c in df.columns])
+
+
+@query
+def cvi_external(spark, d):
+    return _rounded(V.external(_labels(spark, d), src.embeddings(spark, d).select("series_id", F.col("label").alias("cluster"))))
+
+
+@query
+def cvi_soft_external(spark, d):
+    truth = V.one_hot(src.embeddings(spark, d).select("series_id", F.col("label").alias("cluster")))
+    return _rounded(V.soft_external(K.memberships(to_means(spark, d)), truth))
+
+
+@query
+def cvi_silhouette(spark, d):
+    return _rounded(V.silhouette(l2(spark, d), _labels(spark, d)))
+
+
+@query
+def cvi_dunn(spark, d):
+    return _rounded(V.dunn(l2(spark, d), _labels(spark, d)))
+
+
+@query
+def cvi_cop(spark, d):
+    return _rounded(V.cop(l2(spark, d), _labels(spark, d)))
+
+
+@query
+def cvi_davies_bouldin(spark, d):
+    return _rounded(V.davies_bouldin(_labels(spark, d), _between(spark, d)))
+
+
+@query
+def cvi_calinski_score(spark, d):
+    return _rounded(V.calinski_harabasz(_labels(spark, d), _to_global(spark, d)))
+
+
+@query
+def cvi_fuzzy(spark, d):
+    own = K._to_centroids(src.embeddings(spark, d).select("series_id", "values"), _global(spark, d), "L2", {}).select("series_id", "d")
+    return _rounded(V.fuzzy_internal(K.memberships(to_means(spark, d)), _between(spark, d), _to_global(spark, d), own))
+
+
+@query
+def cluster_sizes(spark, d):
+    return _labels(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), r(F.avg("d")).alias("av_dist"))
+
+
+# Comparison of configurations
+@query
+def config_grid(spark, d):
+    k = spark.range(2, 5).select(F.col("id").cast("int").alias("k"))
+    prep = spark.createDataFrame([("none",), ("zscore",)], "preproc string")
+    dist = spark.createDataFrame([("dtw_basic", 5.0), ("dtw_basic", 10.0), ("sbd", None)], "distance string, window_distance double")
+    return compare.grid_frame(spark, [k, prep, dist])
+
+
+@query
+def config_grid_shared(spark, d):
+    """A grid whose parts share a column that isn't expanded: a full outer join."""
+    a = spark.createDataFrame([("L1", 5.0), ("L2", 10.0)], "norm string, window_distance double")
+    b = spark.createDataFrame([("L1", "dba"), ("L3", "pam")], "norm string, centroid string")
+    return compare.grid_frame(spark, [a, b], ["norm"])
+
+
+def _partitions(spark, d):
+    """Three partitions of the embeddings: by label, by nearest mean of a label and by the sign of the first value."""
+    x = src.embeddings(spark, d)
+    parts = [x.select("series_id", F.col("label").alias("cluster")), _labels(spark, d).select("series_id", "cluster"), x.select("series_id", (F.col("values")[0] > 0).cast("int").alias("cluster"))]
+    out = parts[0].withColumn("part", F.lit(1))
+    for n, p in enumerate(parts[1:], 2):
+        out = out.unionByName(p.withColumn("part", F.lit(n)))
+    return out
+
+
+@query
+def consensus_partition(spark, d):
+    return compare.consensus(_partitions(spark, d))
+
+
+@query
+def majority_pick(spark, d):
+    parts, truth = _partitions(spark, d), src.embeddings(spark, d).select("series_id", F.col("label").alias("cluster"))
+    rows = None
+    for n in (2, 3):
+        one = V.external(parts.where(F.col("part") == n), truth)
+        tall = one.select(F.lit(f"config{n}").alias("config_id"), F.stack(F.lit(4), *[x for c in ("RI", "ARI", "J", "FM") for x in (F.lit(c), F.col(c))]).alias("cvi", "score"))
+        rows = tall if rows is None else rows.unionByName(tall)
+    return compare.majority(rows)
+
+
+# Constraints: users of one remainder by 10 must be together, neighbours by id must not
+def _flags(spark, d):
+    x = src.daily(spark, d)
+    total = lambda w: S.total(F.slice("values", F.lit(1), F.lit(w)))
+    labels = None
+    for w in (3, 5, 8, 12):
+        one = x.select(F.lit(w).alias("window"), "series_id", F.pmod(F.floor(F.round(total(w), 2) / 50).cast("long"), F.lit(3)).cast("int").alias("cluster"))
+        labels = one if labels is None else labels.unionByName(one)
+    ids = x.select(F.col("series_id").alias("i"))
+    links = ids.select("i", (F.col("i") + 10).alias("j"), F.lit(1).alias("type")).unionByName(ids.select("i", (F.col("i") + 1).alias("j"), F.lit(0).alias("type")))
+    return constraints.satisfied(labels, links)
+
+
+@query
+def constraint_complexity(spark, d):
+    c = constraints.complexity(_flags(spark, d))
+    return c.select("i", "j", "type", r("complexity").alias("complexity"), F.col("first_ok").cast("double").alias("first_ok"))
+
+
+@query
+def window_vote(spark, d):
+    return constraints.choose_window(constraints.complexity(_flags(spark, d)), 0.5)
