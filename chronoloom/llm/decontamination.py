@@ -62,7 +62,7 @@ class Index:
         rarest = starts.groupBy("item", "start").agg(F.min(F.struct("df", "term", "q")).alias("r")).where("r.df > 0")
         self.anchors = materialize(rarest.select("item", "r.term", "r.q").distinct(), "anchors")
         # The empty term closes each document: its posting is a row a document and its position the number of words.
-        wanted = self.anchors.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        wanted = self.anchors.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
         closed = F.array_append(words(F.col("text")), F.lit(""))
         postings = keyed(docs).select("_key", "doc_id", F.posexplode(closed).alias("p", "term")).join(self._side(wanted), "term")
         self.postings = materialize(postings.select("term", "_key", "doc_id", "p"), "postings")
