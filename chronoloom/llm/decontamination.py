@@ -1,10 +1,10 @@
 """Benchmark decontamination by a distributed positional inverted index, in DataFrame operations alone.
 
 1. Corpus frequencies of the benchmark's terms: one pass over all tokens, summed before the shuffle.
-2. For each window of WINDOW consecutive item words, its rarest term. Postings (document, position) are stored for these
-   terms alone, in the shared folder.
-3. Offset-adjusted postings (position in the document less position in the item) are the alignments; a window that
-   occurs anywhere in a document yields its alignment through its rarest term.
+2. For each window of WINDOW consecutive item words, its RAREST rarest places. Postings (document, position) are stored for these
+   places' terms alone, in the shared folder.
+3. Offset-adjusted postings (position in the document less position in the item) are intersected: an alignment needs
+   postings at two places of the item at least (one for items of one word), as a window that occurs has them.
 4. Each distinct alignment is intersected with the document's other positions: words at equal offsets must be
    equal over a whole window.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import materialize
 
-WINDOW, BROADCAST_TERMS = 10, 200_000
+WINDOW, RAREST, BROADCAST_TERMS = 10, 2, 200_000
 # Fixed value: lower-case words are runs of digits, a-z and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +59,9 @@ class Index:
         counts = tokens.join(self._side(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         self.places = materialize(places.join(self._side(counts), "term", "left").withColumn("df", F.coalesce("df", F.lit(0))), "item-terms")
         starts = self.places.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("span") + 1), F.least(F.col("q"), F.col("m") - F.col("span")))))
-        rarest = starts.groupBy("item", "start").agg(F.min(F.struct("df", "term", "q")).alias("r")).where("r.df > 0")
-        self.anchors = materialize(rarest.select("item", "r.term", "r.q").distinct(), "anchors")
+        rarest = starts.groupBy("item", "start").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "q"))), F.lit(1), F.lit(RAREST)).alias("r")).where("r[0].df > 0")  # WINDOW places at most
+        places = rarest.select("item", F.explode("r").alias("r")).select("item", "r.term", "r.q").distinct()
+        self.anchors = materialize(places.join(self.items.select("item", F.least(F.col("span"), F.lit(RAREST)).alias("need")), "item"), "anchors")
         # The empty term closes each document: its posting is a row a document and its position the number of words.
         wanted = self.anchors.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
         closed = F.array_append(words(F.col("text")), F.lit(""))
@@ -72,7 +73,8 @@ class Index:
 
     def alignments(self) -> DataFrame:
         """Distinct (_key, item, shift)."""
-        return self.postings.join(self._side(self.anchors), "term").select("_key", "item", (F.col("p") - F.col("q")).alias("shift")).distinct()
+        places = self.postings.join(self._side(self.anchors), "term").groupBy("_key", "item", (F.col("p") - F.col("q")).alias("shift"))
+        return places.agg(F.min("q").alias("first"), F.max("q").alias("last"), F.first("need").alias("need")).where("first < last OR need = 1").select("_key", "item", "shift")
 
 
 def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
