@@ -15,6 +15,17 @@ POLY = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 POLY_INV = pow(POLY, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch where whole texts go to Python: a batch of 10,000 would hold tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS (the setting is read when a plan runs)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import POLY, mix
+from .common import POLY, mix, small_batches
 
 K, S, BINS = 11, 4, 128
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long"
@@ -113,6 +113,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     goes to the driver); the first document of each range is sent to the range before as well.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     least = np.iinfo(np.int64).min
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("_key"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, text_totals
+from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, small_batches, text_totals
 from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
@@ -223,6 +223,7 @@ def near_links(sketches: DataFrame, vectors: DataFrame, threshold: float = THRES
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class), n_links (verified links of the text to other texts)."""
+    small_batches(docs.sparkSession)
     own_text = F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.substring(F.sha2(own_text, 256), 1, 32)).alias("node"))
     n_docs, size = text_totals(docs)

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import POLY, Words, chunks, mix
+from .common import POLY, Words, chunks, mix, small_batches
 
 WINDOW, STRIDE = 64, 48
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 13, 1 << 14, 8, 8, 8
@@ -231,8 +231,8 @@ class Network:
         for a, b in chunks(texts):
             x = Inputs(texts[a:b])
             worst = np.full(b - a, -np.inf)
-            for at in range(0, len(x.ids), 4096):
-                pick = slice(at, at + 4096)
+            for at in range(0, len(x.ids), 1024):
+                pick = slice(at, at + 1024)
                 np.maximum.at(worst, x.doc[pick], self.forward(x, pick))
             some = np.isfinite(worst)
             out[a:b][some] = _sigmoid(worst[some])
@@ -267,5 +267,6 @@ def score_column(network: Network, text: Column) -> Column:
 
 def score_documents(docs: DataFrame, network: Network, held_out: Column) -> DataFrame:
     """doc_id, held_out, score and predicted for every text of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)).alias("held_out"), score_column(network, F.col("text")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

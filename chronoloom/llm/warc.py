@@ -16,11 +16,12 @@ import base64
 import hashlib
 import struct
 
-import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import small_batches
+
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -191,6 +192,7 @@ def _write(batches):
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Of equal payloads the one of the smallest page_id is the response, the others revisit it. One shuffle of the pages, by digest; a hot digest is split by the skew join."""
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha2(F.coalesce("html", F.lit("")), 256).alias("_digest"))
     firsts = pages.groupBy("_digest").agg(F.min("page_id").alias("first"))
     rows = pages.join(firsts, "_digest").select("page_id", "url", "html", "first")
@@ -211,5 +213,6 @@ def _read(batches):
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each page record in the archives of a folder, validated."""
+    small_batches(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInPandas(_read, RECORD)

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from chronoloom.llm import decontamination, mixing, neardup, sharding, toxicity
-from chronoloom.llm.common import materialize, table
+from chronoloom.llm.common import materialize, small_batches, table
 from chronoloom.llm.queries import toxicity_held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores 0.5 or more go."""
+    small_batches(spark)
     network = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity_held_out())
     return docs.where(toxicity.score_column(network, F.col("text")) < 0.5)
 
