@@ -76,10 +76,12 @@ class Inputs:
         self.ids = np.where(inside, where[np.minimum(at, max(len(where) - 1, 0))] if len(where) else 0, self.n)
 
 
-    def texts_of(self, name: str, rows: int) -> np.ndarray:
-        """In how many texts a row of an embedding occurs."""
+    def texts_of(self, name: str, rows: int, only: np.ndarray | None = None) -> np.ndarray:
+        """In how many texts (of those marked) a row of an embedding occurs."""
         out = np.zeros(rows, np.int64)
         for d in np.unique(self.doc):
+            if only is not None and not only[d]:
+                continue
             words = np.unique(self.ids[self.doc == d])
             words = words[words < self.n]
             if name == "gram":
@@ -199,13 +201,19 @@ class Network:
         order = rng.permutation(len(texts))
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         ready = [Inputs([texts[i] for i in own]) for own in batches]
-        # Rows that few texts share tell texts apart, not classes: they stay zero.
-        mask = {}
+        # Rows that few texts share tell texts apart, not classes: they stay zero. The others begin at what they tell
+        # about the class: the excess of the difference between both classes' text frequencies over 2 deviations.
+        mask, n_toxic = {}, float(labels.sum())
         for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS)):
-            seen = np.zeros(rows, np.int64)
-            for x in ready:
+            seen, toxic = np.zeros(rows), np.zeros(rows)
+            for x, own in zip(ready, batches, strict=True):
                 seen += x.texts_of(name, rows)
+                toxic += x.texts_of(name, rows, labels[own] > 0)
             mask[name] = (seen >= LEAST_TEXTS)[:, None]
+            share = seen / len(texts)
+            deviation = np.sqrt(np.maximum(share * (1 - share), 1 / len(texts)) * (1 / n_toxic + 1 / (len(texts) - n_toxic)))
+            z = (toxic / n_toxic - (seen - toxic) / (len(texts) - n_toxic)) / deviation
+            self.p[name][:, 0] += np.sign(z) * np.clip(np.abs(z) - 2, 0, 6) / 2
             self.p[name] *= mask[name]
         for _ in range(max(epochs, -(-LEAST_STEPS // len(batches)))):
             for b in rng.permutation(len(batches)):
