@@ -4,7 +4,8 @@ Documents of equal texts are linked, as a star around their group. Equal texts h
 of a group in one shard are interchangeable: the state is the table of cells (group, shard, count), which has at
 most `shards` rows for a group however hot it is.
 
-Every round joins each cell with its group's most frequent shard; members elsewhere want to move there. The
+Every round joins each cell with its group's homes, its most frequent shard or, if it is larger than a shard's share, as
+many as it needs; members elsewhere want to move there. The
 demand between shards (shards x shards numbers) goes to the driver, which grants quotas that keep the linked documents of
 every shard within its share (single documents give way later); cells move their granted part. A last step moves single documents first, then
 whole or split cells, until the counts of all shards are at most one apart (law `rows`). Documents are then dealt to the
@@ -76,8 +77,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, s
 
     alone = counts_of(single)
     for r in range(rounds):
-        homes = linked.groupBy("_g").agg(F.max_by("_s", F.struct("_n", F.xxhash64("_g", "_s"))).alias("_to"))
-        wishes = linked.join(homes, "_g")
+        # A group's homes: its fullest shards, as many as it needs; members elsewhere want to move to one of them.
+        full = F.sort_array(F.collect_list(F.struct("_n", F.xxhash64("_g", "_s").alias("_h"), "_s")), False)["_s"]
+        need = F.greatest(F.lit(1), F.ceil(F.first("group_size") * shards / F.lit(n))).cast("int")
+        homes = linked.groupBy("_g").agg(F.slice(full, F.lit(1), need).alias("_homes"))
+        other = F.element_at("_homes", (F.pmod(F.xxhash64("_g", "_s", F.lit(seed + r)), F.size("_homes")) + 1).cast("int"))
+        wishes = linked.join(homes, "_g").withColumn("_to", F.when(F.array_contains("_homes", F.col("_s")), F.col("_s")).otherwise(other)).drop("_homes")
         demand = np.zeros((shards, shards))
         for s, t, k in wishes.where("_s != _to").groupBy("_s", "_to").agg(F.sum("_n")).collect():  # shards x shards rows at most
             demand[s, t] = k
