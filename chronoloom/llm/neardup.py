@@ -14,10 +14,12 @@ from just the part that copies share and put it on their edits, and large groups
    larger one. A pair counts if the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD; pairs whose
    total weights rule that out aren't compared.
 4. Classes are connected components by minimum labels with pointer jumping.
+5. In a bucket of more than HUBS + 1, members outside its largest class are compared, in blocks of bounded size, with all
+   members of other classes; the links found join classes. So every pair that shares a bucket is compared or already in one
+   class. The work is the product of the members outside and all members of a bucket; no pair is written unless it is a link.
 
-A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998. A link can be missed if all
-buckets that the pair shares have more than HUBS + 1 members and neither is among the highest there; it matters to
-the classes only if neither is linked to the family in another way.
+A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998. n_links counts the links that
+were verified; pairs within one class of a bucket of more than HUBS + 1 aren't all compared.
 
 Edge cases: null texts and texts without words have no shingle; they are in a class with exactly equal texts only
 (null with none but its own id's nulls). Rows of one doc_id with different texts are texts of their own. A row without doc_id
@@ -35,6 +37,7 @@ from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, small_ba
 from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
+REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
 
@@ -203,11 +206,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "class_id")
 
 
-def near_links(sketches: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes: sketches has a row (node, doc_id, total, bands) for each, vectors the vector of each (node, doc_id)."""
+def shared_buckets(sketches: DataFrame) -> DataFrame:
+    """band, node, doc_id, total and members n of each bucket of two or more: sketches has a row (node, doc_id, total, bands) for each node."""
     buckets = sketches.select("node", "doc_id", "total", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(buckets.join(sizes, "band"), "near-shared")
+    return materialize(buckets.join(sizes, "band"), "near-shared")
+
+
+def near_links(shared: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
+    """Verified links (a, b, similarity) between nodes: shared from shared_buckets, vectors has the vector of each (node, doc_id)."""
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
     members = shared.join(standing, "node").select("band", F.struct("standing", "doc_id", "node").alias("m"), "total")
     highest = W.partitionBy("band").orderBy(F.desc("m"))
@@ -221,7 +228,91 @@ def near_links(sketches: DataFrame, vectors: DataFrame, threshold: float = THRES
     return checked.where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def common_weight(left: list[tuple], right: list[tuple], same: np.ndarray, tile: int = 2048) -> np.ndarray:
+    """Sum of the lesser weights for each of left with each of right (vectors), exact: min(x, y) is a sum over the levels of a key's
+    weights that both reach, so it is a matrix product over (key, level). Keys that occur in one text alone are left out."""
+    out = np.zeros((len(left), len(right)))
+    rows = np.concatenate([np.repeat(np.arange(len(v)), [len(x[0]) for x in v]) for v in (left, right)])
+    side = np.repeat([0, 1], [sum(len(x[0]) for x in v) for v in (left, right)])
+    key, weight = np.concatenate([x[0] for x in left + right]), np.concatenate([x[1] for x in left + right])
+    order = np.lexsort((weight, key))
+    rows, side, key, weight = rows[order], side[order], key[order], weight[order]
+    column = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    n = [np.bincount(column[side == i], minlength=column[-1] + 1) for i in (0, 1)]
+    least = [np.zeros(column[-1] + 1, np.int64) for _ in n]
+    for i in (0, 1):
+        least[i][column[side == i]] = rows[side == i]
+    alone = (n[0] == 0) | (n[1] == 0) | ((n[0] == 1) & (n[1] == 1) & same[least[0], least[1]])
+    use = ~alone[column]
+    rows, side, key, weight = rows[use], side[use], key[use], weight[use]
+    if not len(key):
+        return out
+    new = np.r_[True, (key[1:] != key[:-1]) | (weight[1:] != weight[:-1])]  # a level of a key
+    level = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    begin = np.r_[True, key[at][1:] != key[at][:-1]]
+    gain = np.where(begin, weight[at], np.diff(weight[at], prepend=0)).astype(np.float64)
+    lowest = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))[level]  # an entry reaches levels lowest..level
+    reach = level - lowest + 1
+    entry = np.repeat(np.arange(len(level)), reach)
+    level = np.arange(len(entry)) - np.repeat(np.cumsum(reach) - reach, reach) + lowest[entry]
+    order = np.argsort(level, kind="stable")
+    level, rows, side = level[order], rows[entry][order], side[entry][order]
+    for a in range(0, len(at), tile):
+        x, y = np.searchsorted(level, (a, a + tile))
+        dense = [np.zeros((len(v), min(tile, len(at) - a))) for v in (left, right)]
+        for i in (0, 1):
+            own = side[x:y] == i
+            dense[i][rows[x:y][own], level[x:y][own] - a] = 1
+        out += (dense[0] * gain[a : a + tile]) @ dense[1].T
+    return out
+
+
+def _rest_comparer(threshold: float):
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "similarity": np.zeros(0)})
+        code = pd.factorize(pd.concat([left["class_node"], right["class_node"]]))[0]
+        node = pd.factorize(pd.concat([left["node"], right["node"]]))[0]
+        n = len(left)
+        less = common_weight([unpack_vector(x) for x in left["vector"]], [unpack_vector(x) for x in right["vector"]], node[:n, None] == node[None, n:])
+        union = left["total"].to_numpy(float)[:, None] + right["total"].to_numpy(float)[None, :] - less
+        found = less / union
+        i, j = np.nonzero((found >= threshold) & (code[:n, None] != code[None, n:]))
+        ends = [(min(x, y), max(x, y)) for x, y in zip(left["node"].to_numpy()[i], right["node"].to_numpy()[j], strict=True)]
+        return pd.DataFrame({"a": [x for x, _ in ends], "b": [y for _, y in ends], "similarity": found[i, j]})
+
+    return compare
+
+
+def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS, rows: int = REST_ROWS, weight: float = REST_WEIGHT) -> DataFrame | None:
+    """Links (a, b, similarity, class_a, class_b) across classes (id, class_id of linked nodes) in the buckets that near_links doesn't compare whole; None if there are none to compare."""
+    over = shared.where(F.col("n") > hubs + 1).join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class_node", F.coalesce("class_id", "node"))
+    over = materialize(over.select("band", "node", "doc_id", "total", "n", "class_node"), "near-over")
+    by_class = over.groupBy("band", "class_node").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("t"))
+    largest = by_class.groupBy("band").agg(F.max(F.struct("k", "class_node")).alias("most"), F.sum("k").alias("all"), F.max("t").alias("t")).where("most.k < all")
+    of = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(weight) / F.greatest("t", F.lit(1))))).cast("int")
+    parts = lambda size: F.ceil(F.col(size) / F.col("of")).cast("int")
+    largest = largest.withColumn("of", of).withColumn("outside", F.col("all") - F.col("most.k"))
+    plan = largest.select("band", F.col("most.class_node").alias("inner"), parts("outside").alias("n_left"), parts("all").alias("n_right"))
+    members = materialize(over.join(plan, "band").withColumn("outer", F.col("class_node") != F.col("inner")).drop("inner", "n"), "near-rest")
+    if not members.limit(1).count():
+        return None
+    full = members.join(vectors, ["node", "doc_id"])
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = [F.col(c).alias(c) for c in ("band", "x", "y", "node", "class_node", "total", "vector")]  # of their own on either side
+    left = full.where("outer").withColumn("x", part("n_left")).withColumn("y", every("n_right")).select(columns)
+    right = full.withColumn("y", part("n_right")).withColumn("x", every("n_left")).select(columns)
+    found = left.groupBy("band", "x", "y").cogroup(right.groupBy("band", "x", "y")).applyInPandas(_rest_comparer(threshold), "a binary, b binary, similarity double")
+    names = over.select("node", "class_node").distinct()
+    found = found.dropDuplicates(["a", "b"])
+    for x in "ab":
+        found = found.join(names.select(F.col("node").alias(x), F.col("class_node").alias(f"class_{x}")), x)
+    return materialize(found, "near-rest-links")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
     """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class), n_links (verified links of the text to other texts)."""
     small_batches(docs.sparkSession)
     own_text = F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -233,9 +324,17 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own = materialize(docs.select("doc_id", "node"), "near-nodes")
     firsts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     one = sketches.select("node", "doc_id", "total", "bands").join(firsts, ["node", "doc_id"]).dropDuplicates(["node"])
-    links = materialize(near_links(one, sketches.select("node", "doc_id", "vector"), threshold), "near-links")
+    shared, vectors = shared_buckets(one), sketches.select("node", "doc_id", "vector")
+    links = materialize(near_links(shared, vectors, threshold, hubs), "near-links")
+    classes = components(links.select("a", "b"))
+    rest = rest_links(shared, vectors, classes, threshold, hubs)
+    if rest is not None and rest.limit(1).count():
+        joined = components(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("id").alias("class_id"), F.col("class_id").alias("joined"))
+        ids = classes.select("id", "class_id").union(rest.select(F.explode(F.array("class_a", "class_b")).alias("id")).select("id", "id")).dropDuplicates(["id"])
+        classes = ids.join(joined, "class_id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
+        links = links.select("a", "b").union(rest.select("a", "b"))
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = firsts.join(ends, "node", "left").join(components(links.select("a", "b")).withColumnRenamed("id", "node"), "node", "left")
+    nodes = firsts.join(ends, "node", "left").join(classes.withColumnRenamed("id", "node"), "node", "left")
     nodes = nodes.select("node", "doc_id", "n_links", F.coalesce("class_id", "node").alias("class_node"))
     least = nodes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
     nodes = nodes.join(least, "class_node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

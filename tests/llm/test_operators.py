@@ -239,6 +239,32 @@ def test_near_duplicates(docs, none, spark):
     assert neardup.near_classes(none).count() == 0
 
 
+def test_common_weights_of_blocks():
+    vectors = []
+    for _ in range(40):
+        keys = np.sort(RNG.choice(60, RNG.integers(1, 50), replace=False)).astype(np.uint64)
+        vectors.append((keys, RNG.integers(1, 6, len(keys)) * (keys.astype(np.int64) + 1)))
+    left, right = vectors[:15] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], vectors[10:]
+    same = np.arange(16)[:, None] == np.arange(10, 40)[None, :]
+    got = neardup.common_weight(left, right, same, tile=7)
+    for i, (a, wa) in enumerate(left):
+        for j, (b, wb) in enumerate(right):
+            if not same[i, j]:
+                x, y = dict(zip(a.tolist(), wa.tolist())), dict(zip(b.tolist(), wb.tolist()))
+                assert got[i, j] == sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+
+
+def test_full_buckets_lose_no_class(spark):
+    """Loose families: hubs reach a part of them only, the blocks of step 5 the rest, as comparing all pairs of every bucket does."""
+    rows = []
+    for f in range(3):
+        base = prose(120).split()
+        rows += [(100 * f + i, " ".join(w if RNG.random() > 0.02 else f"edit{RNG.integers(1 << 30)}" for w in base)) for i in range(70)]
+    family = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = [neardup.near_classes(family, hubs=h).toPandas().set_index("doc_id")["class_id"].sort_index() for h in (1, 10**6)]
+    assert classes[0].equals(classes[1]) and 3 < classes[0].nunique() < 210
+
+
 def test_pipeline_filters(spark, docs, none, monkeypatch):
     net = toxicity.Network()
     monkeypatch.setattr(toxicity, "train", lambda *a: net)
