@@ -298,7 +298,7 @@ def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, thresh
     members = materialize(over.join(plan, "band").withColumn("outer", F.col("class_node") != F.col("inner")).drop("inner", "n"), "near-rest")
     if not members.limit(1).count():
         return None
-    full = members.join(vectors, ["node", "doc_id"])
+    full = members.hint("merge").join(vectors, ["node", "doc_id"])
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [F.col(c).alias(c) for c in ("band", "x", "y", "node", "class_node", "total", "vector")]  # of their own on either side
@@ -324,7 +324,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS
     own = materialize(docs.select("doc_id", "node"), "near-nodes")
     firsts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     one = sketches.select("node", "doc_id", "total", "bands").join(firsts, ["node", "doc_id"]).dropDuplicates(["node"])
-    shared, vectors = shared_buckets(one), sketches.select("node", "doc_id", "vector")
+    shared = shared_buckets(one)
+    # Vectors of texts in shared buckets alone go into the joins below; a merge join, as the list of texts grows with the corpus.
+    wanted = shared.select("node", "doc_id").distinct().hint("merge")
+    vectors = materialize(sketches.select("node", "doc_id", "vector").join(wanted, ["node", "doc_id"], "left_semi"), "near-vectors")
     links = materialize(near_links(shared, vectors, threshold, hubs), "near-links")
     classes = components(links.select("a", "b"))
     rest = rest_links(shared, vectors, classes, threshold, hubs)
