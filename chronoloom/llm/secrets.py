@@ -16,6 +16,8 @@ repeated rows are rows of their own but one repository, if they share the id. Em
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
@@ -96,3 +98,46 @@ def report(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == list(KINDS).index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     return scanned.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners")
+
+
+def _either_case(pattern: str) -> str:
+    """A pattern whose a-z stand for either case: (?i) would fold letters beyond ASCII in DuckDB."""
+    return re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", pattern)
+
+
+def _oracle() -> str:
+    """report(scan_corpus()) in SQL: the spans of each kind by the pieces between matches, then counts by hash."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = []
+    for rank, (pattern, group, least) in enumerate(KINDS.values()):
+        if pattern.startswith("(?i)"):
+            names, rest = pattern.removeprefix("(?i)").split(")", 1)
+            pattern = _either_case(names) + ")" + rest
+        p = quoted(pattern.replace(r"\s", r"\x09-\x0D\x20"))
+        found.append(f"SELECT r, {rank} AS rank, {least} AS least, string_split_regex(t, {p}) AS gap, regexp_extract_all(t, {p}) AS whole, regexp_extract_all(t, {p}, {group}) AS own FROM d WHERE regexp_matches(t, {p})")
+    placeholder = quoted(_either_case(PLACEHOLDER.removeprefix("(?i)")))
+    names = ", ".join(map(quoted, KINDS))
+    counts = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in (*BASE, "live", "copied"))
+    by_kind = ", ".join(f"count(*) FILTER (rank = {i}) AS n_{k}" for i, k in enumerate(BASE))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(CAST(source AS VARCHAR), '?none') AS owner, coalesce(CAST(doc_id AS VARCHAR), '?none') AS repo, coalesce(text, '') AS t FROM documents
+), m AS ({" UNION ALL ".join(found)}
+), e AS (SELECT r, rank, least, gap, whole, own, unnest(range(1, len(whole) + 1)) AS i FROM m
+), s AS (
+  SELECT r, rank, own[i] AS secret, list_sum([length(x) for x in gap[1:i]]) + coalesce(list_sum([length(x) for x in whole[1:i - 1]]), 0) AS start, length(whole[i]) AS n FROM e WHERE length(own[i]) >= least
+), named AS (SELECT *, concat([{names}][rank + 1], ':', CAST(start AS BIGINT), ':', CAST(start + n AS BIGINT)) AS span FROM s
+), owned AS (
+  SELECT secret, count(DISTINCT owner) AS n_owners,
+         count(DISTINCT owner) <= {MAX_OWNERS} AND len(list_distinct(string_split(lower(secret), ''))) >= {LEAST_VARIETY} AND NOT regexp_matches(secret, {placeholder}) AS live
+  FROM s JOIN d USING (r) GROUP BY secret
+), by_row AS (
+  SELECT r, {by_kind}, string_agg(span, ',' ORDER BY start, rank) AS spans, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < {len(BASE)}) AS base,
+         count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(n_owners) AS most
+  FROM named JOIN owned USING (secret) GROUP BY r
+)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(coalesce(most, 0) AS BIGINT) AS most_owners
+FROM d LEFT JOIN by_row USING (r)
+"""
+
+
+ORACLE = _oracle()
