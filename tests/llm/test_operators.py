@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +196,29 @@ def test_secrets(spark, docs, none):
     assert secrets.scan_corpus(none).count() == 0
 
 
+def test_secrets_equal_their_sql(spark):
+    """Positions in code points, either case of ASCII letters alone, touching and broken matches, every kind, repeated rows, null owners."""
+    token, dotted = "ghp_" + "aB3" * 12, "eyJ" + "ab01" * 3 + "." + "cd23" * 3 + ".ef45"
+    texts = [
+        "\U0001F511\U0001F511 PASSWD:=x password=secret=abcdef1 pa\u017f\u017fword=hunter22 to\u212aen=hunter22",
+        f"api_key: 'Zq9+/=.-x' APIKEY=short Secret\" :  \"{'é'}abcdefg TOKEN\n=abcdefg token=\x0babcdefg",
+        f"xAKIAAKIA{'Z' * 16}AKIA{'1' * 15} AKIA{'2' * 15}a AKIA{'3' * 40} {'ab' * 12}{'AB' * 12}{'0f' * 11} {'9' * 24}",
+        f"{token} {dotted} xoxb-1234567890-abc -----BEGIN RSA PRIVATE KEY----- url://me:pa55wörd!@host a://b\x0bc:d@e h2://u:p@x@y",
+        f"token={token} secret: {'de' * 20} password=EXAMPLE12345 api-key=abcdefgh passwordpassword==aaaaaaaaaa",
+        "", None, "password", "=" * 50, " ".join(f"secret=value{i % 7}{'x' * (i % 9)}" for i in range(500)),
+    ]
+    rows = [(i, t, f"o{i % 3}" if i % 4 else None) for i, t in enumerate(texts * 2)] + [(1, texts[1], "o1"), (None, texts[3], "o9")]
+    got = secrets.report(secrets.scan_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = duck.execute(secrets.ORACLE).df()
+    names = sorted(want)
+    assert names == sorted(got) and len(want) == len(rows)
+    plain = lambda df: sorted(tuple(str(x).removesuffix(".0") for x in r) for r in df[names].fillna(-1).itertuples(index=False))
+    assert plain(got) == plain(want)
+    assert all(k in " ".join(got.spans) for k in secrets.KINDS)
+
+
 def test_mixing(docs, none):
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(None).cast("double").alias("weight"), F.col("score").alias("target"))
     out = mixing.mix_documents(sized).toPandas()
