@@ -42,15 +42,37 @@ def _sweep(x, y, first, combine, outside, allowed, power):
     return one[:, nx]
 
 
-def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True) -> np.ndarray:
-    """Dynamic time warping. L2 costs are squared and the root is taken at the end; root=False leaves it out (L2 only)."""
-    if normalize and step != "symmetric2":
-        raise ValueError("Only symmetric2 can be normalized.")
-    s, power = {"symmetric1": 1.0, "symmetric2": 2.0}[step], {"L1": 1, "L2": 2}[norm]
-    combine = lambda c, diag, left, up, i, j: np.minimum(diag + s * c, np.minimum(left, up) + c)
-    out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power)
+def _asymmetric(x: np.ndarray, y: np.ndarray, window: int | None, power: int, open_begin: bool, open_end: bool) -> np.ndarray:
+    """Each point of x in turn meets the same point of y, the next or the one after; a row depends on the row before alone."""
+    allowed, j = _band(x.shape[1], y.shape[1], window), np.arange(y.shape[1])
+    row = _local(x, y, np.zeros_like(j), j, power)
+    row[:, ~allowed[0] | ((j > 0) & (not open_begin))] = np.inf
+    for i in range(1, x.shape[1]):
+        before = np.pad(row, ((0, 0), (2, 0)), constant_values=np.inf)
+        row = np.minimum(np.minimum(row, before[:, 1:-1]), before[:, :-2]) + _local(x, y, np.full_like(j, i), j, power)
+        row[:, ~allowed[i]] = np.inf
+    return row.min(1) if open_end else row[:, -1]
+
+
+def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True, open_begin: bool = False, open_end: bool = False) -> np.ndarray:
+    """Dynamic time warping. L2 costs are squared and the root is taken at the end; root=False leaves it out (L2 only).
+
+    step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
+    Normalized are symmetric2 by both lengths and asymmetric by the length of x.
+    """
+    if normalize and step == "symmetric1":
+        raise ValueError("symmetric1 can't be normalized.")
+    if step != "asymmetric" and (open_begin or open_end):
+        raise ValueError("Open ends need the asymmetric step.")
+    power = {"L1": 1, "L2": 2}[norm]
+    if step == "asymmetric":
+        out = _asymmetric(x, y, window, power, open_begin, open_end)
+    else:
+        s = {"symmetric1": 1.0, "symmetric2": 2.0}[step]
+        combine = lambda c, diag, left, up, i, j: np.minimum(diag + s * c, np.minimum(left, up) + c)
+        out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power)
     out = np.sqrt(out) if norm == "L2" and root else out
-    return out / (x.shape[1] + y.shape[1]) if normalize else out
+    return out / (x.shape[1] + (y.shape[1] if step == "symmetric2" else 0)) if normalize else out
 
 
 def dtw_paths(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2") -> tuple[np.ndarray, list[np.ndarray]]:

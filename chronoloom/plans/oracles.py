@@ -40,6 +40,20 @@ def dtw(with_: str, pairs: str = LOWER, norm: str = "L1", step: int = 2, window:
     return dynamic(with_, pairs, ABS if norm == "L1" else SQUARE, "c", f"least(diag + {step} * c, lft + c, up + c)", band)
 
 
+def asymmetric(with_: str, pairs: str, cost: str, anywhere: str = "FALSE") -> str:
+    """Row by row: q is the row of x[a + 1]; a cell follows the cell above, its left neighbour or the one before that."""
+    inf, at = "'inf'::DOUBLE", lambda k: f"CASE WHEN b >= {k} THEN q[b + 1 - {k}] ELSE 'inf'::DOUBLE END"
+    cells = lambda cell: f"[{cell} FOR b IN range(0, len(y))]"
+    first = cells(f"CASE WHEN b = 0 OR {anywhere} THEN {cost.replace('a + 1', '1')} ELSE {inf} END")
+    return f"""WITH RECURSIVE {with_}, pairs AS ({pairs}),
+run AS (
+  SELECT i, j, x, y, 1 AS a, {first} AS q FROM pairs
+  UNION ALL
+  SELECT i, j, x, y, a + 1, {cells(f"least(q[b + 1], {at(1)}, {at(2)}) + {cost}")} FROM run WHERE a < len(x)
+), done AS (SELECT i, j, x, y, q FROM run WHERE a = len(x))
+"""
+
+
 EMB = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 l AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS t FROM e),
 m AS (SELECT label AS c, t, avg(v) AS v FROM l GROUP BY 1, 2),
@@ -98,6 +112,8 @@ ORACLES = {
     "dtw_l2_sym1": dtw(NATION + Z, norm="L2", step=1) + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
     "dtw_window": dtw(NATION + Z, LOWER.replace("a.id > b.id", "TRUE"), norm="L2", window=5) + "SELECT i, j, round(sqrt(d), 6) AS d FROM done WHERE i > j",
     "dtw_normalized": dtw(NATION + Z) + "SELECT i, j, round(d / (len(x) + len(y)), 6) AS d FROM done",
+    "dtw_asymmetric": asymmetric(NATION + Z, LOWER.replace("a.id > b.id", "TRUE"), ABS) + "SELECT i, j, round(q[len(y)] / len(x), 6) AS d FROM done",
+    "dtw_open_ends": asymmetric(NATION + Z, "SELECT a.id AS i, b.id AS j, a.x[-24:] AS x, b.x AS y FROM s a, s b", SQUARE, "TRUE") + "SELECT i, j, round(sqrt(list_min(q)), 6) AS d FROM done",
     "dtw_pairwise": dtw(NATION + Z, "SELECT id AS i, id AS j, x, list_reverse(x) AS y FROM s", norm="L2") + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
     "dtw_nn": dtw(DAILY + Z) + ", bth AS (SELECT i, j, round(d, 6) AS d FROM done UNION ALL SELECT j, i, round(d, 6) FROM done) SELECT i, arg_min(j, (d, j)) AS j, min(d) AS d FROM bth GROUP BY 1",
     "dtw_lb_nn": dtw(DAILY + Z + ", gr AS (SELECT g AS id, list(v ORDER BY t) AS x FROM (SELECT ((id % 10) + 10) % 10 AS g, t, avg(v) AS v FROM z GROUP BY 1, 2) GROUP BY 1)", "SELECT s.id AS i, gr.id AS j, s.x AS x, gr.x AS y FROM s, gr", window=3)

@@ -143,6 +143,18 @@ def dtw_normalized(spark, d):
     return _d(D.distances(nation_z(spark, d), method="dtw_basic", normalize=True))
 
 
+@query
+def dtw_asymmetric(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", step="asymmetric", normalize=True))
+
+
+@query
+def dtw_open_ends(spark, d):
+    """Each nation's last 24 months within all months of every nation."""
+    x = nation_z(spark, d)
+    return _d(D.distances(x.withColumn("values", F.slice("values", -24, 24)), x, "dtw_basic", step="asymmetric", norm="L2", open_begin=True, open_end=True))
+
+
 @query
 def dtw_pairwise(spark, d):
     x = nation_z(spark, d)

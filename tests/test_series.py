@@ -37,6 +37,25 @@ def test_dtw_equals_the_plain_recurrence(window, norm, step, variables):
     assert all(tuple(p[0]) == (0, 0) and tuple(p[-1]) == (8, 10) and (np.diff(p, axis=0) >= 0).all() for p in paths if np.isfinite(want[0]))
 
 
+@pytest.mark.parametrize("ends", [(False, False), (True, False), (False, True), (True, True)])
+@pytest.mark.parametrize("window", [None, 3])
+def test_asymmetric_dtw_equals_the_plain_recurrence(ends, window):
+    x, y = RNG.normal(size=(3, 7, 2)), RNG.normal(size=(3, 9, 2))
+
+    def slow(p, q):
+        d = np.full((7, 11), np.inf)  # two columns before the first
+        for i in range(7):
+            for j in range(9):
+                if window is None or np.ceil((i + 1) * 9 / 7 - window) <= j + 1 <= np.floor((i + 1) * 9 / 7 + window):
+                    start = 0 if i == 0 and (j == 0 or ends[0]) else np.inf
+                    d[i, j + 2] = np.sum((p[i] - q[j]) ** 2) + (min(d[i - 1, j : j + 3]) if i else start)
+        return np.sqrt(min(d[6, 2:]) if ends[1] else d[6, 10])
+
+    found = K.dtw(x, y, window, "L2", "asymmetric", open_begin=ends[0], open_end=ends[1])
+    assert found == pytest.approx([slow(p, q) for p, q in zip(x, y)])
+    assert K.dtw(x, y, window, "L2", "asymmetric", True, open_begin=ends[0], open_end=ends[1]) == pytest.approx(found / 7)
+
+
 def test_unreachable_band_is_infinite():
     assert np.isinf(K.dtw(np.zeros((1, 4)), np.ones((1, 2)), 0))
 
