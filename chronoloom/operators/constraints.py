@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from chronoloom.operators.clustering import cluster
+from chronoloom.operators.compare import consensus
+
 DONT_KNOW, CANNOT, MUST = -1, 0, 1
 
 
@@ -70,3 +74,30 @@ def choose_window(complexities: DataFrame, threshold: float = float("inf")) -> D
     best = votes.agg(F.min(F.struct((-F.col("votes")).alias("v"), "window")).alias("b"))
     least = complexities.agg(F.min("first_ok").alias("least"))
     return best.crossJoin(least).select(F.coalesce("b.window", "least").alias("window"), F.coalesce(-F.col("b.v"), F.lit(0)).alias("votes"))
+
+
+def window_partitions(series: DataFrame, windows: list[int], type: str = "partitional", k: int = 2, args: dict | None = None, control=None, **more) -> DataFrame:
+    """(window, series_id, cluster): one clustering for each window; of several (repetitions, linkages) the consensus partition."""
+    parts = []
+    for w in windows:
+        # Density peaks take the window from their control, the others from the distance's arguments.
+        own = replace(control, window=w) if type == "tadpole" else control
+        found = cluster(series, type, k, args={**(args or {}), "window": w}, control=own, **more)
+        found = found if isinstance(found, list) else [found]
+        labels = found[0].class_ids()
+        if len(found) > 1:
+            named = [c.class_ids().withColumn("part", F.lit(i)) for i, c in enumerate(found)]
+            every = named[0]
+            for n in named[1:]:
+                every = every.unionByName(n)
+            labels = every.join(F.broadcast(consensus(every)), "part").drop("part")  # consensus() has one row
+        parts.append(labels.withColumn("window", F.lit(w)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("window", "series_id", "cluster")
+
+
+def search_window(series: DataFrame, windows: list[int], links: DataFrame, threshold: float = float("inf"), **clustering) -> DataFrame:
+    """One row (window, votes): the window whose clusterings agree best with links (i, j, type)."""
+    return choose_window(complexity(satisfied(window_partitions(series, windows, **clustering), links)), threshold)

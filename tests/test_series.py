@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import kernels as K, series as S
 from chronoloom.operators import centroids as C, clustering as CL, compare, distances as D, validity as V
-from chronoloom.operators.constraints import CANNOT, MUST, PairTracker
+from chronoloom.operators.constraints import CANNOT, MUST, PairTracker, search_window, window_partitions
 from chronoloom.sources import series as src
 
 RNG = np.random.default_rng(3)
@@ -220,3 +220,20 @@ def test_stream_predicts_like_a_batch(spark, bumps, tmp_path):
 def test_kernels_follow_pushed_filters(spark, bumps):
     plan = D.distances(bumps.select("series_id", "values"), method="dtw_basic").where("i < 5")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "CartesianProduct" not in plan
+
+
+def test_window_search_takes_the_window_that_keeps_the_links(spark):
+    """Series 1 and 2 differ by a shift of three steps, 3 and 4 by their height: only a window of three or more puts the shifted together."""
+    flat = [0.0] * 12
+    at = lambda p, v: flat[:p] + [v] + flat[p + 1 :]
+    x = spark.createDataFrame([(1, at(3, 5.0)), (2, at(6, 5.0)), (3, at(3, 1.0)), (4, at(3, 0.5))], "series_id long, values array<double>")
+    links = spark.createDataFrame([(1, 2, MUST), (1, 3, CANNOT), (1, 4, -1)], "i long, j long, type int")
+    how = {"type": "hierarchical", "k": 2, "control": CL.Hierarchical("average")}
+    assert search_window(x, [1, 4], links, **how).first()["window"] == 4
+
+
+def test_window_partitions_are_the_consensus_of_repetitions(spark, monkeypatch):
+    part = lambda *c: CL.Clustering({}, spark.createDataFrame(list(enumerate(c, 1)), "series_id long, cluster int"), None)
+    monkeypatch.setattr("chronoloom.operators.constraints.cluster", lambda series, type, k, args, **_: [part(1, 2, 1, 2), part(1, 1, 2, 2), part(1, 1, 2, 2)] if args["window"] == 3 else part(1, 1, 1, 2))
+    got = {(r["window"], r["series_id"]): r["cluster"] for r in window_partitions(None, [3, 5]).collect()}
+    assert [got[3, i] for i in range(1, 5)] == [1, 1, 2, 2] and [got[5, i] for i in range(1, 5)] == [1, 1, 1, 2]
