@@ -8,23 +8,23 @@
 4. Each distinct alignment is intersected with the document's other positions: words at equal offsets must be
    equal over a whole window.
 
-`proximity_matches` uses the same index: documents in which an item's two rarest terms stand at most `slop` words
-further apart than in the item.
+`proximity_matches` uses the same index: documents in which an item's two rarest terms of the corpus stand at most SLOP words
+further apart than where they are closest in the item. Their postings are stored too, whether a window is anchored at them or not.
 
 The benchmark's terms and items are broadcast up to BROADCAST_TERMS terms, a checked bound; beyond it the joins shuffle.
 
 Edge cases: a null text has no words; an item without words matches nothing; an item of fewer words than a window is one
-window; items that share an id count once; a null item_id is left out; repeated rows are rows of their own. Empty
+window; an item with fewer than two terms of the corpus has no proximity match; items that share an id count once; a null item_id is left out; repeated rows are rows of their own. Empty
 tables give no hits or no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
-WINDOW, RAREST, BROADCAST_TERMS = 10, 2, 200_000
+WINDOW, RAREST, BROADCAST_TERMS, SLOP = 10, 2, 200_000, 5
 # Fixed value: lower-case words are runs of digits, a-z and non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,8 +47,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
 
 
+def least_gap(places: Column) -> Column:
+    """Least distance between positions of unlike terms in an array of (p, k): in order, it is that of two neighbours."""
+    ordered = F.array_sort(places)
+    n = F.size(ordered) - 1
+    return F.array_min(F.zip_with(F.slice(ordered, 1, n), F.slice(ordered, 2, n), lambda a, b: F.when(a["k"] != b["k"], b["p"] - a["p"])))
+
+
 class Index:
-    """Rarest terms of the items' windows and their postings in the documents."""
+    """Rarest terms of the items' windows and of whole items, and their postings in the documents."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame):
         self.items = materialize(items_of(benchmark), "items")
@@ -62,8 +69,12 @@ class Index:
         rarest = starts.groupBy("item", "start").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "q"))), F.lit(1), F.lit(RAREST)).alias("r")).where("r[0].df > 0")  # WINDOW places at most
         places = rarest.select("item", F.explode("r").alias("r")).select("item", "r.term", "r.q").distinct()
         self.anchors = materialize(places.join(self.items.select("item", F.least(F.col("span"), F.lit(RAREST)).alias("need")), "item"), "anchors")
+        terms = self.places.where("df > 0").groupBy("item", "df", "term").agg(F.collect_list("q").alias("q"))
+        pairs = terms.groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "term", "q"))), 1, 2).alias("r")).where("size(r) = 2")
+        at = [F.transform(F.col("r")[k]["q"], lambda q: F.struct(q.alias("p"), F.lit(k).alias("k"))) for k in (0, 1)]  # noqa: B023
+        self.pairs = materialize(pairs.select("item", F.col("r.term").alias("terms"), least_gap(F.concat(*at)).alias("apart")).join(self.items.select("item", "item_id"), "item"), "pairs")
         # The empty term closes each document: its posting is a row a document and its position the number of words.
-        wanted = self.anchors.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+        wanted = self.anchors.select("term").union(self.pairs.select(F.explode("terms"))).union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
         closed = F.array_append(words(F.col("text")), F.lit(""))
         postings = keyed(docs).select("_key", "doc_id", F.posexplode(closed).alias("p", "term")).join(self._side(wanted), "term")
         self.postings = materialize(postings.select("term", "_key", "doc_id", "p"), "postings")
@@ -96,22 +107,25 @@ def phrase_matches(docs: DataFrame, index: Index) -> DataFrame:
     return rows.join(hits, "_key", "left").select("_key", "doc_id", "n_words", none("hits", "array<int>"), none("item_ids", "array<string>"))
 
 
-def proximity_matches(index: Index, slop: int = 5) -> DataFrame:
-    """doc_id, item_id, distance: an item's two rarest terms within `slop` words more than they stand apart in the item."""
-    rank = F.row_number().over(W.partitionBy("item").orderBy("df", "term", "q"))
-    rare = index.places.where("df > 0").withColumn("k", rank).where("k <= 2")
-    one, two = (rare.where(f"k = {k}").select("item", F.col("term").alias(f"t{k}"), F.col("q").alias(f"q{k}")) for k in (1, 2))
-    pairs = one.join(two, "item").join(index.items.select("item", "item_id"), "item")
-    first = index.postings.select(F.col("term").alias("t1"), "_key", "doc_id", F.col("p").alias("p1"))
-    second = index.postings.select(F.col("term").alias("t2"), "_key", F.col("p").alias("p2"))
-    reach = F.abs(F.col("q2") - F.col("q1")) + slop
-    near = first.join(index._side(pairs), "t1").join(second, ["_key", "t2"]).where(F.abs(F.col("p2") - F.col("p1")) <= reach)
-    return near.groupBy("doc_id", "item_id").agg(F.min(F.abs(F.col("p2") - F.col("p1"))).alias("distance"))
+def proximity_matches(index: Index, slop: int = SLOP) -> DataFrame:
+    """_key, doc_id, item_id, distance: an item's two rarest terms within `slop` words more than they stand apart in the item."""
+    terms = index.pairs.select("item", F.posexplode("terms").alias("k", "term"))
+    both = index.postings.join(index._side(terms), "term").groupBy("_key", "doc_id", "item").agg(least_gap(F.collect_list(F.struct("p", "k"))).alias("gap"))
+    near = both.where("gap IS NOT NULL").join(index._side(index.pairs.select("item", "item_id", "apart")), "item").where(F.col("gap") <= F.col("apart") + slop)
+    return near.groupBy("_key", "doc_id", "item_id").agg(F.min("gap").alias("distance"))
 
 
-def report(matches: DataFrame) -> DataFrame:
+def report(matches: DataFrame, *more: Column) -> DataFrame:
     n_hit = F.size("hits").cast("long")
-    return matches.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return matches.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), *more)
+
+
+def whole_report(matches: DataFrame, near: DataFrame) -> DataFrame:
+    """report() and, for each row, the number and digest of the items that proximity_matches finds in it."""
+    items = near.groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("near"))
+    rows = matches.join(items, "_key", "left").withColumn("near", F.coalesce("near", F.array().cast("array<string>")))
+    n_near = F.size("near").cast("long")
+    return report(rows, n_near.alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
 
 
 #: report() over documents and benchmark: every 10-word sequence of documents joined with the windows of the items.

@@ -63,9 +63,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(decontamination.phrase_matches(docs, index))
 
 
+def op9_phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of match; op9_decontamination keeps the columns of its SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = decontamination.Index(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.whole_report(decontamination.phrase_matches(docs, index), decontamination.proximity_matches(index))
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup)}
+#: Further queries of an operator, registered after the first ones.
+FURTHER = {f.__name__: f for f in (op9_phrase_proximity,)}
 ORACLES = {"op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}

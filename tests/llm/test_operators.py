@@ -290,6 +290,37 @@ def test_full_buckets_lose_no_class(spark):
     assert classes[0].equals(classes[1]) and 3 < classes[0].nunique() < 210
 
 
+def test_proximity_by_brute_force(spark):
+    """Items with a word unseen in the corpus in every window, with repeated words and with fewer than two terms of the corpus; each row by its own text."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(VOCAB[:60], n)) for n in (5, 40, 40, 80, 200)]
+    loose = VOCAB[100:109]
+    texts += [f"{loose[0]} {' '.join(loose[1:])} end", f"{loose[0]} {' '.join(VOCAB[:30])} {loose[1]}", VOCAB[200], f"{VOCAB[201]} {VOCAB[202]}", None]
+    items = [(f"r{i}", " ".join(rng.choice(VOCAB[:60], 14))) for i in range(8)]
+    items += [(f"u{i}", " ".join([*rng.choice(VOCAB[:60], 5), "unseen", *rng.choice(VOCAB[:60], 4)])) for i in range(8)]
+    items += [("loose", " ".join([*loose[:5], "unseen", *loose[5:]])), ("twice", f"{VOCAB[200]} unseen {VOCAB[200]}"), ("none", "not there"), ("close", f"{VOCAB[201]} {VOCAB[202]} unseen {VOCAB[202]}")]
+    rows = [(i % 7, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    df = Counter(w for t in texts for w in (t or "").split())
+    want = {}
+    for item, text in items:
+        words = text.split()
+        rare = sorted({w for w in words if df[w]}, key=lambda w: (df[w], w))[:2]
+        gap = lambda ws: min((abs(i - j) for i, a in enumerate(ws) if a == rare[0] for j, b in enumerate(ws) if b == rare[1]), default=None)  # noqa: B023, E731
+        for row in rows if len(rare) == 2 else []:
+            d = gap((row[1] or "").split())
+            if d is not None and d <= gap(words) + decontamination.SLOP:
+                want[(*row, item)] = d
+    index = decontamination.Index(docs, spark.createDataFrame(items, "item_id string, text string"))
+    near = decontamination.proximity_matches(index)
+    key = {r["_key"]: r["text"] for r in decontamination.keyed(docs).collect()}
+    assert {(r["doc_id"], key[r["_key"]], r["item_id"]): r["distance"] for r in near.collect()} == want
+    assert {"loose", "close"} < {k[2] for k in want} and any(k[2].startswith("u") for k in want) and not {"twice", "none"} & {k[2] for k in want}
+    out = decontamination.whole_report(decontamination.phrase_matches(docs, index), near).collect()
+    digest = lambda row: hashlib.sha256(",".join(sorted(k[2] for k in want if k[:2] == row)).encode()).hexdigest()
+    assert sorted((r["doc_id"], r["n_near"], r["near_sha256"]) for r in out) == sorted((row[0], sum(k[:2] == row for k in want), digest(row)) for row in rows)
+
+
 def test_pipeline_filters(spark, docs, none, monkeypatch):
     net = toxicity.Network()
     monkeypatch.setattr(toxicity, "train", lambda *a: net)
