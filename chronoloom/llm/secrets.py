@@ -3,8 +3,9 @@
 Candidates are found by regular expressions in each whole text; positions come from the lengths of the pieces
 between matches. Hashes of the candidates' secrets are then counted over the corpus by distinct repository and distinct owner,
 in two levels (owner and repository first), so a secret that a third of the rows share is summed before it meets
-in one task. A secret that more than one owner has is a widely copied example; one that a single owner has, that
-is varied enough and names no example is live-looking.
+in one task. A secret that more than MAX_OWNERS owners or more than MAX_REPOS repositories have is a widely copied example; one
+that fewer have, that is varied enough and names no example is live-looking. Where max_repos is None, as in op7_secrets and
+its SQL, owners alone decide and the repositories are counted only.
 
 Base kinds are `assign`, `access` and `hex`; `token`, `key` and `url` are added. The base patterns of `access` and
 `hex` match maximal runs, so the least length may stand in the pattern; that of `assign` is matched as it is and
@@ -36,6 +37,8 @@ HINTS = {"access": ("AKIA",), "token": ("gh", "xox", "eyJ"), "key": ("PRIVATE KE
 BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start: int, rank: int, end: int, secret: string>>"
 MAX_OWNERS, LEAST_VARIETY = 1, 5
+#: A live credential may recur in a few repositories of its owner.
+MAX_REPOS = 10
 PLACEHOLDER = r"(?i)example|dummy|changeme|placeholder|your[_-]?|x{6,}|12345"
 
 
@@ -71,17 +74,18 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])), ",")
 
 
-def ownership(candidates: DataFrame) -> DataFrame:
+def ownership(candidates: DataFrame, max_repos: int | None = None) -> DataFrame:
     """(hash, secret, repo, owner) rows -> hash, n_repos, n_owners, live."""
     pairs = candidates.groupBy("hash", "owner", "repo").agg(F.first("secret").alias("secret"))
     owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"), F.first("secret").alias("secret"))
     counts = owners.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.first("secret").alias("secret"))
+    few = F.col("n_owners") <= MAX_OWNERS if max_repos is None else (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= max_repos)
     varied = F.size(F.array_distinct(F.split(F.lower("secret"), ""))) >= LEAST_VARIETY
-    return counts.select("hash", "n_repos", "n_owners", ((F.col("n_owners") <= MAX_OWNERS) & varied & ~F.rlike("secret", F.lit(PLACEHOLDER))).alias("live"))
+    return counts.select("hash", "n_repos", "n_owners", (few & varied & ~F.rlike("secret", F.lit(PLACEHOLDER))).alias("live"))
 
 
-def scan_corpus(docs: DataFrame, owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """doc_id, spans, and for each row with spans: n_live, n_copied (spans by verdict) and most_owners (of one of its secrets).
+def scan_corpus(docs: DataFrame, owner: str = "source", repo: str = "doc_id", max_repos: int | None = None) -> DataFrame:
+    """doc_id, spans, and for each row with spans: n_live, n_copied (spans by verdict), most_owners and most_repos (of one of its secrets).
 
     The texts are scanned once; the spans are written to the shared folder and serve both the counts and the rows.
     """
@@ -89,15 +93,15 @@ def scan_corpus(docs: DataFrame, owner: str = "source", repo: str = "doc_id") ->
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "owner", "repo", "spans"), "secret-spans")
     each = rows.where(F.size("spans") > 0).select("_row", F.coalesce("owner", F.lit("\0")).alias("owner"), F.coalesce("repo", F.lit("\0")).alias("repo"), F.explode("spans.secret").alias("secret"))
     each = each.withColumn("hash", F.sha2("secret", 256))
-    verdicts = each.select("_row", "hash").join(ownership(each), "hash")
-    by_row = verdicts.groupBy("_row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), F.max("n_owners").alias("most_owners"))
-    return rows.join(by_row, "_row", "left").select("doc_id", "spans", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners")])
+    verdicts = each.select("_row", "hash").join(ownership(each, max_repos), "hash")
+    by_row = verdicts.groupBy("_row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
+    return rows.join(by_row, "_row", "left").select("doc_id", "spans", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_copied", "most_owners", "most_repos")])
 
 
-def report(scanned: DataFrame) -> DataFrame:
+def report(scanned: DataFrame, *more: str) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == list(KINDS).index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    return scanned.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners")
+    return scanned.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_live", "n_copied", "most_owners", *more)
 
 
 def _either_case(pattern: str) -> str:

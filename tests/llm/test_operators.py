@@ -219,6 +219,18 @@ def test_secrets_equal_their_sql(spark):
     assert all(k in " ".join(got.spans) for k in secrets.KINDS)
 
 
+def test_secrets_copied_within_one_owner(spark):
+    """Repositories count besides owners: at the bound a secret of one owner is live-looking, beyond it a copy; repeated rows are one repository."""
+    few, many = "token=qwertyuiop1", "token=zxcvbnmasd2"
+    rows = [(i, few, "o1") for i in range(secrets.MAX_REPOS)] + [(0, few, "o1")] + [(100 + i, many, "o1") for i in range(secrets.MAX_REPOS + 1)] + [(500, f"{few} {many}", None)]
+    docs = spark.createDataFrame(rows[:-1], "doc_id long, text string, source string")
+    out = secrets.report(secrets.scan_corpus(docs, max_repos=secrets.MAX_REPOS), "most_repos").collect()
+    assert {(r["doc_id"] < 100, r["n_live"], r["n_copied"], r["most_owners"], r["most_repos"]) for r in out} == {(True, 1, 0, 1, secrets.MAX_REPOS), (False, 0, 1, 1, secrets.MAX_REPOS + 1)}
+    assert len(out) == len(rows) - 1
+    both = secrets.scan_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repos=secrets.MAX_REPOS)
+    assert {(r["n_live"], r["most_owners"]) for r in both.collect()} == {(0, 2)}
+
+
 def test_mixing(docs, none):
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(None).cast("double").alias("weight"), F.col("score").alias("target"))
     out = mixing.mix_documents(sized).toPandas()
