@@ -3,7 +3,8 @@
 A word's input is an embedding of the word beside the mean embedding of its character n-grams (with word edges),
 both hashed. Windows of WINDOW words that begin every STRIDE words, so that neighbours overlap, go through a
 GRU in each direction; attention pools the states and a logistic unit scores the window. A text's score is that of its
-worst window, and all windows of all words of the text are scored.
+worst window, and all windows of all words of the text are scored. A passage of at most WINDOW - STRIDE + 1 words lies whole in a
+window wherever it stands; a longer one of up to WINDOW words may be cut, with more than half a window of it in one.
 
 Labels are of texts, not windows: training is multiple-instance learning, the loss of a text goes to its windows by a
 softmax of their scores. It uses SAMPLE texts of each class at most, of TRAIN_CHARS characters at most,
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import POLY, Words, chunks, mix, small_batches
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 13, 1 << 14, 8, 8, 8
 GRAMS = (4, 6)
 SAMPLE, TRAIN_CHARS, EPOCHS, BATCH, RATE, SEED = 2500, 5000, 4, 48, 0.02, 7

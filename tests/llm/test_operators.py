@@ -175,6 +175,22 @@ def test_network_learns_a_word():
     assert (untouched.scores(["a b"]) < 0.5).all()
 
 
+def test_windows_hold_passages_at_every_offset():
+    """Half a window of words lies whole in a window wherever it stands; of a passage of a window's length, more than half does."""
+    half = toxicity.WINDOW // 2
+    for n in (1, half, toxicity.WINDOW, toxicity.WINDOW + 1, 200, 333):
+        seen = toxicity.Inputs([" ".join(f"w{i}" for i in range(n))])
+        spans = []
+        begin = 0
+        for length in seen.length.tolist():
+            spans.append((begin, begin + length))
+            begin += toxicity.STRIDE
+        assert spans[-1][1] == n
+        for size, least in ((half + 1, half + 1), (toxicity.WINDOW, half + 1)):
+            for at in range(max(n - size + 1, 0)):
+                assert max(min(b, at + size) - max(a, at) for a, b in spans) >= least
+
+
 def test_toxicity_edges(docs, none):
     net = toxicity.Network()
     out = toxicity.score_documents(docs, net, F.col("doc_id") == 2).toPandas()
