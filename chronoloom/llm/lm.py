@@ -6,9 +6,9 @@ token. As an automaton: a state for each history seen in training, an arc for ea
 state a failure arc to the state of the shorter history with weight MU / (c(h) + MU). Reading a text from left to right,
 the scorer keeps the state, follows failure arcs until an arc for the token exists, and adds the logarithms.
 
-`Automaton` is that machine in memory, of any order. `score_corpus` is the distributed bigram machine: blocks of documents
-get the counts of their own words and pairs from all of the corpus (exchange.py) and build the part of the automaton
-that their texts touch, so nothing of the size of the vocabulary is collected or broadcast.
+`Automaton` is that machine in memory, of any order. `score_corpus` is distributed and of bigrams alone: blocks of documents
+get the counts of their own words and pairs from all of the corpus (exchange.py) and evaluate the closed form of the formula, which
+equals the bigram automaton's scores; it builds no states or arcs. Nothing of the size of the vocabulary is collected or broadcast.
 
 Edge cases: a null or empty text is its end token alone; unknown words get the mass of an unseen token; a null doc_id is in
 training; repeated rows are counted and scored as rows of their own; without any training token every probability
