@@ -143,13 +143,14 @@ def _gak(x: DataFrame, y: DataFrame | None, pairwise: bool, lower: bool, args: d
 
 
 def estimate_sigma(series: DataFrame, seed: int = 1, draws: int = 1000) -> float:
-    """A bandwidth for the alignment kernel: root of the median length times the median distance of random samples of points (a bounded sample)."""
+    """A bandwidth for the alignment kernel: root of the median length times the median distance of random samples of points (of `draws` series; lengths are of all)."""
     rng = np.random.default_rng(seed)
+    least, median = series.agg(F.min(F.size("values")), F.percentile(F.size("values"), F.lit(0.5))).first()
     sample = [np.asarray(r["values"], float).reshape(len(r["values"]), -1) for r in series.orderBy(F.xxhash64("series_id", F.lit(seed))).limit(draws).collect()]
-    sizes, points = [len(s) for s in sample], np.concatenate(sample)
-    n, k = max(1, round(min(sizes) / 2)), max(1, int(np.median(sizes)))
+    points = np.concatenate(sample)
+    n, k = max(1, round(least / 2)), max(1, int(median))
     d = [np.linalg.norm(points[rng.integers(len(points), size=n)] - points[rng.integers(len(points), size=n)]) for _ in range(k)]
-    return float(np.sqrt(np.median(sizes)) * np.median(d))
+    return float(np.sqrt(median) * np.median(d))
 
 
 def mirrored(d: DataFrame) -> DataFrame:

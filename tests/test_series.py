@@ -237,3 +237,13 @@ def test_window_partitions_are_the_consensus_of_repetitions(spark, monkeypatch):
     monkeypatch.setattr("chronoloom.operators.constraints.cluster", lambda series, type, k, args, **_: [part(1, 2, 1, 2), part(1, 1, 2, 2), part(1, 1, 2, 2)] if args["window"] == 3 else part(1, 1, 1, 2))
     got = {(r["window"], r["series_id"]): r["cluster"] for r in window_partitions(None, [3, 5]).collect()}
     assert [got[3, i] for i in range(1, 5)] == [1, 1, 2, 2] and [got[5, i] for i in range(1, 5)] == [1, 1, 1, 2]
+
+
+def test_bandwidth_takes_the_lengths_of_all_series(spark):
+    """Points that are all at distance 0 or 1 a coordinate: with few draws the lengths still come from every series."""
+    rows = [(i, [float(j % 2) for j in range(4 if i == 7 else 40 + i)]) for i in range(30)]
+    series = spark.createDataFrame(rows, "series_id long, values array<double>")
+    lengths = [len(v) for _, v in rows]
+    for draws in (1, 5):
+        d = D.estimate_sigma(series, draws=draws) / np.sqrt(np.median(lengths))
+        assert d <= np.sqrt(round(min(lengths) / 2))
