@@ -46,11 +46,6 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan_corpus(table(spark, sf_dir, "documents")))
 
 
-def op7_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict by owners and repositories; op7_secrets keeps the verdict and the columns of its SQL."""
-    return secrets.report(secrets.scan_corpus(table(spark, sf_dir, "documents"), max_repos=secrets.MAX_REPOS), "most_repos")
-
-
 def sized_documents(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and quality weight."""
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -63,13 +58,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = decontamination.Index(docs, table(spark, sf_dir, "benchmark"))
-    return decontamination.report(decontamination.phrase_matches(docs, index))
-
-
-def op9_phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds of match; op9_decontamination keeps the columns of its SQL."""
+    """Both kinds of match: exact phrases in the columns of the contract, proximity in n_near and near_sha256."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = decontamination.Index(docs, table(spark, sf_dir, "benchmark"))
     return decontamination.whole_report(decontamination.phrase_matches(docs, index), decontamination.proximity_matches(index))
@@ -80,6 +69,4 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup)}
-#: Further queries of an operator, registered after the first ones.
-FURTHER = {f.__name__: f for f in (op7_ownership, op9_phrase_proximity)}
 ORACLES = {"op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}

@@ -221,7 +221,7 @@ def test_secrets_equal_their_sql(spark):
         f"xAKIAAKIA{'Z' * 16}AKIA{'1' * 15} AKIA{'2' * 15}a AKIA{'3' * 40} {'ab' * 12}{'AB' * 12}{'0f' * 11} {'9' * 24}",
         f"{token} {dotted} xoxb-1234567890-abc -----BEGIN RSA PRIVATE KEY----- url://me:pa55wörd!@host a://b\x0bc:d@e h2://u:p@x@y",
         f"token={token} secret: {'de' * 20} password=EXAMPLE12345 api-key=abcdefgh passwordpassword==aaaaaaaaaa",
-        "", None, "password", "=" * 50, " ".join(f"secret=value{i % 7}{'x' * (i % 9)}" for i in range(500)),
+        "", None, "password", "=" * 50, " ".join(f"secret=value{i % 7}{'x' * (i % 9)}" for i in range(500)), "token=abcdefg " * secrets.PART, "token=abcdefg\u00e9" * (3 * secrets.PART + 1),
     ]
     rows = [(i, t, f"o{i % 3}" if i % 4 else None) for i, t in enumerate(texts * 2)] + [(1, texts[1], "o1"), (None, texts[3], "o9")]
     got = secrets.report(secrets.scan_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"))).toPandas()
@@ -240,10 +240,10 @@ def test_secrets_copied_within_one_owner(spark):
     few, many = "token=qwertyuiop1", "token=zxcvbnmasd2"
     rows = [(i, few, "o1") for i in range(secrets.MAX_REPOS)] + [(0, few, "o1")] + [(100 + i, many, "o1") for i in range(secrets.MAX_REPOS + 1)] + [(500, f"{few} {many}", None)]
     docs = spark.createDataFrame(rows[:-1], "doc_id long, text string, source string")
-    out = secrets.report(secrets.scan_corpus(docs, max_repos=secrets.MAX_REPOS), "most_repos").collect()
+    out = secrets.report(secrets.scan_corpus(docs)).collect()
     assert {(r["doc_id"] < 100, r["n_live"], r["n_copied"], r["most_owners"], r["most_repos"]) for r in out} == {(True, 1, 0, 1, secrets.MAX_REPOS), (False, 0, 1, 1, secrets.MAX_REPOS + 1)}
     assert len(out) == len(rows) - 1
-    both = secrets.scan_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repos=secrets.MAX_REPOS)
+    both = secrets.scan_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     assert {(r["n_live"], r["most_owners"]) for r in both.collect()} == {(0, 2)}
 
 
@@ -349,6 +349,28 @@ def test_proximity_by_brute_force(spark):
     assert sorted((r["doc_id"], r["n_near"], r["near_sha256"]) for r in out) == sorted((row[0], sum(k[:2] == row for k in want), digest(row)) for row in rows)
 
 
+def test_decontamination_equals_its_sql(spark):
+    """Both kinds of match on repeated rows, ids with several texts, no id, short and wordless items, upper case beyond Z."""
+    rng = np.random.default_rng(4)
+    pick = lambda n: " ".join(rng.choice(VOCAB[:50], n))
+    items = [(f"i{k}", pick(k % 25 + 1)) for k in range(30)] + [("i3", pick(12)), ("e", "\u00c9t\u00c9 B\u00e9"), ("n", None), ("w", "--"), (None, pick(12)), ("i5", f"{VOCAB[300]} unseen {VOCAB[301]}")]
+    texts = [pick(60) for _ in range(8)] + [f"{pick(9)} {items[k][1].upper()} {pick(5)}" for k in range(5, 30, 3)] + ["\u00c9t\u00c9-b\u00c9, \u00c9t\u00c9 b\u00e9", None, "", f"{VOCAB[300]} {pick(3)} {VOCAB[301]}"]
+    rows = [(i % 9 if i % 4 else None, t) for i, t in enumerate(texts)] + [(1, texts[1])] * 2
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    duck.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    want = duck.execute(decontamination.ORACLE).df()
+    plain = lambda df: sorted(tuple(str(x).removesuffix(".0") for x in r) for r in df[sorted(want)].fillna(-1).itertuples(index=False))
+    for most in (decontamination.BROADCAST_BYTES, -1):  # also as if nothing could be broadcast
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(decontamination, "BROADCAST_BYTES", most)
+            index = decontamination.Index(docs, bench)
+            got = decontamination.whole_report(decontamination.phrase_matches(docs, index), decontamination.proximity_matches(index)).toPandas()
+        assert sorted(got) == sorted(want) and plain(got) == plain(want)
+    assert (want.n_hit > 0).sum() > 3 and (want.n_near > 0).sum() > (want.n_items > 0).sum()
+
+
 def test_pipeline_filters(spark, docs, none, monkeypatch):
     net = toxicity.Network()
     monkeypatch.setattr(toxicity, "train", lambda *a: net)
