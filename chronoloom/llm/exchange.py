@@ -1,12 +1,16 @@
 """Corpus-wide counts of 64-bit keys, and each block's own view of them.
 
-Documents are dealt to blocks of about BLOCK_BYTES of text by a hash of doc_id. A block sends every distinct key that
-it holds, with its count, to the part that owns the key's range; a part adds up the counts of all blocks and sends each block the totals of
-its own keys, in the order in which the block sent them. Keys are sums of a block before they are shuffled, so a
-frequent key costs a block one entry. Sorted keys travel as byte planes of their differences under zstd, a packet
-for each (block, part) that share keys: there are never more packets than keys.
+Documents are dealt to blocks of some megabytes of text by a hash of doc_id and text, so that neither a repeated nor a missing id
+makes a block large. A block sends every distinct key that it holds, with its count, to the part that owns the key's range; a part
+adds up the counts of all blocks and sends each block the totals of its own keys, in the order in which the block sent them. Keys are
+sums of a block before they are shuffled, so a frequent key costs a block one entry. Sorted keys travel as byte planes of their
+differences under zstd, a packet for each (block, part) that share keys.
 
-No table of all keys is collected or broadcast anywhere; what moves grows in proportion to the text.
+There are as many parts as blocks, as both hold a bounded share of the text. A packet so holds about (block size)**2 / (4 x text)
+keys; blocks grow with the root of the text once that would fall below PACKET_KEYS (from 130 GB of text on; blocks of 80 MB at 100 TB),
+so what moves stays in proportion to the text, and packets' headers a small part of it.
+
+No table of all keys is collected or broadcast anywhere.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import materialize
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES, PACKET_KEYS, MOST_TASKS = 4 << 20, 32, 50_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -42,20 +46,21 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def blocked(docs: DataFrame, total_bytes: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Adds the block of each row."""
-    blocks = max(1, -(-total_bytes // block_bytes))
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")), blocks
+    """Deals rows with doc_id and text to blocks (column block), a task for each up to MOST_TASKS."""
+    size = max(block_bytes, int((4 * PACKET_KEYS * total_bytes) ** 0.5))
+    blocks = max(1, -(-total_bytes // size))
+    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(min(blocks, MOST_TASKS), "block"), blocks
 
 
-def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the keys of each part begin: parts own equal ranges of the 64-bit space."""
-    bounds = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+def _slices(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where the keys of each part begin: parts own equal ranges of the numbers of so many bits."""
+    bounds = np.array([(i << bits) // parts for i in range(1, parts)], np.uint64)
     return np.r_[0, np.searchsorted(keys, bounds, side="left"), len(keys)]
 
 
-def send(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, kind: int) -> list[tuple]:
-    """Packets of a block's sorted distinct keys."""
-    at = _slices(keys, parts)
+def send(block: int, keys: np.ndarray, counts: np.ndarray, parts: int, kind: int, bits: int = 64) -> list[tuple]:
+    """Packets of a block's sorted distinct keys, numbers of so many bits."""
+    at = _slices(keys, parts, bits)
     out = []
     for p in np.flatnonzero(at[1:] > at[:-1]):
         own = keys[at[p] : at[p + 1]]
@@ -82,14 +87,15 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def count_exchange(blocks: DataFrame, sender: Callable[[pd.DataFrame], list[tuple]], name: str | None = None) -> DataFrame:
-    """Answers (ANSWER) for the blocks; sender gives the packets of a block's rows. With a name they are written to the shared folder;
+def count_exchange(rows: DataFrame, blocks: int, sender: Callable[[pd.DataFrame], list[tuple]], name: str | None = None) -> DataFrame:
+    """Answers (ANSWER) for the blocks of rows; sender gives the packets of a block's rows. With a name they are written to the shared folder;
     without one they are part of the caller's plan, which then deals the texts to blocks once for both."""
 
     def packets(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(sender(pdf), columns=["kind", "part", "block", "keys", "counts"])
 
-    answers = blocks.groupBy("block").applyInPandas(packets, PACKET).groupBy("kind", "part").applyInPandas(_add_up, ANSWER)
+    sent = rows.groupBy("block").applyInPandas(packets, PACKET).repartition(min(blocks, MOST_TASKS), "kind", "part")
+    answers = sent.groupBy("kind", "part").applyInPandas(_add_up, ANSWER)
     return materialize(answers, name) if name else answers
 
 

@@ -1,23 +1,29 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model smooths n-grams by a Dirichlet prior on the shorter history: p(w|h) = (c(hw) + MU p(w|h')) / (c(h) + MU), down to
-p(w) = (c(w) + 1) / (N + V + 1), where the end of a text counts as a token and the last 1 stands for any unknown
-token. As an automaton: a state for each history seen in training, an arc for each seen n-gram with its weight, and from each
-state a failure arc to the state of the shorter history with weight MU / (c(h) + MU). Reading a text from left to right,
-the scorer keeps the state, follows failure arcs until an arc for the token exists, and adds the logarithms.
+The model smooths n-grams by a Dirichlet prior on the shorter history: p(w|h) = (c(hw) + m p(w|h')) / (c(h) + m), with a mass m for
+each length of h (MASSES; as many as the order less one), down to p(w) = (c(w) + 1) / (N + V + 1), where the end of a text counts as
+a token and the last 1 stands for any unknown token. A text's first token follows a beginning that is no token.
 
-`Automaton` is that machine in memory, of any order. `score_corpus` is distributed and of bigrams alone: blocks of documents
-get the counts of their own words and pairs from all of the corpus (exchange.py) and evaluate the closed form of the formula, which
-equals the bigram automaton's scores; it builds no states or arcs. Nothing of the size of the vocabulary is collected or broadcast.
+As an automaton: a state for each history seen in training, an arc for each seen n-gram with its weight, and from each state
+a failure arc to the state of the shorter history with the weight m / (c(h) + m). Reading a text from left to right, the scorer
+keeps the state, follows failure arcs until an arc for the token exists, goes where that leads and adds the logarithms.
+
+`Automaton` is that machine. It is built for a block of documents, of the states and arcs that its texts can touch, from the
+counts that the whole corpus has of the block's own n-grams (exchange.py); all texts of the block are then read in step, a token of each
+at a time. Nothing of the size of the vocabulary is collected or broadcast.
+
+Words are known by 64 bits of a hash, longer n-grams by about 20 bits more than it takes to number the corpus' tokens: one
+that never occurs is taken for another that does with a probability of about one in a million.
 
 Edge cases: a null or empty text is its end token alone; unknown words get the mass of an unseen token; a null doc_id is in
-training; repeated rows are counted and scored as rows of their own; without any training token every probability
-is 1/1 of the single unknown token, so scores are 0. An empty table gives an empty result.
+training; repeated rows are counted and scored as rows of their own, with equal results; without any training token every probability
+is 1/1 of the single unknown token, so scores are 0. Texts are read whole, however long. Only doc_id, text and the columns of
+held_out are read, whatever others there are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pandas as pd
@@ -26,122 +32,142 @@ from pyspark.sql import DataFrame, functions as F
 from .common import GOLDEN, Words, chunks, mix, text_totals
 from .exchange import answer_of, blocked, count_exchange, send
 
-MU = 200.0
+#: Chosen on held-out texts of the test tables: of 5, 20, 60, 200 and 1, 4, 15, 60.
+MASSES = (200.0, 15.0)
 END, BEGIN = mix(np.array([1, 2], np.uint64))
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def key_bits(total_bytes: int) -> int:
+    """Of the keys of n-grams of two words or more."""
+    return min(64, max(32, math.ceil(math.log2(max(total_bytes, 1))) + 18))
+
+
+class Grams:
+    """The n-grams of some texts, each a beginning, its tokens and an end: for each order the sorted distinct keys, the number of the n-gram that ends at each place (-1: none)
+    and one place of each."""
+
+    def __init__(self, texts: list[str], order: int, bits: int):
+        parts = [self._stream(texts[a:b]) for a, b in chunks(texts)] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        token, self.count = (np.concatenate(x) for x in zip(*parts, strict=True))  # count: tokens of each text with the end
+        self.first = np.cumsum(self.count + 1) - self.count - 1  # of the beginning of each text
+        depth = np.arange(len(token)) - np.repeat(self.first, self.count + 1)
+        self.known, self.number, self.place = [], [], []
+        key = token
+        for n in range(1, order + 1):
+            if n > 1:
+                key = np.r_[key[:1], mix(key[:-1] * GOLDEN + token[1:])]
+            use = np.flatnonzero(depth >= n - 1)
+            known, place, number = np.unique(key[use] if n == 1 else key[use] >> np.uint64(64 - bits), return_index=True, return_inverse=True)
+            whole = np.full(len(token), -1, np.int64)
+            whole[use] = number
+            self.known.append(known)
+            self.number.append(whole)
+            self.place.append(use[place])
+
+    @staticmethod
+    def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        w = Words(texts)
+        last = np.cumsum(w.count + 2) - 1
+        token = np.empty(int((w.count + 2).sum()), np.uint64)
+        inside = np.ones(len(token), bool)
+        inside[last] = inside[last - w.count - 1] = False
+        token[inside], token[last], token[last - w.count - 1] = w.hash, END, BEGIN
+        return token, w.count + 1
+
+
 class Automaton:
-    """States with weighted arcs and failure arcs, from training texts as lists of tokens."""
-
-    def __init__(self, texts: list[list[str]], order: int = 2, mu: float = MU):
-        self.order, grams = order, Counter()
-        for tokens in texts:
-            path = ["<s>", *tokens, "</s>"]
-            for i in range(1, len(path)):
-                for n in range(order):
-                    if i - n >= 0:
-                        grams[tuple(path[i - n : i + 1])] += 1
-        self.n = sum(c for g, c in grams.items() if len(g) == 1)
-        v = sum(len(g) == 1 for g in grams)
-        self.unknown = 1 / (self.n + v + 1)
-        histories = Counter()
-        for g, c in grams.items():
-            histories[g[:-1]] += c
-        self.fail = {h: mu / (c + mu) for h, c in histories.items() if h}
-        self.arcs: dict[tuple, dict[str, float]] = {(): {}}
-        for g, c in sorted(grams.items(), key=lambda x: len(x[0])):
-            h = g[:-1]
-            self.arcs.setdefault(h, {})[g[-1]] = (c + 1) / (self.n + v + 1) if not h else (c + mu * self._probability(h[1:], g[-1])) / (histories[h] + mu)
-
-    def _probability(self, state: tuple, token: str) -> float:
-        weight = 1.0
-        while token not in self.arcs.get(state, ()):
-            if not state:
-                return weight * self.unknown
-            weight *= self.fail.get(state, 1.0)
-            state = state[1:]
-        return weight * self.arcs[state][token]
-
-    def score(self, tokens: list[str]) -> float:
-        """log10 probability of a text with its end, in one traversal."""
-        state, total = ("<s>",)[: self.order - 1], 0.0
-        while state and state not in self.arcs:
-            state = state[1:]
-        for token in [*tokens, "</s>"]:
-            total += np.log10(self._probability(state, token))
-            state = (*state, token)[-(self.order - 1) :] if self.order > 1 else ()
-            while state and state not in self.arcs:
-                state = state[1:]
-        return float(total)
-
-
-def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with an end after each text, the token before each (BEGIN at first), and the number of each text's tokens."""
-    w = Words(texts)
-    counts = w.count + 1
-    ends = np.cumsum(counts) - 1
-    tokens = np.empty(int(counts.sum()), np.uint64)
-    inside = np.ones(len(tokens), bool)
-    inside[ends] = False
-    tokens[inside], tokens[ends] = w.hash, END
-    before = np.r_[BEGIN, tokens[:-1]]
-    before[np.r_[0, ends[:-1] + 1]] = BEGIN
-    return tokens, before, counts
-
-
-def _block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, histories, pairs and counts of a block's texts in the order of the frame."""
-    texts = pdf["text"].tolist()
-    parts = [_stream(texts[a:b]) for a, b in chunks(texts)]
-    tokens, before, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return tokens, before, mix(before * GOLDEN + tokens), counts
-
-
-def _sender(blocks: int):
+    """States with weighted arcs and failure arcs for the n-grams of some texts: counts are of the n-grams of each order in the training, total and distinct of its tokens."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, distinct: int, masses: tuple[float, ...] = MASSES):
+        order = len(masses) + 1
+        self.words = len(grams.known[0])
+        ends = np.searchsorted(grams.known[0], [END, BEGIN])
+        counts = [np.asarray(c, np.float64) for c in counts]
+        # State 0 has no history; those of one token come next, then of two, up to order - 1. Only those seen in training have a way in.
+        offset = np.cumsum([1, *(len(k) for k in grams.known[: order - 1])])
+        self.fail, self.fail_weight = np.zeros(offset[-1], np.int64), np.zeros(offset[-1])
+        prior = (counts[0] + 1) / (total + distinct + 1)
+        seen = counts[0] > 0
+        state = np.where(seen & (np.arange(self.words) != ends[0]), 1 + np.arange(self.words), 0)  # nothing follows an end
+        arcs = [(np.arange(self.words), np.log10(prior), state if order > 1 else np.zeros_like(state))]  # of state 0: any word
+        for n, mass in enumerate(masses, 2):
+            short, number, place = grams.number[n - 2], grams.number[n - 1], grams.place[n - 1]
+            own = slice(offset[n - 2], offset[n - 1])  # the states that these n-grams begin from
+            self.fail_weight[own] = np.log10(mass / (counts[n - 2] + mass))
+            shorter = grams.number[n - 3][grams.place[n - 2]] if n > 2 else None
+            self.fail[own] = offset[n - 3] + shorter if n > 2 else 0
+            history = short[place - 1]
+            prior = (counts[n - 1] + mass * prior[short[place]]) / (counts[n - 2][history] + mass)
+            seen = np.flatnonzero(counts[n - 1] > 0)
+            last = grams.number[0][place[seen]]
+            target = offset[n - 1] + number[place[seen]] if n < order else offset[n - 2] + short[place[seen]]
+            arcs.append(((offset[n - 2] + history[seen]) * self.words + last, np.log10(prior[seen]), np.where(last == ends[0], 0, target)))
+        key, weight, target = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        by = np.argsort(key)
+        self.key, self.weight, self.target = key[by], weight[by], target[by]
+        self.start = int(1 + ends[1]) if order > 1 and self.words and counts[0][ends[1]] > 0 else 0
+
+    def scores(self, grams: Grams) -> np.ndarray:
+        """log10 probabilities of the texts with their ends, read from left to right, all in step."""
+        out, by = np.zeros(len(grams.count)), np.argsort(-grams.count, kind="stable")
+        first, left = grams.first[by] + 1, grams.count[by]
+        state, score = np.full(len(by), self.start), np.zeros(len(by))
+        for step in range(int(left[0]) if len(left) else 0):
+            reading = np.searchsorted(-left, -step, side="left")  # texts of more tokens than `step`
+            word = grams.number[0][first[:reading] + step]
+            open_ = np.arange(reading)
+            while len(open_):
+                now = state[open_]
+                want = now * self.words + word[open_]
+                at = np.searchsorted(self.key, want)
+                at[at == len(self.key)] = 0
+                found = self.key[at] == want
+                score[open_] += np.where(found, self.weight[at], self.fail_weight[now])
+                state[open_] = np.where(found, self.target[at], self.fail[now])
+                open_ = open_[~found]
+        out[by] = score
+        return out
+
+
+def _sender(blocks: int, order: int, bits: int):
     def sender(pdf: pd.DataFrame) -> list[tuple]:
-        tokens, before, pairs, counts = _block(pdf)
-        train = np.repeat(~pdf["held_out"].to_numpy(bool), counts)
+        grams = Grams(pdf["text"].tolist(), order, bits)
+        train = np.repeat(~pdf["held_out"].to_numpy(bool), grams.count + 1)
         block, out = int(pdf["block"].iloc[0]), []
-        # Histories are asked for as well: BEGIN is one that never is a token. It is counted by the pairs' kind only.
-        for kind, keys in ((0, tokens), (1, pairs)):
-            known, where = np.unique(keys, return_inverse=True)
-            out += send(block, known, np.bincount(where[train], minlength=len(known)), blocks, kind)
+        for n, (known, number) in enumerate(zip(grams.known, grams.number, strict=True)):
+            count = np.bincount(number[train & (number >= 0)], minlength=len(known))
+            keep = known != BEGIN if n == 0 else slice(None)  # the beginning is no token
+            out += send(block, known[keep], count[keep], blocks, n, 64 if n == 0 else bits)
         return out
 
     return sender
 
 
-def _scorer(total: int, distinct: int, starts: int, mu: float):
-    size = float(total + distinct + 1)
-
+def _scorer(total: int, distinct: int, starts: int, masses: tuple[float, ...], bits: int):
     def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
-        tokens, before, pairs, counts = _block(pdf)
-        known, where = np.unique(tokens, return_inverse=True)
-        c_known = answer_of(answers, 0).astype(np.float64)
-        c_token = c_known[where]
-        c_pair = answer_of(answers, 1).astype(np.float64)[np.unique(pairs, return_inverse=True)[1]]
-        # The state before each token: that of the token before, or the beginning.
-        at = np.minimum(np.searchsorted(known, before), len(known) - 1)
-        c_state = np.where(before == BEGIN, float(starts), np.where(known[at] == before, c_known[at], 0.0))
-        root = (c_token + 1) / size
-        arc = (c_pair + mu * root) / (c_state + mu)  # without a pair: the failure arc's weight times the root's arc
-        first = np.r_[0, np.cumsum(counts)[:-1]]
-        add = lambda x: np.add.reduceat(x, first)
+        grams = Grams(pdf["text"].tolist(), len(masses) + 1, bits)
+        counts = [answer_of(answers, n) for n in range(len(masses) + 1)]
+        counts[0] = np.insert(counts[0], np.searchsorted(grams.known[0], BEGIN), starts)
+        machine = Automaton(grams, counts, total, distinct, masses)
+        token = np.delete(grams.number[0], grams.first)
+        base = np.log10((counts[0].astype(np.float64) + 1) / (total + distinct + 1))
+        add = lambda x: np.add.reduceat(x, np.cumsum(grams.count) - grams.count)
         return pd.DataFrame(
-            {"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": counts, "n_known": add((c_token > 0).astype(np.int64)), "train_tokens": total, "base_score": add(np.log10(root)), "score": add(np.log10(arc))}
+            {"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]), "score": machine.scores(grams)}
         )
 
     return score
 
 
-def score_corpus(docs: DataFrame, held_out, mu: float = MU) -> DataFrame:
-    """Scores of all texts of docs; held_out is the column that keeps a row out of the training. The texts are shuffled twice, by block."""
+def score_corpus(docs: DataFrame, held_out, masses: tuple[float, ...] = MASSES) -> DataFrame:
+    """Scores of all texts of docs; held_out is the column that keeps a row out of the training. The texts are shuffled once, by block."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    starts = docs.where(~F.col("held_out")).count()
-    rows, blocks = blocked(docs, text_totals(docs)[1])
-    answers = count_exchange(rows, _sender(blocks), "lm-counts")
+    starts, size = docs.where(~F.col("held_out")).count(), text_totals(docs)[1]
+    bits = key_bits(size)
+    rows, blocks = blocked(docs, size)
+    answers = count_exchange(rows, blocks, _sender(blocks, len(masses) + 1, bits), "lm-counts")
     total, distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(int(total), int(distinct), starts, mu), SCHEMA)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(int(total), int(distinct), starts, masses, bits), SCHEMA)

@@ -319,7 +319,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.substring(F.sha2(own_text, 256), 1, 32)).alias("node"))
     n_docs, size = text_totals(docs)
     rows, blocks = blocked(docs.where("text IS NOT NULL AND doc_id IS NOT NULL"), size)
-    answers = count_exchange(rows, _sender(blocks))
+    answers = count_exchange(rows, blocks, _sender(blocks))
     sketches = materialize(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_sketcher(n_docs), SKETCH), "near-sketches")
     own = materialize(docs.select("doc_id", "node"), "near-nodes")
     firsts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -140,21 +141,62 @@ def test_sharding(spark, docs, none):
     assert sharding.assign_shards(none).count() == 0
 
 
-def test_automaton_equals_the_distributed_model(spark, docs):
-    texts = [["a", "b", "a"], ["b", "a"], ["c"], []]
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r["doc_id"]: r for r in lm.score_corpus(df, F.col("doc_id") == 1, 3.0).collect()}
-    machine = lm.Automaton([t for i, t in enumerate(texts) if i != 1], 2, 3.0)
-    for i, t in enumerate(texts):
-        assert out[i]["score"] == pytest.approx(machine.score(t))
-        assert out[i]["n_tokens"] == len(t) + 1
-    assert out[1]["held_out"] and out[0]["train_tokens"] == 7
-    for order in (2, 3):  # probabilities after any history sum to one
-        m = lm.Automaton(texts, order, 3.0)
-        for state in [(), ("a",), ("b", "a")][:order]:
-            h = state if state in m.arcs or not state else state[1:]
-            assert sum(m._probability(h, w) for w in ("a", "b", "c", "</s>")) + m._probability(h, "?") == pytest.approx(1)
-    assert lm.score_corpus(docs, F.col("doc_id") == 2).count() == len(ROWS)
+def slow_model(rows, held, masses):
+    """Scores by the recurrence over dictionaries: for each row n_tokens, n_known, train_tokens, base_score, score."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    paths = [["<s>", *re.findall(r"[^\x20\x09-\x0D]+", lower(t)), "</s>"] for _, t in rows]
+    grams = Counter()
+    for p, h in zip(paths, held):
+        for i in range(len(p) if not h else 0):
+            for n in range(1, len(masses) + 2):
+                if i - n + 1 >= 0:
+                    grams[tuple(p[i - n + 1 : i + 1])] += 1
+    known = {g[0]: c for g, c in grams.items() if len(g) == 1 and g != ("<s>",)}
+    total, size = sum(known.values()), sum(known.values()) + len(known) + 1
+
+    def chance(history, w):
+        if not history:
+            return (known.get(w, 0) + 1) / size
+        m = masses[len(history) - 1]
+        return (grams[(*history, w)] + m * chance(history[1:], w)) / (grams[history] + m)
+
+    out = []
+    for p in paths:
+        score = sum(np.log10(chance(tuple(p[max(0, i - len(masses)) : i]), p[i])) for i in range(1, len(p)))
+        out.append((len(p) - 1, sum(w in known for w in p[1:]), total, sum(np.log10((known.get(w, 0) + 1) / size) for w in p[1:]), score))
+    return out
+
+
+@pytest.mark.parametrize("masses", [lm.MASSES, (3.0,), (5.0, 2.0, 1.0), ()])
+def test_automaton_by_brute_force(spark, masses):
+    """Null, empty and repeated texts, ids that are missing or repeated, words that only held-out texts have; an order of 1 to 4."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "B", "c", "\u00c9", "d-e"], n)) for n in (1, 2, 3, 5, 40, 300)] + [None, "", " \t", "new words", "new words"]
+    rows = [(i % 8 if i != 5 else None, t) for i, t in enumerate(texts)] + [(4, texts[4])] * 3
+    held = [t is not None and "new" in t for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm, "text_totals", lambda d: (len(rows), 40 << 20))  # several blocks
+        got = lm.score_corpus(df, F.coalesce(F.col("text").contains("new"), F.lit(False)), masses).collect()
+    plain = lambda rs: sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in rs)
+    want = plain([(i, *r) for (i, _), r in zip(rows, slow_model(rows, held, masses))])
+    for a, b in zip(plain([(r[0], *r[2:]) for r in got]), want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_automaton_on_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    got = {r["doc_id"]: r for r in queries.op5_backoff(spark, SF).collect()}
+    for (i, _), h, want in zip(rows, held, slow_model(rows, held, lm.MASSES), strict=True):
+        assert got[i]["held_out"] == h and tuple(got[i])[2:] == pytest.approx(want, rel=1e-6)
+
+
+def test_no_training_text_gives_zero(spark, none):
+    out = lm.score_corpus(spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), F.lit(True)).collect()
+    assert [(r["train_tokens"], r["n_known"], r["base_score"], r["score"]) for r in out] == [(0, 0, 0, 0)] * 2
+    assert lm.score_corpus(none, F.lit(False)).count() == 0
 
 
 def test_count_exchange_packets():
