@@ -1,22 +1,23 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations alone.
 
-A document's key is -ln(u)/w: u from a hash of seed and doc_id, w its quality weight; within a source documents are
+A document's key is -ln(u)/w: u from a hash of seed, doc_id and text, w its quality weight; within a source documents are
 taken in the order of their keys until the budget is spent. Budgets of one source size or more take complete
 epochs first and sample the rest.
 
 Prefix sums run in two levels (buckets of the key within a source, then rows of a bucket), so no task holds a
-whole source. The window over the source table has a row per source, not per document.
+whole source; there are as many buckets as the rows need for BUCKET_ROWS each, were they of one source. The window over the source table has a row per source, not per document.
 
 Edge cases: a null source is a source of its own, last in order; a null text has size 0; documents of size 0 add
-nothing and take 0; a null or non-positive quality weight counts as 1. A null doc_id hashes as 'null'. Rows of one
-doc_id are rows of their own with one key, ordered by size. An empty table gives an empty result.
+nothing and take 0; a null or non-positive quality weight counts as 1. A null doc_id hashes as 'null', a null text as an empty one. Rows of one
+doc_id are rows of their own; equal rows have one key and are ordered by size. Words of the whole text are counted. Further columns are returned as they
+came, but for those that the result adds, which are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-WEIGHTS, SHARE, MOST_EPOCHS, BUCKETS = (5, 2, 1), 1.5, 2, 1024
+WEIGHTS, SHARE, MOST_EPOCHS, BUCKET_ROWS = (5, 2, 1), 1.5, 2, 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,9 +25,16 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(seed: str, key: Column) -> Column:
+def uniform(seed: str, *keys: Column) -> Column:
     """A number in (0, 1) from 52 bits of MD5."""
-    return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    named = [F.coalesce(k.cast("string"), F.lit("null")) for k in keys]
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *named)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def sized(docs: DataFrame, labels: DataFrame, *more: Column) -> DataFrame:
+    """Of docs (doc_id, source, text): doc_id, source, size (words), salt (a hash of the text) and weight, with further columns."""
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("salt"), *more)
+    return rows.join(quality_weights(labels), "doc_id", "left")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS) -> DataFrame:
@@ -45,14 +53,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("source", "source_size", F.when(F.col("_hold").isNull() | (F.col("_hold") * F.col("_w") > F.col("_cap")), F.col("_cap")).otherwise(F.col("_hold") * F.col("_w")).alias("target"))
 
 
-def mix_documents(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of (doc_id, source, size, weight), with whatever other columns, with source_size, target, epochs (complete passes), picked (in the fractional pass) and taken.
+def mix_documents(docs: DataFrame, seed: str = "mix-1", weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, buckets: int | None = None) -> DataFrame:
+    """Rows of (doc_id, source, size, salt, weight), with whatever other columns, with source_size, target, epochs (complete passes), picked (in the fractional pass) and taken.
 
     A document is in the fractional pass if the middle of its words lies within the budget, so that a source misses its target by half a document at most.
     """
-    kept = docs.drop("weight", "source_size", "target", "epochs", "picked", "taken").columns
-    d = docs.select(*kept, F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)).alias("_weight")).withColumn("size", F.col("size").cast("long"))
-    d = d.withColumn("_key", -F.log(uniform(seed, F.col("doc_id"))) / F.col("_weight"))
+    buckets = buckets or max(1024, min(1 << 20, docs.count() // BUCKET_ROWS))
+    kept = docs.drop("weight", "salt", "source_size", "target", "epochs", "picked", "taken").columns
+    d = docs.select(*kept, F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(F.lit(1.0)).alias("_weight"), "salt").withColumn("size", F.col("size").cast("long"))
+    d = d.withColumn("_key", -F.log(uniform(seed, F.col("doc_id"), F.col("salt"))) / F.col("_weight"))
     d = d.withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("_key"))) * buckets)).cast("int"))
     d = d.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))  # a key that is never null
     sums = d.groupBy("source", "_s", "_bucket").agg(F.sum("size").alias("_n"))
@@ -76,10 +85,10 @@ def quality_weights(labels: DataFrame) -> DataFrame:
 #: mix_documents() with its default parameters over documents, with weights from labels.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, coalesce(q.weight, 1.0) AS weight
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS salt, coalesce(q.weight, 1.0) AS weight
   FROM documents LEFT JOIN (SELECT doc_id AS q_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1) q ON q_id = doc_id
 ), keyed AS (
-  SELECT *, -ln((CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / CAST(weight AS DOUBLE) AS k FROM d
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || salt), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0) / CAST(weight AS DOUBLE) AS k FROM d
 ), sizes AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY 1
 ), weighed AS (
@@ -96,7 +105,7 @@ WITH d AS (
          coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM keyed JOIN targets ON keyed.source IS NOT DISTINCT FROM targets.source
 )
-SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 4) AS target,
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
        CAST(size * (epochs + CASE WHEN size > 0 AND before + size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM run
 """

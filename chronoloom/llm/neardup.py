@@ -8,36 +8,39 @@ from just the part that copies share and put it on their edits, and large groups
 1. Exact copies (equal texts, by half of their SHA-256) are one node from the start; the row of their smallest doc_id stands for them.
 2. Blocks of documents get the document frequencies of their words from the whole corpus (exchange.py), draw
    BANDS x ROWS samples for each document and write bands and packed weight vectors to the shared folder.
-3. A document's standing is the number of documents in its buckets, over all bands: the source of a family of near copies
+3. A text's standing is the number of texts in its buckets, over all bands: the source of a family of near copies
    shares more bands with its copies than they do with each other and stands highest. In each bucket the HUBS highest are compared with
    all members: every pair of a bucket of up to HUBS + 1, and a number of pairs in proportion to the members of a
-   larger one. A pair counts if the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD; pairs whose
-   total weights rule that out aren't compared.
+   larger one. The highest are found in two levels, within parts of a bucket and then among those of its parts, so that no task
+   holds a bucket; their join with the members is written at once, so Spark can split a bucket that is large. A pair counts if
+   the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD; pairs whose total weights rule that out aren't compared.
 4. Classes are connected components by minimum labels with pointer jumping.
 5. In a bucket of more than HUBS + 1, members outside its largest class are compared, in blocks of bounded size, with all
    members of other classes; the links found join classes. So every pair that shares a bucket is compared or already in one
    class. The work is the product of the members outside and all members of a bucket; no pair is written unless it is a link.
 
-A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998. n_links counts the links that
-were verified; pairs within one class of a bucket of more than HUBS + 1 aren't all compared.
+A pair at the threshold shares some band with a probability of 1 - (1 - 0.8**ROWS)**BANDS = 0.9998.
 
-Edge cases: null texts and texts without words have no shingle; they are in a class with exactly equal texts only
-(null with none but its own id's nulls). Rows of one doc_id with different texts are texts of their own. A row without doc_id
-is in the class of its text if that text occurs with an id as well; else its class_id is null. An empty table gives an
-empty result.
+Edge cases: a text without words (also an empty one) has no shingle and is in a class with equal texts only; null texts are equal if
+their ids are. Rows of one doc_id with different texts are texts of their own, rows without doc_id too: a class_id is the smallest id of
+the class's rows and null if none has one. Repeated rows are in one class. Texts are taken whole, however long. Ties of standing
+go to the greater id, then text hash. Only doc_id and text are read, whatever other columns there are. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, small_batches, text_totals
+from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, small_batches, text_totals, unused
 from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
+HUB_PARTS = 16  # of a bucket, in which its highest members are found first
+NO_ID = -(1 << 63)  # stands for a missing doc_id in keys of joins
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
 
@@ -141,7 +144,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return less / (both - less) if both > less else 1.0
 
 
-SKETCH = "doc_id long, node binary, total long, bands array<long>, vector binary"
+SKETCH = "key long, node binary, total long, bands array<long>, vector binary"
 
 
 def _sender(blocks: int):
@@ -172,12 +175,12 @@ def _sketcher(n_docs: int):
             keys = band_keys(samples(key, np.log(mass).astype(np.float32), first, BANDS * ROWS))
             ends = np.r_[first[1:], len(doc)]
             for i, (x, y) in enumerate(zip(first, ends, strict=True)):
-                ids.append(pdf["doc_id"].iloc[a + doc[x]])
+                ids.append(pdf["key"].iloc[a + doc[x]])
                 nodes.append(pdf["node"].iloc[a + doc[x]])
                 totals.append(int(mass[x:y].sum()))
                 bands.append(keys[i].view(np.int64))
                 vectors.append(pack_vector(key[x:y], mass[x:y].astype(np.uint64)))
-        return pd.DataFrame({"doc_id": np.array(ids, np.int64), "node": nodes, "total": np.array(totals, np.int64), "bands": bands, "vector": vectors})
+        return pd.DataFrame({"key": np.array(ids, np.int64), "node": nodes, "total": np.array(totals, np.int64), "bands": bands, "vector": vectors})
 
     return sketch
 
@@ -207,23 +210,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(sketches: DataFrame) -> DataFrame:
-    """band, node, doc_id, total and members n of each bucket of two or more: sketches has a row (node, doc_id, total, bands) for each node."""
-    buckets = sketches.select("node", "doc_id", "total", F.explode("bands").alias("band"))
+    """band, node, key, total and members n of each bucket of two or more: sketches has a row (node, key, total, bands) for each node."""
+    buckets = sketches.select("node", "key", "total", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return materialize(buckets.join(sizes, "band"), "near-shared")
 
 
 def near_links(shared: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes: shared from shared_buckets, vectors has the vector of each (node, doc_id)."""
+    """Verified links (a, b, similarity) between nodes: shared from shared_buckets, vectors has the vector of each (node, key)."""
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
-    members = shared.join(standing, "node").select("band", F.struct("standing", "doc_id", "node").alias("m"), "total")
-    highest = W.partitionBy("band").orderBy(F.desc("m"))
-    heads = members.withColumn("rank", F.row_number().over(highest)).where(F.col("rank") <= hubs)  # cut to `hubs` a bucket before the shuffle as well
-    heads = heads.select("band", F.col("m").alias("h"), F.col("total").alias("t"))
+    members = materialize(shared.join(standing, "node").select("band", F.struct("standing", "key", "node").alias("m"), "total"), "near-members")
+    top = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("m")))).where(F.col("rank") <= hubs).drop("rank")
+    heads = top(top(members.withColumn("part", F.pmod(F.xxhash64("m.node"), F.lit(HUB_PARTS))), "band", "part"), "band")
+    heads = materialize(heads.select("band", F.col("m").alias("h"), F.col("total").alias("t")), "near-heads")
     alike = F.least("t", "total") >= threshold * F.greatest("t", "total")
     pairs = materialize(members.join(heads, "band").where((F.col("m") < F.col("h")) & alike).select("h", "m").distinct(), "near-pairs")
-    pairs = pairs.select(F.col("h.node").alias("a"), F.col("h.doc_id").alias("ia"), F.col("m.node").alias("b"), F.col("m.doc_id").alias("ib"))
-    first, second = (vectors.select(F.col("node").alias(x), F.col("doc_id").alias(f"i{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
+    pairs = pairs.select(F.col("h.node").alias("a"), F.col("h.key").alias("ia"), F.col("m.node").alias("b"), F.col("m.key").alias("ib"))
+    first, second = (vectors.select(F.col("node").alias(x), F.col("key").alias(f"i{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
     checked = pairs.join(second, ["b", "ib"]).join(first, ["a", "ia"]).select("a", "b", similarity("va", "vb").alias("similarity"))
     return checked.where(F.col("similarity") >= threshold).dropDuplicates(["a", "b"])
 
@@ -288,7 +291,7 @@ def _rest_comparer(threshold: float):
 def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS, rows: int = REST_ROWS, weight: float = REST_WEIGHT) -> DataFrame | None:
     """Links (a, b, similarity, class_a, class_b) across classes (id, class_id of linked nodes) in the buckets that near_links doesn't compare whole; None if there are none to compare."""
     over = shared.where(F.col("n") > hubs + 1).join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class_node", F.coalesce("class_id", "node"))
-    over = materialize(over.select("band", "node", "doc_id", "total", "n", "class_node"), "near-over")
+    over = materialize(over.select("band", "node", "key", "total", "n", "class_node"), "near-over")
     by_class = over.groupBy("band", "class_node").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("t"))
     largest = by_class.groupBy("band").agg(F.max(F.struct("k", "class_node")).alias("most"), F.sum("k").alias("all"), F.max("t").alias("t")).where("most.k < all")
     of = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(weight) / F.greatest("t", F.lit(1))))).cast("int")
@@ -298,7 +301,7 @@ def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, thresh
     members = materialize(over.join(plan, "band").withColumn("outer", F.col("class_node") != F.col("inner")).drop("inner", "n"), "near-rest")
     if not members.limit(1).count():
         return None
-    full = members.hint("merge").join(vectors, ["node", "doc_id"])
+    full = members.hint("merge").join(vectors, ["node", "key"])
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = [F.col(c).alias(c) for c in ("band", "x", "y", "node", "class_node", "total", "vector")]  # of their own on either side
@@ -312,22 +315,32 @@ def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, thresh
     return materialize(found, "near-rest-links")
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
-    """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class), n_links (verified links of the text to other texts)."""
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def _node() -> Column:
+    """Half of the SHA-256 of a row's text; of a missing text that of its id."""
+    own_text = F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))))
+    return F.unhex(F.substring(F.sha2(own_text, 256), 1, 32))
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): the rows as (doc_id, key, node), and for each node its smallest key and doc_id, class_node (one node of the class) and class_id (its smallest doc_id)."""
     small_batches(docs.sparkSession)
-    own_text = F.coalesce("text", F.concat(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.substring(F.sha2(own_text, 256), 1, 32)).alias("node"))
+    docs = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), "text", _node().alias("node"))
     n_docs, size = text_totals(docs)
-    rows, blocks = blocked(docs.where("text IS NOT NULL AND doc_id IS NOT NULL"), size)
+    rows, blocks = blocked(docs.where("text IS NOT NULL"), size)
     answers = count_exchange(rows, blocks, _sender(blocks))
     sketches = materialize(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_sketcher(n_docs), SKETCH), "near-sketches")
-    own = materialize(docs.select("doc_id", "node"), "near-nodes")
-    firsts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    one = sketches.select("node", "doc_id", "total", "bands").join(firsts, ["node", "doc_id"]).dropDuplicates(["node"])
+    own = materialize(docs.select("doc_id", "key", "node"), "near-nodes")
+    firsts = own.groupBy("node").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id"))
+    one = sketches.select("node", "key", "total", "bands").join(firsts, ["node", "key"]).dropDuplicates(["node"])
     shared = shared_buckets(one)
     # Vectors of texts in shared buckets alone go into the joins below; a merge join, as the list of texts grows with the corpus.
-    wanted = shared.select("node", "doc_id").distinct().hint("merge")
-    vectors = materialize(sketches.select("node", "doc_id", "vector").join(wanted, ["node", "doc_id"], "left_semi"), "near-vectors")
+    wanted = shared.select("node", "key").distinct().hint("merge")
+    vectors = sketches.select("node", "key", "vector").join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+    vectors = materialize(vectors, "near-vectors")
     links = materialize(near_links(shared, vectors, threshold, hubs), "near-links")
     classes = components(links.select("a", "b"))
     rest = rest_links(shared, vectors, classes, threshold, hubs)
@@ -335,10 +348,25 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS
         joined = components(rest.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))).select(F.col("id").alias("class_id"), F.col("class_id").alias("joined"))
         ids = classes.select("id", "class_id").union(rest.select(F.explode(F.array("class_a", "class_b")).alias("id")).select("id", "id")).dropDuplicates(["id"])
         classes = ids.join(joined, "class_id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
-        links = links.select("a", "b").union(rest.select("a", "b"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    nodes = firsts.join(ends, "node", "left").join(classes.withColumnRenamed("id", "node"), "node", "left")
-    nodes = nodes.select("node", "doc_id", "n_links", F.coalesce("class_id", "node").alias("class_node"))
+    nodes = firsts.join(classes.withColumnRenamed("id", "node"), "node", "left").select("node", "key", "doc_id", F.coalesce("class_id", "node").alias("class_node"))
     least = nodes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-    nodes = nodes.join(least, "class_node").select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return own.join(nodes, "node").select("doc_id", "class_id", "n_links")
+    return own, nodes.join(least, "class_node")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
+    """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class) for each row."""
+    own, nodes = text_classes(docs, threshold, hubs)
+    return own.join(nodes.select("node", "class_id"), "node").select("doc_id", "class_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
+    """Of each class of docs the row of the smallest doc_id, of several texts with that id the first by hash, of repeated rows one; a class without ids keeps one row too. Columns as in docs."""
+    _, nodes = text_classes(docs, threshold, hubs)
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
+    first = nodes.groupBy("class_node").agg(F.min(order).alias("f")).select(F.col("f.node").alias("node"), F.coalesce("f.doc_id", F.lit(NO_ID)).alias("key"))
+    node, key = unused(docs, "_node", "_key")
+    keyed = docs.withColumns({node: _node(), key: _key()})
+    kept = keyed.join(first.select(F.col("node").alias(node), F.col("key").alias(key)), [node, key], "left_semi")
+    atomic = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
+    one = kept.groupBy(node, key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*atomic)).alias(node + "_row"))
+    return one.select(*[F.col(f"{node}_row")[c].alias(c) for c in docs.columns])

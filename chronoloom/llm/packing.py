@@ -5,14 +5,15 @@ are split without loss into whole rows and a remainder; remainders are put, long
 that still holds them. The tree has a leaf for every remaining capacity and finds the least sufficient one in
 log2(length) steps.
 
-Documents are dealt to groups of about GROUP_BYTES of text by a hash of doc_id and each group is packed by itself, so the result
-doesn't depend on the cluster and a task holds one group; at most a fraction of a row a group is lost to that.
+Documents are dealt to groups of about GROUP_BYTES of text by a hash of doc_id and text and each group is packed by itself, so the result
+doesn't depend on the cluster. A task holds one group, as there are as many tasks as groups up to MOST_TASKS; at most a fraction of a row a group is lost to that.
 
 Each output row has the ids as little-endian unsigned 32-bit (`ids`, padded to the row length with the end id), the
 cumulative segment lengths from 0 (`cu_seqlens`), the positions at which position ids start again (`resets`), and
 for each segment its document, its offset in the document's tokens and its length.
 
-Edge cases: a null or empty text is its end id alone; repeated rows are packed as rows of their own; a null doc_id stays null; an
+Edge cases: a null or empty text is its end id alone; repeated rows are packed as rows of their own (in one group); a null doc_id stays null; texts are
+tokenized whole, however long; ties of length go to the smaller id, then text. Only doc_id and text are read, whatever other columns there are. An
 empty table gives an empty result.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import text_totals
 
-ROW_LENGTH, GROUP_BYTES = 2048, 8 << 20
+ROW_LENGTH, GROUP_BYTES, MOST_TASKS = 2048, 8 << 20, 50_000
 VOCABULARY, END_ID = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50256
 # Fixed value: the pre-tokenizer pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,5 +127,6 @@ def _packer(path: str, row: int):
 def pack_documents(docs: DataFrame, path: str = VOCABULARY, row: int = ROW_LENGTH) -> DataFrame:
     """Packed rows (SCHEMA) of every text of docs. One shuffle of the texts, by group."""
     groups = max(1, -(-text_totals(docs)[1] // GROUP_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = dealt.repartition(min(groups, MOST_TASKS), "bucket")
     return dealt.groupBy("bucket").applyInPandas(_packer(path, row), SCHEMA)

@@ -24,7 +24,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_size")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_size", "mates_before", "mates_after")
 
 
 def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +46,9 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan_corpus(table(spark, sf_dir, "documents")))
 
 
-def sized_documents(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and quality weight."""
-    sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
-    return sizes.join(mixing.quality_weights(table(spark, sf_dir, "labels")), "doc_id", "left")
-
-
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_documents(sized_documents(spark, sf_dir, table(spark, sf_dir, "documents")))
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), F.round("target", 4).alias("target"), "taken")
+    mixed = mixing.mix_documents(mixing.sized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ every shard within its share (single documents give way later); cells move their
 whole or split cells, until the counts of all shards are at most one apart (law `rows`). Documents are then dealt to the
 cells of their group by rank, with ranks in two levels so that no task holds a group or a shard.
 
+The graph's edges are the pairs of equal texts: each row tells how many of its own end in its shard before and after. Texts are hashed whole; only
+doc_id and text are read, whatever other columns there are. Ties between a group's fullest shards are broken by a hash.
+
 Edge cases: null texts form a group of their own (8 bytes, CRC 0), empty texts another; repeated rows are rows of
 their own; null ids come first in a shard's slots; fewer rows than shards leave some shards empty; an empty table
 gives an empty result.
@@ -58,15 +61,18 @@ def transport(counts: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int, in
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
-    """doc_id and text of docs -> doc_id, size, text_crc32, shard, slot, group_size."""
+    """doc_id and text of docs -> doc_id, size, text_crc32, shard, slot, group_size, mates_before and mates_after (the other documents of the group that share
+    the document's shard by hash, and its shard in the end: group_size - 1 - mates are its cut edges)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     base = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), text), 256)).alias("_g")), "shard-base")
     n = base.count()
     buckets = max(64, min(65536, n // 20000))
-    cells = base.groupBy("_g", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    start = F.pmod(F.xxhash64("doc_id", "_g", F.lit(seed)), F.lit(shards)).cast("int")
+    cells = base.groupBy("_g", start.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     sizes = cells.groupBy("_g").agg(F.sum("_n").alias("group_size"))
     cells = materialize(cells.join(sizes, "_g"), "shard-cells")
+    started = cells
     single, linked = cells.where("group_size = 1"), cells.where("group_size > 1")
 
     def counts_of(df: DataFrame) -> np.ndarray:
@@ -122,18 +128,23 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, s
 
     # Each group's cells in one short array; documents go to them by rank in their group.
     homes = cells.groupBy("_g", "group_size").agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_cells"))
-    keyed = base.withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"))
+    keyed = base.withColumns({"_b": F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)).cast("int"), "_start": start})
     ranks = keyed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    starts = started.groupBy("_g").agg(F.collect_list(F.struct("_s", "_n")).alias("_starts"))
+    homes = homes.join(starts, "_g")
     ranks = ranks.select("_g", "_b", F.coalesce(F.sum("_k").over(W.partitionBy("_g").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o")).join(homes, "_g")
     placed = keyed.withColumn("_r", F.row_number().over(W.partitionBy("_g", "_b").orderBy("doc_id"))).join(ranks, ["_g", "_b"]).withColumn("_r", F.col("_o") + F.col("_r") - 1)
-    ends = F.aggregate("_cells", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("s")), lambda a, c: F.when((a["s"] < 0) & (F.col("_r") < a["sum"] + c["_n"]), F.struct(a["sum"].alias("sum"), c["_s"].alias("s"))).otherwise(F.struct((a["sum"] + c["_n"]).alias("sum"), a["s"].alias("s"))))
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "group_size", ends["s"].alias("shard")), "shard-placed")
+    ends = F.aggregate("_cells", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, c: F.when((a["s"] < 0) & (F.col("_r") < a["sum"] + c["_n"]), F.struct(a["sum"].alias("sum"), c["_s"].alias("s"), c["_n"].alias("n"))).otherwise(F.struct((a["sum"] + c["_n"]).alias("sum"), a["s"].alias("s"), a["n"].alias("n"))))
+    before = F.filter("_starts", lambda c: c["_s"] == F.col("_start"))[0]["_n"] - 1
+    placed = placed.select("doc_id", "size", "text_crc32", "group_size", ends.alias("_e"), before.alias("mates_before"))
+    placed = placed.select("doc_id", "size", "text_crc32", "group_size", F.col("_e.s").alias("shard"), "mates_before", (F.col("_e.n") - 1).alias("mates_after"))
+    placed = materialize(placed, "shard-placed")
     return with_slots(placed, "shard", buckets)
 
 
 def with_slots(rows: DataFrame, by: str, buckets: int) -> DataFrame:
     """A gapless slot from 0 within each shard: offsets of hash buckets (shards x buckets rows), then ranks within a bucket."""
-    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(buckets)).cast("int"))
+    keyed = rows.withColumn("_b", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int"))
     sums = keyed.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_k"))
     offsets = sums.select(by, "_b", F.coalesce(F.sum("_k").over(W.partitionBy(by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     ranked = keyed.withColumn("_r", F.row_number().over(W.partitionBy(by, "_b").orderBy("doc_id", "text_crc32")))

@@ -128,14 +128,22 @@ def test_broken_archives():
 
 
 def test_sharding(spark, docs, none):
-    many = spark.createDataFrame([(i, f"t{i}" if i % 3 else "same" if i % 2 else f"pair{i % 90}") for i in range(700)], "doc_id long, text string")
-    out = sharding.assign_shards(many).toPandas().merge(many.toPandas(), on="doc_id")
+    many = spark.createDataFrame([(i, f"t{i}" if i % 3 else "same" if i % 2 else f"pair{i % 90}") for i in range(700)] + [(None, "single"), (1007, "\u00e9"), (1008, None), (1009, "")], "doc_id long, text string")
+    out, rows = sharding.assign_shards(many).toPandas(), many.collect()
     sizes = out.groupby("shard").size()
-    assert len(out) == 700 and sizes.max() - sizes.min() <= 1 and len(sizes) == 24
+    assert len(out) == len(rows) and sizes.max() - sizes.min() <= 1 and len(sizes) == 24
     assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"])
-    pairs = out[out.text.str.startswith("pair")]
-    assert pairs.groupby("text")["shard"].agg(lambda s: s.value_counts().iloc[0]).sum() > 0.8 * len(pairs)
-    assert out[out.text == "same"]["shard"].nunique() < 24
+    # Sizes, checksums and groups by brute force; edges are the pairs of equal texts.
+    groups = Counter(r["text"] for r in rows)
+    one = lambda t: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), groups[t])
+    plain = lambda rs: sorted((-1 if i is None or i != i else int(i), *r) for i, *r in rs)
+    assert plain(out[["doc_id", "size", "text_crc32", "group_size"]].itertuples(index=False, name=None)) == plain((r["doc_id"], *one(r["text"])) for r in rows)
+    whole = out[out.doc_id < 700].merge(pd.DataFrame(rows, columns=["doc_id", "text"]), on="doc_id")
+    pairs, same = whole[whole.text.str.startswith("pair")], whole[whole.text == "same"]
+    together = same.groupby("shard")["shard"].transform("size") - 1
+    assert (same.mates_after == together).all() and same["shard"].nunique() < 24
+    assert pairs.mates_after.sum() > 0.8 * (pairs.group_size - 1).sum() and pairs.mates_before.sum() < 0.2 * (pairs.group_size - 1).sum()
+    assert (out[out.group_size == 1][["mates_before", "mates_after"]] == 0).all().all()
     small = sharding.assign_shards(docs).toPandas()
     assert len(small) == len(ROWS) and small.groupby("shard").size().max() == 1
     assert sharding.assign_shards(none).count() == 0
@@ -289,15 +297,30 @@ def test_secrets_copied_within_one_owner(spark):
     assert {(r["n_live"], r["most_owners"]) for r in both.collect()} == {(0, 2)}
 
 
-def test_mixing(docs, none):
-    sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.lit(None).cast("double").alias("weight"), F.col("score").alias("target"))
+def test_mixing(spark, docs, none):
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (3, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    sized = mixing.sized(docs, labels, F.col("score").alias("target"))
     out = mixing.mix_documents(sized).toPandas()
     assert len(out) == len(ROWS) and (out.taken <= 2 * out["size"]).all()
     for _, g in out.groupby(out.source.fillna("~")):
         assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 and g.target.iloc[0] <= 2 * g["size"].sum() + 1e-9
     assert out.groupby(out.source.fillna("~")).target.first().sum() == pytest.approx(1.5 * out["size"].sum())
     assert sorted(out.taken) == sorted(mixing.mix_documents(sized.repartition(5)).toPandas().taken)
-    assert mixing.mix_documents(none.withColumn("size", F.lit(1)).withColumn("weight", F.lit(1.0))).count() == 0
+    assert mixing.mix_documents(mixing.sized(none, labels)).count() == 0
+
+
+def test_mixing_equals_its_sql(spark, docs):
+    """Ids that are missing or repeated, a source that is missing, sources that stop at twice their size, an empty source."""
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()] + [(50 + i, "a b c " * (i % 5), "big" if i else "nought") for i in range(40)]
+    labels = [(0, 1), (0, 0), (3, 0), (None, 1), (51, 1), (52, None)]
+    frame, marks = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = mixing.mix_documents(mixing.sized(frame, marks)).select("doc_id", "size", F.col("source_size").cast("long"), "target", "taken").toPandas()
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    duck.register("labels", pd.DataFrame(labels, columns=["doc_id", "quality"]).astype("Int64"))
+    want = duck.execute(mixing.ORACLE).df()
+    plain = lambda df: sorted(tuple(r) for r in df[sorted(want)].astype(float).fillna(-1).itertuples(index=False))
+    assert sorted(got) == sorted(want) and plain(got) == plain(want)
 
 
 def test_decontamination(spark, docs, none):
@@ -322,6 +345,62 @@ def test_sampling_estimates_weighted_jaccard():
     assert (drawn[0] == drawn[1]).mean() == pytest.approx(neardup.weighted_jaccard(a, b), abs=0.04)
 
 
+def slow_classes(rows, threshold=neardup.THRESHOLD):
+    """Class ids by comparing all texts with all: integer weights from dictionaries, links of at least the threshold, connected texts."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    df = Counter(w for _, t in rows for w in set(words(t)))
+    idf = {w: int(np.rint(neardup.IDF_STEPS * np.log1p(len(rows) / c))) for w, c in df.items()}
+    vectors = {}
+    for _, t in rows:
+        ws = words(t)
+        v = vectors.setdefault(t, Counter()) if ws and t not in vectors else Counter()
+        for i in range(max(len(ws) - neardup.SHINGLE + 1, 1)):
+            v[tuple(ws[i : i + neardup.SHINGLE])] += sum(idf[w] for w in ws[i : i + neardup.SHINGLE])
+    texts, root = sorted(vectors), {}
+    find = lambda x: x if root.get(x, x) == x else find(root[x])
+    total = {t: sum(v.values()) for t, v in vectors.items()}
+    linked = 0
+    for k, a in enumerate(texts):
+        for b in texts[:k]:
+            less = sum((vectors[a] & vectors[b]).values())
+            if less >= threshold * (total[a] + total[b] - less):
+                linked += 1
+                root[find(a)] = find(b)
+    name = lambda i, t: (None, i) if t is None else find(t)
+    ids = {}
+    for i, t in rows:
+        if i is not None:
+            ids[name(i, t)] = min(i, ids.get(name(i, t), i))
+    return [(i, ids.get(name(i, t))) for i, t in rows], linked
+
+
+def class_rows(df):
+    return sorted((str(r["doc_id"]), str(r["class_id"])) for r in df.collect())
+
+
+def test_classes_of_documents_by_brute_force(spark):
+    """All pairs of the smallest table: the bands lose no class of texts at the threshold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want, _ = slow_classes([tuple(r) for r in docs.collect()])
+    assert class_rows(neardup.near_classes(docs)) == sorted((str(a), str(b)) for a, b in want)
+
+
+def test_classes_by_brute_force(spark):
+    """Near copies of 1 to 8 edits on both sides of the threshold, ids that are missing or repeated, short, empty and missing texts."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(60):
+        base = rng.choice(VOCAB, 130)
+        rows.append((3 * k, " ".join(base)))
+        copy = base.copy()
+        copy[rng.integers(0, 130, k % 8 + 1)] = [f"edit{k}x{j}" for j in range(k % 8 + 1)]
+        rows.append((3 * k + 1 if k % 7 else None, " ".join(copy)))
+    rows += [(500, rows[0][1]), (500, "other text of the same id"), (None, rows[4][1]), (None, "nowhere else"), (501, "two words"), (None, "Two  words"), (502, "two words"), (503, ""), (504, ""), (505, None), (505, None), (506, None), (507, "--"), (None, None), (None, None)]
+    want, linked = slow_classes(rows)
+    assert 15 < linked < 45
+    got = class_rows(neardup.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    assert got == sorted((str(a), str(b)) for a, b in want)
+
+
 def test_near_duplicates(docs, none, spark):
     out = neardup.near_classes(docs).toPandas()
     assert len(out) == len(ROWS)
@@ -334,6 +413,18 @@ def test_near_duplicates(docs, none, spark):
     assert neardup.near_classes(none).count() == 0
 
 
+def test_one_row_of_a_class_stays(spark, none):
+    """By row, not by id: texts of one id are told apart, exact copies go whatever their ids, repeated rows leave one; columns of any name stay as they are."""
+    a, b, c, d = prose(30), prose(30), prose(30), prose(30)
+    rows = [(1, a), (3, a), (3, b), (7, c), (7, d), (None, c), (None, "no id"), (None, "no id"), (9, b), (4, None), (4, None), (5, None), (6, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, k, f"n{k}", {"k": k}) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _n long, _node string, _key map<string, long>")
+    kept = neardup.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (3, b), (7, c), (7, d), (None, "no id"), (4, None), (5, None), (6, "")], key=str)
+    assert all(r["_node"] == f"n{r['_n']}" and r["_key"] == {"k": r["_n"]} and rows[r["_n"]] == (r["doc_id"], r["text"]) for r in kept.collect())
+    assert neardup.keep_one(none).count() == 0
+
+
 def test_common_weights_of_blocks():
     vectors = []
     for _ in range(40):
