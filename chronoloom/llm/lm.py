@@ -18,7 +18,7 @@ that never occurs is taken for another that does with a probability of about one
 Edge cases: a null or empty text is its end token alone; unknown words get the mass of an unseen token; a null doc_id is in
 training; repeated rows are counted and scored as rows of their own, with equal results; without any training token every probability
 is 1/1 of the single unknown token, so scores are 0. Texts are read whole, however long. Only doc_id, text and the columns of
-held_out are read, whatever others there are. An empty table gives an empty result.
+held_out are read, whatever others there are. Scores are rounded to 6 decimals. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ def _scorer(total: int, distinct: int, starts: int, masses: tuple[float, ...], b
         base = np.log10((counts[0].astype(np.float64) + 1) / (total + distinct + 1))
         add = lambda x: np.add.reduceat(x, np.cumsum(grams.count) - grams.count)
         return pd.DataFrame(
-            {"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]), "score": machine.scores(grams)}
+            {"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]).round(6), "score": machine.scores(grams).round(6)}
         )
 
     return score
@@ -171,3 +171,30 @@ def score_corpus(docs: DataFrame, held_out, masses: tuple[float, ...] = MASSES)
     answers = count_exchange(rows, blocks, _sender(blocks, len(masses) + 1, bits), "lm-counts")
     total, distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(int(total), int(distinct), starts, masses, bits), SCHEMA)
+
+
+#: CRC-32 of a short ASCII string, bit by bit.
+_CRC = "xor(4294967295::UBIGINT, list_reduce(list_transform(range(1, len(s) + 1), lambda i: ascii(s[i])::UBIGINT), lambda a, b: list_reduce(range(0, 8)::UBIGINT[], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END, xor(a, b)), 4294967295::UBIGINT))"
+#: score_corpus() over documents, without the rows whose crc32(doc_id) mod 7 is 2 in training: the recurrence over tables of counts. ' b' and ' e' are no words.
+ORACLE = rf"""
+WITH ids AS (SELECT s, {_CRC} % 7 = 2 AS held FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(held, FALSE) AS held,
+         list_concat([' b'], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), [' e']) AS ws
+  FROM documents LEFT JOIN ids ON s = CAST(doc_id AS VARCHAR)
+), tok AS (SELECT r, held, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d
+), seq AS (SELECT r, held, i, w, lag(w) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM tok WINDOW o AS (PARTITION BY r ORDER BY i)
+), c1 AS (SELECT w, count(*) AS c FROM tok WHERE NOT held GROUP BY 1
+), c2 AS (SELECT w1, w, count(*) AS c FROM seq WHERE NOT held AND i >= 2 GROUP BY 1, 2
+), c3 AS (SELECT w2, w1, w, count(*) AS c FROM seq WHERE NOT held AND i >= 3 GROUP BY 1, 2, 3
+), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c1 WHERE w <> ' b'
+), p AS (
+  SELECT r, i, coalesce(u.c, 0) > 0 AS known, n, (coalesce(u.c, 0) + 1) / (n + v + 1) AS p1, coalesce(h.c, 0) AS h1, coalesce(b.c, 0) AS b, coalesce(hh.c, 0) AS h2, coalesce(t.c, 0) AS t
+  FROM seq CROSS JOIN n LEFT JOIN c1 u USING (w) LEFT JOIN c1 h ON h.w = seq.w1 LEFT JOIN c2 b ON b.w1 = seq.w1 AND b.w = seq.w LEFT JOIN c2 hh ON hh.w1 = seq.w2 AND hh.w = seq.w1
+       LEFT JOIN c3 t ON t.w2 = seq.w2 AND t.w1 = seq.w1 AND t.w = seq.w WHERE i >= 2
+), q AS (SELECT *, (b + {MASSES[0]} * p1) / (h1 + {MASSES[0]}) AS p2 FROM p
+), sums AS (
+  SELECT r, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, max(n) AS n, sum(log10(p1)) AS base, sum(log10(CASE WHEN i >= 3 THEN (t + {MASSES[1]} * p2) / (h2 + {MASSES[1]}) ELSE p2 END)) AS score FROM q GROUP BY 1
+)
+SELECT doc_id, held AS held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN sums USING (r)
+"""

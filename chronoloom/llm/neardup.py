@@ -12,7 +12,7 @@ from just the part that copies share and put it on their edits, and large groups
    shares more bands with its copies than they do with each other and stands highest. In each bucket the HUBS highest are compared with
    all members: every pair of a bucket of up to HUBS + 1, and a number of pairs in proportion to the members of a
    larger one. The highest are found in two levels, within parts of a bucket and then among those of its parts, so that no task
-   holds a bucket; their join with the members is written at once, so Spark can split a bucket that is large. A pair counts if
+   holds a bucket, and meet its members in parts of PART_ROWS. A pair counts if
    the weighted Jaccard similarity of the two whole vectors is at least THRESHOLD; pairs whose total weights rule that out aren't compared.
 4. Classes are connected components by minimum labels with pointer jumping.
 5. In a bucket of more than HUBS + 1, members outside its largest class are compared, in blocks of bounded size, with all
@@ -39,7 +39,7 @@ from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
-HUB_PARTS = 16  # of a bucket, in which its highest members are found first
+HUB_PARTS, PART_ROWS = 16, 512  # parts of a bucket in which its highest members are found first; members of a part that meets them
 NO_ID = -(1 << 63)  # stands for a missing doc_id in keys of joins
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
@@ -219,12 +219,14 @@ def shared_buckets(sketches: DataFrame) -> DataFrame:
 def near_links(shared: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
     """Verified links (a, b, similarity) between nodes: shared from shared_buckets, vectors has the vector of each (node, key)."""
     standing = shared.groupBy("node").agg(F.sum("n").alias("standing"))
-    members = materialize(shared.join(standing, "node").select("band", F.struct("standing", "key", "node").alias("m"), "total"), "near-members")
+    members = materialize(shared.join(standing, "node").select("band", "n", F.struct("standing", "key", "node").alias("m"), "total"), "near-members")
     top = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("m")))).where(F.col("rank") <= hubs).drop("rank")
     heads = top(top(members.withColumn("part", F.pmod(F.xxhash64("m.node"), F.lit(HUB_PARTS))), "band", "part"), "band")
-    heads = materialize(heads.select("band", F.col("m").alias("h"), F.col("total").alias("t")), "near-heads")
+    parts = F.ceil(F.col("n") / PART_ROWS)
+    heads = materialize(heads.select("band", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("m").alias("h"), F.col("total").alias("t")), "near-heads")
+    members = members.select("band", F.pmod(F.xxhash64("m.node"), parts).alias("part"), "m", "total")
     alike = F.least("t", "total") >= threshold * F.greatest("t", "total")
-    pairs = materialize(members.join(heads, "band").where((F.col("m") < F.col("h")) & alike).select("h", "m").distinct(), "near-pairs")
+    pairs = materialize(members.join(heads, ["band", "part"]).where((F.col("m") < F.col("h")) & alike).select("h", "m").distinct(), "near-pairs")
     pairs = pairs.select(F.col("h.node").alias("a"), F.col("h.key").alias("ia"), F.col("m.node").alias("b"), F.col("m.key").alias("ib"))
     first, second = (vectors.select(F.col("node").alias(x), F.col("key").alias(f"i{x}"), F.col("vector").alias(f"v{x}")) for x in "ab")
     checked = pairs.join(second, ["b", "ib"]).join(first, ["a", "ia"]).select("a", "b", similarity("va", "vb").alias("similarity"))
@@ -370,3 +372,24 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) ->
     atomic = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     one = kept.groupBy(node, key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*atomic)).alias(node + "_row"))
     return one.select(*[F.col(f"{node}_row")[c].alias(c) for c in docs.columns])
+
+
+#: near_classes() over documents: all pairs that share a shingle, their similarity from whole vectors, connected texts.
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT dense_rank() OVER (ORDER BY text) AS g, text, w FROM (SELECT text, any_value(w) AS w FROM d WHERE text IS NOT NULL GROUP BY 1)
+), idf AS (SELECT term, CAST(round_even({IDF_STEPS} * ln(1 + n / df), 0) AS BIGINT) AS idf FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(w) AS term FROM d) GROUP BY 1), (SELECT count(*)::DOUBLE AS n FROM d)
+), tok AS (SELECT g, n, i, term, idf FROM (SELECT g, len(w) AS n, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM t) JOIN idf USING (term)
+), sh AS (
+  SELECT g, n, i, sum(idf) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN CURRENT ROW AND {SHINGLE - 1} FOLLOWING) AS m, concat_ws(' ', term, {", ".join(f"lead(term, {k}) OVER (PARTITION BY g ORDER BY i)" for k in range(1, SHINGLE))}) AS k FROM tok
+), v AS (SELECT g, k, sum(m) AS m FROM sh WHERE i <= greatest(n - {SHINGLE - 1}, 1) GROUP BY 1, 2
+), total AS (SELECT g, sum(m) AS m FROM v GROUP BY 1
+), pairs AS (SELECT a.g AS x, b.g AS y, sum(least(a.m, b.m))::DOUBLE AS s FROM v a JOIN v b ON a.k = b.k AND a.g < b.g GROUP BY 1, 2
+), links AS (SELECT x, y FROM pairs JOIN total p ON p.g = x JOIN total q ON q.g = y WHERE s / (p.m + q.m - s) >= {THRESHOLD}
+), edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (SELECT g AS a, g AS b FROM t UNION SELECT a, y FROM reach JOIN edges ON b = x
+), class AS (SELECT a AS g, min(b) AS c FROM reach GROUP BY 1
+), named AS (SELECT d.*, c FROM d LEFT JOIN t USING (text) LEFT JOIN class USING (g))
+SELECT doc_id, CASE WHEN c IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY c) END AS class_id FROM named
+"""

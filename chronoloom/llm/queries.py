@@ -63,4 +63,4 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup)}
-ORACLES = {"op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE}
+ORACLES = {"op3_warc": warc.ORACLE, "op5_backoff": lm.ORACLE, "op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE, "op10_neardup": neardup.ORACLE}

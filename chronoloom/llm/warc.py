@@ -216,3 +216,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     small_batches(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInPandas(_read, RECORD)
+
+
+#: write_archives() and read_archives() over pages: digests as base32 from hexadecimal, 20 bits at a time.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(h, CAST(5 * (k // 4) + 1 AS INT), 5))::BIGINT >> CAST(5 * (3 - k % 4) AS BIGINT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
+FROM p
+"""
