@@ -76,7 +76,7 @@ def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1
 
 
 def dtw_paths(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2") -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distances and warping paths, arrays of 0-based (i, j) from the start; ties prefer the diagonal, then j - 1."""
+    """Distances and warping paths, arrays of 0-based (i, j) from the start; ties prefer the diagonal, then j - 1. A pair that the band keeps apart is at an infinite distance and has an empty path."""
     s, power = {"symmetric1": 1.0, "symmetric2": 2.0}[step], {"L1": 1, "L2": 2}[norm]
     b, nx, ny = len(x), x.shape[1], y.shape[1]
     allowed = _band(nx, ny, window)
@@ -94,16 +94,16 @@ def dtw_paths(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str
         move[:, i, j] = best
         d[:, i + 1, j + 1] = np.where(allowed[i, j], options.min(0), np.inf)
     dist = d[:, nx, ny]
-    paths = []
-    for p in range(b):
-        i, j, path = nx - 1, ny - 1, []
-        while True:
-            path.append((i, j))
-            if i == 0 and j == 0:
-                break
-            m = move[p, i, j]
-            i, j = i - (m != 1), j - (m != 2)
-        paths.append(np.array(path[::-1]))
+    # All pairs walk back in step; steps[k] has each pair's place after k moves.
+    at = np.tile([nx - 1, ny - 1], (b, 1))
+    steps, rows = [at.copy()], np.arange(b)
+    for _ in range(nx + ny - 2):
+        m = move[rows, at[:, 0], at[:, 1]]
+        at = np.maximum(at - np.stack([m != 1, m != 2], 1), 0)
+        steps.append(at.copy())
+    steps = np.array(steps)
+    n = 1 + (steps.sum(2) > 0).sum(0)
+    paths = [steps[: n[p], p][::-1] if np.isfinite(dist[p]) else np.zeros((0, 2), int) for p in range(b)]
     return np.sqrt(dist) if norm == "L2" else dist, paths
 
 
@@ -122,28 +122,32 @@ def sdtw(x: np.ndarray, y: np.ndarray, gamma: float = 0.01) -> np.ndarray:
         return _sweep(x, y, lambda c: c, combine, np.inf, np.ones((x.shape[1], y.shape[1]), bool), 2)
 
 
-def sdtw_gradient(x: np.ndarray, y: np.ndarray, gamma: float) -> tuple[float, np.ndarray]:
-    """Soft-DTW of one pair and its gradient by x."""
-    x, y = (v[:, None] if v.ndim == 1 else v for v in (x, y))
-    n, m = len(x), len(y)
-    cost = ((x[:, None] - y[None]) ** 2).sum(2)
-    r = np.full((n + 2, m + 2), np.inf)
-    r[0, 0] = 0
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            r[i, j] = cost[i - 1, j - 1] + _softmin(r[i - 1, j - 1], r[i, j - 1], r[i - 1, j], gamma)
-    value = r[n, m]
-    r[:, m + 1] = r[n + 1, :] = -np.inf
-    r[n + 1, m + 1] = value
-    c = np.zeros((n + 2, m + 2))
-    c[1 : n + 1, 1 : m + 1] = cost
-    e = np.zeros((n + 2, m + 2))
-    e[n + 1, m + 1] = 1
-    for j in range(m, 0, -1):
-        for i in range(n, 0, -1):
-            e[i, j] = sum(np.exp((r[a, b] - r[i, j] - c[a, b]) / gamma) * e[a, b] for a, b in ((i + 1, j), (i, j + 1), (i + 1, j + 1)))
-    e = e[1 : n + 1, 1 : m + 1]
-    return float(value), 2 * (e.sum(1)[:, None] * x - e @ y)
+def sdtw_gradients(z: np.ndarray, x: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Soft-DTW of z (time[, variables]) with each of x (series, time[, variables]), and the gradients by z: both passes by anti-diagonals."""
+    if gamma <= 0:
+        raise ValueError("gamma must be positive.")
+    shape = z.shape
+    z, x = z.reshape(len(z), -1), x.reshape(len(x), x.shape[1], -1)
+    b, n, m = len(x), len(z), x.shape[1]
+    cost = np.zeros((b, n + 2, m + 2))
+    cost[:, 1 : n + 1, 1 : m + 1] = ((z[None, :, None] - x[:, None]) ** 2).sum(3)
+    r = np.full((b, n + 2, m + 2), np.inf)
+    r[:, 0, 0] = 0
+    places = [np.arange(max(1, k - m), min(n, k - 1) + 1) for k in range(2, n + m + 1)]  # i of each anti-diagonal, j = k - i
+    with np.errstate(over="ignore"):
+        for k, i in enumerate(places, 2):
+            j = k - i
+            r[:, i, j] = cost[:, i, j] + _softmin(r[:, i - 1, j - 1], r[:, i, j - 1], r[:, i - 1, j], gamma)
+    value = r[:, n, m].copy()
+    r[:, :, m + 1] = r[:, n + 1, :] = -np.inf
+    r[:, n + 1, m + 1] = value
+    e = np.zeros((b, n + 2, m + 2))
+    e[:, n + 1, m + 1] = 1
+    for k, i in reversed(list(enumerate(places, 2))):
+        j = k - i
+        e[:, i, j] = sum(np.exp((r[:, p, q] - r[:, i, j] - cost[:, p, q]) / gamma) * e[:, p, q] for p, q in ((i + 1, j), (i, j + 1), (i + 1, j + 1)))
+    e = e[:, 1 : n + 1, 1 : m + 1]
+    return value, (2 * (e.sum(2)[:, :, None] * z - e @ x)).reshape(b, *shape)
 
 
 def log_gak(x: np.ndarray, y: np.ndarray, sigma: float, window: int | None = None) -> np.ndarray:
@@ -168,24 +172,48 @@ def log_gak(x: np.ndarray, y: np.ndarray, sigma: float, window: int | None = Non
     return _sweep(x, y, lambda c: kernel(c, zero, zero), combine, NEVER, allowed, 2)
 
 
-def ncc(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cross-correlations at lags -(ny - 1)..nx - 1 over the product of the norms; 0 norms give 0."""
+def gak_self(x: np.ndarray, other: int, sigma: float, window: int | None = None) -> dict[str, np.ndarray]:
+    return {"own": log_gak(x, x, sigma, window)}
+
+
+def gak(x: np.ndarray, y: np.ndarray, sigma: float, window: int | None = None, x_own: np.ndarray | None = None, y_own: np.ndarray | None = None) -> np.ndarray:
+    """1 - exp(L(x, y) - (L(x, x) + L(y, y)) / 2) of the logarithms of the kernel; each series' own term may be given."""
+    x_own, y_own = (gak_self(v, 0, sigma, window)["own"] if own is None else own for v, own in ((x, x_own), (y, y_own)))
+    return 1 - np.exp(log_gak(x, y, sigma, window) - (x_own + y_own) / 2)
+
+
+def _z(x: np.ndarray) -> np.ndarray:
+    sd = x.std(1, ddof=1, keepdims=True) if x.shape[1] > 1 else np.zeros((len(x), 1))
+    return np.where(sd > 0, (x - x.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1), 0.0)
+
+
+def spectrum(x: np.ndarray, other: int, znorm: bool = False) -> dict[str, np.ndarray]:
+    """Transforms of rows of series that meet series of the length `other`, and their norms."""
+    x = _z(x) if znorm else x
+    size = 1 << max(x.shape[1] + other - 2, 1).bit_length()
+    return {"spectrum": np.fft.rfft(x, size), "norm": np.linalg.norm(x, axis=1)}
+
+
+def ncc(x: np.ndarray, y: np.ndarray, znorm: bool = False, **known: np.ndarray) -> np.ndarray:
+    """Cross-correlations at lags -(ny - 1)..nx - 1 over the product of the norms; 0 norms give 0. known: x_ and y_ parts of spectrum()."""
     nx, ny = x.shape[1], y.shape[1]
-    size = 1 << (nx + ny - 2).bit_length() if nx + ny > 2 else 2
-    c = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
+    if not known:
+        known = {f"{s}_{k}": v for s, a, b in (("x", x, y), ("y", y, x)) for k, v in spectrum(a, b.shape[1], znorm).items()}
+    size = 2 * (known["x_spectrum"].shape[1] - 1)
+    c = np.fft.irfft(known["x_spectrum"] * np.conj(known["y_spectrum"]), size)
     c = np.hstack([c[:, size - ny + 1 :], c[:, :nx]]) if ny > 1 else c[:, :nx]
-    norm = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+    norm = known["x_norm"] * known["y_norm"]
     return np.where(norm[:, None] > 0, c / np.maximum(norm, 1e-300)[:, None], 0.0)
 
 
-def sbd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """1 - the greatest normalized cross-correlation, within [0, 2]; 1 if either norm is 0."""
-    return 1 - ncc(x, y).max(1)
+def sbd(x: np.ndarray, y: np.ndarray, znorm: bool = False, **known: np.ndarray) -> np.ndarray:
+    """1 - the greatest normalized cross-correlation, within [0, 2]; 1 if either norm is 0. znorm: of z-scored series."""
+    return 1 - ncc(x, y, znorm, **known).max(1)
 
 
-def sbd_shift(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+def sbd_shift(x: np.ndarray, y: np.ndarray, znorm: bool = False) -> tuple[float, np.ndarray]:
     """The distance of one pair, and y shifted to the best lag and cut or filled with zeros to x's length."""
-    c = ncc(x[None], y[None])[0]
+    c = ncc(x[None], y[None], znorm)[0]
     lag = int(c.argmax()) - (len(y) - 1)
     moved = np.r_[np.zeros(max(lag, 0)), y[max(-lag, 0) :]][: len(x)]
     return 1 - float(c.max()), np.r_[moved, np.zeros(len(x) - len(moved))]
@@ -202,33 +230,71 @@ def _excess(x, low, up, norm):
     return e.sum(1) if norm == "L1" else (e * e).sum(1)
 
 
-def lb_keogh(x: np.ndarray, y: np.ndarray, window: int, norm: str = "L1", force_symmetry: bool = False) -> np.ndarray:
-    """How far x lies outside y's envelope; force_symmetry: the greater of both directions."""
-    out = _excess(x, *envelope(y, window), norm)
-    out = np.maximum(out, _excess(y, *envelope(x, window), norm)) if force_symmetry else out
+def envelopes(x: np.ndarray, other: int, window: int, norm: str = "L1", force_symmetry: bool = False) -> dict[str, np.ndarray]:
+    low, up = envelope(x, window)
+    return {"low": low, "up": up}
+
+
+def _sides(x, y, window, known):
+    """Both series with their envelopes: given, or computed."""
+    if not known:
+        known = {f"{s}_{k}": v for s, a in (("x", x), ("y", y)) for k, v in envelopes(a, 0, window).items()}
+    return (x, known.get("x_low"), known.get("x_up")), (y, known["y_low"], known["y_up"])
+
+
+def lb_keogh(x: np.ndarray, y: np.ndarray, window: int, norm: str = "L1", force_symmetry: bool = False, **known: np.ndarray) -> np.ndarray:
+    """How far x lies outside y's envelope; force_symmetry: the greater of both directions. known: y_low and y_up (and x's) from envelopes()."""
+    p, q = _sides(x, y, window, known)
+    out = _excess(x, *q[1:], norm)
+    out = np.maximum(out, _excess(y, *p[1:], norm)) if force_symmetry else out
     return out if norm == "L1" else np.sqrt(out)
 
 
-def lb_improved(x: np.ndarray, y: np.ndarray, window: int, norm: str = "L1", force_symmetry: bool = False) -> np.ndarray:
+def lb_improved(x: np.ndarray, y: np.ndarray, window: int, norm: str = "L1", force_symmetry: bool = False, **known: np.ndarray) -> np.ndarray:
     """lb_keogh plus how far y lies outside the envelope of x clamped to y's envelope."""
+    p, q = _sides(x, y, window, known)
 
-    def one(x, y):
-        low, up = envelope(y, window)
-        return _excess(x, low, up, norm) + _excess(y, *envelope(np.clip(x, low, up), window), norm)
+    def one(p, q):
+        return _excess(p[0], *q[1:], norm) + _excess(q[0], *envelope(np.clip(p[0], *q[1:]), window), norm)
 
-    out = np.maximum(one(x, y), one(y, x)) if force_symmetry else one(x, y)
+    out = np.maximum(one(p, q), one(q, p)) if force_symmetry else one(p, q)
     return out if norm == "L1" else np.sqrt(out)
 
 
+def dense(series: list) -> np.ndarray:
+    """Equally long series (of arrays, or of arrays of a point's variables) as one array."""
+    return np.stack([np.stack(r) if getattr(r, "dtype", None) == object else np.asarray(r, float) for r in series])
+
+
+def by_length(series: list) -> dict[int, np.ndarray]:
+    """Positions of the series of each length."""
+    sizes = np.fromiter(map(len, series), np.int64, len(series))
+    return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+
+
 def in_batches(kernel, x: list, y: list, most: int = 2048) -> np.ndarray:
     """kernel over pairs of arrays of any lengths: pairs of equal shapes are stacked."""
     groups: dict[tuple[int, int], list[int]] = {}
     for k, (a, b) in enumerate(zip(x, y, strict=True)):
         groups.setdefault((len(a), len(b)), []).append(k)
     out = np.empty(len(x))
-    dense = lambda v: np.stack([np.stack(r) if getattr(r, "dtype", None) == object else np.asarray(r, float) for r in v])
     for rows in groups.values():
         for at in range(0, len(rows), most):
             part = rows[at : at + most]
             out[part] = kernel(dense([x[k] for k in part]), dense([y[k] for k in part]))
     return out
+
+
+def of_blocks(kernel, x: list, y: list, wanted: np.ndarray, prepare=None, most: int = 4096) -> np.ndarray:
+    """kernel for the wanted (x, y) pairs of two blocks; what prepare(stack, other length) gives of each series is computed once and passed on."""
+    out = np.full(wanted.shape, np.nan)
+    left, right = ({n: (at, dense([v[k] for k in at])) for n, at in by_length(v).items()} for v in (x, y))
+    for n, (p, a) in left.items():
+        for m, (q, b) in right.items():
+            i, j = np.nonzero(wanted[np.ix_(p, q)])
+            own = [prepare(v, w) if prepare and len(i) else {} for v, w in ((a, m), (b, n))]
+            for at in range(0, len(i), most):
+                s, t = i[at : at + most], j[at : at + most]
+                known = {f"x_{k}": v[s] for k, v in own[0].items()} | {f"y_{k}": v[t] for k, v in own[1].items()}
+                out[p[s], q[t]] = kernel(a[s], b[t], **known)
+    return out

@@ -6,16 +6,31 @@ from pyspark.sql import Column, functions as F
 
 
 def total(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    """A sum with compensation for what single additions lose."""
+
+    def add(a: Column, v: Column) -> Column:
+        t = a["s"] + v
+        lost = F.when(F.abs(a["s"]) >= F.abs(v), (a["s"] - t) + v).otherwise((v - t) + a["s"])
+        return F.struct(t.alias("s"), (a["c"] + lost).alias("c"))
+
+    return F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c")), add, lambda a: a["s"] + a["c"])
+
+
+def once(value: Column, f) -> Column:
+    """f(value) with value computed once a row, however often f uses it: within a lambda it would be computed for each point."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def mean(x: Column) -> Column:
     return total(x) / F.size(x)
 
 
+def _squares(x: Column, m: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+
+
 def sample_sd(x: Column) -> Column:
-    m = mean(x)
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size(x) - 1))
+    return once(mean(x), lambda m: F.sqrt(_squares(x, m) / (F.size(x) - 1)))
 
 
 def l2norm(x: Column) -> Column:
@@ -24,15 +39,22 @@ def l2norm(x: Column) -> Column:
 
 def zscore(x: Column, center: bool = True, scale: bool = True) -> Column:
     """(x - mean) / sample deviation; a constant series gives zeros. Without centering, the scale is the root mean square over n - 1."""
-    m = mean(x) if center else F.lit(0.0)
-    s = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size(x) - 1)) if scale else F.lit(1.0)
-    both = F.array(F.struct(m.alias("m"), s.alias("s")))  # computed once a row, not once a point
-    return F.flatten(F.transform(both, lambda p: F.transform(x, lambda v: F.when((p["s"] > 0) & ~F.isnan(p["s"]), (v - p["m"]) / p["s"]).otherwise(F.lit(0.0)))))
 
+    def scaled(m: Column) -> Column:
+        s = F.sqrt(_squares(x, m) / (F.size(x) - 1)) if scale else F.lit(1.0)
+        return once(s, lambda s: F.transform(x, lambda v: F.when((s > 0) & ~F.isnan(s), (v - m) / s).otherwise(F.lit(0.0))))
 
-def zscore_multivariate(x: Column, n_vars: int) -> Column:
-    """Each variable by itself."""
-    cols = [zscore(F.transform(x, lambda r, k=k: r[k])) for k in range(n_vars)]
+    return once(mean(x) if center else F.lit(0.0), scaled)
+
+
+def zscore_parameters(x: Column, center: bool = True, scale: bool = True) -> Column:
+    """What zscore() subtracts and divides by, as a struct (center, scale)."""
+    return once(mean(x) if center else F.lit(0.0), lambda m: F.struct(m.alias("center"), (F.sqrt(_squares(x, m) / (F.size(x) - 1)) if scale else F.lit(1.0)).alias("scale")))
+
+
+def by_variable(x: Column, n_vars: int, f) -> Column:
+    """f of each variable of a multivariate series by itself."""
+    cols = [f(F.transform(x, lambda r, k=k: r[k])) for k in range(n_vars)]
     return F.transform(F.arrays_zip(*[c.alias(f"v{k}") for k, c in enumerate(cols)]), lambda z: F.array(*[z[f"v{k}"] for k in range(n_vars)]))
 
 
@@ -55,16 +77,19 @@ def envelope(x: Column, window: int) -> tuple[Column, Column]:
 
 
 def check_envelope_window(window: int, length: int) -> None:
-    if 2 * window + 1 > 2 * length:
-        raise ValueError("Window cannot be greater or equal than the series' length.")
+    if window >= length:
+        raise ValueError(f"An envelope of {window} points to either side is wider than a series of {length}.")
 
 
 def acf(x: Column, lags: int) -> Column:
-    """Autocorrelation at lags 0..lags."""
-    m = mean(x)
-    dev = F.transform(x, lambda v: v - m)
-    lagged = lambda k: total(F.zip_with(F.slice(dev, F.lit(1), F.greatest(F.size(x) - k, F.lit(0))), F.slice(dev, k + 1, F.greatest(F.size(x) - k, F.lit(0))), lambda a, b: a * b))
-    return F.transform(F.sequence(F.lit(0), F.lit(lags)), lambda k: F.when(lagged(F.lit(0)) > 0, lagged(k) / lagged(F.lit(0))).otherwise(F.when(k == 0, 1.0).otherwise(0.0)))
+    """Autocorrelation at lags 0..lags; of a constant series 1 and zeros."""
+
+    def of(dev: Column) -> Column:
+        lagged = lambda k: total(F.zip_with(F.slice(dev, F.lit(1), F.greatest(F.size(dev) - k, F.lit(0))), F.slice(dev, k + 1, F.greatest(F.size(dev) - k, F.lit(0))), lambda a, b: a * b))
+        ratio = lambda k, power: F.when(power > 0, lagged(k) / power).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+        return once(lagged(F.lit(0)), lambda power: F.transform(F.sequence(F.lit(0), F.lit(lags)), lambda k: ratio(k, power)))
+
+    return once(mean(x), lambda m: once(F.transform(x, lambda v: v - m), of))
 
 
 def minkowski(x: Column, y: Column, p: int) -> Column:
@@ -95,8 +120,8 @@ def shift_dot(x: Column, y: Column, lag: Column) -> Column:
 
 def nccc(x: Column, y: Column) -> Column:
     """Cross-correlation at lags -(ny - 1)..nx - 1 over the product of the norms; infinite if that is 0."""
-    norm = l2norm(x) * l2norm(y)
-    return F.transform(F.sequence(1 - F.size(y), F.size(x) - 1), lambda k: F.when(norm > 0, shift_dot(x, y, k) / norm).otherwise(F.lit(float("inf"))))
+    at = lambda norm: F.transform(F.sequence(1 - F.size(y), F.size(x) - 1), lambda k: F.when(norm > 0, shift_dot(x, y, k) / norm).otherwise(F.lit(float("inf"))))
+    return once(l2norm(x) * l2norm(y), at)
 
 
 def sbd_expression(x: Column, y: Column) -> Column:

@@ -1,31 +1,43 @@
-"""Prototypes of clusters. `members` has (series_id, cluster, values); results have (cluster, [series_id,] values)."""
+"""Prototypes of clusters. `members` has (series_id, cluster, values); results have (cluster, [series_id,] values). All but
+shape extraction take multivariate series as well, the means and medians by variable."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chronoloom.functions import kernels as K
+from chronoloom.sources.series import SeriesError, is_multivariate
 
 
-def _by_time(members: DataFrame, agg) -> DataFrame:
-    rows = members.select("cluster", F.posexplode("values").alias("t", "value")).groupBy("cluster", "t").agg(agg.alias("value"))
-    return rows.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
+def _points(members: DataFrame, *more: Column | str) -> DataFrame:
+    """(cluster, t, v, value) rows, v of series of one variable 0, with further columns."""
+    rows = members.select("cluster", *more, F.posexplode("values").alias("t", "value"))
+    if not is_multivariate(members):
+        return rows.withColumn("v", F.lit(0))
+    names = [c for c in rows.columns if c != "value"]
+    return rows.select(*names, F.posexplode("value").alias("v", "value"))
 
 
-def mean(members: DataFrame) -> DataFrame:
-    return _by_time(members, F.avg("value"))
+def _series(points: DataFrame, multivariate: bool) -> DataFrame:
+    """(cluster, values) of (cluster, t, v, value) rows."""
+    ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    if multivariate:
+        points = points.groupBy("cluster", "t").agg(ordered("v", "value").alias("value"))
+    return points.groupBy("cluster").agg(ordered("t", "value").alias("values"))
 
 
-def median(members: DataFrame) -> DataFrame:
-    return _by_time(members, F.median("value"))
+def _by_point(members: DataFrame, agg: Column) -> DataFrame:
+    return _series(_points(members).groupBy("cluster", "t", "v").agg(agg.alias("value")), is_multivariate(members))
+
+
+def mean(members: DataFrame) -> DataFrame:
+    return _by_point(members, F.avg("value"))
 
 
-def multivariate_mean(members: DataFrame, reduce=F.avg) -> DataFrame:
-    rows = members.select("cluster", F.posexplode("values").alias("t", "row")).select("cluster", "t", F.posexplode("row").alias("v", "value")).groupBy("cluster", "t", "v").agg(reduce("value").alias("value"))
-    times = rows.groupBy("cluster", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "value"))), lambda x: x["value"]).alias("row"))
-    return times.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "row"))), lambda x: x["row"]).alias("values"))
+def median(members: DataFrame) -> DataFrame:
+    return _by_point(members, F.median("value"))
 
 
 def medoids(d: DataFrame, members: DataFrame) -> DataFrame:
@@ -43,9 +55,8 @@ def pam(members: DataFrame, d: DataFrame) -> DataFrame:
 
 def fcm(u: DataFrame, series: DataFrame, fuzziness: float = 2.0) -> DataFrame:
     """Means weighted by membership to the power of fuzziness; u has (series_id, cluster, u)."""
-    rows = u.join(series, "series_id").select("cluster", F.pow("u", F.lit(fuzziness)).alias("w"), F.posexplode("values").alias("t", "value"))
-    sums = rows.groupBy("cluster", "t").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
-    return sums.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
+    rows = _points(u.join(series, "series_id"), F.pow("u", F.lit(fuzziness)).alias("w"))
+    return _series(rows.groupBy("cluster", "t", "v").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value")), is_multivariate(series))
 
 
 def fcmdd(u: DataFrame, d: DataFrame, fuzziness: float = 2.0) -> DataFrame:
@@ -55,31 +66,37 @@ def fcmdd(u: DataFrame, d: DataFrame, fuzziness: float = 2.0) -> DataFrame:
     return sums.groupBy("cluster").agg(F.min(F.struct("s", "i")).alias("b")).select("cluster", F.col("b.i").alias("series_id"))
 
 
-def dba_step(members: DataFrame, centroids: DataFrame, **args) -> DataFrame:
+def dba_step(members: DataFrame, centroids: DataFrame, mv: str = "by-variable", **args) -> DataFrame:
     """One step of barycenter averaging: every series is aligned with its cluster's centroid, and each point becomes the mean of what is aligned with it.
 
-    Alignment runs in the tasks that hold the series; sums per (cluster, point) are partial before the shuffle.
+    mv: multivariate series are aligned "by-variable", each variable by a path of its own, or "by-series", by one path. Alignment runs
+    in the tasks that hold the series, for all those of a length at once; sums per (cluster, point) are added up before the shuffle.
     """
+    if mv not in ("by-variable", "by-series"):
+        raise SeriesError("Series are aligned by-variable or by-series.")
+    points = {r["cluster"]: np.asarray(r["values"], float) for r in centroids.collect()}  # k centroids
 
     def align(batches):
         for pdf in batches:
-            rows = []
-            for c, x, z in zip(pdf["cluster"], pdf["values"], pdf["z"], strict=True):
-                x, z = (np.stack(v) if v.dtype == object else np.asarray(v, float) for v in (x, z))
-                path = K.dtw_paths(x[None], z[None], **args)[1][0]
-                for var in range(x.shape[1]) if x.ndim == 2 else (0,):
-                    v = (x[:, var] if x.ndim == 2 else x)[path[:, 0]]
-                    rows.append(pd.DataFrame({"cluster": c, "t": path[:, 1], "v": var, "s": v, "n": 1.0}).groupby(["cluster", "t", "v"], as_index=False).sum())
-            yield pd.concat(rows) if rows else pd.DataFrame({"cluster": [], "t": [], "v": [], "s": [], "n": []})
-
-    rows = members.join(F.broadcast(centroids.select("cluster", F.col("values").alias("z"))), "cluster")  # k centroids
-    parts = rows.select("cluster", "values", "z").mapInPandas(align, "cluster int, t int, v int, s double, n double")
-    means = parts.groupBy("cluster", "t", "v").agg((F.sum("s") / F.sum("n")).alias("value"))
-    if isinstance(members.schema["values"].dataType.elementType, type(members.schema["values"].dataType)):
-        rows = means.groupBy("cluster", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "value"))), lambda x: x["value"]).alias("value"))
-    else:
-        rows = means.select("cluster", "t", "value")
-    return rows.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
+            sums: dict = {}
+            series = pdf["values"].tolist()
+            for c, own in pdf.groupby("cluster").indices.items():
+                z = points[c].reshape(len(points[c]), -1)
+                s, n = sums.setdefault(c, (np.zeros(z.shape), np.zeros(z.shape)))
+                for rows in K.by_length([series[k] for k in own]).values():
+                    x = K.dense([series[own[k]] for k in rows])
+                    x = x.reshape(*x.shape[:2], -1)
+                    for part in [slice(v, v + 1) for v in range(z.shape[1])] if mv == "by-variable" else [slice(None)]:
+                        for a, path in zip(x, K.dtw_paths(x[:, :, part], np.broadcast_to(z[:, part], (len(x), *z[:, part].shape)), **args)[1], strict=True):
+                            np.add.at(s[:, part], path[:, 1], a[path[:, 0], part])
+                            np.add.at(n[:, part], path[:, 1], 1)
+            for c, (s, n) in sums.items():
+                t, v = np.indices(s.shape)
+                yield pd.DataFrame({"cluster": c, "t": t.ravel(), "v": v.ravel(), "s": s.ravel(), "n": n.ravel()})
+
+    parts = members.select("cluster", "values").mapInPandas(align, "cluster int, t int, v int, s double, n double")
+    sums = parts.groupBy("cluster", "t", "v").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return _series(sums.where("n > 0").select("cluster", "t", "v", (F.col("s") / F.col("n")).alias("value")), is_multivariate(members))
 
 
 def dba(members: DataFrame, centroids: DataFrame, iterations: int = 20, delta: float = 1e-3, **args) -> DataFrame:
@@ -96,19 +113,8 @@ def dba(members: DataFrame, centroids: DataFrame, iterations: int = 20, delta: f
     return spark.createDataFrame(list(now.items()), centroids.select("cluster", "values").schema)
 
 
-def extract_shape(aligned: np.ndarray) -> np.ndarray:
-    """The shape of aligned rows: top eigenvector of P Y'Y P for z-scored rows Y and the centering P, with the sign nearer to the first row; z-scored."""
-    z = lambda a: np.nan_to_num((a - a.mean(-1, keepdims=True)) / np.where((s := a.std(-1, ddof=1, keepdims=True)) > 0, s, np.inf))
-    y, n = z(aligned), aligned.shape[1]
-    p = np.eye(n) - 1 / n
-    top = np.linalg.eigh(p @ (y.T @ y) @ p)[1][:, -1]
-    if np.linalg.norm(aligned[0] - top) >= np.linalg.norm(aligned[0] + top):
-        top = -top
-    return z(top)
-
-
-def shape(members: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
-    """Shape extraction per cluster; with a centroid, series are first shifted to it. The Gram matrix (length x length) of a cluster is summed from partial ones, so no task holds a cluster."""
+def shape(members: DataFrame, centroids: DataFrame | None = None, znorm: bool = False) -> DataFrame:
+    """Shape extraction per cluster; with a centroid, series are first shifted to it. The Gram matrix (length x length) of a cluster is summed from partial ones, so no task holds a cluster. znorm: z-scored series are shifted."""
     c = centroids.select("cluster", F.col("values").alias("z")) if centroids is not None else members.groupBy("cluster").agg(F.min(F.struct("series_id", "values")).alias("f")).select("cluster", F.col("f.values").alias("z"))
     joined = members.join(F.broadcast(c), "cluster")
 
@@ -117,7 +123,7 @@ def shape(members: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
         for pdf in batches:
             for k, i, x, z in zip(pdf["cluster"], pdf["series_id"], pdf["values"], pdf["z"], strict=True):
                 x, z = np.asarray(x, float), np.asarray(z, float)
-                a = K.sbd_shift(z, x)[1] if z.any() else x
+                a = K.sbd_shift(z, x, znorm)[1] if z.any() else x
                 sd = a.std(ddof=1) if len(a) > 1 else 0
                 y = (a - a.mean()) / sd if sd > 0 else np.zeros_like(a)
                 g, low, head = sums.get(k, (0, np.inf, None))
@@ -138,9 +144,9 @@ def shape(members: DataFrame, centroids: DataFrame | None = None) -> DataFrame:
     return parts.groupBy("cluster").applyInPandas(solve, "cluster int, values array<double>")  # one partial a task and cluster
 
 
-def lbfgs(f, x: np.ndarray, iterations: int = 20, memory: int = 8, tolerance: float = 1e-8) -> np.ndarray:
-    """Limited-memory BFGS with backtracking; f gives value and gradient."""
-    value, g = f(x)
+def lbfgs_steps(x: np.ndarray, iterations: int = 20, memory: int = 8, tolerance: float = 1e-8):
+    """Limited-memory BFGS with backtracking as a generator: it yields points, is sent their (value, gradient) and returns the least point."""
+    value, g = yield x
     steps, changes = [], []
     for _ in range(iterations):
         q, alphas = g.copy(), []
@@ -155,7 +161,7 @@ def lbfgs(f, x: np.ndarray, iterations: int = 20, memory: int = 8, tolerance: fl
         slope, rate = -(q @ g), 1.0 if steps else min(1.0, 1 / max(np.abs(g).sum(), 1e-12))
         while rate > 1e-10:
             new = x - rate * q
-            v, ng = f(new)
+            v, ng = yield new
             if v <= value + 1e-4 * rate * slope:
                 break
             rate /= 2
@@ -172,29 +178,49 @@ def lbfgs(f, x: np.ndarray, iterations: int = 20, memory: int = 8, tolerance: fl
 
 
 def sdtw_centroid(members: DataFrame, centroids: DataFrame, gamma: float = 0.01, weights: DataFrame | None = None, iterations: int = 20) -> DataFrame:
-    """Minimises the weighted sum of soft-DTW to the members by L-BFGS. Each evaluation is a job that sums values and gradients over the series; a centroid stays on the driver."""
-    spark = members.sparkSession
+    """Minimises the weighted sum of soft-DTW to the members by L-BFGS. An evaluation is a job that sums values and gradients over the series of all clusters that go on; their
+    centroids (k short arrays) stay on the driver, where each minimizer waits for its next value."""
     rows = members.join(weights, "series_id") if weights is not None else members.withColumn("w", F.lit(1.0))
     rows = rows.select("cluster", "values", "w").persist()
-    out = []
-    for c, z in ((r["cluster"], np.asarray(r["values"], float)) for r in centroids.select("cluster", "values").collect()):
-        own = rows.where(F.col("cluster") == c)
-
-        def evaluate(flat: np.ndarray, own=own, shape=z.shape):
-            point = flat.reshape(shape)
-
-            def part(batches):
-                total, grad = 0.0, np.zeros(shape)
-                for pdf in batches:
-                    for x, w in zip(pdf["values"], pdf["w"], strict=True):
-                        x = np.stack(x) if x.dtype == object else np.asarray(x, float)
-                        v, g = K.sdtw_gradient(point, x, gamma)
-                        total, grad = total + w * v, grad + w * g.reshape(shape)
-                yield pd.DataFrame({"v": [total], "g": [grad.ravel().tolist()]})
-
-            parts = own.mapInPandas(part, "v double, g array<double>").collect()  # one a task
-            return sum(p["v"] for p in parts), np.sum([p["g"] for p in parts], axis=0)
-
-        out.append((c, lbfgs(evaluate, z.ravel().astype(float), iterations).reshape(z.shape).tolist()))
+    start = {r["cluster"]: np.asarray(r["values"], float) for r in centroids.select("cluster", "values").collect()}
+    solvers = {c: lbfgs_steps(z.ravel(), iterations) for c, z in start.items()}
+    asked, done = {c: next(s).reshape(start[c].shape) for c, s in solvers.items()}, {}
+    while asked:
+        now = dict(asked)
+
+        def part(batches, now=now):
+            sums = {c: [0.0, np.zeros(z.shape)] for c, z in now.items()}
+            for pdf in batches:
+                for c, own in pdf.groupby("cluster"):
+                    series, w = own["values"].tolist(), own["w"].to_numpy()
+                    for at in K.by_length(series).values():
+                        v, g = K.sdtw_gradients(now[c], K.dense([series[k] for k in at]), gamma)
+                        sums[c][0] += float(w[at] @ v)
+                        sums[c][1] += np.tensordot(w[at], g, 1)
+            yield pd.DataFrame({"cluster": list(sums), "v": [v for v, _ in sums.values()], "g": [g.ravel().tolist() for _, g in sums.values()]})
+
+        parts = rows.where(F.col("cluster").isin(list(now))).mapInPandas(part, "cluster int, v double, g array<double>").collect()  # k rows a task
+        for c, z in now.items():
+            own = [p for p in parts if p["cluster"] == c]
+            try:
+                asked[c] = solvers[c].send((sum(p["v"] for p in own), np.sum([p["g"] for p in own], axis=0))).reshape(z.shape)
+            except StopIteration as end:
+                done[c] = end.value.reshape(z.shape).tolist()
+                del asked[c]
     rows.unpersist()
-    return spark.createDataFrame(out, centroids.select("cluster", "values").schema)
+    return members.sparkSession.createDataFrame(list(done.items()), centroids.select("cluster", "values").schema)
+
+
+def prototypes(centroid, members: DataFrame, before: DataFrame, relation=None, **args) -> DataFrame:
+    """(cluster, series_id or null, values) by the name of a function, or by a function of members and the centroids before; relation() gives distances to medoids."""
+    if centroid in ("pam", "fcmdd"):
+        return medoids(relation(), members).join(members.select("series_id", "values"), "series_id").select("cluster", "series_id", "values")
+    if callable(centroid):
+        new = centroid(members, before, **args)
+    elif centroid in ("mean", "fcm", "median"):
+        new = (median if centroid == "median" else mean)(members)
+    elif centroid in ("dba", "shape", "sdtw_cent"):
+        new = {"dba": dba, "shape": shape, "sdtw_cent": sdtw_centroid}[centroid](members, before.select("cluster", "values"), **args)
+    else:
+        raise SeriesError(f"No prototype is known as '{centroid}'.")
+    return new.select("cluster", F.lit(None).cast("long").alias("series_id"), "values")

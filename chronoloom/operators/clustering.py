@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace as _replace
+import json
+from dataclasses import asdict, dataclass, field, replace as _replace
 
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoloom.functions import series as S
 from chronoloom.operators import centroids as C
-from chronoloom.operators.distances import batch_udf, distances, lookup, mirrored, nearest, pairs_of
+from chronoloom.operators import distances as D
+from chronoloom.operators.distances import batch_udf, distances, kept, lookup, nearest, pairs_of, symmetric_relation, to_centroids
 from chronoloom.functions import kernels as K
-from chronoloom.sources.series import SeriesError, check_series
+from chronoloom.sources.series import SeriesError, check_series, is_multivariate
 
+#: A tree, and PAM on a matrix, hold all N x N distances on the driver: up to so many series (800 MB, 32 MB).
+TREE_SERIES, MATRIX_SERIES = 10_000, 2_000
 LINKAGES = ("ward.D", "ward.D2", "single", "complete", "average", "mcquitty", "median", "centroid")
 
 
@@ -33,13 +37,14 @@ class Fuzzy:
 
     def __post_init__(self):
         if self.fuzziness <= 1:
-            raise SeriesError("Fuzziness exponent should be greater than one.")
+            raise SeriesError("The exponent of a fuzzy clustering lies above 1.")
 
 
 @dataclass(frozen=True)
 class Hierarchical:
     method: str = "average"
     distmat: DataFrame | None = None
+    members: tuple | None = None  # how many series each one stands for, in order of series_id
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,7 @@ class Tadpole:
 
     def __post_init__(self):
         if self.dc <= 0:
-            raise SeriesError("Please provide the 'dc' parameter as a positive number.")
+            raise SeriesError("Density peaks need a cutoff distance dc above 0.")
 
 
 @dataclass(frozen=True)
@@ -74,14 +79,31 @@ class Clustering:
 
     def predict(self, new: DataFrame) -> DataFrame:
         """Nearest cluster of new series (memberships for a fuzzy clustering)."""
-        new = preprocess(new, self.config.get("preproc"))
-        d = distances(new, self.centroids.select(F.col("cluster").cast("long").alias("series_id"), "values"), self.config["distance"], check=False, **self.config.get("args", {}))
-        d = d.select(F.col("i").alias("series_id"), F.col("j").cast("int").alias("cluster"), "d")
-        return memberships(d, self.config["fuzziness"]) if self.membership is not None else assign(d)
+        new = preprocess(new, self.config.get("preproc"), **self.config.get("preproc_args", {}))
+        d = to_centroids(new, self.centroids, self.config["distance"], **self.config.get("dist_args", {}))
+        return memberships(d, self.config["control"].fuzziness) if self.membership is not None else assign(d)
 
     def update(self, series: DataFrame, **changes) -> Clustering:
+        """The same clustering of other series or with other arguments of cluster()."""
         return cluster(series, **{**self.config, **changes})
 
+    def save(self, path: str) -> None:
+        """Tables as Parquet and what describes them as JSON, in a folder. Functions in the configuration are not saved."""
+        spark = self.labels.sparkSession
+        for name in ("labels", "centroids", "membership"):
+            if (table := getattr(self, name)) is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        plain = {k: v for k, v in self.config.items() if k != "control" and not callable(v)}
+        control = {k: v for k, v in asdict(_replace(self.config["control"], **({"distmat": None} if hasattr(self.config["control"], "distmat") else {}))).items()} if self.config.get("control") else None
+        text = json.dumps({"config": plain, "control": control, "iterations": self.iterations, "converged": self.converged, "merges": self.merges})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    def __str__(self) -> str:
+        c = self.config
+        sizes = ", ".join(f"{r['cluster']}: {r['size']} (mean distance {r['av_dist']:.4g})" for r in self.clusters().orderBy("cluster").collect())
+        end = f"{'converged' if self.converged else 'stopped'} after {self.iterations} iterations" if self.iterations else "no iterations"
+        return f"{c.get('type', 'given')} clustering, k = {c['k']}, distance {c.get('distance')}, prototypes {c.get('centroid') or 'pam'}, {end}\nseries by cluster: {sizes}"
+
     # Accessors of partitions.
     def n_classes(self) -> int:
         return self.config["k"]
@@ -103,12 +125,45 @@ class Clustering:
         return series.join(self.labels.select("series_id", "cluster"), "series_id").select("series_id", "cluster", F.posexplode("values").alias("t", "value"))
 
 
-def preprocess(series: DataFrame, preproc) -> DataFrame:
+KINDS = {"partitional": Partitional, "fuzzy": Fuzzy, "hierarchical": Hierarchical, "tadpole": Tadpole}
+
+
+def from_parts(labels: DataFrame, centroids: DataFrame, distance: str, type: str = "partitional", membership: DataFrame | None = None, merges: list | None = None, **config) -> Clustering:
+    """A clustering from its tables: labels (series_id, cluster[, d]), centroids (cluster[, series_id], values), for a fuzzy one memberships (series_id, cluster, u)."""
+    for have, need in ((labels, {"series_id", "cluster"}), (centroids, {"cluster", "values"})):
+        if not need <= set(have.columns):
+            raise SeriesError(f"Of {sorted(need)} a table has only {have.columns}.")
+    missing = labels.select("cluster").distinct().join(centroids.select("cluster"), "cluster", "left_anti").limit(1).collect()
+    if missing:
+        raise SeriesError(f"Cluster {missing[0][0]} has no prototype.")
+    labels = labels if "d" in labels.columns else labels.withColumn("d", F.lit(0.0))
+    control = config.pop("control", None) or (Fuzzy() if membership is not None else None)
+    return Clustering({"type": type, "k": centroids.count(), "distance": distance, "control": control} | config, labels, centroids, membership=membership, merges=merges or [])
+
+
+def load(spark, path: str) -> Clustering:
+    """What Clustering.save() wrote."""
+    about = json.loads(spark.read.text(f"{path}/about").first()[0])
+    config = about["config"] | {"control": KINDS[about["config"]["type"]](**about["control"]) if about["control"] else None}
+    soft = isinstance(config["control"], Fuzzy)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    return Clustering(config, read("labels"), read("centroids"), about["iterations"], about["converged"], read("membership") if soft else None, [tuple(m) for m in about["merges"]])
+
+
+def preprocess(series: DataFrame, preproc, **args) -> DataFrame:
+    """By a name (zscore, reinterpolate, acf; multivariate series by variable) or a function of series and args."""
     if preproc is None:
         return series
-    if preproc == "zscore":
-        return series.withColumn("values", S.zscore(F.col("values")))
-    return preproc(series)
+    if callable(preproc):
+        return preproc(series, **args)
+    known = {"zscore": S.zscore, "reinterpolate": S.reinterpolate, "acf": S.acf}
+    if preproc not in known:
+        raise SeriesError(f"No preprocessing is known as '{preproc}'.")
+    one = lambda x: known[preproc](x, **args)
+    if not is_multivariate(series):
+        return series.withColumn("values", one(F.col("values")))
+    n_vars = series.select(F.size(F.col("values")[0])).first()[0]
+    return series.withColumn("values", S.by_variable(F.col("values"), n_vars, one))
 
 
 def assign(d: DataFrame) -> DataFrame:
@@ -130,22 +185,12 @@ def initial(series: DataFrame, k: int, seed: int) -> list[int]:
     return [r[0] for r in series.select("series_id").orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(k).collect()]
 
 
-def _to_centroids(series: DataFrame, cents: DataFrame, method: str, args: dict) -> DataFrame:
-    d = distances(series, cents.select(F.col("cluster").cast("long").alias("series_id"), "values"), method, check=False, **args)
-    return d.select(F.col("i").alias("series_id"), F.col("j").cast("int").alias("cluster"), "d")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a checkpoint in the shared folder where one is set, else a cached frame."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def _check_k(series: DataFrame, k: int) -> int:
     n = check_series(series)["n"]
     if k < 2:
-        raise SeriesError("At least two clusters must be defined.")
+        raise SeriesError("A clustering has two clusters or more.")
     if k >= n:
-        raise SeriesError("Cannot have more clusters than series in the dataset.")
+        raise SeriesError("There must be more series than clusters.")
     return n
 
 
@@ -153,76 +198,102 @@ def _frame(series: DataFrame, cents: dict) -> DataFrame:
     return series.sparkSession.createDataFrame([(c, i, v) for c, (i, v) in sorted(cents.items())], f"cluster int, series_id long, values {series.schema['values'].dataType.simpleString()}")
 
 
-def partitional(series: DataFrame, k: int, distance: str = "dtw_basic", centroid="pam", control: Partitional = Partitional(), args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
-    """Assignment and new centroids by turns until no label changes. PAM uses a distance relation computed once; centroids (k arrays) pass through the driver."""
-    _check_k(series, k)
-    args, series = args or {}, series.select("series_id", "values")
+def partitional(series: DataFrame, k: int, distance: str = "dtw_basic", centroid="pam", control: Partitional = Partitional(), dist_args: dict | None = None, cent_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
+    """Assignment and new centroids by turns until no label changes. Centroids (k arrays) pass through the driver; only those of clusters whose members changed are computed again.
+
+    PAM takes its medoids from a distance relation computed once (as a matrix on the driver up to MATRIX_SERIES), or, without precompute, from the
+    pairs within clusters as they come up, each of them once. dtw_lb assigns by bounds and takes medoids by DTW.
+    """
+    n = _check_k(series, k)
+    dist_args, cent_args, series = dist_args or {}, cent_args or {}, series.select("series_id", "values")
     ids = init_ids or initial(series, k, seed)
     first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(ids)).collect()}
     cents = {c: (i, first[i]) for c, i in enumerate(ids, 1)}
-    full = None
-    if centroid == "pam" and control.precompute:
-        base = control.distmat if control.distmat is not None else _symmetric(series, distance, args)
-        full = _kept(base)
+    config = {"type": "partitional", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": control, "seed": seed}
+    bounded, full, memo = distance == "dtw_lb", None, None
+    true = "dtw_basic" if bounded else distance
+    if centroid == "pam" and control.precompute and not bounded:
+        full = control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args)
+        if n <= MATRIX_SERIES:
+            return _pam_matrix(series, full, ids, control, config, lookup(distance).diagonal)
+        full = kept(full)
     old, labels, done, it = None, None, False, 0
     for it in range(1, control.iterations + 1):
         frame = _frame(series, cents)
         if full is not None:
             near = full.join(F.broadcast(frame.select(F.col("series_id").alias("j"), "cluster")), "j").select(F.col("i").alias("series_id"), "cluster", "d")
             d = near if lookup(distance).diagonal else near.where(~F.col("series_id").isin([i for i, _ in cents.values()])).unionByName(frame.select("series_id", "cluster", F.lit(0.0).alias("d")))
+            labels = kept(assign(d))
+        elif bounded:
+            best = D.dtw_lb(series, frame.select(F.col("cluster").cast("long").alias("series_id"), "values"), **dist_args)
+            labels = kept(best.select(F.col("i").alias("series_id"), F.col("j").cast("int").alias("cluster"), "d"))
         else:
-            d = _to_centroids(series, frame, distance, args)
-        labels = _kept(assign(d))
-        if old is not None and not labels.join(old.select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o").limit(1).count():
-            done = True
-            break
+            labels = kept(assign(to_centroids(series, frame, distance, **dist_args)))
+        changed = None
+        if old is not None:
+            moved = labels.join(old.select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o")
+            changed = [r[0] for r in moved.select(F.explode(F.array("cluster", "o"))).distinct().collect()]  # of k clusters
+            if not changed:
+                done = True
+                break
         old = labels
         members = series.join(labels.select("series_id", "cluster"), "series_id")
-        if centroid == "pam":
-            rel = full if full is not None else _within(members, distance, args)
-            new = C.pam(members, rel).select("cluster", "series_id", "values")
-        elif centroid == "dba":
-            new = C.dba(members, frame.select("cluster", "values"), **{a: b for a, b in args.items() if a in ("window", "norm", "step")}).withColumn("series_id", F.lit(None).cast("long"))
-        elif centroid == "shape":
-            new = C.shape(members, frame).withColumn("series_id", F.lit(None).cast("long"))
-        elif centroid == "sdtw_cent":
-            new = C.sdtw_centroid(members, frame.select("cluster", "values"), args.get("gamma", 0.01)).withColumn("series_id", F.lit(None).cast("long"))
-        else:
-            new = {"mean": C.mean, "median": C.median}.get(centroid, centroid)(members).withColumn("series_id", F.lit(None).cast("long"))
-        cents |= {r["cluster"]: (r["series_id"], r["values"]) for r in new.select("cluster", "series_id", "values").collect()}
+        members = members if changed is None else members.where(F.col("cluster").isin(changed))
+        if centroid == "pam" and full is None:
+            a, b = (members.select(F.col("series_id").alias(c), "cluster") for c in "ij")
+            memo = kept(D.memoised(memo, a.join(b, "cluster").where("i > j").select("i", "j"), series, true, **dist_args))
+        new = C.prototypes(centroid, members, frame, lambda: full if full is not None else D.mirrored(memo), **cent_args)  # noqa: B023
+        cents |= {r["cluster"]: (r["series_id"], r["values"]) for r in new.collect()}
         empty = set(range(1, k + 1)) - {r[0] for r in labels.select("cluster").distinct().collect()}
-        for n, c in enumerate(sorted(empty)):  # empty clusters start again at series that are no centroid yet
-            pick = series.where(~F.col("series_id").isin([i for i, _ in cents.values() if i is not None])).orderBy(F.xxhash64("series_id", F.lit(seed + it + n))).first()
+        for c in sorted(empty):  # an empty cluster starts again at the series farthest from its prototype that is none yet
+            far = labels.where(~F.col("series_id").isin([i for i, _ in cents.values() if i is not None])).orderBy(F.desc("d"), "series_id").limit(1)
+            pick = far.join(series, "series_id").first()
             cents[c] = (pick["series_id"], pick["values"])
-    return Clustering({"type": "partitional", "k": k, "distance": distance, "centroid": centroid, "args": args, "control": control, "seed": seed}, labels, _frame(series, cents), it, done)
+    return Clustering(config, labels, _frame(series, cents), it, done)
 
 
-def _symmetric(series: DataFrame, distance: str, args: dict) -> DataFrame:
-    d = distances(series, method=distance, **args)
-    p = check_series(series)
-    return mirrored(d) if lookup(distance).symmetric({**args, "equal_lengths": p["shortest"] == p["longest"]}) else d
-
-
-def _within(members: DataFrame, distance: str, args: dict) -> DataFrame:
-    """Distances within clusters only, when no relation was computed."""
-    a = members.select(F.col("series_id").alias("i"), "cluster", F.col("values").alias("x_values"))
-    b = members.select(F.col("series_id").alias("j"), "cluster", F.col("values").alias("y_values"))
-    dist = lookup(distance)
-    d = dist.expression(F.col("x_values"), F.col("y_values"), **args) if dist.expression else batch_udf(dist.kernel, **args)("x_values", "y_values")
-    return a.join(b, "cluster").where("i != j").select("i", "j", d.alias("d"))
-
-
-def fuzzy(series: DataFrame, k: int, distance: str = "L2", centroid: str = "fcm", control: Fuzzy = Fuzzy(), args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
+def _pam_matrix(series: DataFrame, relation: DataFrame, ids: list[int], control: Partitional, config: dict, diagonal: bool) -> Clustering:
+    """The iterations of PAM on a matrix of all distances: as in partitional(), with the smallest id on ties."""
+    rows = relation.toPandas()
+    names = np.sort(np.array([r[0] for r in series.select("series_id").collect()]))
+    m = np.zeros((len(names), len(names)))
+    m[np.searchsorted(names, rows["i"]), np.searchsorted(names, rows["j"])] = rows["d"]
+    at, old, done, it = np.searchsorted(names, ids), None, False, 0
+    for it in range(1, control.iterations + 1):
+        d = m[:, at].copy()
+        if not diagonal:
+            d[at] = np.inf
+            d[at, np.arange(len(at))] = 0
+        label = d.argmin(1)
+        if done := old is not None and (label == old).all():
+            break
+        old, taken = label, set()
+        for c in range(len(at)):
+            own = np.flatnonzero(label == c)
+            if len(own):
+                at[c] = own[m[np.ix_(own, own)].sum(1).argmin()]
+                taken.add(at[c])
+        for c in np.flatnonzero(np.bincount(label, minlength=len(at)) == 0):  # an empty cluster starts again at the series farthest from its medoid
+            at[c] = next(x for x in np.argsort(-d[np.arange(len(d)), label], kind="stable") if x not in taken)
+            taken.add(at[c])
+    spark = series.sparkSession
+    labels = spark.createDataFrame([(int(i), int(c) + 1, float(x)) for i, c, x in zip(names, label, d[np.arange(len(d)), label], strict=True)], "series_id long, cluster int, d double")
+    medoids = series.where(F.col("series_id").isin(names[at].tolist())).collect()
+    cents = {int(np.flatnonzero(names[at] == r["series_id"])[0]) + 1: (r["series_id"], r["values"]) for r in medoids}
+    return Clustering(config, labels, _frame(series, cents), it, done)
+
+
+def fuzzy(series: DataFrame, k: int, distance: str = "L2", centroid: str = "fcm", control: Fuzzy = Fuzzy(), dist_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
     """Fuzzy c-means, or c-medoids with fcmdd, from the memberships to k first series; stops when the objective moves by less than delta (fcmdd: no label changes)."""
     _check_k(series, k)
-    args, series = args or {}, series.select("series_id", "values")
+    dist_args, series = dist_args or {}, series.select("series_id", "values")
     ids = init_ids or initial(series, k, seed)
     first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(ids)).collect()}
     cents = {c: (i, first[i]) for c, i in enumerate(ids, 1)}
-    full = _kept(control.distmat if control.distmat is not None else _symmetric(series, distance, args)) if centroid == "fcmdd" else None
+    full = kept(control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args)) if centroid == "fcmdd" else None
     objective, old, done, u, it = None, None, False, None, 0
     for it in range(1, control.iterations + 1):
-        u = _kept(memberships(_to_centroids(series, _frame(series, cents), distance, args), control.fuzziness))
+        u = kept(memberships(to_centroids(series, _frame(series, cents), distance, **dist_args), control.fuzziness))
         if centroid == "fcmdd":
             labels = assign(u.select("series_id", "cluster", (-F.col("u")).alias("d")))
             done = old is not None and not labels.join(old.select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o").limit(1).count()
@@ -237,7 +308,7 @@ def fuzzy(series: DataFrame, k: int, distance: str = "L2", centroid: str = "fcm"
             break
         cents = {r["cluster"]: (r["series_id"], r["values"]) for r in new.select("cluster", "series_id", "values").collect()}
     labels = assign(u.select("series_id", "cluster", "d"))
-    return Clustering({"type": "fuzzy", "k": k, "distance": distance, "centroid": centroid, "args": args, "control": control, "seed": seed, "fuzziness": control.fuzziness}, labels, _frame(series, cents), it, done, membership=u.select("series_id", "cluster", "u"))
+    return Clustering({"type": "fuzzy", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "control": control, "seed": seed}, labels, _frame(series, cents), it, done, membership=u.select("series_id", "cluster", "u"))
 
 
 def linkage(d: np.ndarray, method: str = "average", members: np.ndarray | None = None) -> list[tuple[int, int, float]]:
@@ -284,47 +355,58 @@ def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     return np.unique(of, return_inverse=True)[1] + 1
 
 
-def hierarchical(series: DataFrame, k: int, distance: str = "dtw_basic", control: Hierarchical = Hierarchical(), args: dict | None = None, centroid=None) -> Clustering | dict[str, Clustering]:
-    """Distances on the cluster, the tree on the driver: a dendrogram needs all N(N-1)/2 distances at once and is limited to what fits there, as N rows of labels are its result."""
+def hierarchical(series: DataFrame, k: int, distance: str = "dtw_basic", control: Hierarchical = Hierarchical(), dist_args: dict | None = None, centroid=None, cent_args: dict | None = None) -> Clustering | dict[str, Clustering]:
+    """Distances on the cluster, the tree on the driver: a dendrogram needs all N(N-1)/2 distances at once and is limited to TREE_SERIES."""
     n = _check_k(series, k)
-    args = args or {}
+    if n > TREE_SERIES:
+        raise SeriesError(f"A tree holds the distances of at most {TREE_SERIES} series; there are {n}.")
+    dist_args, cent_args, centroid = dist_args or {}, cent_args or {}, centroid or "pam"
     ids = [r[0] for r in series.select("series_id").orderBy("series_id").collect()]
-    at = {s: r for r, s in enumerate(ids)}
-    full = _kept(control.distmat if control.distmat is not None else _symmetric(series, distance, args))
+    full = kept(control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args))
     m = np.zeros((n, n))
     rows = full.where("i > j").toPandas()
-    m[rows["i"].map(at), rows["j"].map(at)] = rows["d"]
+    m[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["d"]
     m += m.T
     found = {}
     for method in LINKAGES if control.method == "all" else (control.method,):
-        merges = method(m) if callable(method) else linkage(m, method)
+        merges = method(m) if callable(method) else linkage(m, method, None if control.members is None else np.array(control.members))
         of = cut(merges, n, k)
         labels = series.sparkSession.createDataFrame(list(zip(ids, of.tolist(), strict=True)), "series_id long, cluster int")
         members = series.select("series_id", "values").join(labels, "series_id")
-        cents = C.pam(members, full).select("cluster", "series_id", "values") if centroid is None else centroid(members).withColumn("series_id", F.lit(None).cast("long"))
-        near = full.join(cents.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj")), "j").join(labels.withColumnRenamed("series_id", "i"), "i").where("cluster = cj").select(F.col("i").alias("series_id"), "d") if centroid is None else _to_centroids(series, cents, distance, args).join(labels, ["series_id", "cluster"]).select("series_id", "d")
-        found[method] = Clustering({"type": "hierarchical", "k": k, "distance": distance, "args": args, "method": method, "control": control}, labels.join(near, "series_id", "left").withColumn("d", F.coalesce("d", F.lit(0.0))), cents, merges=merges)
+        first = members.groupBy("cluster").agg(F.min_by("values", "series_id").alias("values"))
+        cents = kept(C.prototypes(centroid, members, first, lambda: full, **cent_args))
+        if centroid == "pam":
+            near = full.join(F.broadcast(cents.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj"))), "j").join(F.broadcast(labels.withColumnRenamed("series_id", "i")), "i").where("cluster = cj").select(F.col("i").alias("series_id"), "d")
+        else:
+            near = to_centroids(series, cents, distance, **dist_args).join(labels, ["series_id", "cluster"]).select("series_id", "d")
+        config = {"type": "hierarchical", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": _replace(control, method=method) if isinstance(method, str) else control}
+        found[method] = Clustering(config, labels.join(near, "series_id", "left").withColumn("d", F.coalesce("d", F.lit(0.0))), cents, merges=merges)
     return found if control.method == "all" else next(iter(found.values()))
 
 
-def tadpole(series: DataFrame, k: int, control: Tadpole) -> Clustering:
+def tadpole(series: DataFrame, k: int, control: Tadpole, centroid=None, cent_args: dict | None = None) -> Clustering:
     """Density peaks under DTW with pruning by bounds: distances are computed only for pairs whose bounds leave the density or the nearest denser neighbour open."""
     n = _check_k(series, k)
-    check_series(series, ragged=False)
+    S.check_envelope_window(control.window, check_series(series, ragged=False)["longest"])
     w, dc = control.window, control.dc
-    lb = batch_udf({"lbk": K.lb_keogh, "lbi": K.lb_improved}[control.lb], window=w, norm="L2", force_symmetry=True)("x_values", "y_values")
-    met = pairs_of(series.select("series_id", "values"), None, True, False).select("i", "j", F.col("x_values").alias("x"), F.col("y_values").alias("y"), lb.alias("lb"))
-    dist = batch_udf(K.dtw, window=w, norm="L2", step="symmetric1")
-    bounds = _kept(met.select("i", "j", "x", "y", "lb", S.minkowski(F.col("x"), F.col("y"), 2).alias("ub")))
+    values = series.select("series_id", "values")
+    low = distances(values, method=control.lb, check=False, window=w, norm="L2", force_symmetry=True).withColumnRenamed("d", "lb")
+    high = distances(values, method="L2", check=False).withColumnRenamed("d", "ub")
+    bounds = kept(low.join(high, ["i", "j"]))
     unsure = (F.col("lb") <= dc) & (F.col("ub") > dc)
-    exact = bounds.where(unsure).select("i", "j", dist("x", "y").alias("dtw"))
-    pairs = _kept(bounds.join(exact, ["i", "j"], "left").select("i", "j", "lb", "ub", "dtw", F.when(F.col("lb") > dc, 3).when(unsure, F.when(F.col("dtw") <= dc, 0).otherwise(1)).when(F.col("ub") < dc, 2).otherwise(4).alias("flag")))
+
+    def true_distance(open_pairs: DataFrame) -> DataFrame:
+        rows = open_pairs.select("i", "j").join(values.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")), "i").join(values.select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), "j")
+        return kept(rows.select("i", "j", D.pair_distance("dtw_basic", window=w, norm="L2", step="symmetric1").alias("dtw")))
+
+    exact = true_distance(bounds.where(unsure))
+    pairs = kept(bounds.join(exact, ["i", "j"], "left").select("i", "j", "lb", "ub", "dtw", F.when(F.col("lb") > dc, 3).when(unsure, F.when(F.col("dtw") <= dc, 0).otherwise(1)).when(F.col("ub") < dc, 2).otherwise(4).alias("flag")))
     both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "lb", "ub", "dtw", "flag"))
     rho = series.select("series_id").join(both.where("flag IN (0, 2)").groupBy(F.col("i").alias("series_id")).agg(F.count(F.lit(1)).alias("rho")), "series_id", "left").select("series_id", F.coalesce("rho", F.lit(0)).cast("double").alias("rho"))
     low, high = rho.agg(F.min("rho"), F.max("rho")).first()
     if high == 0:
         raise SeriesError("No series has neighbours within dc; choose a larger one.")
-    scaled = _kept(rho.select("series_id", F.lit(1.0).alias("rho") if high == low else ((F.col("rho") - low) / (high - low)).alias("rho")))
+    scaled = kept(rho.select("series_id", F.lit(1.0).alias("rho") if high == low else ((F.col("rho") - low) / (high - low)).alias("rho")))
 
     def ahead(order: DataFrame) -> DataFrame:
         """Pairs (i, j) with j before i; order has (series_id, pos)."""
@@ -332,16 +414,14 @@ def tadpole(series: DataFrame, k: int, control: Tadpole) -> Clustering:
         return both.join(p.select(F.col("series_id").alias("i"), F.col("pos").alias("pi")), "i").join(p.select(F.col("series_id").alias("j"), F.col("pos").alias("pj")), "j").where("pj < pi")
 
     dense = W.orderBy(F.desc("rho"), "series_id")  # N rows of two numbers: the result's size
-    order = _kept(scaled.withColumn("pos", F.row_number().over(dense)))
+    order = kept(scaled.withColumn("pos", F.row_number().over(dense)))
     ub = ahead(order).groupBy(F.col("i").alias("series_id")).agg(F.min(F.coalesce("dtw", "ub")).alias("delta"))
     most = ub.agg(F.max("delta")).first()[0]
     order = order.join(ub, "series_id", "left").withColumn("delta", F.coalesce("delta", F.lit(most)))
-    order = _kept(order.select("series_id", "rho", "delta", F.row_number().over(W.orderBy(F.desc(F.col("rho") * F.col("delta")), "series_id")).alias("pos")))
+    order = kept(order.select("series_id", "rho", "delta", F.row_number().over(W.orderBy(F.desc(F.col("rho") * F.col("delta")), "series_id")).alias("pos")))
     open_pairs = ahead(order).join(order.select(F.col("series_id").alias("i"), F.col("delta").alias("bound")), "i")
     need = open_pairs.where(F.col("dtw").isNull() & (F.col("lb") <= F.col("bound"))).select("i", "j")
-    values = series.select("series_id", "values")
-    more = need.join(values.select(F.col("series_id").alias("i"), F.col("values").alias("x")), "i").join(values.select(F.col("series_id").alias("j"), F.col("values").alias("y")), "j").select("i", "j", dist("x", "y").alias("more"))
-    more = _kept(more)
+    more = true_distance(need).withColumnRenamed("dtw", "more")
     near = open_pairs.join(more, ["i", "j"], "left").select("i", "pj", "j", F.coalesce("dtw", "more", "ub").alias("d")).groupBy(F.col("i").alias("series_id")).agg(F.min(F.struct("d", "pj", "j")).alias("b")).select("series_id", F.col("b.d").alias("d"), F.col("b.j").alias("nn"))
     found = order.join(near, "series_id", "left").toPandas().sort_values("pos")  # N rows of numbers
     delta = found["d"].fillna(found["d"].max()).to_numpy()
@@ -358,38 +438,51 @@ def tadpole(series: DataFrame, k: int, control: Tadpole) -> Clustering:
         d = nearest(distances(series.where(F.col("series_id").isin(lost)), series.where(F.col("series_id").isin(top)), "dtw_basic", window=w, norm="L2", step="symmetric1", check=False))
         label |= {r["i"]: label[r["j"]] for r in d.collect()}
     labels = series.sparkSession.createDataFrame([(int(s), int(c)) for s, c in label.items()], "series_id long, cluster int")
-    cents = series.where(F.col("series_id").isin(top)).select("series_id", "values").join(labels, "series_id").select("cluster", "series_id", "values")
+    if centroid is None:
+        cents = series.where(F.col("series_id").isin(top)).select("series_id", "values").join(labels, "series_id").select("cluster", "series_id", "values")
+    else:
+        members = series.select("series_id", "values").join(labels, "series_id")
+        cents = C.prototypes(centroid, members, members.where(F.col("series_id").isin(top)).select("cluster", "values"), lambda: symmetric_relation(values, "dtw_basic", window=w, norm="L2"), **(cent_args or {}))
     computed = exact.count() + more.count()
-    d = _to_centroids(series, cents, "dtw_basic", {"window": w, "norm": "L2"}).join(labels, ["series_id", "cluster"])
-    return Clustering({"type": "tadpole", "k": k, "distance": "dtw_basic", "args": {"window": w, "norm": "L2"}, "control": control}, labels.join(d.select("series_id", "d"), "series_id"), cents, extra={"percent": 100 * computed / (n * (n - 1) / 2), "rho": rho})
-
-
-def cluster(series: DataFrame, type: str = "partitional", k: int = 2, preproc=None, distance: str | None = None, centroid=None, control=None, args: dict | None = None, seed: int = 1, init_ids=None, **_) -> Clustering | list[Clustering]:
-    """The front door: one clustering, or a list for several k or repetitions."""
+    args = {"window": w, "norm": "L2"}
+    d = to_centroids(series, cents, "dtw_basic", **args).join(labels, ["series_id", "cluster"])
+    config = {"type": "tadpole", "k": k, "distance": "dtw_basic", "centroid": centroid, "dist_args": args, "cent_args": cent_args or {}, "control": control}
+    return Clustering(config, labels.join(d.select("series_id", "d"), "series_id"), cents, extra={"percent": 100 * computed / (n * (n - 1) / 2), "rho": rho})
+
+
+def cluster(
+    series: DataFrame, type: str = "partitional", k: int = 2, preproc=None, distance: str | None = None, centroid=None, control=None, args: dict | None = None, seed: int = 1, init_ids=None,
+    preproc_args: dict | None = None, dist_args: dict | None = None, cent_args: dict | None = None,
+) -> Clustering | list[Clustering]:
+    """The front door: one clustering, or a list for several k or repetitions. preproc_args, dist_args and cent_args go to the function of that kind; args is
+    short for those of the distance, of which barycenter averaging takes window, norm and step, and the soft-DTW prototype gamma, unless cent_args has them."""
     if isinstance(k, (list, tuple)):
-        runs = [cluster(series, type, x, preproc, distance, centroid, control, args, seed, init_ids) for x in k]
+        runs = [cluster(series, type, x, preproc, distance, centroid, control, args, seed, init_ids, preproc_args, dist_args, cent_args) for x in k]
         return [c for found in runs for c in (found if isinstance(found, list) else [found])]
+    if type not in KINDS:
+        raise SeriesError(f"No clustering is known as '{type}'.")
     if preproc is None and centroid == "shape":
         preproc = "zscore"
-    ready = preprocess(series, preproc)
+    dist_args = {**(args or {}), **(dist_args or {})}
+    shared = {"dba": ("window", "norm", "step"), "sdtw_cent": ("gamma",)}.get(centroid if isinstance(centroid, str) else "", ())
+    cent_args = {a: dist_args[a] for a in shared if a in dist_args} | (cent_args or {})
+    ready = preprocess(series, preproc, **(preproc_args or {})).persist()
+    more = {"preproc": preproc, "preproc_args": preproc_args or {}}
+    control = control or (KINDS[type]() if type != "tadpole" else None)
+    if not isinstance(control, KINDS[type]):
+        raise SeriesError(f"A {type} clustering takes a control of its own, {KINDS[type].__name__}.")
+    distance = distance or "dtw_basic"
     if type == "partitional":
-        control = control or Partitional()
-        runs = [partitional(ready, k, distance or "dtw_basic", centroid or "pam", _replace(control, repetitions=1), args, seed + r, init_ids) for r in range(control.repetitions)]
-        runs = [_replace(r, config=r.config | {"preproc": preproc}) for r in runs]
-        return runs if len(runs) > 1 else runs[0]
-    if type == "fuzzy":
-        out = fuzzy(ready, k, distance or "dtw_basic", centroid or "fcm", control or Fuzzy(), args, seed, init_ids)
+        found = [partitional(ready, k, distance, centroid or "pam", _replace(control, repetitions=1), dist_args, cent_args, seed + r, init_ids) for r in range(control.repetitions)]
+    elif type == "fuzzy":
+        found = [fuzzy(ready, k, distance, centroid or "fcm", control, dist_args, seed, init_ids)]
     elif type == "hierarchical":
-        out = hierarchical(ready, k, distance or "dtw_basic", control or Hierarchical(), args, centroid)
-        if isinstance(out, dict):
-            return list(out.values())
-    elif type == "tadpole":
-        if control is None:
-            raise SeriesError("TADPole needs its control with dc and window.")
-        out = tadpole(ready, k, control)
+        trees = hierarchical(ready, k, distance, control, dist_args, centroid, cent_args)
+        found = list(trees.values()) if isinstance(trees, dict) else [trees]
     else:
-        raise SeriesError(f"Unknown clustering type '{type}'.")
-    return _replace(out, config=out.config | {"preproc": preproc})
+        found = [tadpole(ready, k, control, centroid, cent_args)]
+    found = [_replace(c, config=c.config | more) for c in found]
+    return found if len(found) > 1 else found[0]
 
 
 def k_shape(series: DataFrame, k: int, **more) -> Clustering:

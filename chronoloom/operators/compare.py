@@ -10,7 +10,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronoloom.operators import validity
-from chronoloom.operators.clustering import Clustering, cluster
+from chronoloom.operators.clustering import KINDS, Clustering, cluster, preprocess
 
 TYPES = ("partitional", "hierarchical", "fuzzy", "tadpole")
 
@@ -54,16 +54,24 @@ def seed_of(seed: int, config_id: str) -> int:
     return crc32(f"{seed}:{config_id}".encode())
 
 
-def run_config(series: DataFrame, type: str, config: dict, seed: int) -> list[Clustering]:
-    suffix = lambda s: {a.removesuffix(f"_{s}"): b for a, b in config.items() if a.endswith(f"_{s}")}
-    control = {a: b for a, b in config.items() if a not in ("k", "preproc", "distance", "centroid") and "_" not in a}
-    from chronoloom.operators import clustering as K
-
-    kinds = {"partitional": K.Partitional, "fuzzy": K.Fuzzy, "hierarchical": K.Hierarchical, "tadpole": K.Tadpole}
-    found = cluster(series, type, config["k"], config.get("preproc"), config.get("distance"), config.get("centroid"), kinds[type](**control) if control else None, suffix("distance"), seed)
+def run_config(series: DataFrame, type: str, config: dict, seed: int, ready: bool = False) -> list[Clustering]:
+    """One row of a grid. Columns named <argument>_preproc, _distance or _centroid go to that function, all others but k to the type's control; ready: series are preprocessed."""
+    own: dict = {"preproc": {}, "distance": {}, "centroid": {}, "": {}}
+    for a, b in config.items():
+        if a in ("k", "preproc", "distance", "centroid"):
+            continue
+        kind = next((s for s in own if s and a.endswith(f"_{s}")), "")
+        own[kind][a.removesuffix(f"_{kind}") if kind else a] = b
+    control = KINDS[type](**own[""]) if own[""] else None
+    found = cluster(series, type, config["k"], None if ready else config.get("preproc"), config.get("distance"), config.get("centroid"), control, None, seed, None, None if ready else own["preproc"], own["distance"], own["centroid"])
     return found if isinstance(found, list) else [found]
 
 
+def preproc_of(config: dict) -> tuple:
+    """What tells the preprocessing of two configurations apart."""
+    return config.get("preproc"), tuple(sorted((a.removesuffix("_preproc"), b) for a, b in config.items() if a.endswith("_preproc")))
+
+
 def compare(series: DataFrame, configs: dict[str, list[dict]], score=None, pick=None, seed: int = 1, shuffle: bool = False, errors: str = "stop", keep: bool = True, parallel: int = 2) -> dict:
     """Every configuration is run (jobs of several at once), scored and listed with ids config<i>_<j>; errors: stop, remove or pass. Preprocessing is done once for each distinct one."""
     if errors not in ("stop", "remove", "pass"):
@@ -73,17 +81,16 @@ def compare(series: DataFrame, configs: dict[str, list[dict]], score=None, pick=
         random.Random(seed).shuffle(jobs)
     ready: dict = {}
     for _, _, c in jobs:
-        p = c.get("preproc")
-        if p not in ready:
-            from chronoloom.operators.clustering import preprocess
-
-            ready[p] = preprocess(series, p).persist()
+        name, args = key = preproc_of(c)
+        if key not in ready:
+            ready[key] = preprocess(series, name, **dict(args)).persist()
 
     def run(job):
         name, t, c = job
         try:
-            found = run_config(ready[c.get("preproc")], t, {**c, "preproc": None}, seed_of(seed, name))
-            return [(f"{name}_{j}", t, c, r, score(r, ready[c.get("preproc")]) if score else {}) for j, r in enumerate(found, 1)]
+            own = ready[preproc_of(c)]
+            found = run_config(own, t, c, seed_of(seed, name), ready=True)
+            return [(f"{name}_{j}", t, c, r, score(r, own) if score else {}) for j, r in enumerate(found, 1)]
         except Exception as e:
             if errors == "stop":
                 raise

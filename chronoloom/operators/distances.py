@@ -1,9 +1,9 @@
 """Distance relations (i, j, d) between series: the joins of this engine.
 
-Expressions (L1, L2) stay in Catalyst; elastic kernels and their lower bounds run in Arrow batches. A symmetric self-distance is
-computed for i > j only; `mirrored` gives both halves. Series are dealt in blocks: the smaller side is broadcast
-only below a checked number of values (BROADCAST_VALUES); beyond it blocks of both sides meet by an equi-join on block
-pairs, so any task holds two blocks.
+Expressions (L1, L2) stay in Catalyst: the smaller side is broadcast below a checked number of values (BROADCAST_VALUES), beyond
+it blocks of both sides meet by an equi-join. Elastic kernels and their lower bounds always meet in blocks: a task holds two blocks of
+at most BLOCK_SERIES series and computes what a kernel needs of each series (envelopes, transforms, own terms) once a block. A
+symmetric self-distance is computed for i > j only; `mirrored` gives both halves of it.
 """
 
 from __future__ import annotations
@@ -16,15 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chronoloom.functions import kernels as K, series as S
-from chronoloom.sources.series import SeriesError, check_series, check_window, is_multivariate
+from chronoloom.sources.series import SeriesError, check_series, check_window, is_multivariate, profile
 
-BROADCAST_VALUES, BLOCK_SERIES = 2_000_000, 512
+BROADCAST_VALUES, BLOCK_SERIES, LEAST_BLOCK, SIGMA_POINTS = 2_000_000, 512, 16, 10_000
 
 
 @dataclass(frozen=True)
 class Distance:
     name: str
     kernel: Callable | None = None  # of stacked pairs
+    prepare: Callable | None = None  # of a stack of series and the length of the others: what the kernel takes of each, by name
     expression: Callable | None = None  # of columns x, y
     ragged: bool = False
     multivariate: bool = False
@@ -42,7 +43,7 @@ def register(distance: Distance, *names: str) -> None:
 
 def lookup(name: str) -> Distance:
     if name.lower() not in REGISTRY:
-        raise SeriesError(f"Distance function '{name}' is not registered.")
+        raise SeriesError(f"No distance is known as '{name}'.")
     return REGISTRY[name.lower()]
 
 
@@ -65,13 +66,13 @@ _elastic = lambda a: a.get("step", "symmetric2") in ("symmetric1", "symmetric2")
 register(Distance("dtw_basic", K.dtw, ragged=True, multivariate=True, symmetric=_elastic), "dtw")
 register(Distance("dtw2", _dtw2, ragged=True, multivariate=True, symmetric=_elastic))
 register(Distance("sdtw", K.sdtw, ragged=True, multivariate=True, diagonal=True))
-register(Distance("sbd", K.sbd, ragged=True))
+register(Distance("sbd", K.sbd, K.spectrum, ragged=True))
 register(Distance("ugak", K.log_gak, ragged=True, multivariate=True, diagonal=True))
-register(Distance("lbk", K.lb_keogh, symmetric=lambda a: a.get("force_symmetry", False)), "lb_keogh")
-register(Distance("lbi", K.lb_improved, symmetric=lambda a: a.get("force_symmetry", False)), "lb_improved")
+register(Distance("lbk", K.lb_keogh, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False)), "lb_keogh")
+register(Distance("lbi", K.lb_improved, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False)), "lb_improved")
 register(Distance("L1", expression=lambda x, y, **_: S.minkowski(x, y, 1)), "manhattan")
 register(Distance("L2", expression=lambda x, y, **_: S.minkowski(x, y, 2)), "euclidean")
-register(Distance("gak", K.log_gak, ragged=True, multivariate=True))
+register(Distance("gak", K.gak, K.gak_self, ragged=True, multivariate=True))
 
 
 def batch_udf(kernel: Callable, **args):
@@ -84,87 +85,156 @@ def batch_udf(kernel: Callable, **args):
     return run
 
 
-def pairs_of(x: DataFrame, y: DataFrame | None, lower: bool, diagonal: bool) -> DataFrame:
-    """(i, x, j, y): all pairs, or i > j (i >= j with the diagonal) of one side."""
-    left = x.select(F.col("series_id").alias("i"), *[F.col(c).alias(f"x_{c}") for c in x.columns if c != "series_id"])
-    right = (x if y is None else y).select(F.col("series_id").alias("j"), *[F.col(c).alias(f"y_{c}") for c in (x if y is None else y).columns if c != "series_id"])
+def given(args: dict) -> dict:
+    return {k: v for k, v in args.items() if v is not None}
+
+
+def pair_distance(method: str, **args) -> Column:
+    """The distance of x_values and y_values of a row."""
+    dist = lookup(method)
+    if dist.expression:
+        return dist.expression(F.col("x_values"), F.col("y_values"), **given(args))
+    return batch_udf(dist.kernel, **given(args))("x_values", "y_values")
+
+
+def with_sigma(method: str, args: dict, x: DataFrame) -> dict:
+    """args with the bandwidth of an alignment kernel, estimated from x if it isn't given."""
+    return args if lookup(method).name not in ("gak", "ugak") or args.get("sigma") else args | {"sigma": estimate_sigma(x)}
+
+
+def pairs_of(x: DataFrame, y: DataFrame | None, lower: bool, diagonal: bool, known: dict | None = None) -> DataFrame:
+    """(i, x_values, j, y_values): all pairs, or i > j (i >= j with the diagonal) of one side. known: profile() of y (of x without y)."""
+    left = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values"))
+    right = (x if y is None else y).select(F.col("series_id").alias("j"), F.col("values").alias("y_values"))
     cond = (F.col("i") >= F.col("j") if diagonal else F.col("i") > F.col("j")) if lower else None
-    n, values = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("y_values")), F.lit(0))).first()
-    if values <= BROADCAST_VALUES:
+    known = known or profile(x if y is None else y)
+    if known["values"] <= BROADCAST_VALUES:
         tasks = x.sparkSession.sparkContext.defaultParallelism
         return left.repartition(2 * tasks).join(F.broadcast(right), cond if cond is not None else F.lit(True))
-    blocks = -(-n // BLOCK_SERIES)
+    blocks = -(-known["n"] // BLOCK_SERIES)
     left = left.withColumn("_b", F.pmod(F.xxhash64("i"), F.lit(blocks))).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = right.withColumn("_c", F.pmod(F.xxhash64("j"), F.lit(blocks))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = left.join(right, ["_b", "_c"])
     return (met if cond is None else met.where(cond)).drop("_b", "_c")
 
 
-def distances(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", pairwise: bool = False, check: bool = True, **args) -> DataFrame:
-    """(i, j, d). Without y: of x with itself, i > j if the distance is symmetric (i >= j for soft-DTW), else all pairs. pairwise: rows of equal series_id."""
+def _in_blocks(x: DataFrame, y: DataFrame | None, lower: bool, dist: Distance, args: dict, n_x: int, n_y: int) -> DataFrame:
+    """(i, j, d) by blocks: those of x meet those of y, or of x each pair of blocks once if only a lower triangle is wanted."""
+    tasks = 2 * x.sparkSession.sparkContext.defaultParallelism
+    cut = lambda n, most: max(1, -(-n // BLOCK_SERIES), min(most, -(-n // LEAST_BLOCK)))
+    if lower:
+        rows = columns = cut(n_x, int((2 * tasks) ** 0.5) + 1)
+    else:
+        columns = cut(n_y, 4)
+        rows = cut(n_x, -(-tasks // columns))
+    block = lambda n: F.pmod(F.xxhash64("series_id"), F.lit(n)).cast("int")
+    every = lambda a, b: F.explode(F.sequence(a, b))
+    # Columns of their own on either side: a cogroup takes those of one origin for the same.
+    left = x.select(F.col("series_id").alias("i"), F.col("values").alias("x"), block(rows).alias("p"))
+    right = (x if y is None else y).select(F.col("series_id").alias("j"), F.col("values").alias("y"), block(columns).alias("q"))
+    left = left.withColumn("q", every(F.col("p") if lower else F.lit(0), F.lit(columns - 1)))
+    right = right.withColumn("p", every(F.lit(0), F.col("q") if lower else F.lit(rows - 1)))
+    kernel, prepare, diagonal = dist.kernel, dist.prepare, dist.diagonal
+
+    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0)})
+        i, j = a["i"].to_numpy(), b["j"].to_numpy()
+        wanted = np.ones((len(i), len(j)), bool)
+        if lower and key[0] == key[1]:
+            wanted = i[:, None] >= j if diagonal else i[:, None] > j
+        d = K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), a["x"].tolist(), b["y"].tolist(), wanted, prepare and (lambda v, other: prepare(v, other, **args)))
+        p, q = np.nonzero(wanted)
+        i, j, d = i[p], j[q], d[p, q]
+        return pd.DataFrame({"i": np.maximum(i, j) if lower else i, "j": np.minimum(i, j) if lower else j, "d": d})
+
+    n = min(10_000, rows * (rows + 1) // 2 if lower else rows * columns)
+    return left.repartition(n, "p", "q").groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "i long, j long, d double")
+
+
+def distances(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", pairwise: bool = False, check: bool = True, known: dict | None = None, **args) -> DataFrame:
+    """(i, j, d). Without y: of x with itself, i > j if the distance is symmetric (i >= j for soft-DTW), else all pairs. pairwise: rows of equal series_id.
+
+    One job looks at x, and one at y, before the relation is planned; known, a profile() of x, saves the first.
+    """
     dist = lookup(method)
     args["window"] = check_window(args.get("window"), required=dist.name in ("lbk", "lbi"))
+    if check or not known:
+        known = check_series(x, ragged=dist.ragged) if check else profile(x)
+    other = (check_series(y, ragged=dist.ragged) if check else profile(y)) if y is not None else known
     if check:
-        p = check_series(x, ragged=dist.ragged)
-        q = check_series(y, ragged=dist.ragged) if y is not None else p
         if is_multivariate(x) and not dist.multivariate:
-            raise SeriesError("This distance does not support multivariate series.")
-        if not dist.ragged and p["longest"] != q["longest"]:
-            raise SeriesError("All series must have the same length.")
-        equal = p["shortest"] == p["longest"] == q["longest"] == q["shortest"]
-    else:
-        equal = True
+            raise SeriesError(f"{dist.name} takes series of one variable.")
+        if not dist.ragged and known["longest"] != other["longest"]:
+            raise SeriesError(f"{dist.name} takes series of one length.")
+    equal = known["shortest"] == known["longest"] == other["longest"] == other["shortest"]
     lower = y is None and not pairwise and dist.symmetric({**args, "equal_lengths": equal})
-    if dist.name == "gak":
-        return _gak(x, y, pairwise, lower, args)
+    args = given(with_sigma(method, args, x))
     if pairwise:
         rows = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")).join((y if y is not None else x).select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), F.col("i") == F.col("j"))
-    else:
-        rows = pairs_of(x.select("series_id", "values"), None if y is None else y.select("series_id", "values"), lower, dist.diagonal)
-    args = {k: v for k, v in args.items() if v is not None}
+        return rows.select("i", "j", pair_distance(method, **args).alias("d"))
     if dist.expression:
-        d = dist.expression(F.col("x_values"), F.col("y_values"), **args)
-    else:
-        d = batch_udf(dist.kernel, **args)("x_values", "y_values")
-    return rows.select("i", "j", d.alias("d"))
+        return pairs_of(x, y, lower, dist.diagonal, other).select("i", "j", pair_distance(method, **args).alias("d"))
+    return _in_blocks(x, y, lower, dist, args, known["n"], other["n"])
 
 
-def _gak(x: DataFrame, y: DataFrame | None, pairwise: bool, lower: bool, args: dict) -> DataFrame:
-    """1 - exp(L(x, y) - (L(x, x) + L(y, y)) / 2); the self terms once a series, below the join."""
-    args = {k: v for k, v in args.items() if v is not None}
-    run = batch_udf(K.log_gak, **args)
-    own = lambda df: df.select("series_id", "values", run("values", "values").alias("own"))
-    if pairwise:
-        left, right = own(x), own(y if y is not None else x)
-        rows = left.select(F.col("series_id").alias("i"), F.col("values").alias("x_values"), F.col("own").alias("x_own")).join(right.select(F.col("series_id").alias("j"), F.col("values").alias("y_values"), F.col("own").alias("y_own")), F.col("i") == F.col("j"))
-    else:
-        rows = pairs_of(own(x), None if y is None else own(y), lower, False)
-    return rows.select("i", "j", (1 - F.exp(run("x_values", "y_values") - (F.col("x_own") + F.col("y_own")) / 2)).alias("d"))
+def to_centroids(series: DataFrame, centroids: DataFrame, method: str, **args) -> DataFrame:
+    """(series_id, cluster, d): each series with each of a few centroids (cluster, values), which go to the tasks that hold the series."""
+    dist, args = lookup(method), given(args)
+    if dist.expression:
+        both = series.select("series_id", F.col("values").alias("x_values")).join(F.broadcast(centroids.select("cluster", F.col("values").alias("y_values"))), F.lit(True))
+        return both.select("series_id", "cluster", pair_distance(method, **args).alias("d"))
+    args = with_sigma(method, args, series)
+    rows = centroids.select("cluster", "values").collect()  # k centroids
+    names, points = np.array([r["cluster"] for r in rows], np.int32), [np.asarray(r["values"], float) for r in rows]
+    kernel, prepare = dist.kernel, dist.prepare
+
+    def compare(batches):
+        for pdf in batches:
+            d = K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), pdf["values"].tolist(), points, np.ones((len(pdf), len(points)), bool), prepare and (lambda v, other: prepare(v, other, **args)))
+            yield pd.DataFrame({"series_id": np.repeat(pdf["series_id"].to_numpy(), len(names)), "cluster": np.tile(names, len(pdf)), "d": d.ravel()})
+
+    return series.select("series_id", "values").mapInPandas(compare, "series_id long, cluster int, d double")
 
 
-def estimate_sigma(series: DataFrame, seed: int = 1, draws: int = 1000) -> float:
-    """A bandwidth for the alignment kernel: root of the median length times the median distance of random samples of points (of `draws` series; lengths are of all)."""
+def estimate_sigma(series: DataFrame, seed: int = 1, points: int = SIGMA_POINTS) -> float:
+    """A bandwidth for the alignment kernel: root of the median length times the median distance of random samples of points.
+
+    Lengths are of all series; the samples are drawn from `points` points, the first by a hash of their place.
+    """
     rng = np.random.default_rng(seed)
     least, median = series.agg(F.min(F.size("values")), F.percentile(F.size("values"), F.lit(0.5))).first()
-    sample = [np.asarray(r["values"], float).reshape(len(r["values"]), -1) for r in series.orderBy(F.xxhash64("series_id", F.lit(seed))).limit(draws).collect()]
-    points = np.concatenate(sample)
+    at = series.select("series_id", F.posexplode("values").alias("t", "value"))
+    pool = np.array([np.atleast_1d(r[0]) for r in at.orderBy(F.xxhash64("series_id", "t", F.lit(seed)), "series_id", "t").limit(points).select("value").collect()], float)
     n, k = max(1, round(least / 2)), max(1, int(median))
-    d = [np.linalg.norm(points[rng.integers(len(points), size=n)] - points[rng.integers(len(points), size=n)]) for _ in range(k)]
+    d = [np.linalg.norm(pool[rng.integers(len(pool), size=n)] - pool[rng.integers(len(pool), size=n)]) for _ in range(k)]
     return float(np.sqrt(median) * np.median(d))
 
 
 def mirrored(d: DataFrame) -> DataFrame:
-    """Both halves of a lower triangle, with a zero diagonal left implied."""
-    return d.unionByName(d.where("i != j").select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    """Both halves of a lower triangle, with a zero diagonal left implied: each row is turned after its distance is known, so that is computed once."""
+    ends = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return d.select(F.explode(ends).alias("p"), "d").select("p.i", "p.j", "d")
+
+
+def symmetric_relation(series: DataFrame, method: str, **args) -> DataFrame:
+    """All (i, j, d) with i != j (and i = j where that isn't 0)."""
+    known = check_series(series, ragged=lookup(method).ragged)
+    d = distances(series, method=method, known=known, check=False, **args)
+    return mirrored(d) if lookup(method).symmetric({**args, "equal_lengths": known["shortest"] == known["longest"]}) else d
+
+
+def as_matrix(d: DataFrame, order: list[int] | None = None) -> DataFrame:
+    """A relation as a cross table: a row for each i, a column named after each j; ids are listed by the driver."""
+    ids = order or [r[0] for r in d.select("j").distinct().orderBy("j").collect()]
+    return d.groupBy("i").pivot("j", ids).agg(F.first("d")).orderBy("i")
 
 
 def memoised(known: DataFrame | None, wanted: DataFrame, series: DataFrame, method: str, **args) -> DataFrame:
     """known with the (i, j) of wanted that it lacks computed: an anti-join, then one pass over the new pairs."""
     new = wanted if known is None else wanted.join(known.select("i", "j"), ["i", "j"], "left_anti")
-    dist = lookup(method)
     rows = new.join(series.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")), "i").join(series.select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), "j")
-    d = dist.expression(F.col("x_values"), F.col("y_values"), **args) if dist.expression else batch_udf(dist.kernel, **args)("x_values", "y_values")
-    out = rows.select("i", "j", d.alias("d"))
+    out = rows.select("i", "j", pair_distance(method, **with_sigma(method, args, series)).alias("d"))
     return out if known is None else known.unionByName(out)
 
 
@@ -180,31 +250,44 @@ def warping_paths(pairs: DataFrame, **args) -> DataFrame:
 
     @F.pandas_udf("array<struct<index1: int, index2: int>>")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            a, b = (np.stack(v) if v.dtype == object else np.asarray(v, float) for v in (a, b))
-            path = K.dtw_paths(a[None], b[None], **args)[1][0] + 1
-            out.append([{"index1": int(i), "index2": int(j)} for i, j in path])
+        x, y, out = x.tolist(), y.tolist(), [None] * len(x)
+        shapes: dict = {}
+        for k, (a, b) in enumerate(zip(x, y, strict=True)):
+            shapes.setdefault((len(a), len(b)), []).append(k)
+        for own in shapes.values():
+            for k, path in zip(own, K.dtw_paths(K.dense([x[k] for k in own]), K.dense([y[k] for k in own]), **args)[1], strict=True):
+                out[k] = [{"index1": i, "index2": j} for i, j in (path + 1).tolist()]
         return pd.Series(out)
 
     return pairs.withColumn("path", run("x_values", "y_values"))
 
 
-def dtw_lb(x: DataFrame, y: DataFrame, window: int, norm: str = "L1", margin: int = 1) -> DataFrame:
+def dtw_lb(x: DataFrame, y: DataFrame | None, window: int, norm: str = "L1", margin: int = 1) -> DataFrame:
     """Nearest neighbours under DTW with lower bounds first: each row's current nearest is replaced by its true distance until it is a true one.
 
-    One bound a pair; a round sends to the kernel only the rows whose nearest is still a bound.
+    One bound a pair; a round sends to the kernel only the rows whose nearest is still a bound. Without y, of other series of x.
     """
     by, other = ("i", "j") if margin == 1 else ("j", "i")
-    bounds = distances(x, y, "lbi", window=window, norm=norm).withColumn("exact", F.lit(False)).persist()
-    dist = batch_udf(K.dtw, window=window, norm=norm)
+    bounds = distances(x, x if y is None else y, "lbi", window=window, norm=norm).withColumn("exact", F.lit(False))
+    bounds, y = kept(bounds if y is not None else bounds.where("i != j")), x if y is None else y
+    dist = pair_distance("dtw_basic", window=window, norm=norm)
     xs, ys = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")), y.select(F.col("series_id").alias("j"), F.col("values").alias("y_values"))
     known = None
     while True:
         now = bounds if known is None else bounds.join(known, ["i", "j"], "left").select("i", "j", F.coalesce("true_d", "d").alias("d"), F.col("true_d").isNotNull().alias("exact"))
         best = now.groupBy(by).agg(F.min(F.struct("d", other, "exact")).alias("b")).select(by, f"b.{other}", "b.d", "b.exact")
-        todo = best.where(~F.col("exact")).join(xs, "i").join(ys, "j").select("i", "j", dist("x_values", "y_values").alias("true_d"))
-        new = todo.checkpoint() if x.sparkSession.sparkContext.getCheckpointDir() else todo.persist()
+        new = kept(best.where(~F.col("exact")).join(xs, "i").join(ys, "j").select("i", "j", dist.alias("true_d")))
         if not new.limit(1).count():
             return best.select("i", "j", "d")
         known = new if known is None else known.unionByName(new)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iteration: a checkpoint in the shared folder where one is set (on the context, or as spark.checkpoint.dir), else a cached frame."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df.persist()
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()

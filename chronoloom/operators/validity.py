@@ -114,7 +114,7 @@ def one_hot(labels: DataFrame) -> DataFrame:
 def indices(clustering, series: DataFrame, which: str | list[str] = "valid", truth: DataFrame | None = None, distance_relation: DataFrame | None = None) -> dict[str, float]:
     """Indices of a clustering by name or group: valid, internal, external. What the given data don't allow is left out."""
     from chronoloom.operators import centroids as C
-    from chronoloom.operators.clustering import _symmetric, _to_centroids
+    from chronoloom.operators.distances import kept, symmetric_relation, to_centroids
 
     cfg, soft = clustering.config, clustering.membership is not None
     names = {"valid": (FUZZY_INTERNAL if soft else INTERNAL) + ((FUZZY_EXTERNAL if soft else EXTERNAL) if truth is not None else ()), "internal": FUZZY_INTERNAL if soft else INTERNAL, "external": FUZZY_EXTERNAL if soft else EXTERNAL}
@@ -125,22 +125,36 @@ def indices(clustering, series: DataFrame, which: str | list[str] = "valid", tru
         add(soft_external(clustering.membership, one_hot(truth)) if soft else external(clustering.labels, truth))
     inside = set(wanted) & set(FUZZY_INTERNAL if soft else INTERNAL)
     if inside:
-        args, method = cfg.get("args", {}), cfg["distance"]
-        cents = clustering.centroids.select(F.col("cluster").cast("long").alias("series_id"), "values")
-        between = _to_centroids(cents, clustering.centroids, method, args).select(F.col("series_id").alias("i"), F.col("cluster").alias("j"), "d")
-        d = distance_relation if distance_relation is not None else _symmetric(series, method, args) if not soft or inside else None
-        center = C.medoids(d, series.select("series_id", F.lit(1).alias("cluster"))).join(series.select("series_id", "values"), "series_id").select("cluster", "values")
-        to_global = _to_centroids(cents, center, method, args).select(F.col("series_id").cast("int").alias("cluster"), "d")
+        args, method, cents = cfg.get("dist_args", {}), cfg["distance"], clustering.centroids.select("cluster", "values")
+        method = "dtw_basic" if method == "dtw_lb" else method
+        as_series = cents.select(F.col("cluster").cast("long").alias("series_id"), "values")
+        relation = []  # all distances, computed where an index or a medoid needs them
+
+        def d() -> DataFrame:
+            if not relation:
+                relation.append(distance_relation if distance_relation is not None else kept(symmetric_relation(series, method, **args)))
+            return relation[0]
+
+        def to(rows: DataFrame, points: DataFrame) -> DataFrame:
+            return to_centroids(rows, points, method, **args)
+
+        between = to(as_series, cents).select(F.col("series_id").alias("i"), F.col("cluster").alias("j"), "d")
+        if soft or inside & {"CH", "SF"}:
+            # The prototype of all series, by the function that made those of the clusters.
+            whole = series.select("series_id", "values", F.lit(1).alias("cluster"))
+            first = whole.groupBy("cluster").agg(F.min_by("values", "series_id").alias("values"))
+            center = kept(C.prototypes(cfg.get("centroid") or "pam", whole, first, d, **cfg.get("cent_args", {}))).select("cluster", "values")
+            to_global = to(as_series, center).select(F.col("series_id").cast("int").alias("cluster"), "d")
         if soft:
-            u = clustering.membership.join(_to_centroids(series, clustering.centroids, method, args), ["series_id", "cluster"])
-            add(fuzzy_internal(u, between, to_global, _to_centroids(series, center, method, args).select("series_id", "d"), cfg["fuzziness"]))
+            u = clustering.membership.join(to(series, cents), ["series_id", "cluster"])
+            add(fuzzy_internal(u, between, to_global, to(series, center).select("series_id", "d"), cfg["control"].fuzziness))
         else:
             if "Sil" in inside:
-                add(silhouette(d, clustering.labels))
+                add(silhouette(d(), clustering.labels))
             if "D" in inside:
-                add(dunn(d, clustering.labels))
+                add(dunn(d(), clustering.labels))
             if "COP" in inside:
-                add(cop(d, clustering.labels))
+                add(cop(d(), clustering.labels))
             if inside & {"DB", "DBstar"}:
                 add(davies_bouldin(clustering.labels, between))
             if inside & {"CH", "SF"}:

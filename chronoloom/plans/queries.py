@@ -47,7 +47,7 @@ def label_means(spark: SparkSession, d: str) -> DataFrame:
 
 def to_means(spark: SparkSession, d: str) -> DataFrame:
     """(series_id, cluster, d): L2 distance of each embedding to the mean of each label."""
-    return K._to_centroids(src.embeddings(spark, d).select("series_id", "values"), label_means(spark, d), "L2", {})
+    return D.to_centroids(src.embeddings(spark, d).select("series_id", "values"), label_means(spark, d), "L2")
 
 
 def l2(spark: SparkSession, d: str) -> DataFrame:
@@ -319,7 +319,7 @@ def _labels(spark, d):
 
 def _between(spark, d):
     c = label_means(spark, d)
-    x = K._to_centroids(c.select(F.col("cluster").cast("long").alias("series_id"), "values"), c, "L2", {})
+    x = D.to_centroids(c.select(F.col("cluster").cast("long").alias("series_id"), "values"), c, "L2")
     return x.select(F.col("series_id").alias("i"), F.col("cluster").alias("j"), "d")
 
 
@@ -328,7 +328,7 @@ def _global(spark, d):
 
 
 def _to_global(spark, d):
-    x = K._to_centroids(label_means(spark, d).select(F.col("cluster").cast("long").alias("series_id"), "values"), _global(spark, d), "L2", {})
+    x = D.to_centroids(label_means(spark, d).select(F.col("cluster").cast("long").alias("series_id"), "values"), _global(spark, d), "L2")
     return x.select(F.col("series_id").cast("int").alias("cluster"), "d")
 
 
@@ -374,7 +374,7 @@ def cvi_calinski_score(spark, d):
 
 @query
 def cvi_fuzzy(spark, d):
-    own = K._to_centroids(src.embeddings(spark, d).select("series_id", "values"), _global(spark, d), "L2", {}).select("series_id", "d")
+    own = D.to_centroids(src.embeddings(spark, d).select("series_id", "values"), _global(spark, d), "L2").select("series_id", "d")
     return _rounded(V.fuzzy_internal(K.memberships(to_means(spark, d)), _between(spark, d), _to_global(spark, d), own))
 
 

@@ -18,13 +18,13 @@ def as_series(spark: SparkSession, data) -> DataFrame:
     if hasattr(data, "tolist"):
         data = data.tolist()
     if not isinstance(data, (list, tuple)) or not data:
-        raise SeriesError("Unsupported data type.")
+        raise SeriesError("Series come as a frame, a table or a list of numbers or of lists.")
     rows = [data] if isinstance(data[0], (int, float)) and not isinstance(data[0], bool) else list(data)
     rows = [r.tolist() if hasattr(r, "tolist") else list(r) for r in rows]
     nested = rows[0] and isinstance(rows[0][0], (list, tuple))
     flat = [x for r in rows for p in r for x in (p if nested else [p])]
     if any(not r for r in rows) or any(isinstance(x, (bool, str)) or x is None or x != x for x in flat):
-        raise SeriesError("Series must be numeric, non-empty and without missing values.")
+        raise SeriesError("A series needs numbers: it may not be empty, nor hold text or gaps.")
     kind = "array<array<double>>" if nested else "array<double>"
     return spark.createDataFrame([(i + 1, [[float(x) for x in p] for p in r] if nested else [float(x) for x in r]) for i, r in enumerate(rows)], f"series_id long, values {kind}")
 
@@ -34,31 +34,31 @@ def is_multivariate(series: DataFrame) -> bool:
 
 
 def profile(series: DataFrame) -> dict:
-    """Number of series, least and greatest length and number of variables, missing values: one aggregate."""
+    """Number of series and of their values, least and greatest length and number of variables, missing values: one aggregate."""
     inner = F.size(F.col("values")[0]) if is_multivariate(series) else F.lit(1)
     flat = F.flatten("values") if is_multivariate(series) else F.col("values")
     missing = F.col("values").isNull() | (F.size("values") == 0) | F.exists(flat, lambda x: x.isNull() | F.isnan(x))
-    return series.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("values")).alias("shortest"), F.max(F.size("values")).alias("longest"), F.min(inner).alias("least_vars"), F.max(inner).alias("most_vars"), F.count_if(missing).alias("missing")).first().asDict()
+    return series.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("values")).alias("shortest"), F.max(F.size("values")).alias("longest"), F.min(inner).alias("least_vars"), F.max(inner).alias("most_vars"), F.count_if(missing).alias("missing"), F.coalesce(F.sum(F.size("values") * inner), F.lit(0)).alias("values")).first().asDict()
 
 
 def check_series(series: DataFrame, ragged: bool = True) -> dict:
     p = profile(series)
     if p["missing"]:
-        raise SeriesError("Series must be numeric, non-empty and without missing values.")
+        raise SeriesError("A series needs numbers: it may not be empty, nor hold text or gaps.")
     if p["least_vars"] != p["most_vars"]:
-        raise SeriesError("Inconsistent dimensions across series.")
+        raise SeriesError("The series differ in how many variables they have.")
     if not ragged and p["shortest"] != p["longest"]:
-        raise SeriesError("All series must have the same length.")
+        raise SeriesError("Series of one length are needed here.")
     return p
 
 
 def check_window(window: int | None, required: bool = False) -> int | None:
     if window is None:
         if required:
-            raise SeriesError("Please provide the window size.")
+            raise SeriesError("A lower bound needs a window.")
         return None
     if window < 0:
-        raise SeriesError("Window size must not be negative.")
+        raise SeriesError("A window has 0 or more points to either side.")
     return int(window)
 
 
