@@ -54,7 +54,8 @@ def zscore_parameters(x: Column, center: bool = True, scale: bool = True) -> Col
 
 def by_variable(x: Column, n_vars: int, f) -> Column:
     """f of each variable of a multivariate series by itself."""
-    cols = [f(F.transform(x, lambda r, k=k: r[k])) for k in range(n_vars)]
+    one = lambda k: F.transform(x, lambda r: r[k])
+    cols = [f(one(k)) for k in range(n_vars)]
     return F.transform(F.arrays_zip(*[c.alias(f"v{k}") for k, c in enumerate(cols)]), lambda z: F.array(*[z[f"v{k}"] for k in range(n_vars)]))
 
 

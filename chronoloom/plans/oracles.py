@@ -54,6 +54,37 @@ run AS (
 """
 
 
+def paths(with_: str, pairs: str, cost: str = ABS, step: int = 2, window: int | None = None) -> str:
+    """path (i, j, step, a, b): m is the matrix of a pair so far, row by row; the way back prefers the diagonal, then the same row."""
+    inf = "'inf'::DOUBLE"
+    band = "TRUE" if window is None else f"(b + 1) >= ceil((a + 1) * len(y) / len(x) - {window}) AND (b + 1) <= floor((a + 1) * len(y) / len(x) + {window})"
+    ways = f"{cost} AS c, CASE WHEN a > 0 AND b > 0 THEN m[k - len(y)] ELSE {inf} END AS diag, CASE WHEN b > 0 THEN m[k] ELSE {inf} END AS lft, CASE WHEN a > 0 THEN m[k + 1 - len(y)] ELSE {inf} END AS up"
+    return f"""WITH RECURSIVE {with_}, pairs AS ({pairs}),
+run AS (
+  SELECT i, j, x, y, 0 AS k, []::DOUBLE[] AS m FROM pairs
+  UNION ALL
+  SELECT i, j, x, y, k + 1, list_append(m, CASE WHEN NOT ({band}) THEN {inf} WHEN k = 0 THEN c ELSE least(diag + {step} * c, lft + c, up + c) END)
+  FROM (SELECT *, {ways} FROM (SELECT *, k // len(y) AS a, k % len(y) AS b FROM run WHERE k < len(x) * len(y)))
+), done AS (SELECT i, j, x, y, m FROM run WHERE k = len(x) * len(y)
+), back AS (
+  SELECT i, j, 0 AS n, len(x) - 1 AS a, len(y) - 1 AS b FROM done
+  UNION ALL
+  SELECT i, j, n + 1, CASE WHEN diag + {step} * c <= least(lft + c, up + c) OR lft > up THEN a - 1 ELSE a END, CASE WHEN diag + {step} * c <= least(lft + c, up + c) OR lft <= up THEN b - 1 ELSE b END
+  FROM (SELECT i, j, n, a, b, {ways} FROM (SELECT i, j, n, a, b, a * len(y) + b AS k, x, y, m FROM back JOIN done USING (i, j) WHERE a > 0 OR b > 0))
+), path AS (SELECT i, j, CAST(row_number() OVER (PARTITION BY i, j ORDER BY n DESC) - 1 AS INT) AS step, CAST(a AS INT) AS a, CAST(b AS INT) AS b FROM back)
+"""
+
+
+MULTI = """
+tp AS (SELECT event_type, CAST(row_number() OVER (ORDER BY event_type) - 1 AS INT) AS var FROM (SELECT DISTINCT event_type FROM events)),
+ev AS (SELECT user_id AS id, CAST(ts AS DATE) AS day, event_type, count(*)::DOUBLE AS v FROM events GROUP BY 1, 2, 3),
+bound AS (SELECT min(day) AS lo, max(day) AS hi FROM ev),
+mv AS (SELECT g.id, CAST(g.t AS INT) AS t, tp.var, coalesce(ev.v, 0.0) AS v FROM (SELECT id, lo, unnest(range(0, date_diff('day', lo, hi) + 1)) AS t FROM (SELECT DISTINCT id FROM ev), bound) g CROSS JOIN tp LEFT JOIN ev ON ev.id = g.id AND ev.event_type = tp.event_type AND date_diff('day', g.lo, ev.day) = g.t)"""
+ACF = """
+cen AS (SELECT id, t, v - avg(v) OVER (PARTITION BY id) AS v FROM obs), pw AS (SELECT id, sum(v * v) AS q FROM cen GROUP BY 1),
+ac AS (SELECT a.id, CAST(k AS INT) AS t, CASE WHEN q > 0 THEN sum(a.v * b.v) / q WHEN k = 0 THEN 1.0 ELSE 0.0 END AS v FROM cen a JOIN (SELECT unnest(range(11)) AS k) ON TRUE JOIN cen b ON b.id = a.id AND b.t = a.t + k JOIN pw ON pw.id = a.id GROUP BY a.id, k, q)"""
+
+
 EMB = """e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 l AS (SELECT id, label, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS t FROM e),
 m AS (SELECT label AS c, t, avg(v) AS v FROM l GROUP BY 1, 2),
@@ -164,6 +195,92 @@ ORACLES = {
     "window_vote": FLAGS + """, votes AS (SELECT first_ok AS w, count(*) AS v FROM comp WHERE complexity > 0 AND complexity < 0.5 AND first_ok IS NOT NULL GROUP BY 1)
       SELECT coalesce((SELECT arg_min(w, (-v, w)) FROM votes), (SELECT min(first_ok) FROM comp)) AS window, coalesce((SELECT max(v) FROM votes), 0) AS votes""",
 }
+SBD = """n AS (SELECT id, sqrt(sum(v * v)) AS n FROM z GROUP BY 1), c AS (SELECT a.id AS i, b.id AS j, a.t - b.t AS k, sum(a.v * b.v) AS s FROM z a JOIN z b ON a.id > b.id GROUP BY 1, 2, 3),
+sbd AS (SELECT i, j, CASE WHEN p.n * q.n > 0 THEN 1 - max(s) / (p.n * q.n) ELSE 1.0 END AS d FROM c JOIN n p ON p.id = i JOIN n q ON q.id = j GROUP BY i, j, p.n, q.n)"""
+SHAPES = 18  # squarings of a matrix: its 2**18th power is of rank one
+_square = lambda k: f"""q{k} AS (SELECT a.g, a.i, b.j, sum(a.m * b.m) AS m FROM w{k - 1} a JOIN w{k - 1} b ON a.g = b.g AND a.j = b.i GROUP BY 1, 2, 3),
+w{k} AS (SELECT g, i, j, m / sum(m) FILTER (i = j) OVER (PARTITION BY g) AS m FROM q{k})"""
+ORACLES |= {
+    "zscore_multivariate": f"WITH {MULTI} SELECT id AS series_id, t, var, round(CASE WHEN stddev_samp(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_samp(v) OVER w ELSE 0.0 END, 6) AS value FROM mv WINDOW w AS (PARTITION BY id, var)",
+    "reshape_multivariate": f"WITH {MULTI} SELECT id AS series_id, var, t, v AS value FROM mv",
+    "cross_correlation": f"WITH {NATION}{Z}, n AS (SELECT id, sqrt(sum(v * v)) AS n FROM z GROUP BY 1) SELECT a.id AS series_id, a.t - b.t AS lag, round(sum(a.v * b.v) / any_value(p.n * q.n), 6) AS value FROM z a JOIN z b ON b.id = a.id + 1 JOIN n p ON p.id = a.id JOIN n q ON q.id = b.id GROUP BY 1, 2",
+    "sbd_znorm": ORACLES["sbd_matrix"],
+    "distance_table": f"WITH {NATION}{Z}, m AS (SELECT a.id AS i, b.id AS j, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS d FROM z a JOIN z b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2) PIVOT m ON j USING first(d) ORDER BY i",
+    "dtw_ragged": dtw(NATION + Z, "SELECT a.id AS i, b.id AS j, a.x[1:40 + a.id] AS x, b.x[1:40 + b.id] AS y FROM s a JOIN s b ON a.id > b.id", norm="L2") + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
+    "dtw_multivariate": dynamic(f"{MULTI}, s AS (SELECT id, list(p ORDER BY t) AS x FROM (SELECT id, t, list(v ORDER BY var) AS p FROM mv GROUP BY 1, 2) GROUP BY id)", LOWER, "list_sum(list_transform(range(1, len(x[a + 1]) + 1), lambda k: abs(x[a + 1][k] - y[b + 1][k])))",
+        "c", "least(diag + 2 * c, lft + c, up + c)", "abs(a - b) <= 5") + "SELECT i, j, round(d, 6) AS d FROM done",
+    "dtw_path": paths(NATION + ", s AS (SELECT id, list(round(v / 1000) ORDER BY t) AS x FROM obs GROUP BY id)", "SELECT a.id AS i, b.id AS j, a.x AS x, b.x AS y FROM s a JOIN s b ON b.id = a.id + 1") + "SELECT i AS series_id, step, a + 1 AS index1, b + 1 AS index2 FROM path",
+    "gak_memo": ORACLES["gak_matrix"],
+    "cent_multivariate": f"WITH {MULTI} SELECT CAST(id % 4 AS INT) AS cluster, t, var, round(avg(v), 6) AS mean, round(median(v), 6) AS median FROM mv GROUP BY 1, 2, 3",
+    "dba_step": paths(f"{DAILY}{Z}, ce AS (SELECT g, list(v ORDER BY t) AS y FROM (SELECT id % 4 AS g, t, avg(v) AS v FROM z GROUP BY 1, 2) GROUP BY g)", "SELECT id AS i, g AS j, x, y FROM s JOIN ce ON g = id % 4", window=5)
+    + "SELECT CAST(path.j AS INT) AS cluster, path.b AS t, round(avg(x[path.a + 1]), 6) AS value FROM path JOIN done USING (i, j) GROUP BY 1, 2",
+    "shape_centroid": f"""WITH {DAILY}{Z}, m AS (SELECT id % 4 AS g, id, t, v FROM z), f AS (SELECT g, min(id) AS id FROM m GROUP BY 1), h AS (SELECT m.g, t, v FROM m JOIN f USING (id)),
+      cc AS (SELECT m.id, h.t - m.t AS k, sum(h.v * m.v) AS c FROM m JOIN h USING (g) GROUP BY 1, 2), best AS (SELECT id, arg_max(k, (c, -k)) AS k FROM cc GROUP BY 1),
+      al AS (SELECT m.g, m.id, m.t, coalesce(o.v, 0.0) AS v FROM m JOIN best USING (id) LEFT JOIN m o ON o.id = m.id AND o.t = m.t - best.k),
+      y AS (SELECT g, id, t, CASE WHEN stddev_samp(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_samp(v) OVER w ELSE 0.0 END AS v FROM al WINDOW w AS (PARTITION BY id)),
+      gr AS (SELECT a.g, a.t AS i, b.t AS j, sum(a.v * b.v) AS m FROM y a JOIN y b ON a.id = b.id GROUP BY 1, 2, 3),
+      w0 AS (SELECT g, i, j, m - avg(m) OVER (PARTITION BY g, i) - avg(m) OVER (PARTITION BY g, j) + avg(m) OVER (PARTITION BY g) AS m FROM gr),
+      {", ".join(_square(k) for k in range(1, SHAPES + 1))}, top AS (SELECT g, arg_max(j, m) AS j FROM w{SHAPES} WHERE i = j GROUP BY 1), v AS (SELECT g, i AS t, m AS v FROM w{SHAPES} JOIN top USING (g, j)),
+      sg AS (SELECT v.g, CASE WHEN sum(v.v * al.v) > 0 THEN 1 ELSE -1 END AS s FROM v JOIN f USING (g) JOIN al ON al.id = f.id AND al.t = v.t GROUP BY 1)
+      SELECT CAST(g AS INT) AS cluster, t, round(s * (v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS value FROM v JOIN sg USING (g) WINDOW w AS (PARTITION BY g)""",
+    "pam_clustering": dtw(NATION + Z, LOWER, window=5) + """, fl AS (SELECT i, j, d FROM done UNION ALL SELECT j, i, d FROM done UNION ALL SELECT id, id, 0.0 FROM s),
+      it AS (
+        SELECT 0 AS n, row_number() OVER (ORDER BY id) AS c, id AS m FROM (SELECT id FROM s ORDER BY id LIMIT 4)
+        UNION ALL
+        SELECT n, c, arg_min(i, (w, i)) FROM (
+          SELECT l.n, l.c, l.i, sum(fl.d) AS w FROM (SELECT n + 1 AS n, fl.i, arg_min(c, (CASE WHEN fl.i = m THEN -1 ELSE fl.d END, c)) AS c FROM it JOIN fl ON fl.j = m WHERE n < 99 GROUP BY 1, 2) l
+          JOIN (SELECT n + 1 AS n, fl.i, arg_min(c, (CASE WHEN fl.i = m THEN -1 ELSE fl.d END, c)) AS c FROM it JOIN fl ON fl.j = m WHERE n < 99 GROUP BY 1, 2) r ON r.c = l.c JOIN fl ON fl.i = l.i AND fl.j = r.i GROUP BY 1, 2, 3
+        ) GROUP BY 1, 2
+      ) SELECT i AS series_id, CAST(arg_min(c, (CASE WHEN i = m THEN -1 ELSE d END, c)) AS INT) AS cluster, round(min(d), 6) AS d FROM it JOIN fl ON fl.j = m WHERE n = 99 GROUP BY 1""",
+    "kmeans_clustering": """WITH RECURSIVE l AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS t FROM embeddings),
+      st AS (SELECT id, row_number() OVER (ORDER BY id) AS c FROM (SELECT vec_id AS id FROM embeddings ORDER BY 1 LIMIT 10)),
+      it AS (
+        SELECT 0 AS n, c, t, v FROM st JOIN l USING (id)
+        UNION ALL
+        SELECT n, c, t, avg(l.v) FROM (SELECT n, id, arg_min(c, (d, c)) AS c FROM (SELECT n + 1 AS n, id, c, sqrt(sum((l.v - it.v) ** 2)) AS d FROM it JOIN l USING (t) WHERE n < 99 GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN l USING (id) GROUP BY 1, 2, 3
+      ) SELECT id AS series_id, CAST(arg_min(c, (d, c)) AS INT) AS cluster, round(min(d), 6) AS d FROM (SELECT id, c, sqrt(sum((l.v - it.v) ** 2)) AS d FROM it JOIN l USING (t) WHERE n = 99 GROUP BY 1, 2) GROUP BY 1""",
+    "fuzzy_clustering": f"""WITH RECURSIVE {DAILY}, {ACF}, st AS (SELECT id, row_number() OVER (ORDER BY id) AS c FROM (SELECT DISTINCT id FROM ac ORDER BY id LIMIT 4)),
+      it AS (
+        SELECT 1 AS n, c, t, v, NULL::DOUBLE AS obj, FALSE AS done FROM st JOIN ac USING (id)
+        UNION ALL
+        SELECT n + 1, c, t, sum(u * u * ac.v) / sum(u * u), any_value(val), any_value(coalesce(abs(val - obj) < 1e-3, FALSE))
+        FROM (SELECT *, sum(u * u * d * d) OVER () AS val FROM (SELECT *, CASE WHEN bool_or(d = 0) OVER w THEN (d = 0)::INT / sum((d = 0)::INT) OVER w ELSE (1 / d ** 2) / sum(1 / d ** 2) OVER w END AS u
+          FROM (SELECT n, id, c, any_value(obj) AS obj, sqrt(sum((ac.v - it.v) ** 2)) AS d FROM it JOIN ac USING (t) WHERE NOT done AND n < 101 GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY id))) JOIN ac USING (id) GROUP BY n, c, t
+      ), en AS (SELECT coalesce(min(n) FILTER (done), 101) - 1 AS n FROM it), fd AS (SELECT id, c, sqrt(sum((ac.v - it.v) ** 2)) AS d FROM it JOIN en USING (n) JOIN ac USING (t) GROUP BY 1, 2)
+      SELECT id AS series_id, CAST(c AS INT) AS cluster, round(CASE WHEN bool_or(d = 0) OVER w THEN (d = 0)::INT / sum((d = 0)::INT) OVER w ELSE (1 / d ** 2) / sum(1 / d ** 2) OVER w END, 6) AS u FROM fd WINDOW w AS (PARTITION BY id)""",
+    "hierarchical_clustering": f"""WITH RECURSIVE {DAILY}{Z}, {SBD}, fl AS MATERIALIZED (SELECT i, j, d FROM sbd UNION ALL SELECT j, i, d FROM sbd), nk AS (SELECT count(*) - 5 AS last FROM s),
+      run AS (
+        SELECT 1 AS n, last, i, j, d, 1.0::DOUBLE AS si, 1.0::DOUBLE AS sj FROM fl, nk
+        UNION ALL
+        SELECT n + 1, last, x, y, sum(d * w) / sum(w), CASE WHEN x = bi THEN sum(si) ELSE max(si) END, CASE WHEN y = bi THEN sum(sj) ELSE max(sj) END
+        FROM (SELECT *, CASE WHEN x = bi THEN si WHEN y = bi THEN sj ELSE 1.0 END AS w FROM (
+          SELECT n, last, d, si, sj, b['i'] AS bi, CASE WHEN i = b['j'] THEN b['i'] ELSE i END AS x, CASE WHEN j = b['j'] THEN b['i'] ELSE j END AS y
+          FROM (SELECT *, min({{'d': d, 'i': i, 'j': j}}) FILTER (i < j) OVER () AS b FROM run WHERE n < last)
+        ) WHERE x <> y) GROUP BY n, last, bi, x, y
+      ), mg AS MATERIALIZED (SELECT n, min({{'d': d, 'i': i, 'j': j}}) FILTER (i < j) AS b FROM run GROUP BY n),
+      res AS (SELECT 0 AS n, id, id AS root FROM s UNION ALL SELECT mg.n, id, CASE WHEN root = b['j'] THEN b['i'] ELSE root END FROM res JOIN mg ON mg.n = res.n + 1),
+      lb AS (SELECT id, dense_rank() OVER (ORDER BY root) AS c FROM res WHERE n = (SELECT last FROM nk)),
+      me AS (SELECT c, arg_min(id, (w, id)) AS m FROM (SELECT p.c, p.id, coalesce(sum(fl.d), 0) AS w FROM lb p LEFT JOIN lb q ON p.c = q.c AND p.id <> q.id LEFT JOIN fl ON fl.i = p.id AND fl.j = q.id GROUP BY 1, 2) GROUP BY 1)
+      SELECT id AS series_id, CAST(c AS INT) AS cluster, round(coalesce(fl.d, 0), 6) AS d FROM lb JOIN me USING (c) LEFT JOIN fl ON fl.i = id AND fl.j = m""",
+    "tadpole_clustering": dtw(DAILY + Z + f""", env AS (SELECT id, t, min(v) OVER w AS lo, max(v) OVER w AS up FROM z WINDOW w AS (PARTITION BY id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+      ke AS (SELECT a.id AS i, b.id AS j, sqrt(sum(greatest(a.v - up, lo - a.v, 0) ** 2)) AS d FROM z a JOIN env b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2),
+      eu AS (SELECT a.id AS i, b.id AS j, sqrt(sum((a.v - b.v) ** 2)) AS d FROM z a JOIN z b ON a.t = b.t AND a.id > b.id GROUP BY 1, 2)""", norm="L2", step=1, window=3)
+    + """, one AS (SELECT done.i, done.j, sqrt(done.d) AS dtw, eu.d AS ub, greatest(p.d, q.d) AS lb FROM done JOIN eu ON eu.i = done.i AND eu.j = done.j JOIN ke p ON p.i = done.i AND p.j = done.j JOIN ke q ON q.i = done.j AND q.j = done.i),
+      al AS (SELECT *, lb <= 6 AND ub > 6 AS known FROM (SELECT i, j, dtw, ub, lb FROM one UNION ALL SELECT j, i, dtw, ub, lb FROM one)),
+      rh AS (SELECT s.id, count(i) AS r FROM s LEFT JOIN al ON i = s.id AND CASE WHEN known THEN dtw <= 6 ELSE lb <= 6 AND ub < 6 END GROUP BY 1),
+      rs AS (SELECT id, CASE WHEN hi = lo THEN 1.0 ELSE (r - lo)::DOUBLE / (hi - lo) END AS rho FROM rh, (SELECT min(r) AS lo, max(r) AS hi FROM rh)),
+      o1 AS (SELECT *, row_number() OVER (ORDER BY rho DESC, id) AS pos FROM rs),
+      de AS (SELECT al.i AS id, min(CASE WHEN known THEN dtw ELSE ub END) AS delta FROM al JOIN o1 p ON p.id = i JOIN o1 q ON q.id = j AND q.pos < p.pos GROUP BY 1),
+      o2 AS (SELECT id, rho, delta, row_number() OVER (ORDER BY rho * delta DESC, id) AS pos FROM (SELECT id, rho, coalesce(delta, (SELECT max(delta) FROM de)) AS delta FROM o1 LEFT JOIN de USING (id))),
+      nn AS (SELECT al.i AS id, min({'d': CASE WHEN known OR lb <= p.delta THEN dtw ELSE ub END, 'pos': q.pos, 'j': j}) AS b FROM al JOIN o2 p ON p.id = i JOIN o2 q ON q.id = j AND q.pos < p.pos GROUP BY 1),
+      sc AS (SELECT id, pos, rho, b['j'] AS nn, coalesce(b['d'], max(b['d']) OVER ()) AS d FROM o2 LEFT JOIN nn USING (id)),
+      tp AS (SELECT id, row_number() OVER (ORDER BY id) AS c FROM (SELECT id FROM (SELECT id, pos, rho * CASE WHEN hi > lo THEN (d - lo) / (hi - lo) ELSE 1.0 END AS score FROM sc, (SELECT min(d) AS lo, max(d) AS hi FROM sc)) ORDER BY score DESC, pos LIMIT 4)),
+      fo AS (SELECT id, id AS seen FROM s UNION ALL SELECT fo.id, sc.nn FROM fo JOIN sc ON sc.id = seen LEFT JOIN tp ON tp.id = seen WHERE tp.id IS NULL AND sc.nn IS NOT NULL)
+      SELECT fo.id AS series_id, CAST(c AS INT) AS cluster FROM fo JOIN tp ON tp.id = seen""",
+    "cvi_indices": None,
+}
+_parts = {n: ORACLES[n] for n in ("cvi_silhouette", "cvi_dunn", "cvi_cop", "cvi_davies_bouldin", "cvi_calinski_score")}
+ORACLES["cvi_indices"] = "SELECT * FROM " + ", ".join(f"({q})" for q in _parts.values())
 _PICK = f"""WITH {EMB}, l2 AS (SELECT lab.c AS a, e.label AS b FROM lab JOIN e USING (id)), l3 AS (SELECT (x[1] > 0)::INT AS a, label AS b FROM e),
  one AS (WITH {_external_of('l2')} SELECT 'config2' AS config_id, {PAIR_INDICES} FROM pc), two AS (WITH {_external_of('l3')} SELECT 'config3' AS config_id, {PAIR_INDICES} FROM pc),
  tall AS (UNPIVOT (SELECT * FROM one UNION ALL SELECT * FROM two) ON "RI", "ARI", "J", "FM" INTO NAME cvi VALUE score), best AS (SELECT cvi, arg_min(config_id, (-score, config_id)) AS config_id FROM tall GROUP BY 1)

@@ -92,6 +92,27 @@ def autocorrelation(spark, d):
     return _long(src.daily(spark, d).withColumn("values", S.acf(F.col("values"), 5)))
 
 
+@query
+def zscore_multivariate(spark, d):
+    x = K.preprocess(src.daily_by_type(spark, d), "zscore")
+    return src.to_long(x).select("series_id", "t", "var", r("value").alias("value"))
+
+
+@query
+def reshape_multivariate(spark, d):
+    """A series for each variable of each user."""
+    return src.variables(src.daily_by_type(spark, d)).select("series_id", "var", F.posexplode("values").alias("t", "value"))
+
+
+@query
+def cross_correlation(spark, d):
+    """Of each nation and the next one, by lag."""
+    x = nation_z(spark, d).select("series_id", "values")
+    both = x.join(x.select((F.col("series_id") - 1).alias("series_id"), F.col("values").alias("y_values")), "series_id")
+    rows = both.select("series_id", F.posexplode(S.nccc(F.col("values"), F.col("y_values"))).alias("lag", "value"), F.size("y_values").alias("n"))
+    return rows.select("series_id", (F.col("lag") - F.col("n") + 1).alias("lag"), r("value").alias("value"))
+
+
 @query
 def characteristics(spark, d):
     return src.characteristics(daily_z(spark, d))
@@ -123,6 +144,18 @@ def sbd_matrix(spark, d):
     return _d(D.distances(daily_z(spark, d), method="sbd"))
 
 
+@query
+def sbd_znorm(spark, d):
+    """Of raw series with z-scores on the way: as sbd_matrix."""
+    return _d(D.distances(src.daily(spark, d), method="sbd", znorm=True))
+
+
+@query
+def distance_table(spark, d):
+    """A relation as a cross table: a column for each nation."""
+    return D.as_matrix(_d(D.mirrored(D.distances(nation_z(spark, d), method="L2"))))
+
+
 @query
 def dtw_l1_matrix(spark, d):
     return _d(D.distances(nation_z(spark, d)))
@@ -133,6 +166,13 @@ def dtw_l2_sym1(spark, d):
     return _d(D.distances(nation_z(spark, d), method="dtw_basic", norm="L2", step="symmetric1"))
 
 
+@query
+def dtw_ragged(spark, d):
+    """Nations' first 40 months and as many more as their number."""
+    x = nation_z(spark, d).withColumn("values", F.slice("values", F.lit(1), (40 + F.col("series_id")).cast("int")))
+    return _d(D.distances(x, method="dtw_basic", norm="L2"))
+
+
 @query
 def dtw_window(spark, d):
     return _d(D.distances(nation_z(spark, d), method="dtw_basic", window=5, norm="L2"))
@@ -168,9 +208,10 @@ def dtw_multivariate(spark, d):
 
 @query
 def dtw_path(spark, d):
-    x = nation_z(spark, d)
-    y = x.select("series_id", F.reverse("values").alias("y_values"))
-    paths = D.warping_paths(x.select("series_id", F.col("values").alias("x_values")).join(y, "series_id"), norm="L1")
+    """Of each nation and the next one, in whole thousands, so that equal ways are exactly equal."""
+    x = src.nation_monthly(spark, d).select("series_id", F.transform("values", lambda v: F.round(v / 1000)).alias("x_values"))
+    y = x.select((F.col("series_id") - 1).alias("series_id"), F.col("x_values").alias("y_values"))
+    paths = D.warping_paths(x.join(y, "series_id"), norm="L1")
     return paths.select("series_id", F.posexplode("path").alias("step", "p")).select("series_id", "step", "p.index1", "p.index2")
 
 
@@ -213,6 +254,16 @@ def distance_memo(spark, d):
     return _d(D.memoised(first, pairs, x, "L2"))
 
 
+@query
+def gak_memo(spark, d):
+    """The alignment kernel in two parts, as gak_matrix."""
+    x = nation_z(spark, d)
+    ids = x.select("series_id")
+    pairs = ids.select(F.col("series_id").alias("i")).join(ids.select(F.col("series_id").alias("j")), F.col("i") > F.col("j"))
+    first = D.memoised(None, pairs.where("(i + j) % 3 = 0"), x, "gak", sigma=2.0)
+    return _d(D.memoised(first, pairs, x, "gak", sigma=2.0))
+
+
 # Centroids and assignment
 @query
 def cent_mean(spark, d):
@@ -224,6 +275,14 @@ def cent_median(spark, d):
     return C.median(by_label(spark, d)).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
 
 
+@query
+def cent_multivariate(spark, d):
+    """Means and medians by variable of the users of one remainder by 4."""
+    x = src.daily_by_type(spark, d).withColumn("cluster", F.pmod("series_id", F.lit(4)).cast("int"))
+    tall = lambda c, name: c.select("cluster", F.posexplode("values").alias("t", "row")).select("cluster", "t", F.posexplode("row").alias("var", name))
+    return tall(C.mean(x), "mean").join(tall(C.median(x), "median"), ["cluster", "t", "var"]).select("cluster", "t", "var", r("mean").alias("mean"), r("median").alias("median"))
+
+
 @query
 def medoid(spark, d):
     return C.medoids(l2(spark, d), by_label(spark, d))
@@ -271,39 +330,52 @@ def shape_centroid(spark, d):
 
 @query
 def sdtw_centroid(spark, d):
-    x = src.daily(spark, d, 7).withColumn("values", S.zscore(F.col("values"))).withColumn("cluster", F.lit(1))
-    return C.sdtw_centroid(x, C.mean(x), 1.0, iterations=5).select("cluster", F.posexplode("values").alias("t", "value"))
+    x = daily_z(spark, d).withColumn("cluster", F.lit(1))
+    return C.sdtw_centroid(x, C.mean(x), 1.0).select("cluster", F.posexplode("values").alias("t", "value"))
+
+
+# Clusterings from the series of the least ids, to the default limits of iterations
+def least_ids(x: DataFrame, k: int) -> list[int]:
+    return [i[0] for i in x.select("series_id").orderBy("series_id").limit(k).collect()]
+
+
+def _labels_of(c: K.Clustering) -> DataFrame:
+    return c.labels.select("series_id", "cluster", r("d").alias("d"))
 
 
-# Clusterings
 @query
 def pam_clustering(spark, d):
-    return K.cluster(nation_z(spark, d), k=4, args={"window": 5}).labels
+    x = nation_z(spark, d)
+    return _labels_of(K.cluster(x, k=4, args={"window": 5}, init_ids=least_ids(x, 4)))
 
 
 @query
 def kmeans_clustering(spark, d):
-    return K.cluster(src.embeddings(spark, d), k=10, distance="L2", centroid="mean", control=K.Partitional(iterations=10)).labels
+    x = src.embeddings(spark, d).select("series_id", "values")
+    return _labels_of(K.cluster(x, k=10, distance="L2", centroid="mean", init_ids=least_ids(x, 10)))
 
 
 @query
 def kshape_clustering(spark, d):
-    return K.k_shape(src.daily(spark, d), 4, control=K.Partitional(iterations=5)).labels
+    return K.k_shape(src.daily(spark, d), 4).labels
 
 
 @query
 def fuzzy_clustering(spark, d):
-    return K.cluster(daily_z(spark, d), "fuzzy", 4, control=K.Fuzzy(iterations=10)).membership
+    """Of autocorrelations."""
+    x = src.daily(spark, d)
+    c = K.cluster(x, "fuzzy", 4, "acf", "L2", preproc_args={"lags": 10}, init_ids=least_ids(x, 4))
+    return c.membership.select("series_id", "cluster", r("u").alias("u"))
 
 
 @query
 def hierarchical_clustering(spark, d):
-    return K.cluster(daily_z(spark, d), "hierarchical", 5, distance="sbd").labels
+    return _labels_of(K.cluster(daily_z(spark, d), "hierarchical", 5, distance="sbd"))
 
 
 @query
 def tadpole_clustering(spark, d):
-    return K.cluster(daily_z(spark, d), "tadpole", 4, control=K.Tadpole(6.0, 3)).labels
+    return K.cluster(daily_z(spark, d), "tadpole", 4, control=K.Tadpole(6.0, 3)).labels.select("series_id", "cluster")
 
 
 @query
@@ -378,6 +450,14 @@ def cvi_fuzzy(spark, d):
     return _rounded(V.fuzzy_internal(K.memberships(to_means(spark, d)), _between(spark, d), _to_global(spark, d), own))
 
 
+@query
+def cvi_indices(spark, d):
+    """All internal indices by the front door, with the prototype of all series made as those of the clusters."""
+    c = K.from_parts(_labels(spark, d), label_means(spark, d), "L2", centroid="mean")
+    found = V.indices(c, src.embeddings(spark, d).select("series_id", "values"), "internal")
+    return spark.createDataFrame([tuple(round(found[n], 6) for n in V.INTERNAL)], ", ".join(f"{n} double" for n in V.INTERNAL))
+
+
 @query
 def cluster_sizes(spark, d):
     return _labels(spark, d).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), r(F.avg("d")).alias("av_dist"))

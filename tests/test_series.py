@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import kernels as K, series as S
+from chronoloom.plans import queries as Q
 from chronoloom.operators import centroids as C, clustering as CL, compare, distances as D, validity as V
 from chronoloom.operators.constraints import CANNOT, MUST, PairTracker, search_window, window_partitions
 from chronoloom.sources import series as src
@@ -247,3 +248,234 @@ def test_bandwidth_takes_the_lengths_of_all_series(spark):
     for points in (40, 200):
         d = D.estimate_sigma(series, points=points) / np.sqrt(np.median(lengths))
         assert d <= np.sqrt(round(min(lengths) / 2))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def values_of(df):
+    return {r[0]: np.array(r["values"]) for r in df.collect()}
+
+
+def test_k_shape_by_brute_force(spark):
+    """Assignment by cross-correlation and eigenvectors of aligned members by turns, in numpy, from the same first series."""
+    x = values_of(Q.daily_z(spark, SF).select("series_id", "values"))
+    z = lambda v: (v - v.mean()) / v.std(ddof=1) if v.std() > 0 else v * 0
+
+    def correlations(a, b):  # at lags from -(len(b) - 1): a shifted back by the lag meets b
+        n = len(b)
+        return np.array([sum(a[t + k] * b[t] for t in range(n) if 0 <= t + k < len(a)) for k in range(1 - n, len(a))]) / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-300)
+
+    def shape(members, before):
+        rows = []
+        for i in sorted(members):
+            lag = correlations(before, x[i]).argmax() - (len(x[i]) - 1)
+            rows.append(np.array([x[i][t - lag] if 0 <= t - lag < len(x[i]) else 0 for t in range(len(x[i]))]))
+        y, n = np.array([z(r) for r in rows]), len(before)
+        p = np.eye(n) - 1 / n
+        top = np.linalg.eigh(p @ y.T @ y @ p)[1][:, -1]
+        return z(top if rows[0] @ top > 0 else -top)
+
+    cents = {c: x[i] for c, i in enumerate(CL.initial(Q.daily_z(spark, SF), 4, 1), 1)}
+    old = None
+    for _ in range(100):
+        label = {i: min((1 - correlations(v, cents[c]).max(), c) for c in cents)[1] for i, v in x.items()}
+        if label == old:
+            break
+        old = label
+        cents |= {c: shape([i for i in x if label[i] == c], cents[c]) for c in set(label.values())}
+    assert {r["series_id"]: r["cluster"] for r in Q.QUERIES["kshape_clustering"](spark, SF).collect()} == label
+
+
+def test_soft_prototype_is_a_minimum(spark):
+    """Of the registered query: no better than a small step in any direction, far better than the mean."""
+    x = np.array(list(values_of(Q.daily_z(spark, SF).select("series_id", "values")).values()))
+    z = np.array([r["value"] for r in Q.QUERIES["sdtw_centroid"](spark, SF).orderBy("t").collect()])
+    cost = lambda p: K.sdtw(np.broadcast_to(p, x.shape).copy(), x, 1.0).sum()
+    assert cost(z) < cost(x.mean(0))
+    _, g = K.sdtw_gradients(z, x, 1.0)
+    _, start = K.sdtw_gradients(x.mean(0), x, 1.0)
+    assert np.linalg.norm(g.sum(0)) < 0.1 * np.linalg.norm(start.sum(0))
+
+
+def test_soft_prototypes_of_clusters_are_found_together(spark, bumps):
+    x = bumps.select("series_id", F.col("label").alias("cluster"), "values")
+    together = values_of(C.sdtw_centroid(x, C.mean(x), 0.1, iterations=4))
+    for k in range(3):
+        alone = x.where(F.col("cluster") == k)
+        assert together[k] == pytest.approx(values_of(C.sdtw_centroid(alone, C.mean(alone), 0.1, iterations=4))[k])
+
+
+def test_paths_that_the_band_cuts_off_are_empty():
+    d, p = K.dtw_paths(np.zeros((2, 3)), np.ones((2, 12)), 0)
+    assert np.isinf(d).all() and [len(q) for q in p] == [0, 0]
+
+
+def test_alignment_kernel_is_one_distance_on_every_path(spark, bumps):
+    x = bumps.select("series_id", "values").where("series_id < 6")
+    want = {(r["i"], r["j"]): r["d"] for r in D.distances(x, method="gak", sigma=1.5).collect()}
+    ids = x.select("series_id")
+    pairs = ids.select(F.col("series_id").alias("i")).join(ids.select(F.col("series_id").alias("j")), F.col("i") > F.col("j"))
+    memo = {(r["i"], r["j"]): r["d"] for r in D.memoised(None, pairs, x, "gak", sigma=1.5).collect()}
+    pairwise = {r["i"]: r["d"] for r in D.distances(x, x.withColumn("values", F.reverse("values")), "gak", pairwise=True, sigma=1.5).collect()}
+    cents = x.where("series_id < 2").select(F.col("series_id").cast("int").alias("cluster"), "values")
+    near = {(r["series_id"], r["cluster"]): r["d"] for r in D.to_centroids(x, cents, "gak", sigma=1.5).collect()}
+    assert memo == pytest.approx(want) and all(0 <= d <= 1 for d in [*want.values(), *pairwise.values()])
+    assert all(near[i, j] == pytest.approx(d) for (i, j), d in want.items() if j < 2)
+    guessed = D.distances(x, method="gak").collect()  # the bandwidth is estimated
+    assert len(guessed) == 15 and all(0 <= r["d"] <= 1 for r in guessed)
+    ids = [0, 8, 16]
+    lazy, eager = (CL.cluster(bumps.select("series_id", "values"), k=3, distance="gak", dist_args={"sigma": 2.0}, init_ids=ids, control=CL.Partitional(precompute=p)) for p in (False, True))
+    assert agrees(lazy, bumps) == agrees(eager, bumps) == 1
+
+
+def test_prepared_series_change_no_distance():
+    rng = np.random.default_rng(9)
+    x, y = [rng.normal(size=n) for n in (9, 9, 12)], [rng.normal(size=n) for n in (12, 9)]
+    wanted = np.array([[True, False], [True, True], [False, True]])
+    got = K.of_blocks(K.sbd, x, y, wanted, K.spectrum)
+    assert np.isnan(got[~wanted]).all()
+    for i, j in zip(*np.nonzero(wanted)):
+        assert got[i, j] == pytest.approx(K.sbd(x[i][None], y[j][None])[0])
+    same = [rng.normal(size=10) for _ in range(4)]
+    for kernel in (K.lb_keogh, K.lb_improved):
+        for both in (False, True):
+            a = dict(window=2, norm="L2", force_symmetry=both)
+            got = K.of_blocks(lambda p, q, **k: kernel(p, q, **a, **k), same, same, np.ones((4, 4), bool), lambda v, n: K.envelopes(v, n, **a))
+            assert got[1, 3] == pytest.approx(kernel(same[1][None], same[3][None], **a)[0]) and got[2, 2] == 0
+    z = lambda v: (v - v.mean()) / v.std(ddof=1)
+    assert K.sbd(x[0][None], x[1][None], znorm=True)[0] == pytest.approx(K.sbd(z(x[0])[None], z(x[1])[None])[0])
+
+
+def test_matrix_and_distributed_medoids_agree(spark, bumps, monkeypatch):
+    x = bumps.select("series_id", "values")
+    small = CL.cluster(x, k=4, distance="sbd", init_ids=[0, 1, 8, 17])
+    monkeypatch.setattr(CL, "MATRIX_SERIES", 0)
+    large = CL.cluster(x, k=4, distance="sbd", init_ids=[0, 1, 8, 17])
+    rows = lambda c: sorted((r["series_id"], r["cluster"], round(r["d"], 9)) for r in c.labels.collect())
+    assert rows(small) == rows(large) and small.iterations == large.iterations
+
+
+def test_barycenters_by_variable_and_by_series(spark):
+    """One step by hand: paths of each variable, or one of both, and means of what meets a point."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4, 7, 2))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "series_id long, cluster int, values array<array<double>>")
+    z = values_of(C.mean(df))
+    assert z[0] == pytest.approx(x[[0, 2]].mean(0)) and values_of(C.median(df))[1] == pytest.approx(np.median(x[[1, 3]], 0))
+    for mv, parts in (("by-variable", [[0], [1]]), ("by-series", [[0, 1]])):
+        got = values_of(C.dba_step(df, C.mean(df), mv, window=3))
+        for c in (0, 1):
+            for part in parts:
+                met = [[] for _ in range(7)]
+                for v in x[c::2]:
+                    for i, j in K.dtw_paths(v[None][:, :, part], z[c][None][:, :, part], 3)[1][0]:
+                        met[j].append(v[i, part])
+                assert got[c][:, part] == pytest.approx(np.array([np.mean(m, axis=0) for m in met]))
+
+
+def test_multivariate_series_by_the_front_door(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=(12, 2)) * 0.1 + (i % 2) * np.linspace(0, 4, 12)[:, None]).tolist()) for i in range(10)]
+    x = spark.createDataFrame(rows, "series_id long, values array<array<double>>")
+    for how in (dict(centroid="mean"), dict(centroid="median"), dict(centroid="dba", cent_args={"iterations": 2}), dict(type="fuzzy")):
+        c = CL.cluster(x, k=2, distance="dtw_basic", init_ids=[0, 1], dist_args={"window": 3}, **how)
+        assert {r["cluster"] for r in c.labels.where("series_id % 2 = 0").collect()} == {1}
+    z = values_of(CL.preprocess(x, "zscore"))
+    assert z[3].mean(0) == pytest.approx([0, 0], abs=1e-12) and z[3].std(0, ddof=1) == pytest.approx([1, 1])
+    assert values_of(CL.preprocess(x, "reinterpolate", length=5))[2][-1] == pytest.approx(rows[2][1][-1])
+
+
+def test_arguments_reach_their_function(spark, bumps):
+    x, seen = bumps.select("series_id", "values"), []
+
+    def centroid(members, before, scale):
+        seen.append((scale, before.count()))
+        return C.mean(members)
+
+    def halved(series, by):
+        return series.withColumn("values", F.transform("values", lambda v: v / by))
+
+    CL.cluster(x, k=3, preproc=halved, preproc_args={"by": 2}, centroid=centroid, cent_args={"scale": 7}, dist_args={"window": 3}, init_ids=[0, 8, 16], control=CL.Partitional(iterations=2))
+    assert seen and set(seen) == {(7, 3)}
+    with pytest.raises(TypeError):
+        CL.cluster(x, k=3, contrl=CL.Partitional())
+    with pytest.raises(src.SeriesError):
+        CL.cluster(x, "fuzzy", 3, control=CL.Partitional())
+    tree = CL.cluster(x, "hierarchical", 3, distance="L2", control=CL.Hierarchical("average"))
+    assert [m[2] for m in tree.update(x, control=CL.Hierarchical("single")).merges] != [m[2] for m in tree.merges]
+    with pytest.raises(TypeError):
+        tree.update(x, method="single")
+    heavy = CL.cluster(x, "hierarchical", 3, distance="L2", control=CL.Hierarchical("average", members=(50, *[1] * 23)))
+    assert [m[2] for m in heavy.merges] != [m[2] for m in tree.merges]
+    peaks = CL.cluster(x, "tadpole", 3, control=CL.Tadpole(1.5, 3), centroid="mean")
+    assert agrees(peaks, bumps) == 1 and peaks.centroids.where("series_id IS NULL").count() == 3
+
+
+def test_bounds_serve_a_clustering(spark, bumps):
+    x = bumps.select("series_id", "values")
+    plain, bounded = (CL.cluster(x, k=3, distance=d, dist_args={"window": 3}, init_ids=[0, 8, 16]) for d in ("dtw_basic", "dtw_lb"))
+    rows = lambda c: sorted((r["series_id"], r["cluster"]) for r in c.labels.collect())
+    assert rows(plain) == rows(bounded) and agrees(bounded, bumps) == 1
+    own = {r["i"]: r["j"] for r in D.dtw_lb(x, None, 3).collect()}
+    full = {r["i"]: r["j"] for r in D.nearest(D.mirrored(D.distances(x, window=3))).collect()}
+    assert own == full
+
+
+def test_clusterings_from_parts_saved_and_loaded(spark, bumps, tmp_path):
+    x = bumps.select("series_id", "values")
+    soft = CL.cluster(x, "fuzzy", 3, distance="L2", init_ids=[0, 8, 16])
+    tree = CL.cluster(x, "hierarchical", 3, distance="sbd")
+    for c in (soft, tree):
+        c.save(str(tmp_path / c.config["type"]))
+        back = CL.load(spark, str(tmp_path / c.config["type"]))
+        assert back.config["k"] == 3 and back.merges == c.merges and back.is_hard() == c.is_hard()
+        plain = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+        assert plain(back.predict(x)) == plain(c.predict(x)) and plain(back.labels) == plain(c.labels)
+    given = CL.from_parts(tree.labels.select("series_id", "cluster"), tree.centroids, "sbd")
+    assert given.predict(x).select("series_id", "cluster").exceptAll(tree.labels.select("series_id", "cluster")).count() == 0
+    with pytest.raises(src.SeriesError):
+        CL.from_parts(tree.labels, tree.centroids.where("cluster < 3"), "sbd")
+    with pytest.raises(src.SeriesError):
+        CL.from_parts(tree.labels, tree.centroids.drop("values"), "sbd")
+    assert "k = 3" in str(tree) and "distance sbd" in str(tree)
+    assert tree.n_classes() == 3 and tree.n_objects() == 24 and tree.is_hierarchy() and not soft.is_hierarchy()
+
+
+def test_indices_take_the_clustering_s_own_prototype(spark, bumps):
+    """CH and SF from distances to the mean of all series, by numpy."""
+    x = bumps.select("series_id", "values")
+    c = CL.cluster(x, k=3, distance="L2", centroid="mean", init_ids=[0, 8, 16])
+    found = V.indices(c, x, ["CH", "SF"])
+    rows, label, cents = values_of(x), {r["series_id"]: r["cluster"] for r in c.labels.collect()}, values_of(c.centroids.select("cluster", "values"))
+    center = np.mean(list(rows.values()), axis=0)
+    between = sum(np.linalg.norm(cents[label[i]] - center) for i in rows)
+    within = sum(np.linalg.norm(v - cents[label[i]]) for i, v in rows.items())
+    assert found["CH"] == pytest.approx((24 - 3) / (3 - 1) * between / within) and set(found) == {"CH", "SF"}
+
+
+def test_grid_arguments_reach_their_functions(spark, bumps):
+    x, seen = bumps.select("series_id", "values"), []
+
+    def centroid(members, before, weight):
+        seen.append(weight)
+        return C.mean(members)
+
+    def scaled(series, by):
+        seen.append(("by", by))
+        return series.withColumn("values", F.transform("values", lambda v: v * by))
+
+    grid = {"partitional": [{"k": [3], "preproc": scaled, "by_preproc": b, "distance": "L2", "centroid": centroid, "weight_centroid": w, "iterations": 2} for b in (1, 2) for w in (5, 6)], "fuzzy": [{"k": [3], "distance": "L2", "fuzziness": 3.0, "iterations": 2}]}
+    out = compare.compare(x, grid, parallel=1)
+    assert {5, 6} < set(s for s in seen if isinstance(s, int)) | {0} and seen.count(("by", 1)) == seen.count(("by", 2)) == 1
+    assert out["objects"]["config5_1"].config["control"].fuzziness == 3.0 and out["objects"]["config1_1"].iterations <= 2
+
+
+def test_sums_keep_small_terms(spark):
+    row = spark.range(1).select(S.total(F.array(F.lit(1e16), F.lit(1.0), F.lit(-1e16), F.lit(1.0))).alias("s"), S.zscore_parameters(F.array(F.lit(1.0), F.lit(3.0))).alias("p")).first()
+    assert row["s"] == 2 and row["p"]["center"] == 2 and row["p"]["scale"] == pytest.approx(np.sqrt(2))
+
+
+def test_envelopes_must_fit(spark, bumps):
+    with pytest.raises(ValueError):
+        CL.cluster(bumps.select("series_id", "values"), "tadpole", 3, control=CL.Tadpole(1.5, 20))
