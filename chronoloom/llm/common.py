@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset on a machine of its own (tests), one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("A cluster needs spark.checkpoint.dir, a folder that the driver and all executors share.")
         folder = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -3,11 +3,13 @@
 A k-mer of code points is a closed syncmer if the least hash among its s-mers stands at its first or last s-mer.
 The choice looks at the k-mer alone, so an edit moves or removes only the anchors that touch it.
 `closed_syncmers` gives the anchors with their positions; `fingerprint` sketches their set by one-permutation
-MinHash (128 bins of 16 bits), `likeness` estimates the Jaccard similarity of two sets from two fingerprints.
+MinHash (128 bins of 16 bits), `likeness` estimates the Jaccard similarity of two sets from two fingerprints, and
+`matches` aligns two texts by the positions of their common anchors.
 
 Edge cases: a null text counts as empty; an empty text has no anchor (all bins zero) and is like another empty
 one (1.0) and unlike any other (0.0); a text of fewer than k code points has one anchor, the whole text. Rows of
-equal doc_id are taken in the order of their texts, null ids first. An empty table gives an empty result.
+equal doc_id are taken in the order of a hash of their texts, null ids first; repeated rows follow each other. Texts are fingerprinted whole, however
+long. Only doc_id and text are read, whatever other columns there are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,6 +82,33 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.count_nonzero((a == b) & (a > 0)) / either) if either else 1.0
 
 
+def matches(a: str, b: str, least: int = 2) -> list[tuple[int, int, int]]:
+    """Shared passages of two texts as (start in a, start in b, length): runs of at least `least` anchors that stand at one offset of each other and cover their
+    passage without a gap, grown to either side while the texts agree; longest first."""
+    (p, x), (q, y) = closed_syncmers(a), closed_syncmers(b)
+    order = np.argsort(y, kind="stable")
+    low, high = (np.searchsorted(y[order], x, side=s) for s in ("left", "right"))
+    i = np.repeat(np.arange(len(x)), high - low)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+    shift, start = q[j] - p[i], p[i]
+    by = np.lexsort((start, shift))
+    shift, start = shift[by], start[by]
+    if not len(by):
+        return []
+    new = np.flatnonzero(np.r_[True, (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + K)])
+    found = set()
+    for u, v in zip(new, np.r_[new[1:], len(by)], strict=True):
+        if v - u < least:
+            continue
+        s, e, d = int(start[u]), min(int(start[v - 1]) + K, len(a)), int(shift[u])
+        while s > 0 and s + d > 0 and a[s - 1] == b[s + d - 1]:
+            s -= 1
+        while e < len(a) and e + d < len(b) and a[e] == b[e + d]:
+            e += 1
+        found.add((s, s + d, e - s))
+    return sorted(found, key=lambda m: (-m[2], m))
+
+
 def edited(text: str, after: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + after[:n] if n else text
@@ -109,27 +138,39 @@ def _pairs(batches):
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text (the last quarter replaced by the next document's start) and their likeness.
 
-    One shuffle of the texts, by ranges of doc_id whose bounds are ids of the table (one number a partition
-    goes to the driver); the first document of each range is sent to the range before as well.
+    One shuffle of the texts, by ranges of (doc_id, hash of the text). Their bounds are percentiles of doc_id; an id, or a missing one, that
+    takes several of them has its rows spread over as many ranges by the hash. The first document of each range is sent to the range
+    before as well; only bounds and first keys, a few numbers a range, go to the driver.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    least = np.iinfo(np.int64).min
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("_key"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("_key"), F.xxhash64("text").alias("_hash"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    row = docs.agg(F.percentile_approx("_key", steps, 50 * parts), F.min("_key"), F.count(F.lit(1))).first()
-    bounds, first = np.unique(np.array([x for x in row[0] or [] if x != row[1]], np.int64)), row[1]
+    bounds = np.sort(np.array(docs.agg(F.percentile_approx("_key", steps, 50 * parts)).first()[0] or [], np.int64))
+
+    def range_of(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(bounds, key, side="left"), np.searchsorted(bounds, key, side="right")
+        several = high - low
+        part = np.minimum((mark / 2.0**64 + 0.5) * several, several - 1).astype(np.int64)
+        return np.where(several > 1, low + 1 + part, high)
+
+    @F.pandas_udf("int")
+    def own(key: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series(range_of(key.to_numpy(), mark.to_numpy()).astype(np.int32))
+
+    rows = docs.groupBy(own("_key", "_hash").alias("own")).agg(F.min(F.struct("_key", "_hash")).alias("f")).orderBy("own").collect()
+    first = {r["own"]: (r["f"]["_key"], r["f"]["_hash"]) for r in rows}
+    before = dict(zip(first, [*list(first)[-1:], *list(first)[:-1]], strict=True))
 
     @F.pandas_udf("struct<own: int, also: int>")
-    def place(key: pd.Series) -> pd.DataFrame:
-        x = key.to_numpy()
-        own = np.searchsorted(bounds, x, side="right")
-        also = np.where(np.isin(x, bounds), own - 1, -1)
-        return pd.DataFrame({"own": own.astype(np.int32), "also": np.where(x == first, len(bounds), also).astype(np.int32)})
-
-    at = docs.withColumn("_at", place("_key"))
-    rows = at.select("doc_id", "text", "_key", F.explode(F.expr("filter(array(struct(_at.own AS bucket, 0 AS copy_of), struct(_at.also AS bucket, 1 AS copy_of)), x -> x.bucket >= 0)")).alias("_to"))
-    rows = rows.select(F.col("_to.bucket").alias("bucket"), F.col("_to.copy_of").alias("copy_of"), "_key", "doc_id", "text")
-    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy_of", "_key", "text")
+    def place(key: pd.Series, mark: pd.Series) -> pd.DataFrame:
+        at = range_of(key.to_numpy(), mark.to_numpy())
+        also = [before[p] if first[p] == (k, m) else -1 for p, k, m in zip(at.tolist(), key, mark, strict=True)]
+        return pd.DataFrame({"own": at.astype(np.int32), "also": np.array(also, np.int32)})
+
+    at = docs.withColumn("_at", place("_key", "_hash"))
+    rows = at.select("doc_id", "text", "_key", "_hash", F.explode(F.expr("filter(array(struct(_at.own AS bucket, 0 AS copy_of), struct(_at.also AS bucket, 1 AS copy_of)), x -> x.bucket >= 0)")).alias("_to"))
+    rows = rows.select(F.col("_to.bucket").alias("bucket"), F.col("_to.copy_of").alias("copy_of"), "_key", "_hash", "doc_id", "text")
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy_of", "_key", "_hash", "text")
     return dealt.select("bucket", "copy_of", "doc_id", "text").mapInPandas(_pairs, SCHEMA)

@@ -20,7 +20,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
-import os
 
 import numpy as np
 import pandas as pd
@@ -84,19 +83,24 @@ def best_fit_decreasing(lengths: list[int], row: int = ROW_LENGTH) -> list[list[
 _ENCODINGS: dict = {}
 
 
-def encoder(path: str = VOCABULARY):
-    """The tokenizer of a vocabulary file; read once a process."""
+def vocabulary(path: str = VOCABULARY) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(content: bytes):
+    """The tokenizer of a vocabulary file's content; made once a process."""
     import tiktoken
 
-    key = (os.getpid(), path)
+    key = hash(content)
     if key not in _ENCODINGS:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         _ENCODINGS[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODINGS[key]
 
 
 def decode(ids: np.ndarray, path: str = VOCABULARY) -> str:
-    return encoder(path).decode_bytes([int(x) for x in ids if x != END_ID]).decode()
+    return encoder(vocabulary(path)).decode_bytes([int(x) for x in ids if x != END_ID]).decode()
 
 
 def positions(cu_seqlens: list[int]) -> np.ndarray:
@@ -105,10 +109,10 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
     return np.arange(cu[-1]) - np.repeat(cu[:-1], np.diff(cu))
 
 
-def _packer(path: str, row: int):
+def _packer(content, row: int):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")
-        encode = encoder(path).encode_ordinary
+        encode = encoder(content.value).encode_ordinary
         tokens = [np.array([*encode(t), END_ID], "<u4") for t in pdf["text"]]
         pieces = [(d, a, min(row, len(t) - a)) for d, t in enumerate(tokens) for a in range(0, len(t), row)]
         ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
@@ -129,4 +133,6 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, row: int = ROW_LENGT
     groups = max(1, -(-text_totals(docs)[1] // GROUP_BYTES))
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartition(min(groups, MOST_TASKS), "bucket")
-    return dealt.groupBy("bucket").applyInPandas(_packer(path, row), SCHEMA)
+    # The driver reads the vocabulary (about 1 MB) and sends it to the executors, which need no such file.
+    content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    return dealt.groupBy("bucket").applyInPandas(_packer(content, row), SCHEMA)

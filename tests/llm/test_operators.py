@@ -61,8 +61,8 @@ def test_closed_syncmers_by_brute_force():
 def test_fingerprints(docs, none):
     out = fingerprints.fingerprint_documents(docs).toPandas()
     assert len(out) == len(ROWS)
-    rows = sorted(((i is not None, i or 0, t is not None, t or "") for i, t, *_ in ROWS))
-    texts = [t for *_, t in rows]
+    order = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    texts = [r["text"] or "" for r in sorted(order, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] is not None))]
     want = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for t, n in zip(texts, texts[1:] + texts[:1]))
     assert Counter(out["edited_sha256"]) == want
     one = out.set_index("doc_id")
@@ -71,6 +71,42 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprint_documents(none).count() == 0
 
 
+def test_fingerprints_of_hot_ids(spark):
+    """A third of the rows without an id and a third of one id: their ranges follow each other as one order of all rows."""
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, prose(4) if i % 10 else "same") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.fingerprint_documents(df)
+    order = sorted(df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    texts = [r["text"] for r in order]
+    want = Counter((r["doc_id"], hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for r, t, n in zip(order, texts, texts[1:] + texts[:1]))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in out.collect()) == want
+    spread = out.withColumn("p", F.spark_partition_id()).where("doc_id IS NULL").groupBy("p").count().collect()
+    assert len(spread) > 3 and max(r["count"] for r in spread) < 60
+
+
+def test_likeness_estimates_the_share_of_anchors():
+    """Against the true Jaccard similarity of the sets of anchors, at several shares of common text."""
+    for share in (0.0, 0.3, 0.6, 0.9):
+        a = prose(600)
+        b = a[: int(len(a) * share)] + " " + prose(int(600 * (1 - share)))
+        x, y = (set(fingerprints.closed_syncmers(t)[1].tolist()) for t in (a, b))
+        got = fingerprints.likeness(fingerprints.fingerprint(a)[0], fingerprints.fingerprint(b)[0])
+        assert got == pytest.approx(len(x & y) / len(x | y), abs=0.15)
+
+
+def test_passages_by_position():
+    """Shared passages are found where they stand, whole and to the character; what is found is shared and can't be extended."""
+    shared = prose(30)
+    a, b = f"{prose(20)} {shared} {prose(10)}", f"{prose(7)}\u00e9 {shared}! {prose(25)} {shared}"
+    found = fingerprints.matches(a, b)
+    for start in (b.index(shared), b.rindex(shared)):
+        assert any(x <= a.index(shared) and y <= start and x - y == a.index(shared) - start and n >= len(shared) for x, y, n in found)
+    for x, y, n in found:
+        assert a[x : x + n] == b[y : y + n] and n >= fingerprints.K
+        assert (min(x, y) == 0 or a[x - 1] != b[y - 1]) and (x + n == len(a) or y + n == len(b) or a[x + n] != b[y + n])
+    assert fingerprints.matches(a, prose(5)) == [] == fingerprints.matches("", b) and fingerprints.matches(a, a)[0] == (0, 0, len(a))
+
+
 def test_packing_round_trip(docs, none):
     out = packing.pack_documents(docs, row=256).collect()
     pieces: dict = {}
