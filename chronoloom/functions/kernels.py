@@ -54,25 +54,60 @@ def _asymmetric(x: np.ndarray, y: np.ndarray, window: int | None, power: int, op
     return row.min(1) if open_end else row[:, -1]
 
 
+# Step patterns with slope constraints. For each way into a cell: how far back it begins in x and y, and the weights of the local
+# costs that it passes, by how far back they lie.
+SLOPES = {
+    "symmetricP1": [(1, 2, [(0, 1, 2.0), (0, 0, 1.0)]), (1, 1, [(0, 0, 2.0)]), (2, 1, [(1, 0, 2.0), (0, 0, 1.0)])],
+    "asymmetricP1": [(1, 2, [(0, 1, 0.5), (0, 0, 0.5)]), (1, 1, [(0, 0, 1.0)]), (2, 1, [(1, 0, 1.0), (0, 0, 1.0)])],
+    "symmetricP2": [(2, 3, [(1, 2, 2.0), (0, 1, 2.0), (0, 0, 1.0)]), (1, 1, [(0, 0, 2.0)]), (3, 2, [(2, 1, 2.0), (1, 0, 2.0), (0, 0, 1.0)])],
+    "asymmetricP2": [(2, 3, [(1, 2, 2 / 3), (0, 1, 2 / 3), (0, 0, 2 / 3)]), (1, 1, [(0, 0, 1.0)]), (3, 2, [(2, 1, 1.0), (1, 0, 1.0), (0, 0, 1.0)])],
+}
+
+
+def _sloped(x: np.ndarray, y: np.ndarray, window: int | None, power: int, ways: list) -> np.ndarray:
+    """Rows of cells from those of up to three points before."""
+    allowed, j, deep = _band(x.shape[1], y.shape[1], window), np.arange(y.shape[1]), 3
+    pad = lambda a, fill: np.pad(a, ((0, 0), (deep, 0)), constant_values=fill)
+    costs, rows = [], []
+    for i in range(x.shape[1]):
+        costs.append(pad(_local(x, y, np.full_like(j, i), j, power), 0.0))
+        row = np.full((len(x), len(j)), np.inf)
+        if i == 0:
+            row[:, 0] = costs[0][:, deep]
+        for di, dj, terms in ways:
+            if di <= i:
+                value = rows[-di][:, deep - dj + j].copy()
+                for oi, oj, weight in terms:
+                    value += weight * costs[-1 - oi][:, deep - oj + j]
+                row = np.minimum(row, value)
+        row[:, ~allowed[i]] = np.inf
+        rows.append(pad(row, np.inf))
+        costs, rows = costs[-deep:], rows[-deep:]
+    return rows[-1][:, -1]
+
+
 def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True, open_begin: bool = False, open_end: bool = False) -> np.ndarray:
     """Dynamic time warping. L2 costs are squared and the root is taken at the end; root=False leaves it out (L2 only).
 
-    step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
-    Normalized are symmetric2 by both lengths and asymmetric by the length of x.
+    Paths of symmetricP1, symmetricP2, asymmetricP1 and asymmetricP2 have slopes between 1/2 and 2, or 2/3 and 3/2; series whose lengths don't allow that are at an
+    infinite distance. step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
+    Normalized are symmetric steps (but symmetric1) by both lengths and asymmetric ones by the length of x.
     """
     if normalize and step == "symmetric1":
-        raise ValueError("symmetric1 can't be normalized.")
+        raise ValueError("Paths of symmetric1 have no common weight to normalize by.")
     if step != "asymmetric" and (open_begin or open_end):
         raise ValueError("Open ends need the asymmetric step.")
     power = {"L1": 1, "L2": 2}[norm]
     if step == "asymmetric":
         out = _asymmetric(x, y, window, power, open_begin, open_end)
+    elif step in SLOPES:
+        out = _sloped(x, y, window, power, SLOPES[step])
     else:
         s = {"symmetric1": 1.0, "symmetric2": 2.0}[step]
         combine = lambda c, diag, left, up, i, j: np.minimum(diag + s * c, np.minimum(left, up) + c)
         out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power)
     out = np.sqrt(out) if norm == "L2" and root else out
-    return out / (x.shape[1] + (y.shape[1] if step == "symmetric2" else 0)) if normalize else out
+    return out / (x.shape[1] + (y.shape[1] if step.startswith("symmetric") else 0)) if normalize else out
 
 
 def dtw_paths(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2") -> tuple[np.ndarray, list[np.ndarray]]:

@@ -62,7 +62,7 @@ def lbi_expression(x: Column, y: Column, window: int = 1, norm: str = "L1") -> C
     return S.norm_sum(F.concat(S.excess(x, low, up), S.excess(y, *S.envelope(h, window))), norm)
 
 
-_elastic = lambda a: a.get("step", "symmetric2") in ("symmetric1", "symmetric2") and (a.get("window") is None or a.get("equal_lengths", False))
+_elastic = lambda a: a.get("step", "symmetric2").startswith("symmetric") and (a.get("window") is None or a.get("equal_lengths", False))
 register(Distance("dtw_basic", K.dtw, ragged=True, multivariate=True, symmetric=_elastic), "dtw")
 register(Distance("dtw2", _dtw2, ragged=True, multivariate=True, symmetric=_elastic))
 register(Distance("sdtw", K.sdtw, ragged=True, multivariate=True, diagonal=True))

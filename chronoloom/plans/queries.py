@@ -188,6 +188,11 @@ def dtw_asymmetric(spark, d):
     return _d(D.distances(nation_z(spark, d), method="dtw_basic", step="asymmetric", normalize=True))
 
 
+@query
+def dtw_sloped(spark, d):
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", step="symmetricP1", norm="L2", normalize=True))
+
+
 @query
 def dtw_open_ends(spark, d):
     """Each nation's last 24 months within all months of every nation."""

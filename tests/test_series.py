@@ -57,6 +57,27 @@ def test_asymmetric_dtw_equals_the_plain_recurrence(ends, window):
     assert K.dtw(x, y, window, "L2", "asymmetric", True, open_begin=ends[0], open_end=ends[1]) == pytest.approx(found / 7)
 
 
+@pytest.mark.parametrize("step", sorted(K.SLOPES))
+@pytest.mark.parametrize("window", [None, 3])
+def test_sloped_dtw_equals_all_paths(step, window):
+    """By the recurrence over cells, from the pattern's ways; a series that is too long for the slope is out of reach."""
+    x, y = RNG.normal(size=(3, 8)), RNG.normal(size=(3, 10))
+
+    def slow(p, q):
+        c, d = np.abs(p[:, None] - q[None]), np.full((len(p), len(q)), np.inf)
+        for i in range(len(p)):
+            for j in range(len(q)):
+                if window is None or np.ceil((i + 1) * len(q) / len(p) - window) <= j + 1 <= np.floor((i + 1) * len(q) / len(p) + window):
+                    ways = [d[i - a, j - b] + sum(w * c[i - u, j - v] for u, v, w in terms) for a, b, terms in K.SLOPES[step] if i >= a and j >= b]
+                    d[i, j] = c[0, 0] if i == j == 0 else min(ways, default=np.inf)
+        return d[-1, -1]
+
+    want = [slow(p, q) for p, q in zip(x, y)]
+    assert K.dtw(x, y, window, step=step) == pytest.approx(want)
+    assert K.dtw(x, y, window, step=step, normalize=True) == pytest.approx(np.array(want) / (18 if step.startswith("s") else 8))
+    assert np.isinf(K.dtw(x[:, :3], y, step=step)).all()
+
+
 def test_unreachable_band_is_infinite():
     assert np.isinf(K.dtw(np.zeros((1, 4)), np.ones((1, 2)), 0))
 
