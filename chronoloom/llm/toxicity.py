@@ -38,7 +38,7 @@ WINDOW, STRIDE = 64, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 13, 1 << 14, 8, 8, 8
 GRAMS = (4, 6)
 SAMPLE, SAMPLE_CHARS, EPOCHS, BATCH, RATE, SEED = 2500, 40_000_000, 4, 48, 0.02, 7
-STEP_WINDOWS = 32  # of one text, in a step of the training
+STEP_WINDOWS = 16  # of one text, in a step of the training
 LEAST_STEPS = 150  # of training, also on few texts
 LEAST_TEXTS = 4  # of the sample, for a row of an embedding to be learnt
 
@@ -72,7 +72,7 @@ class Inputs:
             sizes.append(count)
         owner, gram = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(owner, kind="stable")
-        self.owner, self.gram = owner[order], gram[order]
+        self.gram = gram[order].astype(np.int32)  # in order of their words
         self.n_grams = np.add.reduce(sizes)
         # Windows
         n = w.count
@@ -83,12 +83,16 @@ class Inputs:
         begin = (np.cumsum(n) - n)[self.doc] + k * STRIDE
         at = begin[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < self.length[:, None]
-        self.ids = np.where(inside, where[np.minimum(at, max(len(where) - 1, 0))] if len(where) else 0, self.n)
+        self.ids = np.where(inside, where[np.minimum(at, max(len(where) - 1, 0))] if len(where) else 0, self.n).astype(np.int32)
 
+    @property
+    def owner(self) -> np.ndarray:
+        """The word of each n-gram."""
+        return np.repeat(np.arange(self.n), self.n_grams)
 
     def texts_of(self, name: str, rows: int, only: np.ndarray | None = None) -> np.ndarray:
         """In how many texts (of those marked) a row of an embedding occurs."""
-        out = np.zeros(rows, np.int64)
+        out, owner = np.zeros(rows, np.int64), self.owner
         for d in np.unique(self.doc):
             if only is not None and not only[d]:
                 continue
@@ -97,7 +101,7 @@ class Inputs:
             if name == "gram":
                 used = np.zeros(self.n, bool)
                 used[words] = True
-                out[np.unique(self.gram[used[self.owner]])] += 1
+                out[np.unique(self.gram[used[owner]])] += 1
             else:
                 out[np.unique(self.word[words])] += 1
         return out
@@ -126,9 +130,9 @@ class Network:
 
     def words(self, x: Inputs) -> np.ndarray:
         grams = np.zeros((x.n, WIDTH), np.float32)
-        if len(x.owner):
-            at = np.flatnonzero(np.r_[True, x.owner[1:] != x.owner[:-1]])
-            grams[x.owner[at]] = np.add.reduceat(self.p["gram"][x.gram], at, axis=0)
+        some = np.flatnonzero(x.n_grams)
+        if len(some):
+            grams[some] = np.add.reduceat(self.p["gram"][x.gram], (np.cumsum(x.n_grams) - x.n_grams)[some], axis=0)
         return np.hstack([self.p["word"][x.word], grams / np.maximum(x.n_grams, 1)[:, None].astype(np.float32)])
 
     def _run(self, side: str, table: np.ndarray, ids: np.ndarray, valid: np.ndarray, keep: bool):
