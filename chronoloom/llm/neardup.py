@@ -30,17 +30,20 @@ result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, small_batches, text_totals, unused
+from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, release_memory, small_batches, text_totals, unused
 from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
 HUB_PARTS, PART_ROWS = 16, 512  # parts of a bucket in which its highest members are found first; members of a part that meets them
 NO_ID = -(1 << 63)  # stands for a missing doc_id in keys of joins
+CHUNK = 1 << 18  # characters of a block that are split into words and sampled at a time
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
 
@@ -89,10 +92,9 @@ def samples(keys: np.ndarray, ln_weight: np.ndarray, first: np.ndarray, n: int)
     return out
 
 
-def _shingles(w: Words, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each text in order of (text, key): text, key, integer weight (count x summed idf of words), and where a text begins."""
-    weight = idf[np.searchsorted(known, w.hash)] if len(known) else np.zeros(0, np.int64)
-    n = w.count
+def _shingles(words: np.ndarray, n: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of n words each (hashes, in order): distinct shingles of each text in order of (text, key): text, key, integer weight (count x summed idf of words), and where a text begins."""
+    weight = idf[np.searchsorted(known, words)] if len(known) else np.zeros(0, np.int64)
     begin = np.cumsum(n) - n
     sizes = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
     doc = np.repeat(np.arange(len(n)), sizes)
@@ -101,8 +103,8 @@ def _shingles(w: Words, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
     key, total = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.int64)
     for j in range(SHINGLE):
         inside = j < span
-        i = np.minimum(at + j, max(len(w.hash) - 1, 0))
-        key = np.where(inside, mix(key * GOLDEN + w.hash[i]), key)
+        i = np.minimum(at + j, max(len(words) - 1, 0))
+        key = np.where(inside, mix(key * GOLDEN + words[i]), key)
         total += np.where(inside, weight[i], 0)
     order = np.lexsort((key, doc))
     doc, key, total = doc[order], key[order], total[order]
@@ -147,14 +149,31 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 SKETCH = "key long, node binary, total long, bands array<long>, vector binary"
 
 
+def _lean(f: Callable) -> Callable:
+    """f of a cogroup, after which the worker keeps no memory that it doesn't use: it lives on, idle too, beside others that need it."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = f(left, right)
+        release_memory()
+        return out
+
+    return run
+
+
+def _word_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words in order, each with its number of texts."""
+    keys = []
+    for a, b in chunks(texts, CHUNK):
+        w = Words(texts[a:b], NOT_ALNUM)
+        pair = np.unique(w.hash ^ mix(w.doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]  # a word once a text
+        keys.append(w.hash[pair])
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
 def _sender(blocks: int):
     def sender(pdf: pd.DataFrame) -> list[tuple]:
-        texts, keys = pdf["text"].tolist(), []
-        for a, b in chunks(texts):
-            w = Words(texts[a:b], NOT_ALNUM)
-            pair = np.unique(w.hash ^ mix(w.doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]  # a word once a text
-            keys.append(w.hash[pair])
-        known, counts = np.unique(np.concatenate(keys), return_counts=True)
+        known, counts = _word_texts(pdf["text"].tolist())
+        release_memory()
         return send(int(pdf["block"].iloc[0]), known, counts, blocks, 0)
 
     return sender
@@ -163,13 +182,14 @@ def _sender(blocks: int):
 def _sketcher(n_docs: int):
     def sketch(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         texts, parts = pdf["text"].tolist(), []
-        for a, b in chunks(texts):
-            parts.append((a, Words(texts[a:b], NOT_ALNUM)))
-        known = np.unique(np.concatenate([w.hash for _, w in parts])) if parts else np.zeros(0, np.uint64)
+        for a, b in chunks(texts, CHUNK):
+            w = Words(texts[a:b], NOT_ALNUM)
+            parts.append((a, w.hash, w.count))
+        known = np.unique(np.concatenate([h for _, h, _ in parts])) if parts else np.zeros(0, np.uint64)
         idf = np.rint(IDF_STEPS * np.log1p(n_docs / np.maximum(answer_of(answers, 0).astype(np.float64), 1))).astype(np.int64)
         ids, nodes, totals, bands, vectors = [], [], [], [], []
-        for a, w in parts:
-            doc, key, mass, first = _shingles(w, known, idf)
+        for a, h, count in parts:
+            doc, key, mass, first = _shingles(h, count, known, idf)
             if not len(doc):
                 continue
             keys = band_keys(samples(key, np.log(mass).astype(np.float32), first, BANDS * ROWS))
@@ -182,14 +202,14 @@ def _sketcher(n_docs: int):
                 vectors.append(pack_vector(key[x:y], mass[x:y].astype(np.uint64)))
         return pd.DataFrame({"key": np.array(ids, np.int64), "node": nodes, "total": np.array(totals, np.int64), "bands": bands, "vector": vectors})
 
-    return sketch
+    return _lean(sketch)
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     last, vector, out = None, None, []
     for x, y in zip(a, b, strict=True):
-        if x is not last:
+        if x != last:
             last, vector = x, unpack_vector(x)
         out.append(weighted_jaccard(vector, unpack_vector(y)))
     return pd.Series(out, dtype="float64")
@@ -237,8 +257,8 @@ def common_weight(left: list[tuple], right: list[tuple], same: np.ndarray, tile:
     """Sum of the lesser weights for each of left with each of right (vectors), exact: min(x, y) is a sum over the levels of a key's
     weights that both reach, so it is a matrix product over (key, level). Keys that occur in one text alone are left out."""
     out = np.zeros((len(left), len(right)))
-    rows = np.concatenate([np.repeat(np.arange(len(v)), [len(x[0]) for x in v]) for v in (left, right)])
-    side = np.repeat([0, 1], [sum(len(x[0]) for x in v) for v in (left, right)])
+    rows = np.concatenate([np.repeat(np.arange(len(v), dtype=np.int32), [len(x[0]) for x in v]) for v in (left, right)])
+    side = np.repeat(np.array([0, 1], np.int8), [sum(len(x[0]) for x in v) for v in (left, right)])
     key, weight = np.concatenate([x[0] for x in left + right]), np.concatenate([x[1] for x in left + right])
     order = np.lexsort((weight, key))
     rows, side, key, weight = rows[order], side[order], key[order], weight[order]
@@ -287,7 +307,7 @@ def _rest_comparer(threshold: float):
         ends = [(min(x, y), max(x, y)) for x, y in zip(left["node"].to_numpy()[i], right["node"].to_numpy()[j], strict=True)]
         return pd.DataFrame({"a": [x for x, _ in ends], "b": [y for _, y in ends], "similarity": found[i, j]})
 
-    return compare
+    return _lean(compare)
 
 
 def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS, rows: int = REST_ROWS, weight: float = REST_WEIGHT) -> DataFrame | None:

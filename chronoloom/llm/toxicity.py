@@ -27,15 +27,13 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import ctypes
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import POLY, Words, chunks, mix, small_batches
+from .common import POLY, Words, chunks, mix, release_memory, small_batches
 
 WINDOW, STRIDE = 64, 32
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN, ATTEND = 1 << 13, 1 << 14, 8, 8, 8
@@ -298,13 +296,6 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SA
     return network
 
 
-def release_memory() -> None:
-    """Give what training freed (some 100 MB) back to the system, which the driver's other half needs; where the C library can't, it stays with Python."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
-    if trim:
-        trim(0)
-
-
 def score_column(network: Network, text: Column) -> Column:
     """The score of each text, as a column."""
 

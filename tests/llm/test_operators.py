@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -674,3 +675,20 @@ def test_pipeline_end_to_end(spark):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_near_duplicates_sketch_in_little_memory():
+    """A block of 4 MB takes a few times its size."""
+    rng = np.random.default_rng(17)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(5000)])
+    texts = [" ".join(rng.choice(words, 600)) for _ in range(1160)]
+    pdf = pd.DataFrame({"block": 0, "key": np.arange(len(texts)), "node": [str(i).encode() for i in range(len(texts))], "text": texts})
+    sent = pd.DataFrame(neardup._sender(1)(pdf), columns=["kind", "part", "block", "keys", "counts"])
+    answers = exchange._add_up(sent)
+    sketch = neardup._sketcher(len(texts))
+    sketch(pdf[:1], exchange._add_up(pd.DataFrame(neardup._sender(1)(pdf[:1]), columns=sent.columns)))  # tables that stay are made
+    tracemalloc.start()
+    out = sketch(pdf, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == len(texts) and peak < 30e6
