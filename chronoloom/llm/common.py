@@ -21,11 +21,14 @@ POLY_INV = pow(POLY, -1, 1 << 64)
 BATCH_ROWS = 1000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH_ROWS (the setting is read when a plan runs)."""
+def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, and its bytes to most_bytes if given (the settings are read when a plan runs)."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if most_bytes and not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= most_bytes:
+        spark.conf.set(name, f"{most_bytes}b")
 
 
 def release_memory() -> None:

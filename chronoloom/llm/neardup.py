@@ -37,13 +37,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .common import GOLDEN, NOT_ALNUM, Words, chunks, materialize, mix, release_memory, small_batches, text_totals, unused
-from .exchange import answer_of, blocked, count_exchange, pack, send, unpack
+from .exchange import MOST_TASKS, answer_of, blocked, count_exchange, pack, send, unpack
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
 HUB_PARTS, PART_ROWS = 16, 512  # parts of a bucket in which its highest members are found first; members of a part that meets them
 NO_ID = -(1 << 63)  # stands for a missing doc_id in keys of joins
 CHUNK = 1 << 18  # characters of a block that are split into words and sampled at a time
+BATCH_BYTES = 8 << 20  # of an Arrow batch: a thousand pairs of long texts hold hundreds of megabytes
 IDF_STEPS = 16  # inverse document frequencies are rounded to sixteenths
 
 
@@ -347,9 +348,14 @@ def _node() -> Column:
     return F.unhex(F.substring(F.sha2(own_text, 256), 1, 32))
 
 
-def text_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, text): the rows as (doc_id, key, node), and for each node its smallest key and doc_id, class_node (one node of the class) and class_id (its smallest doc_id)."""
-    small_batches(docs.sparkSession)
+def _dealt(df: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """df by keys for the join that follows, in so many partitions or the session's number: whole texts or vectors would fill a fixed number more and more."""
+    return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> tuple[DataFrame, DataFrame, int]:
+    """Of docs (doc_id, text): the rows as (doc_id, key, node); for each node its smallest key and doc_id, class_node (one node of the class) and class_id (its smallest doc_id); the number of tasks for whole texts."""
+    small_batches(docs.sparkSession, BATCH_BYTES)
     docs = docs.select(F.col("doc_id").cast("long"), _key().alias("key"), "text", _node().alias("node"))
     n_docs, size = text_totals(docs)
     rows, blocks = blocked(docs.where("text IS NOT NULL"), size)
@@ -361,7 +367,8 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS
     shared = shared_buckets(one)
     # Vectors of texts in shared buckets alone go into the joins below; a merge join, as the list of texts grows with the corpus.
     wanted = shared.select("node", "key").distinct().hint("merge")
-    vectors = sketches.select("node", "key", "vector").join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
+    tasks = min(blocks, MOST_TASKS)
+    vectors = _dealt(sketches.select("node", "key", "vector"), tasks, "node", "key").join(wanted, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
     vectors = materialize(vectors, "near-vectors")
     links = materialize(near_links(shared, vectors, threshold, hubs), "near-links")
     classes = components(links.select("a", "b"))
@@ -372,23 +379,23 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS
         classes = ids.join(joined, "class_id", "left").select("id", F.coalesce("joined", "class_id").alias("class_id"))
     nodes = firsts.join(classes.withColumnRenamed("id", "node"), "node", "left").select("node", "key", "doc_id", F.coalesce("class_id", "node").alias("class_node"))
     least = nodes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
-    return own, nodes.join(least, "class_node")
+    return own, nodes.join(least, "class_node"), tasks
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
     """doc_id and text of docs -> doc_id, class_id (smallest doc_id of the class) for each row."""
-    own, nodes = text_classes(docs, threshold, hubs)
+    own, nodes, _ = text_classes(docs, threshold, hubs)
     return own.join(nodes.select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
     """Of each class of docs the row of the smallest doc_id, of several texts with that id the first by hash, of repeated rows one; a class without ids keeps one row too. Columns as in docs."""
-    _, nodes = text_classes(docs, threshold, hubs)
+    _, nodes, tasks = text_classes(docs, threshold, hubs)
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     first = nodes.groupBy("class_node").agg(F.min(order).alias("f")).select(F.col("f.node").alias("node"), F.coalesce("f.doc_id", F.lit(NO_ID)).alias("key"))
     node, key = unused(docs, "_node", "_key")
     keyed = docs.withColumns({node: _node(), key: _key()})
-    kept = keyed.join(first.select(F.col("node").alias(node), F.col("key").alias(key)), [node, key], "left_semi")
+    kept = _dealt(keyed, tasks, node, key).join(first.select(F.col("node").alias(node), F.col("key").alias(key)), [node, key], "left_semi")
     atomic = [c for c, t in docs.dtypes if "map" not in t and "variant" not in t]
     one = kept.groupBy(node, key).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*atomic)).alias(node + "_row"))
     return one.select(*[F.col(f"{node}_row")[c].alias(c) for c in docs.columns])

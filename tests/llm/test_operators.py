@@ -692,3 +692,15 @@ def test_near_duplicates_sketch_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(out) == len(texts) and peak < 30e6
+
+
+def test_near_duplicates_deal_whole_texts_by_size(spark, monkeypatch):
+    """Tasks of a block's size, however few partitions the session has; batches by bytes too."""
+    rng = np.random.default_rng(18)
+    monkeypatch.setattr(neardup, "blocked", lambda rows, size: exchange.blocked(rows, size, 2000))
+    few = spark.createDataFrame([(i, " ".join(rng.choice(VOCAB, 170))) for i in range(30)], "doc_id long, text string")
+    kept = neardup.keep_one(few)
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(_node#\w+, _key#\w+, (\d+)\), REPARTITION_BY_NUM", kept._jdf.queryExecution().toString())]
+    assert dealt and min(dealt) >= 15 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert kept.count() == 30
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= neardup.BATCH_BYTES
