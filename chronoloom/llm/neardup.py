@@ -166,8 +166,9 @@ def _word_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keys = []
     for a, b in chunks(texts, CHUNK):
         w = Words(texts[a:b], NOT_ALNUM)
-        pair = np.unique(w.hash ^ mix(w.doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]  # a word once a text
-        keys.append(w.hash[pair])
+        known, at = np.unique(w.hash, return_inverse=True)
+        pair = np.unique(at * len(w.count) + w.doc)  # a word once a text; of numbers, as hashes of the two may meet
+        keys.append(known[pair // len(w.count)])
     return np.unique(np.concatenate(keys), return_counts=True)
 
 

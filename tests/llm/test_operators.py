@@ -694,6 +694,21 @@ def test_near_duplicates_sketch_in_little_memory():
     assert len(out) == len(texts) and peak < 30e6
 
 
+def test_near_duplicates_count_a_word_once_in_each_text():
+    """Words of one byte too, whose place in the list of texts may be any: none is lost or counted for another."""
+    alike = [" ".join(chr(c) for c in b"abcxyz059" if (i + c) % 3) + f" w{i} w{i % 7}" * 2 for i in range(130)]
+    apart = [f"w{i}" for i in range(130)]
+    apart[97], apart[98] = "b", "a"
+    for texts in (alike, apart):
+        df = Counter(w for t in texts for w in set(t.split()))
+        words = Words(list(df), NOT_ALNUM)
+        known, counts = neardup._word_texts(texts)
+        assert dict(zip(known.tolist(), counts.tolist(), strict=True)) == dict(zip(words.hash.tolist(), df.values(), strict=True))
+    pdf = pd.DataFrame({"block": 0, "key": np.arange(len(apart)), "node": [str(i).encode() for i in range(len(apart))], "text": apart})
+    answers = exchange._add_up(pd.DataFrame(neardup._sender(1)(pdf), columns=["kind", "part", "block", "keys", "counts"]))
+    assert len(neardup._sketcher(len(apart))(pdf, answers)) == len(apart)
+
+
 def test_near_duplicates_deal_whole_texts_by_size(spark, monkeypatch):
     """Tasks of a block's size, however few partitions the session has; batches by bytes too."""
     rng = np.random.default_rng(18)
