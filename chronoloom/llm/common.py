@@ -76,6 +76,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Copies of a row that one task makes of it at once.
+COPIES = 1000
+
+
+def repeated(df: DataFrame, count: str, place: str) -> DataFrame:
+    """Every row as often as the column count says; the column place numbers the copies from 0. More than COPIES of a row are dealt to the tasks first, so none makes them all."""
+    few, many = df.where(F.col(count) <= COPIES), df.where(F.col(count) > COPIES)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(COPIES).cast("long")))
+    begun = few.withColumn(place, F.lit(0).cast("long")).unionByName(many.withColumn(place, starts).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    last = F.least(F.col(count), F.col(place) + COPIES) - 1
+    return begun.withColumn(place, F.explode(F.sequence(F.col(place), last)))
+
+
 def text_totals(docs: DataFrame) -> tuple[int, int]:
     """Rows and UTF-8 bytes of the texts."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

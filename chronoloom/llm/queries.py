@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, fingerprints, lm, mixing, neardup, packing, secrets, sharding, toxicity, warc
+from . import decontamination, fim, fingerprints, innerproducts, lm, mixing, neardup, packing, resampling, secrets, sharding, toxicity, warc
 from .common import new_path, table
 
 
@@ -62,5 +62,17 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup)}
-ORACLES = {"op3_warc": warc.ORACLE, "op5_backoff": lm.ORACLE, "op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE, "op10_neardup": neardup.ORACLE}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_innerproducts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return innerproducts.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(fim.form_documents(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_packing, op3_warc, op4_sharding, op5_backoff, op6_toxicity, op7_secrets, op8_mixing, op9_decontamination, op10_neardup, op11_resampling, op12_innerproducts, op13_fim)}
+ORACLES = {"op3_warc": warc.ORACLE, "op5_backoff": lm.ORACLE, "op7_secrets": secrets.ORACLE, "op8_mixing": mixing.ORACLE, "op9_decontamination": decontamination.ORACLE, "op10_neardup": neardup.ORACLE, "op11_resampling": resampling.ORACLE, "op12_innerproducts": innerproducts.ORACLE, "op13_fim": fim.ORACLE}
