@@ -41,7 +41,7 @@ from .exchange import MOST_TASKS, answer_of, blocked, count_exchange, pack, send
 
 SHINGLE, THRESHOLD, BANDS, ROWS, HUBS = 5, 0.8, 12, 3, 12
 REST_ROWS, REST_WEIGHT = 512, 2e8  # the most texts of a block of step 5, and their total weight (a shingle weighs 55 at least)
-HUB_PARTS, PART_ROWS = 16, 512  # parts of a bucket in which its highest members are found first; members of a part that meets them
+HUB_PARTS, PART_ROWS, MOST_HOT = 16, 512, 10_000  # parts of a bucket in which its highest members are found first; members of a part that meets them; buckets that are dealt to parts at most
 NO_ID = -(1 << 63)  # stands for a missing doc_id in keys of joins
 CHUNK = 1 << 18  # characters of a block that are split into words and sampled at a time
 BATCH_BYTES = 8 << 20  # of an Arrow batch: a thousand pairs of long texts hold hundreds of megabytes
@@ -232,10 +232,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(sketches: DataFrame) -> DataFrame:
-    """band, node, key, total and members n of each bucket of two or more: sketches has a row (node, key, total, bands) for each node."""
+    """band, part, parts, node, key, total and members n of each bucket of two or more: sketches has a row (node, key, total, bands) for each node.
+
+    Sizes are counted first, from sums of the tasks. Members meet them by (band, part): a bucket of more than PART_ROWS and more than 1/MOST_HOT of all
+    members is dealt to parts of PART_ROWS, so neither here nor later does a task read a large bucket whole. There can't be more than MOST_HOT such buckets: their list is broadcast."""
     buckets = sketches.select("node", "key", "total", F.explode("bands").alias("band"))
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return materialize(buckets.join(sizes, "band"), "near-shared")
+    sizes = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    members = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col("n") > max(PART_ROWS, members // MOST_HOT)).select("band", F.ceil(F.col("n") / PART_ROWS).alias("parts")))
+    dealt = lambda df: df.join(hot, "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    own = dealt(buckets).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("parts")
+    each = dealt(sizes).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return materialize(own.join(each, ["band", "part"]), "near-shared")
 
 
 def near_links(shared: DataFrame, vectors: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS) -> DataFrame:
@@ -315,14 +323,15 @@ def _rest_comparer(threshold: float):
 def rest_links(shared: DataFrame, vectors: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, hubs: int = HUBS, rows: int = REST_ROWS, weight: float = REST_WEIGHT) -> DataFrame | None:
     """Links (a, b, similarity, class_a, class_b) across classes (id, class_id of linked nodes) in the buckets that near_links doesn't compare whole; None if there are none to compare."""
     over = shared.where(F.col("n") > hubs + 1).join(classes.withColumnRenamed("id", "node"), "node", "left").withColumn("class_node", F.coalesce("class_id", "node"))
-    over = materialize(over.select("band", "node", "key", "total", "n", "class_node"), "near-over")
-    by_class = over.groupBy("band", "class_node").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("t"))
-    largest = by_class.groupBy("band").agg(F.max(F.struct("k", "class_node")).alias("most"), F.sum("k").alias("all"), F.max("t").alias("t")).where("most.k < all")
+    over = materialize(over.select("band", "part", "parts", "node", "key", "total", "n", "class_node"), "near-over")
+    by_class = over.groupBy("band", "class_node").agg(F.count(F.lit(1)).alias("k"), F.max("total").alias("t"), F.max("parts").alias("parts"))
+    largest = by_class.groupBy("band").agg(F.max(F.struct("k", "class_node")).alias("most"), F.sum("k").alias("all"), F.max("t").alias("t"), F.max("parts").alias("parts")).where("most.k < all")
     of = F.greatest(F.lit(1), F.least(F.lit(rows), F.floor(F.lit(weight) / F.greatest("t", F.lit(1))))).cast("int")
     parts = lambda size: F.ceil(F.col(size) / F.col("of")).cast("int")
     largest = largest.withColumn("of", of).withColumn("outside", F.col("all") - F.col("most.k"))
-    plan = largest.select("band", F.col("most.class_node").alias("inner"), parts("outside").alias("n_left"), parts("all").alias("n_right"))
-    members = materialize(over.join(plan, "band").withColumn("outer", F.col("class_node") != F.col("inner")).drop("inner", "n"), "near-rest")
+    plan = largest.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("most.class_node").alias("inner"), parts("outside").alias("n_left"), parts("all").alias("n_right"))
+    members = over.join(plan, ["band", "part"]).withColumn("outer", F.col("class_node") != F.col("inner"))
+    members = materialize(members.drop("inner", "n", "part", "parts"), "near-rest")
     if not members.limit(1).count():
         return None
     full = members.hint("merge").join(vectors, ["node", "key"])
