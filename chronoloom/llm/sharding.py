@@ -14,6 +14,8 @@ cells of their group by rank, with ranks in two levels so that no task holds a g
 The graph's edges are the pairs of equal texts: each row tells how many of its own end in its shard before and after. Texts are hashed whole; only
 doc_id and text are read, whatever other columns there are. Ties between a group's fullest shards are broken by a hash.
 
+shard_graph() does the same on a given table of links, where a document follows its neighbours' weight.
+
 Edge cases: null texts form a group of their own (8 bytes, CRC 0), empty texts another; repeated rows are rows of
 their own; null ids come first in a shard's slots; fewer rows than shards leave some shards empty; an empty table
 gives an empty result.
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .common import materialize
 
 SHARDS, ROUNDS = 24, 3
+MOST_HOT = 10_000  # hubs that are joined by broadcast at most: each has more than 1/MOST_HOT of all links
 
 
 def _uniform(*parts: Column) -> Column:
@@ -60,6 +63,92 @@ def transport(counts: np.ndarray, wanted: np.ndarray) -> list[tuple[int, int, in
     return out
 
 
+def level(cells: DataFrame, counts: np.ndarray, n: int, shards: int, buckets: int, seed: int) -> DataFrame:
+    """Cells (_g, _s, group_size, _n, _rank 0 or 1) after the moves that bring the counts of all shards at most one apart: those of rank 0 move first, then whole or split cells of rank 1."""
+    wanted = np.full(shards, n // shards)
+    wanted[np.argsort(-counts, kind="stable")[: n % shards]] += 1
+    moves = transport(counts, wanted)
+    if not moves:
+        return cells.drop("_rank")
+    # Cells of a shard in a fixed order; the first `surplus` units leave.
+    cells = cells.withColumn("_b", (F.col("_rank") * buckets + F.pmod(F.xxhash64("_g", F.lit(seed)), F.lit(buckets))).cast("int"))
+    sums = cells.groupBy("_s", "_b").agg(F.sum("_n").alias("_k"))
+    offsets = sums.select("_s", "_b", F.coalesce(F.sum("_k").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inner = W.partitionBy("_s", "_b").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
+    cells = cells.withColumn("_i", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(offsets, ["_s", "_b"]).withColumn("_first", F.col("_o") + F.col("_i"))
+    plans: dict[int, list] = {}
+    for s, a, b, t in moves:
+        plans.setdefault(s, []).append((a, b, t))
+    rows = [(s, [*p, (p[-1][1], 1 << 62, s)]) for s, p in plans.items()]
+    plan = cells.sparkSession.createDataFrame(rows, "_s int, _plan array<struct<a: long, b: long, t: int>>")  # shards rows, 2 x shards intervals in all
+    cells = cells.join(F.broadcast(plan), "_s", "left")
+    pieces = F.when(F.col("_plan").isNull(), F.array(F.struct(F.col("_s").alias("t"), F.col("_n").alias("n")))).otherwise(
+        F.filter(F.transform("_plan", lambda p: F.struct(p["t"].alias("t"), (F.least(p["b"], F.col("_first") + F.col("_n")) - F.greatest(p["a"], F.col("_first"))).alias("n"))), lambda x: x["n"] > 0)
+    )
+    cells = cells.select("_g", "group_size", F.explode(pieces).alias("_p")).select("_g", "group_size", F.col("_p.t").alias("_s"), F.col("_p.n").alias("_n"))
+    return cells.groupBy("_g", "_s", "group_size").agg(F.sum("_n").alias("_n"))
+
+
+def _joined(links: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """links (a, b, w) with the shard of b as _t. Rows of b in hot (at most MOST_HOT ids) meet their labels by broadcast, so no task reads a hub's links."""
+    known = F.broadcast(hot.join(labels, "b"))
+    cold = links.join(F.broadcast(hot), "b", "left_anti").join(labels, "b")
+    return cold.select("a", "w", "_t").unionByName(links.join(known, "b").select("a", "w", "_t"))
+
+
+def shard_graph(docs: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Balanced label propagation on given links: docs (doc_id), edges (a, b, weight) between ids. Gives (doc_id, shard, copies) and the weight of edges cut (before: by hash; after).
+
+    In each round a document wants to go to the shard that most of its neighbours' weight is in (its own on ties); the demand between shards meets quotas so that none
+    grows above its share, and a part of those who want to go, by hash, goes. At last the counts of all shards are brought at most one apart, documents without links first. Rows
+    of one doc_id are one vertex of so many copies, which that last step alone may split; a null id has no links. Links to ids that aren't there, to itself and
+    without positive weight count nothing; equal links add up. Only doc_id, a, b and weight are read.
+    """
+    vertices = materialize(docs.groupBy(F.col("doc_id").cast("long").alias("a")).agg(F.count(F.lit(1)).alias("_n")), "shard-vertices")
+    n = vertices.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    there = vertices.select("a").where("a IS NOT NULL")
+    one = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double").alias("w")).where("a != b AND w > 0")
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    links = materialize(both.join(there.hint("merge"), "a", "left_semi").join(there.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi"), "shard-links")
+    degrees = materialize(links.groupBy("b").agg(F.count(F.lit(1)).alias("k")), "shard-degrees")
+    total = degrees.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    hot = materialize(degrees.where(F.col("k") > max(1000, total // MOST_HOT)).select("b"), "shard-hubs")
+    labels = materialize(vertices.select("a", "_n", F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(shards)).cast("int").alias("_s")), "shard-labels")
+
+    def counts() -> np.ndarray:
+        out = np.zeros(shards, np.int64)
+        for s, k in labels.groupBy("_s").agg(F.sum("_n")).collect():  # a row for each shard
+            out[s] = k
+        return out
+
+    def cut(final: DataFrame, name: str) -> DataFrame:
+        met = _joined(links.withColumnRenamed("a", "c").select(F.col("c").alias("a"), "b", "w"), final.select(F.col("a").alias("b"), F.col("_s").alias("_t")), hot)
+        sums = met.groupBy("a", "_t").agg(F.sum("w").alias("w"))
+        return sums.join(final.select("a", "_s"), "a").agg((F.coalesce(F.sum(F.when(F.col("_s") != F.col("_t"), F.col("w"))), F.lit(0.0)) / 2).alias(name))
+
+    before = cut(labels, "before")
+    for r in range(rounds):
+        near = _joined(links, labels.select(F.col("a").alias("b"), F.col("_s").alias("_t")), hot).groupBy("a", "_t").agg(F.sum("w").alias("w"))
+        best = near.join(labels, "a").groupBy("a", "_s", "_n").agg(F.max(F.struct("w", (F.col("_t") == F.col("_s")).alias("own"), F.xxhash64("a", "_t").alias("h"), "_t")).alias("m"))
+        wishes = materialize(best.select("a", "_s", "_n", F.col("m._t").alias("_to")).where("_s != _to"), f"shard-wishes{r}")
+        demand = np.zeros((shards, shards))
+        for s, t, k in wishes.groupBy("_s", "_to").agg(F.sum("_n")).collect():  # shards x shards rows at most
+            demand[s, t] = k
+        if not demand.any():
+            break
+        # Two neighbours that change places gain nothing: half of those who may go wait for the next round.
+        part = granted(demand, counts(), n / shards) * (0.5 if r < rounds - 1 else 1)
+        quota = F.element_at(F.array(*[F.lit(float(x)) for x in part.ravel()]), F.col("_s") * shards + F.col("_to") + 1)
+        going = wishes.where(_uniform("a", F.lit(f"{seed}-{r}")) < quota).select("a", F.col("_to").alias("_go"))
+        labels = materialize(labels.join(going, "a", "left").select("a", "_n", F.coalesce("_go", "_s").alias("_s")), f"shard-labels{r}")
+    linked = labels.join(links.select("a").distinct(), "a", "left_semi").select("a", F.lit(1).alias("_rank"))
+    cells = labels.join(linked, "a", "left").select(F.col("a").alias("_g"), "_s", F.col("_n").alias("group_size"), "_n", F.coalesce("_rank", F.lit(0)).alias("_rank"))
+    placed = level(cells, counts(), n, shards, max(64, min(65536, n // 20000)), seed)
+    placed = materialize(placed.select(F.col("_g").alias("a"), "_s", "_n"), "shard-graph")
+    first = placed.groupBy("a").agg(F.min("_s").alias("_s"))  # copies of one id in several shards count where the first is
+    return placed.select(F.col("a").alias("doc_id"), F.col("_s").alias("shard"), F.col("_n").alias("copies")), before.crossJoin(cut(first, "after"))
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
     """doc_id and text of docs -> doc_id, size, text_crc32, shard, slot, group_size, mates_before and mates_after (the other documents of the group that share
     the document's shard by hash, and its shard in the end: group_size - 1 - mates are its cut edges)."""
@@ -104,27 +193,7 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, s
 
     cells = single.select("_g", "_s", "group_size", "_n").unionByName(linked.select("_g", "_s", "group_size", "_n"))
     counts = alone + counts_of(linked)
-    wanted = np.full(shards, n // shards)
-    wanted[np.argsort(-counts, kind="stable")[: n % shards]] += 1
-    moves = transport(counts, wanted)
-    if moves:
-        # Cells of a shard in a fixed order, single documents first; the first `surplus` units leave.
-        cells = cells.withColumn("_b", (F.when(F.col("group_size") > 1, buckets).otherwise(0) + F.pmod(F.xxhash64("_g", F.lit(seed)), F.lit(buckets))).cast("int"))
-        sums = cells.groupBy("_s", "_b").agg(F.sum("_n").alias("_k"))
-        offsets = sums.select("_s", "_b", F.coalesce(F.sum("_k").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-        inner = W.partitionBy("_s", "_b").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
-        cells = cells.withColumn("_i", F.coalesce(F.sum("_n").over(inner), F.lit(0))).join(offsets, ["_s", "_b"]).withColumn("_first", F.col("_o") + F.col("_i"))
-        plans: dict[int, list] = {}
-        for s, a, b, t in moves:
-            plans.setdefault(s, []).append((a, b, t))
-        rows = [(s, [*p, (p[-1][1], 1 << 62, s)]) for s, p in plans.items()]
-        plan = spark.createDataFrame(rows, "_s int, _plan array<struct<a: long, b: long, t: int>>")  # shards rows, 2 x shards intervals in all
-        cells = cells.join(F.broadcast(plan), "_s", "left")
-        pieces = F.when(F.col("_plan").isNull(), F.array(F.struct(F.col("_s").alias("t"), F.col("_n").alias("n")))).otherwise(
-            F.filter(F.transform("_plan", lambda p: F.struct(p["t"].alias("t"), (F.least(p["b"], F.col("_first") + F.col("_n")) - F.greatest(p["a"], F.col("_first"))).alias("n"))), lambda x: x["n"] > 0)
-        )
-        cells = cells.select("_g", "group_size", F.explode(pieces).alias("_p")).select("_g", "group_size", F.col("_p.t").alias("_s"), F.col("_p.n").alias("_n"))
-        cells = cells.groupBy("_g", "_s", "group_size").agg(F.sum("_n").alias("_n"))
+    cells = level(cells.withColumn("_rank", (F.col("group_size") > 1).cast("int")), counts, n, shards, buckets, seed)
 
     # Each group's cells in one short array; documents go to them by rank in their group.
     homes = cells.groupBy("_g", "group_size").agg(F.array_sort(F.collect_list(F.struct("_s", "_n"))).alias("_cells"))
