@@ -12,6 +12,8 @@ Each output row has the ids as little-endian unsigned 32-bit (`ids`, padded to t
 cumulative segment lengths from 0 (`cu_seqlens`), the positions at which position ids start again (`resets`), and
 for each segment its document, its offset in the document's tokens and its length.
 
+write_packed() puts packed rows into files, as matrices of ids with their segments; read_packed() reads them.
+
 Edge cases: a null or empty text is its end id alone; repeated rows are packed as rows of their own (in one group); a null doc_id stays null; texts are
 tokenized whole, however long; ties of length go to the smaller id, then text. Only doc_id and text are read, whatever other columns there are. An
 empty table gives an empty result.
@@ -23,7 +25,7 @@ import base64
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import text_totals
 
@@ -111,11 +113,11 @@ def positions(cu_seqlens: list[int]) -> np.ndarray:
 
 def _packer(content, row: int):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")
+        pdf = pdf.sort_values(["known", "key", "text"], kind="stable")
         encode = encoder(content.value).encode_ordinary
         tokens = [np.array([*encode(t), END_ID], "<u4") for t in pdf["text"]]
         pieces = [(d, a, min(row, len(t) - a)) for d, t in enumerate(tokens) for a in range(0, len(t), row)]
-        ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
+        ids = [int(x) if known else None for x, known in zip(pdf["key"], pdf["known"], strict=True)]
         out = []
         for n, bins in enumerate(best_fit_decreasing([p[2] for p in pieces], row)):
             own = [pieces[i] for i in bins]
@@ -131,8 +133,51 @@ def _packer(content, row: int):
 def pack_documents(docs: DataFrame, path: str = VOCABULARY, row: int = ROW_LENGTH) -> DataFrame:
     """Packed rows (SCHEMA) of every text of docs. One shuffle of the texts, by group."""
     groups = max(1, -(-text_totals(docs)[1] // GROUP_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # A missing id goes as a flag beside a number: with nulls among them pandas would hold ids as doubles.
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("key")
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("bucket"), key, F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartition(min(groups, MOST_TASKS), "bucket")
     # The driver reads the vocabulary (about 1 MB) and sends it to the executors, which need no such file.
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
     return dealt.groupBy("bucket").applyInPandas(_packer(content, row), SCHEMA)
+
+
+FILE_ROWS = 2048
+FILES = "file long, n_rows int, row_length int, ids binary, cu_seqlens binary, resets binary, row_splits binary, doc_ids array<long>, offsets array<long>, lengths array<int>"
+
+
+def write_packed(packed: DataFrame, path: str, row: int = ROW_LENGTH) -> None:
+    """Packed rows as files for training: each of their rows is one matrix of up to FILE_ROWS packed rows, little-endian unsigned 32-bit ids row by row, that a reader maps without parsing, with
+    the cumulative segment lengths and resets of all its rows one after the other (32-bit) and where each row's begin in either (row_splits: two rows of 32-bit numbers).
+
+    Rows come in order of pack_id within a file. The files are Parquet, so a lost task leaves no half of one behind."""
+
+    def matrices(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), FILE_ROWS):
+                own = pdf.iloc[at : at + FILE_ROWS].sort_values("pack_id", kind="stable")
+                flat = lambda c: np.concatenate([np.asarray(x) for x in own[c]])  # noqa: B023, E731
+                splits = [np.cumsum([0, *map(len, own[c])]) for c in ("cu_seqlens", "resets")]
+                binary = {c: [flat(c).astype("<i4").tobytes()] for c in ("cu_seqlens", "resets")}
+                ids = pd.array([None if pd.isna(x) else int(x) for c in own["doc_ids"] for x in c], "Int64")
+                yield pd.DataFrame({"file": [int(own["pack_id"].iloc[0])], "n_rows": [len(own)], "row_length": [row], "ids": [b"".join(own["ids"])], **binary, "row_splits": [np.stack(splits).astype("<i4").tobytes()], "doc_ids": [ids.tolist()], "offsets": [flat("offsets").tolist()], "lengths": [flat("lengths").tolist()]})
+
+    files = packed.select("pack_id", "ids", "cu_seqlens", "resets", F.transform("doc_ids", lambda x: x.cast("string")).alias("doc_ids"), "offsets", "lengths")
+    files.mapInPandas(matrices, FILES).write.mode("overwrite").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_packed()'s files: file, row, ids (binary), cu_seqlens, resets, doc_ids, offsets, lengths."""
+
+    def rows(batches):
+        for pdf in batches:
+            for f in pdf.itertuples():
+                cu, resets = np.frombuffer(f.cu_seqlens, "<i4"), np.frombuffer(f.resets, "<i4")
+                a, b = np.frombuffer(f.row_splits, "<i4").reshape(2, -1)
+                width = 4 * f.row_length
+                part = lambda x: [x[b[r] : b[r + 1]] for r in range(f.n_rows)]  # noqa: B023, E731
+                ids = [[None if x is None else int(x) for x in own] for own in part(list(f.doc_ids))]
+                yield pd.DataFrame({"file": f.file, "row": np.arange(f.n_rows), "ids": [f.ids[r * width : (r + 1) * width] for r in range(f.n_rows)], "cu_seqlens": [cu[a[r] : a[r + 1]] for r in range(f.n_rows)], "resets": part(resets), "doc_ids": ids, "offsets": part(np.asarray(f.offsets)), "lengths": part(np.asarray(f.lengths))})
+
+    stored = spark.read.parquet(path).withColumn("doc_ids", F.transform("doc_ids", lambda x: x.cast("string")))
+    return stored.mapInPandas(rows, "file long, row int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, offsets array<long>, lengths array<int>")
