@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -89,6 +90,11 @@ def repeated(df: DataFrame, count: str, place: str) -> DataFrame:
     return begun.withColumn(place, F.explode(F.sequence(F.col(place), last)))
 
 
+def exact_ids(texts) -> pd.api.extensions.ExtensionArray:
+    """Ids that came as text: with nulls among them pandas would have held numbers as doubles."""
+    return pd.array([None if x is None or x != x else int(x) for x in texts], "Int64")
+
+
 def text_totals(docs: DataFrame) -> tuple[int, int]:
     """Rows and UTF-8 bytes of the texts."""
     row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

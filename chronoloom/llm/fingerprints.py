@@ -20,9 +20,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import POLY, mix, small_batches
+from .common import POLY, exact_ids, mix, small_batches, text_totals
 
 K, S, BINS = 11, 4, 128
+RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000  # of text in a range, and ranges at most, as their bounds are literals of the plan
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long"
 
 
@@ -131,7 +132,7 @@ def _pairs(batches):
                 out.append((own_id, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(own_bins), to_hex(new_bins), likeness(own_bins, new_bins), likeness(own_bins, bins), own_n))
             pending = None if copy else (bucket, doc_id, text, bins, n)
         frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        frame["doc_id"] = exact_ids(frame["doc_id"])
         yield frame
 
 
@@ -145,7 +146,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("_key"), F.xxhash64("text").alias("_hash"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_totals(docs)[1] // RANGE_BYTES))
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     bounds = np.sort(np.array(docs.agg(F.percentile_approx("_key", steps, 50 * parts)).first()[0] or [], np.int64))
 
@@ -173,4 +174,4 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = at.select("doc_id", "text", "_key", "_hash", F.explode(F.expr("filter(array(struct(_at.own AS bucket, 0 AS copy_of), struct(_at.also AS bucket, 1 AS copy_of)), x -> x.bucket >= 0)")).alias("_to"))
     rows = rows.select(F.col("_to.bucket").alias("bucket"), F.col("_to.copy_of").alias("copy_of"), "_key", "_hash", "doc_id", "text")
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy_of", "_key", "_hash", "text")
-    return dealt.select("bucket", "copy_of", "doc_id", "text").mapInPandas(_pairs, SCHEMA)
+    return dealt.select("bucket", "copy_of", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_pairs, SCHEMA)
