@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import GOLDEN, Words, chunks, mix, text_totals
+from .common import GOLDEN, Words, chunks, exact_ids, mix, text_totals
 from .exchange import answer_of, blocked, count_exchange, send
 
 #: Chosen on held-out texts of the test tables: of 5, 20, 60, 200 and 1, 4, 15, 60.
@@ -156,15 +156,16 @@ def _scorer(total: int, distinct: int, starts: int, masses: tuple[float, ...], b
         base = np.log10((counts[0].astype(np.float64) + 1) / (total + distinct + 1))
         add = lambda x: np.add.reduceat(x, np.cumsum(grams.count) - grams.count)
         return pd.DataFrame(
-            {"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]).round(6), "score": machine.scores(grams).round(6)}
+            {"doc_id": exact_ids(pdf["doc_id"]), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]).round(6), "score": machine.scores(grams).round(6)}
         )
 
     return score
 
 
 def score_corpus(docs: DataFrame, held_out, masses: tuple[float, ...] = MASSES) -> DataFrame:
-    """Scores of all texts of docs; held_out is the column that keeps a row out of the training. The texts are shuffled once, by block."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    """Scores of all texts of docs; held_out is the column that keeps a row out of the training. The texts are dealt to blocks twice, for the
+    counts and for the scores, as the corpus-wide counts are written in between. The texts of a block are read in step, so the longest of them alone for its last part: its tokens each cost a step."""
+    docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     starts, size = docs.where(~F.col("held_out")).count(), text_totals(docs)[1]
     bits = key_bits(size)
     rows, blocks = blocked(docs, size)

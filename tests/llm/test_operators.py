@@ -674,7 +674,7 @@ def test_pipeline_end_to_end(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_near_duplicates_sketch_in_little_memory():
