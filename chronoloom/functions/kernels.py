@@ -26,19 +26,34 @@ def _local(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, power: in
     return d.sum(2) if d.ndim == 3 else d
 
 
-def _sweep(x, y, first, combine, outside, allowed, power):
-    """Values of the last cell; combine(cost, diag, left, up) with `outside` for what doesn't exist or isn't allowed."""
+LOOK = 8  # anti-diagonals between two looks at which pairs go on
+
+
+def _sweep(x, y, first, combine, outside, allowed, power, limit=None):
+    """Values of the last cell; combine(cost, diag, left, up) with `outside` for what doesn't exist or isn't allowed. limit: costs that only grow are given up (infinite) where
+    all cells of two diagonals, one of which every path crosses, lie above a pair's limit."""
     b, nx, ny = len(x), x.shape[1], y.shape[1]
+    if limit is not None:
+        live, last = np.arange(b), np.full(b, np.inf)
     one = np.full((b, nx + 1), outside)  # index i + 1: the diagonal before
     two = one.copy()
     for d in range(nx + ny - 1):
         i = np.arange(max(0, d - ny + 1), min(nx, d + 1))
         j = d - i
         cost = _local(x, y, i, j, power)
-        new = np.full((b, nx + 1), outside)
+        new = np.full((len(x), nx + 1), outside)
         value = first(cost) if d == 0 else combine(cost, two[:, i], one[:, i + 1], one[:, i], i, j)
         new[:, i + 1] = np.where(allowed[i, j], value, outside)
         two, one = one, new
+        if limit is not None and d % LOOK == LOOK - 1:
+            on = np.minimum(one.min(1), two.min(1)) <= limit[live]
+            if not on.all():
+                x, y, one, two, live = x[on], y[on], one[on], two[on], live[on]
+                if not len(live):
+                    return last
+    if limit is not None:
+        last[live] = one[:, nx]
+        return last
     return one[:, nx]
 
 
@@ -86,12 +101,13 @@ def _sloped(x: np.ndarray, y: np.ndarray, window: int | None, power: int, ways:
     return rows[-1][:, -1]
 
 
-def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True, open_begin: bool = False, open_end: bool = False) -> np.ndarray:
+def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True, open_begin: bool = False, open_end: bool = False, limit: np.ndarray | None = None) -> np.ndarray:
     """Dynamic time warping. L2 costs are squared and the root is taken at the end; root=False leaves it out (L2 only).
 
     Paths of symmetricP1, symmetricP2, asymmetricP1 and asymmetricP2 have slopes between 1/2 and 2, or 2/3 and 3/2; series whose lengths don't allow that are at an
     infinite distance. step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
-    Normalized are symmetric steps (but symmetric1) by both lengths and asymmetric ones by the length of x.
+    Normalized are symmetric steps (but symmetric1) by both lengths and asymmetric ones by the length of x. limit: a distance for each pair, beyond which it may
+    be given up as infinite (symmetric1 and symmetric2, not normalized).
     """
     if normalize and step == "symmetric1":
         raise ValueError("Paths of symmetric1 have no common weight to normalize by.")
@@ -105,7 +121,8 @@ def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1
     else:
         s = {"symmetric1": 1.0, "symmetric2": 2.0}[step]
         combine = lambda c, diag, left, up, i, j: np.minimum(diag + s * c, np.minimum(left, up) + c)
-        out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power)
+        most = None if limit is None else np.asarray(limit, float) ** (2 if norm == "L2" and root else 1) * (1 + 1e-12)
+        out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power, most)
     out = np.sqrt(out) if norm == "L2" and root else out
     return out / (x.shape[1] + (y.shape[1] if step.startswith("symmetric") else 0)) if normalize else out
 
@@ -217,14 +234,15 @@ def gak(x: np.ndarray, y: np.ndarray, sigma: float, window: int | None = None, x
     return 1 - np.exp(log_gak(x, y, sigma, window) - (x_own + y_own) / 2)
 
 
-def _z(x: np.ndarray) -> np.ndarray:
+def zscores(x: np.ndarray) -> np.ndarray:
+    """Rows of series by their own mean and sample deviation; a constant one gives zeros."""
     sd = x.std(1, ddof=1, keepdims=True) if x.shape[1] > 1 else np.zeros((len(x), 1))
     return np.where(sd > 0, (x - x.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1), 0.0)
 
 
 def spectrum(x: np.ndarray, other: int, znorm: bool = False) -> dict[str, np.ndarray]:
     """Transforms of rows of series that meet series of the length `other`, and their norms."""
-    x = _z(x) if znorm else x
+    x = zscores(x) if znorm else x
     size = 1 << max(x.shape[1] + other - 2, 1).bit_length()
     return {"spectrum": np.fft.rfft(x, size), "norm": np.linalg.norm(x, axis=1)}
 
@@ -246,18 +264,42 @@ def sbd(x: np.ndarray, y: np.ndarray, znorm: bool = False, **known: np.ndarray)
     return 1 - ncc(x, y, znorm, **known).max(1)
 
 
+def sbd_shifts(x: np.ndarray, y: np.ndarray, znorm: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of one series x to rows of series, and those rows shifted to their best lags, cut or filled with zeros to x's length."""
+    c = ncc(x[None], y, znorm)
+    at = np.arange(len(x)) - (c.argmax(1) - (y.shape[1] - 1))[:, None]
+    inside = (at >= 0) & (at < y.shape[1])
+    return 1 - c.max(1), np.where(inside, np.take_along_axis(y, np.clip(at, 0, y.shape[1] - 1), 1), 0.0)
+
+
 def sbd_shift(x: np.ndarray, y: np.ndarray, znorm: bool = False) -> tuple[float, np.ndarray]:
-    """The distance of one pair, and y shifted to the best lag and cut or filled with zeros to x's length."""
-    c = ncc(x[None], y[None], znorm)[0]
-    lag = int(c.argmax()) - (len(y) - 1)
-    moved = np.r_[np.zeros(max(lag, 0)), y[max(-lag, 0) :]][: len(x)]
-    return 1 - float(c.max()), np.r_[moved, np.zeros(len(x) - len(moved))]
+    """The same of one pair."""
+    d, moved = sbd_shifts(x, y[None], znorm)
+    return float(d[0]), moved[0]
 
 
 def envelope(x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest value within `window` points to either side, for rows of series."""
-    wide = lambda fill: np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (window, window)), constant_values=fill), 2 * window + 1, axis=1)
-    return wide(np.inf).min(2), wide(-np.inf).max(2)
+    """Least and greatest value within `window` points to either side, for rows of series: any 2 window + 1 points in a row are the end of one chunk of so many and the
+    beginning of the next, so minima from either end of the chunks give all of them in time that doesn't depend on the window."""
+    window = min(window, x.shape[1])
+    wide, n = 2 * window + 1, x.shape[1]
+
+    def least(v: np.ndarray) -> np.ndarray:
+        padded = np.pad(v, ((0, 0), (window, window + (-(n + 2 * window)) % wide)), constant_values=np.inf)
+        chunks = padded.reshape(len(v), -1, wide)
+        begun = np.minimum.accumulate(chunks, axis=2).reshape(len(v), -1)
+        ending = np.minimum.accumulate(chunks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(len(v), -1)
+        return np.minimum(ending[:, :n], begun[:, wide - 1 : wide - 1 + n])
+
+    return least(x), -least(-x)
+
+
+def manhattan(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs(x - y).sum(1)
+
+
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(1))
 
 
 def _excess(x, low, up, norm):
@@ -296,6 +338,15 @@ def lb_improved(x: np.ndarray, y: np.ndarray, window: int, norm: str = "L1", for
     return out if norm == "L1" else np.sqrt(out)
 
 
+def memberships(d: np.ndarray, fuzziness: float = 2.0) -> np.ndarray:
+    """Of rows of distances to some centroids: 1 / sum_c (d / d_c) ** (2 / (m - 1)); a series at centroids belongs to them alone."""
+    at = d == 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        inverse = np.where(at, 0, d ** (-2.0 / (fuzziness - 1)))
+        soft = inverse / inverse.sum(1, keepdims=True)
+    return np.where(at.any(1, keepdims=True), at / np.maximum(at.sum(1, keepdims=True), 1), soft)
+
+
 def dense(series: list) -> np.ndarray:
     """Equally long series (of arrays, or of arrays of a point's variables) as one array."""
     return np.stack([np.stack(r) if getattr(r, "dtype", None) == object else np.asarray(r, float) for r in series])

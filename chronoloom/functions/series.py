@@ -72,14 +72,18 @@ def reinterpolate(x: Column, length: int) -> Column:
 
 
 def envelope(x: Column, window: int) -> tuple[Column, Column]:
-    """Least and greatest value within `window` points to either side."""
-    around = lambda i: F.slice(x, F.greatest(i - window, F.lit(0)) + 1, i + window + 1 - F.greatest(i - window, F.lit(0)))
-    return F.transform(x, lambda v, i: F.array_min(around(i))), F.transform(x, lambda v, i: F.array_max(around(i)))
-
-
-def check_envelope_window(window: int, length: int) -> None:
-    if window >= length:
-        raise ValueError(f"An envelope of {window} points to either side is wider than a series of {length}.")
+    """Least and greatest value within `window` points to either side: extremes of spans of 1, 2, 4.. points, each from two of the half, and at last two spans that overlap; log2(window) passes over a
+    series. Where a span goes over an end, what isn't there is null, which least and greatest leave out."""
+    wide = 2 * window + 1
+    padded = F.concat(F.array_repeat(F.lit(None).cast("double"), window), x)
+
+    def spans(values: Column, size: int, pick) -> Column:
+        ahead = lambda v, by: F.zip_with(v, F.slice(v, by + 1, F.size(v)), pick)
+        if 2 * size <= wide:
+            return once(ahead(values, size), lambda v: spans(v, 2 * size, pick))
+        return ahead(values, wide - size) if wide > size else values
+
+    return tuple(F.slice(spans(padded, 1, pick), 1, F.size(x)) for pick in (lambda a, b: F.least(a, b), lambda a, b: F.greatest(a, b)))
 
 
 def acf(x: Column, lags: int) -> Column:

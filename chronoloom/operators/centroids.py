@@ -20,16 +20,22 @@ def _points(members: DataFrame, *more: Column | str) -> DataFrame:
     return rows.select(*names, F.posexplode("value").alias("v", "value"))
 
 
-def _series(points: DataFrame, multivariate: bool) -> DataFrame:
-    """(cluster, values) of (cluster, t, v, value) rows."""
+def _series(points: DataFrame, multivariate: bool, whole: bool = False) -> DataFrame:
+    """(cluster, values) of (cluster, t, v, value) rows; whole: all points of a cluster must come from as many series (n)."""
     ordered = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
     if multivariate:
-        points = points.groupBy("cluster", "t").agg(ordered("v", "value").alias("value"))
-    return points.groupBy("cluster").agg(ordered("t", "value").alias("values"))
+        points = points.groupBy("cluster", "t").agg(ordered("v", "value").alias("value"), *([F.min("n").alias("n"), F.max("n").alias("most")] if whole else []))
+    values = ordered("t", "value")
+    if whole:
+        uneven = F.min("n") != F.max("most" if multivariate else "n")
+        values = F.when(uneven, F.raise_error(F.lit("Series of several lengths have no mean or median by point.")).cast(points.schema["value"].dataType.simpleString().join(("array<", ">")))).otherwise(values)
+    return points.groupBy("cluster").agg(values.alias("values"))
 
 
 def _by_point(members: DataFrame, agg: Column) -> DataFrame:
-    return _series(_points(members).groupBy("cluster", "t", "v").agg(agg.alias("value")), is_multivariate(members))
+    """One value for each point of a cluster; a cluster of series of several lengths has no such prototype and ends the job."""
+    points = _points(members).groupBy("cluster", "t", "v").agg(agg.alias("value"), F.count(F.lit(1)).alias("n"))
+    return _series(points, is_multivariate(members), whole=True)
 
 
 def mean(members: DataFrame) -> DataFrame:
@@ -41,14 +47,22 @@ def median(members: DataFrame) -> DataFrame:
 
 
 def medoids(d: DataFrame, members: DataFrame) -> DataFrame:
-    """(cluster, series_id): the member with the least sum of distances within its cluster, smallest id on ties. d has both halves; self-distances count if there."""
+    """(cluster, series_id): the member with the least sum of distances within its cluster, smallest id on ties. d has both halves; self-distances count if there. A series may be in clusters of several partitions."""
     c = members.select("series_id", "cluster")
     within = d.join(c.withColumnRenamed("series_id", "i"), "i").join(c.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj")), "j").where("cluster = cj")
-    sums = c.join(within.groupBy("i").agg(F.sum("d").alias("s")), F.col("series_id") == F.col("i"), "left").select("cluster", "series_id", F.coalesce("s", F.lit(0.0)).alias("s"))
+    own = within.groupBy("cluster", F.col("i").alias("series_id")).agg(F.sum("d").alias("s"))
+    sums = c.join(own, ["cluster", "series_id"], "left").select("cluster", "series_id", F.coalesce("s", F.lit(0.0)).alias("s"))
     best = sums.groupBy("cluster").agg(F.min(F.struct("s", "series_id")).alias("b"))
     return best.select("cluster", F.col("b.series_id").alias("series_id"))
 
 
+def medoids_of(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, medoid) from BlockMatrix.by_cluster(): the member with the least sum of distances to its own cluster, smallest id on ties; a single member is its own."""
+    own = labels.select("series_id", "cluster").join(sums.where("cluster = other").select(F.col("i").alias("series_id"), "s"), "series_id", "left")
+    best = own.groupBy("cluster").agg(F.min(F.struct(F.coalesce("s", F.lit(0.0)).alias("s"), "series_id")).alias("b"))
+    return best.select("cluster", F.col("b.series_id").alias("medoid"))
+
+
 def pam(members: DataFrame, d: DataFrame) -> DataFrame:
     return medoids(d, members).join(members.select("series_id", "values"), "series_id")
 
@@ -121,13 +135,17 @@ def shape(members: DataFrame, centroids: DataFrame | None = None, znorm: bool =
     def gram(batches):
         sums: dict = {}
         for pdf in batches:
-            for k, i, x, z in zip(pdf["cluster"], pdf["series_id"], pdf["values"], pdf["z"], strict=True):
-                x, z = np.asarray(x, float), np.asarray(z, float)
-                a = K.sbd_shift(z, x, znorm)[1] if z.any() else x
-                sd = a.std(ddof=1) if len(a) > 1 else 0
-                y = (a - a.mean()) / sd if sd > 0 else np.zeros_like(a)
-                g, low, head = sums.get(k, (0, np.inf, None))
-                sums[k] = (g + np.outer(y, y), *((i, a) if i < low else (low, head)))
+            ids, series = pdf["series_id"].to_numpy(), pdf["values"].tolist()
+            for k, own in pdf.groupby("cluster").indices.items():
+                z = np.asarray(pdf["z"].iloc[own[0]], float)
+                for rows in K.by_length([series[i] for i in own]).values():
+                    at = own[rows]
+                    x = K.dense([series[i] for i in at])
+                    moved = K.sbd_shifts(z, x, znorm)[1] if z.any() else x
+                    y = K.zscores(moved)
+                    g, low, head = sums.get(k, (0, np.inf, None))
+                    first = ids[at].argmin()
+                    sums[k] = (g + y.T @ y, *((ids[at][first], moved[first]) if ids[at][first] < low else (low, head)))
         if sums:
             yield pd.DataFrame({"cluster": list(sums), "first": [int(v[1]) for v in sums.values()], "head": [v[2].tolist() for v in sums.values()], "gram": [v[0].ravel().tolist() for v in sums.values()]})
 
@@ -177,6 +195,25 @@ def lbfgs_steps(x: np.ndarray, iterations: int = 20, memory: int = 8, tolerance:
     return x
 
 
+def sdtw_gradients(members: DataFrame, points: dict[int, np.ndarray], gamma: float) -> dict[int, tuple[float, np.ndarray]]:
+    """For each cluster's point the sum of soft-DTW to its members, weighted by w, and its gradient: one job. members: cluster, values, w."""
+
+    def part(batches):
+        sums = {c: [0.0, np.zeros(z.shape)] for c, z in points.items()}
+        for pdf in batches:
+            for c, own in pdf.groupby("cluster"):
+                series, w = own["values"].tolist(), own["w"].to_numpy()
+                for at in K.by_length(series).values():
+                    v, g = K.sdtw_gradients(points[c], K.dense([series[k] for k in at]), gamma)
+                    sums[c][0] += float(w[at] @ v)
+                    sums[c][1] += np.tensordot(w[at], g, 1)
+        yield pd.DataFrame({"cluster": list(sums), "v": [v for v, _ in sums.values()], "g": [g.ravel().tolist() for _, g in sums.values()]})
+
+    parts = members.where(F.col("cluster").isin(list(points))).mapInPandas(part, "cluster int, v double, g array<double>").collect()  # k rows a task
+    own = {c: [p for p in parts if p["cluster"] == c] for c in points}
+    return {c: (sum(p["v"] for p in own[c]), np.sum([p["g"] for p in own[c]], axis=0).reshape(z.shape)) for c, z in points.items()}
+
+
 def sdtw_centroid(members: DataFrame, centroids: DataFrame, gamma: float = 0.01, weights: DataFrame | None = None, iterations: int = 20) -> DataFrame:
     """Minimises the weighted sum of soft-DTW to the members by L-BFGS. An evaluation is a job that sums values and gradients over the series of all clusters that go on; their
     centroids (k short arrays) stay on the driver, where each minimizer waits for its next value."""
@@ -186,26 +223,11 @@ def sdtw_centroid(members: DataFrame, centroids: DataFrame, gamma: float = 0.01,
     solvers = {c: lbfgs_steps(z.ravel(), iterations) for c, z in start.items()}
     asked, done = {c: next(s).reshape(start[c].shape) for c, s in solvers.items()}, {}
     while asked:
-        now = dict(asked)
-
-        def part(batches, now=now):
-            sums = {c: [0.0, np.zeros(z.shape)] for c, z in now.items()}
-            for pdf in batches:
-                for c, own in pdf.groupby("cluster"):
-                    series, w = own["values"].tolist(), own["w"].to_numpy()
-                    for at in K.by_length(series).values():
-                        v, g = K.sdtw_gradients(now[c], K.dense([series[k] for k in at]), gamma)
-                        sums[c][0] += float(w[at] @ v)
-                        sums[c][1] += np.tensordot(w[at], g, 1)
-            yield pd.DataFrame({"cluster": list(sums), "v": [v for v, _ in sums.values()], "g": [g.ravel().tolist() for _, g in sums.values()]})
-
-        parts = rows.where(F.col("cluster").isin(list(now))).mapInPandas(part, "cluster int, v double, g array<double>").collect()  # k rows a task
-        for c, z in now.items():
-            own = [p for p in parts if p["cluster"] == c]
+        for c, (value, gradient) in sdtw_gradients(rows, asked, gamma).items():
             try:
-                asked[c] = solvers[c].send((sum(p["v"] for p in own), np.sum([p["g"] for p in own], axis=0))).reshape(z.shape)
+                asked[c] = solvers[c].send((value, gradient.ravel())).reshape(start[c].shape)
             except StopIteration as end:
-                done[c] = end.value.reshape(z.shape).tolist()
+                done[c] = end.value.reshape(start[c].shape).tolist()
                 del asked[c]
     rows.unpersist()
     return members.sparkSession.createDataFrame(list(done.items()), centroids.select("cluster", "values").schema)
@@ -214,7 +236,7 @@ def sdtw_centroid(members: DataFrame, centroids: DataFrame, gamma: float = 0.01,
 def prototypes(centroid, members: DataFrame, before: DataFrame, relation=None, **args) -> DataFrame:
     """(cluster, series_id or null, values) by the name of a function, or by a function of members and the centroids before; relation() gives distances to medoids."""
     if centroid in ("pam", "fcmdd"):
-        return medoids(relation(), members).join(members.select("series_id", "values"), "series_id").select("cluster", "series_id", "values")
+        return medoids(relation(), members).join(members.select("cluster", "series_id", "values"), ["cluster", "series_id"]).select("cluster", "series_id", "values")
     if callable(centroid):
         new = centroid(members, before, **args)
     elif centroid in ("mean", "fcm", "median"):

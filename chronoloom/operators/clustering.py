@@ -6,18 +6,20 @@ import json
 from dataclasses import asdict, dataclass, field, replace as _replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronoloom.functions import series as S
 from chronoloom.operators import centroids as C
-from chronoloom.operators import distances as D
+from chronoloom.operators import distances as D, peaks, rules, trees
+from chronoloom.operators.blocks import block_matrix
 from chronoloom.operators.distances import batch_udf, distances, kept, lookup, nearest, pairs_of, symmetric_relation, to_centroids
+from chronoloom.operators.trees import LINKAGES, cut, linkage  # noqa: F401 - the module's public names
 from chronoloom.functions import kernels as K
-from chronoloom.sources.series import SeriesError, check_series, is_multivariate
+from chronoloom.sources.series import SeriesError, is_multivariate, profile
 
 #: A tree, and PAM on a matrix, hold all N x N distances on the driver: up to so many series (800 MB, 32 MB).
 TREE_SERIES, MATRIX_SERIES = 10_000, 2_000
-LINKAGES = ("ward.D", "ward.D2", "single", "complete", "average", "mcquitty", "median", "centroid")
 
 
 @dataclass(frozen=True)
@@ -185,80 +187,133 @@ def initial(series: DataFrame, k: int, seed: int) -> list[int]:
     return [r[0] for r in series.select("series_id").orderBy(F.xxhash64("series_id", F.lit(seed)), "series_id").limit(k).collect()]
 
 
-def _check_k(series: DataFrame, k: int) -> int:
-    n = check_series(series)["n"]
-    if k < 2:
-        raise SeriesError("A clustering has two clusters or more.")
-    if k >= n:
-        raise SeriesError("There must be more series than clusters.")
-    return n
-
-
 def _frame(series: DataFrame, cents: dict) -> DataFrame:
     return series.sparkSession.createDataFrame([(c, i, v) for c, (i, v) in sorted(cents.items())], f"cluster int, series_id long, values {series.schema['values'].dataType.simpleString()}")
 
 
-def partitional(series: DataFrame, k: int, distance: str = "dtw_basic", centroid="pam", control: Partitional = Partitional(), dist_args: dict | None = None, cent_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
-    """Assignment and new centroids by turns until no label changes. Centroids (k arrays) pass through the driver; only those of clusters whose members changed are computed again.
+@dataclass(frozen=True)
+class Run:
+    """One of several clusterings that go on together: k clusters from these series."""
+
+    k: int
+    ids: tuple[int, ...]
+    seed: int = 1
+
+
+def _runs(series: DataFrame, plans: list[tuple[int, int]], init_ids: list[int] | None) -> list[Run]:
+    return [Run(k, tuple(init_ids[:k] if init_ids else initial(series, k, seed)), seed) for k, seed in plans]
+
+
+class _Numbering:
+    """Clusters of all runs in one numbering, from 1: those of a run in a row."""
+
+    def __init__(self, runs: list[Run]):
+        ends = np.cumsum([r.k for r in runs])
+        self.base = (ends - [r.k for r in runs]).tolist()
+        self.run_of = np.repeat(np.arange(len(runs)), [r.k for r in runs])
+        self.runs = runs
+
+    def of(self, run: int) -> range:
+        return range(self.base[run] + 1, self.base[run] + self.runs[run].k + 1)
+
+    def run(self, cluster) -> Column:
+        """The run of a cluster's number, as a column."""
+        return F.element_at(F.array(*[F.lit(int(r)) for r in self.run_of]), F.col(cluster))
 
-    PAM takes its medoids from a distance relation computed once (as a matrix on the driver up to MATRIX_SERIES), or, without precompute, from the
-    pairs within clusters as they come up, each of them once. dtw_lb assigns by bounds and takes medoids by DTW.
+
+def partitional(series: DataFrame, k: int, distance: str = "dtw_basic", centroid="pam", control: Partitional = Partitional(), dist_args: dict | None = None, cent_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None, known: dict | None = None) -> Clustering:
+    """One clustering by partitional_runs()."""
+    return partitional_runs(series, [(k, seed)], distance, centroid, control, dist_args, cent_args, init_ids, known)[0]
+
+
+def partitional_runs(series: DataFrame, plans: list[tuple[int, int]], distance: str = "dtw_basic", centroid="pam", control: Partitional = Partitional(), dist_args: dict | None = None, cent_args: dict | None = None, init_ids: list[int] | None = None, known: dict | None = None) -> list[Clustering]:
+    """A clustering for each (k, seed): assignment and new centroids by turns until no label changes, for all runs in the same jobs; a run that is done drops out.
+
+    The clusters of all runs are numbered in a row, so that prototypes are made for all of them at once; only those of clusters whose members changed are made again.
+    Centroids (short arrays) pass through the driver. PAM takes its medoids from distances computed once (as a matrix on the driver up to MATRIX_SERIES), or, without precompute, from the
+    pairs within clusters as they come up, each of them once whatever the run. dtw_lb assigns by bounds and takes medoids by DTW.
     """
-    n = _check_k(series, k)
+    known = known or profile(series)
     dist_args, cent_args, series = dist_args or {}, cent_args or {}, series.select("series_id", "values")
-    ids = init_ids or initial(series, k, seed)
-    first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(ids)).collect()}
-    cents = {c: (i, first[i]) for c, i in enumerate(ids, 1)}
-    config = {"type": "partitional", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": control, "seed": seed}
+    for k, _ in plans:
+        rules.check(known, "partitional", k, distance, centroid, dist_args.get("window"))
+    runs = _runs(series, plans, init_ids)
+    config = {"type": "partitional", "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": control}
+    configs = [config | {"k": r.k, "seed": r.seed} for r in runs]
     bounded, full, memo = distance == "dtw_lb", None, None
     true = "dtw_basic" if bounded else distance
     if centroid == "pam" and control.precompute and not bounded:
-        full = control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args)
-        if n <= MATRIX_SERIES:
-            return _pam_matrix(series, full, ids, control, config, lookup(distance).diagonal)
-        full = kept(full)
-    old, labels, done, it = None, None, False, 0
+        if known["n"] <= MATRIX_SERIES:
+            ids = np.sort(np.array([r[0] for r in series.select("series_id").collect()]))
+            m = _dense(control.distmat, ids) if control.distmat is not None else block_matrix(series, distance, known=known, **dist_args).to_numpy(ids)
+            return [_pam_matrix(series, m, ids, r, control, c, lookup(distance).diagonal) for r, c in zip(runs, configs, strict=True)]
+        full = kept(control.distmat if control.distmat is not None else symmetric_relation(series, distance, known=known, **dist_args))
+    number = _Numbering(runs)
+    first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(sorted({i for r in runs for i in r.ids}))).collect()}
+    cents = {g: (i, first[i]) for n, r in enumerate(runs) for g, i in zip(number.of(n), r.ids, strict=True)}
+    live, found, old, labels, it = set(range(len(runs))), {}, None, None, 0
+
+    def result(run: int, done: bool) -> Clustering:
+        own = labels.where(F.col("run") == run).select("series_id", (F.col("cluster") - number.base[run]).alias("cluster"), "d")
+        return Clustering(configs[run], own, _frame(series, {g - number.base[run]: cents[g] for g in number.of(run)}), it, done)
+
     for it in range(1, control.iterations + 1):
-        frame = _frame(series, cents)
+        now = {g: v for g, v in cents.items() if number.run_of[g - 1] in live}
+        frame = _frame(series, now)
         if full is not None:
-            near = full.join(F.broadcast(frame.select(F.col("series_id").alias("j"), "cluster")), "j").select(F.col("i").alias("series_id"), "cluster", "d")
-            d = near if lookup(distance).diagonal else near.where(~F.col("series_id").isin([i for i, _ in cents.values()])).unionByName(frame.select("series_id", "cluster", F.lit(0.0).alias("d")))
-            labels = kept(assign(d))
+            near = full.where("i != j" if not lookup(distance).diagonal else "true").join(F.broadcast(frame.select(F.col("series_id").alias("j"), "cluster")), "j").select(F.col("i").alias("series_id"), "cluster", "d")
+            # A medoid stays with itself, whatever else is at distance 0.
+            d = near if lookup(distance).diagonal else near.unionByName(frame.select("series_id", "cluster", F.lit(-1.0).alias("d")))
         elif bounded:
-            best = D.dtw_lb(series, frame.select(F.col("cluster").cast("long").alias("series_id"), "values"), **dist_args)
-            labels = kept(best.select(F.col("i").alias("series_id"), F.col("j").cast("int").alias("cluster"), "d"))
+            parts = [D.dtw_lb(series, frame.where(F.col("cluster").isin(list(number.of(r)))).select(F.col("cluster").cast("long").alias("series_id"), "values"), check=False, **dist_args) for r in sorted(live)]
+            d = parts[0]
+            for p in parts[1:]:
+                d = d.unionByName(p)
+            d = d.select(F.col("i").alias("series_id"), F.col("j").cast("int").alias("cluster"), "d")
         else:
-            labels = kept(assign(to_centroids(series, frame, distance, **dist_args)))
+            d = to_centroids(series, frame, distance, check=False, **dist_args)
+        best = d.withColumn("run", number.run("cluster")).groupBy("run", "series_id").agg(F.min(F.struct("d", "cluster")).alias("b"))
+        labels = kept(best.select("run", "series_id", "b.cluster", F.greatest("b.d", F.lit(0.0)).alias("d") if full is not None and not lookup(distance).diagonal else F.col("b.d")))
         changed = None
         if old is not None:
-            moved = labels.join(old.select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o")
-            changed = [r[0] for r in moved.select(F.explode(F.array("cluster", "o"))).distinct().collect()]  # of k clusters
-            if not changed:
-                done = True
+            moved = labels.join(old.select("run", "series_id", F.col("cluster").alias("o")), ["run", "series_id"]).where("cluster != o")
+            changed = {r[0] for r in moved.select(F.explode(F.array("cluster", "o"))).distinct().collect()}  # of all runs' clusters
+            for run in sorted(live - {int(number.run_of[g - 1]) for g in changed}):
+                found[run] = result(run, True)
+                live.discard(run)
+            if not live:
                 break
         old = labels
-        members = series.join(labels.select("series_id", "cluster"), "series_id")
-        members = members if changed is None else members.where(F.col("cluster").isin(changed))
+        wanted = changed if changed is not None else set(now)
+        members = series.join(labels.where(F.col("cluster").isin(sorted(wanted))).select("series_id", "cluster"), "series_id")
         if centroid == "pam" and full is None:
             a, b = (members.select(F.col("series_id").alias(c), "cluster") for c in "ij")
-            memo = kept(D.memoised(memo, a.join(b, "cluster").where("i > j").select("i", "j"), series, true, **dist_args))
+            memo = kept(D.memoised(memo, a.join(b, "cluster").where("i > j").select("i", "j").distinct(), series, true, **dist_args))
         new = C.prototypes(centroid, members, frame, lambda: full if full is not None else D.mirrored(memo), **cent_args)  # noqa: B023
-        cents |= {r["cluster"]: (r["series_id"], r["values"]) for r in new.collect()}
-        empty = set(range(1, k + 1)) - {r[0] for r in labels.select("cluster").distinct().collect()}
-        for c in sorted(empty):  # an empty cluster starts again at the series farthest from its prototype that is none yet
-            far = labels.where(~F.col("series_id").isin([i for i, _ in cents.values() if i is not None])).orderBy(F.desc("d"), "series_id").limit(1)
-            pick = far.join(series, "series_id").first()
-            cents[c] = (pick["series_id"], pick["values"])
-    return Clustering(config, labels, _frame(series, cents), it, done)
+        made = {r["cluster"]: (r["series_id"], r["values"]) for r in new.collect()}
+        if callable(centroid):
+            rules.fits(distance, known, rules.profile_of([v for _, v in made.values()]))
+        cents |= made
+        full_of = {r[0] for r in labels.select("cluster").distinct().collect()}
+        for g in sorted(g for g in cents if number.run_of[g - 1] in live and g not in full_of):  # an empty cluster starts again at the series farthest from its prototype that is none yet
+            run = int(number.run_of[g - 1])
+            taken = [cents[o][0] for o in number.of(run) if cents[o][0] is not None]
+            pick = labels.where((F.col("run") == run) & ~F.col("series_id").isin(taken)).orderBy(F.desc("d"), "series_id").limit(1).join(series, "series_id").first()
+            cents[g] = (pick["series_id"], pick["values"])
+    return [found[n] if n in found else result(n, False) for n in range(len(runs))]
+
+
+def _dense(relation: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """A relation (i, j, d) on the driver."""
+    rows = relation.toPandas()
+    m = np.zeros((len(ids), len(ids)))
+    m[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["d"]
+    return m
 
 
-def _pam_matrix(series: DataFrame, relation: DataFrame, ids: list[int], control: Partitional, config: dict, diagonal: bool) -> Clustering:
-    """The iterations of PAM on a matrix of all distances: as in partitional(), with the smallest id on ties."""
-    rows = relation.toPandas()
-    names = np.sort(np.array([r[0] for r in series.select("series_id").collect()]))
-    m = np.zeros((len(names), len(names)))
-    m[np.searchsorted(names, rows["i"]), np.searchsorted(names, rows["j"])] = rows["d"]
-    at, old, done, it = np.searchsorted(names, ids), None, False, 0
+def _pam_matrix(series: DataFrame, m: np.ndarray, names: np.ndarray, run: Run, control: Partitional, config: dict, diagonal: bool) -> Clustering:
+    """The iterations of PAM on a matrix of all distances: as in partitional_runs(), with the smallest id on ties."""
+    at, old, done, it = np.searchsorted(names, run.ids), None, False, 0
     for it in range(1, control.iterations + 1):
         d = m[:, at].copy()
         if not diagonal:
@@ -283,171 +338,180 @@ def _pam_matrix(series: DataFrame, relation: DataFrame, ids: list[int], control:
     return Clustering(config, labels, _frame(series, cents), it, done)
 
 
-def fuzzy(series: DataFrame, k: int, distance: str = "L2", centroid: str = "fcm", control: Fuzzy = Fuzzy(), dist_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None) -> Clustering:
-    """Fuzzy c-means, or c-medoids with fcmdd, from the memberships to k first series; stops when the objective moves by less than delta (fcmdd: no label changes)."""
-    _check_k(series, k)
+def fuzzy(series: DataFrame, k: int, distance: str = "L2", centroid: str = "fcm", control: Fuzzy = Fuzzy(), dist_args: dict | None = None, seed: int = 1, init_ids: list[int] | None = None, known: dict | None = None, cent_args: dict | None = None) -> Clustering:
+    """One clustering by fuzzy_runs()."""
+    return fuzzy_runs(series, [(k, seed)], distance, centroid, control, dist_args, init_ids, known, cent_args)[0]
+
+
+def _soft_sums(series: DataFrame, cents: dict, number: _Numbering, live: list[int], method: str, args: dict, fuzziness: float) -> DataFrame:
+    """(cluster, at, s, w, value): of each cluster the sums of u^m x by place and of u^m, and of its run (on its first cluster) the objective: one pass over the series, added up in the tasks first."""
+    dist, points = lookup(method), {r: [np.asarray(cents[g][1], float) for g in number.of(r)] for r in live}
+    args = D.given(D.with_sigma(method, args, series))
+    kernel, prepare, bases = dist.kernel, dist.prepare, number.base
+
+    def sums(batches):
+        total: dict[int, list] = {}
+        for pdf in batches:
+            x = pdf["values"].tolist()
+            flat = K.dense(x).reshape(len(x), -1)
+            for r, own in points.items():
+                d = K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), x, own, np.ones((len(x), len(own)), bool), prepare and (lambda v, other: prepare(v, other, **args)))
+                w = K.memberships(d, fuzziness) ** fuzziness
+                s, n, value = total.get(r, [0, 0, 0])
+                total[r] = [s + w.T @ flat, n + w.sum(0), value + float((w * d * d).sum())]
+        for r, (s, n, value) in total.items():
+            yield pd.DataFrame({"cluster": np.repeat(np.arange(len(n)) + bases[r] + 1, s.shape[1]), "at": np.tile(np.arange(s.shape[1]), len(n)), "s": s.ravel(), "w": np.repeat(n, s.shape[1]), "value": np.r_[value, np.zeros(s.size - 1)]})
+
+    parts = series.select("values").mapInPandas(sums, "cluster int, at int, s double, w double, value double")
+    return parts.groupBy("cluster", "at").agg(F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum("value").alias("value"))
+
+
+def fuzzy_runs(series: DataFrame, plans: list[tuple[int, int]], distance: str = "L2", centroid="fcm", control: Fuzzy = Fuzzy(), dist_args: dict | None = None, init_ids: list[int] | None = None, known: dict | None = None, cent_args: dict | None = None) -> list[Clustering]:
+    """Fuzzy c-means for each (k, seed), or c-medoids with fcmdd, from the memberships to k first series; a run stops when its objective moves by less than delta (fcmdd and functions: no label changes).
+
+    An iteration of c-means is one job for all runs that go on: distances, memberships, objective and weighted sums in one pass over the series. A function makes
+    prototypes of memberships (series_id, cluster, u, d), series and the prototypes before."""
+    known = known or profile(series)
     dist_args, series = dist_args or {}, series.select("series_id", "values")
-    ids = init_ids or initial(series, k, seed)
-    first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(ids)).collect()}
-    cents = {c: (i, first[i]) for c, i in enumerate(ids, 1)}
-    full = kept(control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args)) if centroid == "fcmdd" else None
-    objective, old, done, u, it = None, None, False, None, 0
-    for it in range(1, control.iterations + 1):
-        u = kept(memberships(to_centroids(series, _frame(series, cents), distance, **dist_args), control.fuzziness))
+    for k, _ in plans:
+        rules.check(known, "fuzzy", k, distance, centroid, dist_args.get("window"))
+    runs = _runs(series, plans, init_ids)
+    number = _Numbering(runs)
+    first = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(sorted({i for r in runs for i in r.ids}))).collect()}
+    cents = {g: (i, first[i]) for n, r in enumerate(runs) for g, i in zip(number.of(n), r.ids, strict=True)}
+    ends: dict[int, tuple[int, bool]] = {}
+    live = list(range(len(runs)))
+    if centroid == "fcm":
+        objective, shape = {}, np.asarray(first[runs[0].ids[0]], float).shape
+        for it in range(1, control.iterations + 1):
+            rows = _soft_sums(series, cents, number, live, distance, dist_args, control.fuzziness).toPandas().sort_values(["cluster", "at"])
+            for r in list(live):
+                own = rows[rows["cluster"].isin(number.of(r))]
+                value = float(own["value"].sum())
+                ends[r] = it, r in objective and abs(value - objective[r]) < control.delta
+                if ends[r][1]:
+                    live.remove(r)
+                    continue
+                objective[r] = value
+                if it < control.iterations:
+                    points = (own["s"].to_numpy() / own["w"].to_numpy()).reshape(runs[r].k, *shape)
+                    cents |= {g: (None, p.tolist()) for g, p in zip(number.of(r), points, strict=True)}
+            if not live:
+                break
+    else:
+        full, old = None, {}
         if centroid == "fcmdd":
-            labels = assign(u.select("series_id", "cluster", (-F.col("u")).alias("d")))
-            done = old is not None and not labels.join(old.select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o").limit(1).count()
-            old = labels
-            new = C.fcmdd(u, full.unionByName(series.select(F.col("series_id").alias("i"), F.col("series_id").alias("j"), F.lit(0.0).alias("d"))), control.fuzziness).join(series, "series_id")
-        else:
-            value = u.agg(F.sum(F.pow("u", F.lit(control.fuzziness)) * F.col("d") * F.col("d"))).first()[0]
-            done = objective is not None and abs(value - objective) < control.delta
-            objective = value
-            new = C.fcm(u, series, control.fuzziness).withColumn("series_id", F.lit(None).cast("long"))
-        if done:
-            break
-        cents = {r["cluster"]: (r["series_id"], r["values"]) for r in new.select("cluster", "series_id", "values").collect()}
-    labels = assign(u.select("series_id", "cluster", "d"))
-    return Clustering({"type": "fuzzy", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "control": control, "seed": seed}, labels, _frame(series, cents), it, done, membership=u.select("series_id", "cluster", "u"))
-
-
-def linkage(d: np.ndarray, method: str = "average", members: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """Agglomeration by Lance-Williams updates: (a, b, height); observations are -1..-n, merges 1.. as in base R."""
-    if method not in LINKAGES:
-        raise SeriesError(f"Unknown linkage '{method}'.")
-    n = len(d)
-    d = d.astype(float).copy()
-    if method == "ward.D2":
-        d = d * d
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n) if members is None else np.asarray(members, float).copy()
-    name, live, out = [-i - 1 for i in range(n)], np.ones(n, bool), []
-    for step in range(1, n):
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        h = d[i, j]
-        others = np.flatnonzero(live & (np.arange(n) != i) & (np.arange(n) != j))
-        di, dj, si, sj, sk = d[i, others], d[j, others], size[i], size[j], size[others]
-        new = {
-            "single": lambda: np.minimum(di, dj),
-            "complete": lambda: np.maximum(di, dj),
-            "average": lambda: (si * di + sj * dj) / (si + sj),
-            "mcquitty": lambda: (di + dj) / 2,
-            "median": lambda: (di + dj) / 2 - h / 4,
-            "centroid": lambda: (si * di + sj * dj) / (si + sj) - si * sj * h / (si + sj) ** 2,
-            "ward.D": lambda: ((si + sk) * di + (sj + sk) * dj - sk * h) / (si + sj + sk),
-        }["ward.D" if method == "ward.D2" else method]()
-        pair = sorted((name[i], name[j]), key=lambda v: (v > 0, abs(v)))
-        out.append((pair[0], pair[1], float(np.sqrt(h) if method == "ward.D2" else h)))
-        d[i, others] = d[others, i] = new
-        d[j, :] = d[:, j] = np.inf
-        live[j], size[i], name[i] = False, si + sj, step
+            own = control.distmat if control.distmat is not None else symmetric_relation(series, distance, known=known, **dist_args)
+            full = kept(own.where("i != j").unionByName(series.select(F.col("series_id").alias("i"), F.col("series_id").alias("j"), F.lit(0.0).alias("d"))))
+        for r in live:
+            for it in range(1, control.iterations + 1):
+                frame = _frame(series, {g: cents[g] for g in number.of(r)})
+                u = kept(memberships(to_centroids(series, frame, distance, check=False, **dist_args), control.fuzziness))
+                labels = assign(u.select("series_id", "cluster", (-F.col("u")).alias("d")))
+                done = r in old and not labels.join(old[r].select("series_id", F.col("cluster").alias("o")), "series_id").where("cluster != o").limit(1).count()
+                ends[r], old[r] = (it, done), labels
+                if done:
+                    break
+                if it < control.iterations:
+                    new = C.fcmdd(u, full, control.fuzziness).join(series, "series_id") if full is not None else centroid(u, series, frame, **(cent_args or {})).withColumn("series_id", F.lit(None).cast("long"))
+                    made = {x["cluster"]: (x["series_id"], x["values"]) for x in new.select("cluster", "series_id", "values").collect()}
+                    rules.fits(distance, known, rules.profile_of([v for _, v in made.values()]))
+                    cents |= made
+    out = []
+    for r, run in enumerate(runs):
+        frame = _frame(series, {g - number.base[r]: cents[g] for g in number.of(r)})
+        u = kept(memberships(to_centroids(series, frame, distance, check=False, **dist_args), control.fuzziness))
+        config = {"type": "fuzzy", "k": run.k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args or {}, "control": control, "seed": run.seed}
+        out.append(Clustering(config, assign(u.select("series_id", "cluster", "d")), frame, *ends[r], membership=u.select("series_id", "cluster", "u")))
     return out
 
 
-def cut(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
-    """Labels 1..k of a tree cut into k groups, numbered by first appearance."""
-    groups = {-i - 1: [i] for i in range(n)}
-    for step, (a, b, _) in enumerate(merges[: n - k], 1):
-        groups[step] = groups.pop(a) + groups.pop(b)
-    of = np.empty(n, int)
-    for g, rows in groups.items():
-        of[rows] = min(rows)
-    return np.unique(of, return_inverse=True)[1] + 1
-
-
-def hierarchical(series: DataFrame, k: int, distance: str = "dtw_basic", control: Hierarchical = Hierarchical(), dist_args: dict | None = None, centroid=None, cent_args: dict | None = None) -> Clustering | dict[str, Clustering]:
-    """Distances on the cluster, the tree on the driver: a dendrogram needs all N(N-1)/2 distances at once and is limited to TREE_SERIES."""
-    n = _check_k(series, k)
-    if n > TREE_SERIES:
-        raise SeriesError(f"A tree holds the distances of at most {TREE_SERIES} series; there are {n}.")
+def hierarchical(series: DataFrame, k: int, distance: str = "dtw_basic", control: Hierarchical = Hierarchical(), dist_args: dict | None = None, centroid=None, cent_args: dict | None = None, known: dict | None = None) -> Clustering | dict[str, Clustering]:
+    """Distances on the cluster as packed blocks, the tree on the driver, up to TREE_SERIES series; beyond that single linkage alone, by its spanning tree in Spark (extra["tree"], without merges)."""
+    known = known or profile(series)
     dist_args, cent_args, centroid = dist_args or {}, cent_args or {}, centroid or "pam"
-    ids = [r[0] for r in series.select("series_id").orderBy("series_id").collect()]
-    full = kept(control.distmat if control.distmat is not None else symmetric_relation(series, distance, **dist_args))
-    m = np.zeros((n, n))
-    rows = full.where("i > j").toPandas()
-    m[np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])] = rows["d"]
-    m += m.T
+    rules.check(known, "hierarchical", k, distance, centroid, dist_args.get("window"))
+    n, series = known["n"], series.select("series_id", "values")
+    if n > TREE_SERIES and control.method != "single":
+        raise SeriesError(f"A tree holds the distances of at most {TREE_SERIES} series, but for single linkage; there are {n}.")
+    if n > TREE_SERIES:
+        return single_linkage(series, k, distance, control, dist_args, centroid, cent_args, known)
+    ids = np.sort(np.array([r[0] for r in series.select("series_id").collect()]))
+    if control.distmat is not None:
+        m = np.tril(_dense(control.distmat.where("i > j"), ids), -1)
+        m += m.T
+    else:
+        m = block_matrix(series, distance, known=known, **dist_args).to_numpy(ids)
+        if not lookup(distance).symmetric({**dist_args, "equal_lengths": known["shortest"] == known["longest"]}):
+            m = np.tril(m, -1)
+            m += m.T
+        np.fill_diagonal(m, 0)
     found = {}
     for method in LINKAGES if control.method == "all" else (control.method,):
         merges = method(m) if callable(method) else linkage(m, method, None if control.members is None else np.array(control.members))
         of = cut(merges, n, k)
-        labels = series.sparkSession.createDataFrame(list(zip(ids, of.tolist(), strict=True)), "series_id long, cluster int")
-        members = series.select("series_id", "values").join(labels, "series_id")
-        first = members.groupBy("cluster").agg(F.min_by("values", "series_id").alias("values"))
-        cents = kept(C.prototypes(centroid, members, first, lambda: full, **cent_args))
+        config = {"type": "hierarchical", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": _replace(control, method=method) if isinstance(method, str) else control}
+        labels = series.sparkSession.createDataFrame(list(zip(ids.tolist(), of.tolist(), strict=True)), "series_id long, cluster int")
         if centroid == "pam":
-            near = full.join(F.broadcast(cents.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj"))), "j").join(F.broadcast(labels.withColumnRenamed("series_id", "i")), "i").where("cluster = cj").select(F.col("i").alias("series_id"), "d")
+            medoid = [own[m[np.ix_(own, own)].sum(1).argmin()] for own in (np.flatnonzero(of == c) for c in range(1, k + 1))]
+            near = series.sparkSession.createDataFrame(list(zip(ids.tolist(), m[np.arange(n), np.array(medoid)[of - 1]].tolist(), strict=True)), "series_id long, d double")
+            values = {r["series_id"]: r["values"] for r in series.where(F.col("series_id").isin(ids[medoid].tolist())).collect()}
+            cents = _frame(series, {c: (int(ids[i]), values[int(ids[i])]) for c, i in enumerate(medoid, 1)})
+            found[method] = Clustering(config, labels.join(near, "series_id"), cents, merges=merges)
         else:
-            near = to_centroids(series, cents, distance, **dist_args).join(labels, ["series_id", "cluster"]).select("series_id", "d")
-        config = {"type": "hierarchical", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": _replace(control, method=method) if isinstance(method, str) else control}
-        found[method] = Clustering(config, labels.join(near, "series_id", "left").withColumn("d", F.coalesce("d", F.lit(0.0))), cents, merges=merges)
+            found[method] = _with_prototypes(series, labels, config, merges)
     return found if control.method == "all" else next(iter(found.values()))
 
 
-def tadpole(series: DataFrame, k: int, control: Tadpole, centroid=None, cent_args: dict | None = None) -> Clustering:
-    """Density peaks under DTW with pruning by bounds: distances are computed only for pairs whose bounds leave the density or the nearest denser neighbour open."""
-    n = _check_k(series, k)
-    S.check_envelope_window(control.window, check_series(series, ragged=False)["longest"])
-    w, dc = control.window, control.dc
+def _with_prototypes(series: DataFrame, labels: DataFrame, config: dict, merges: list, extra: dict | None = None) -> Clustering:
+    """A clustering of given labels with prototypes made of them."""
+    members = series.join(labels, "series_id")
+    first = members.groupBy("cluster").agg(F.min_by("values", "series_id").alias("values"))
+    relation = lambda: symmetric_relation(series, config["distance"], **config["dist_args"])
+    cents = kept(C.prototypes(config["centroid"], members, first, relation, **config["cent_args"]))
+    near = to_centroids(series, cents, config["distance"], **config["dist_args"]).join(labels, ["series_id", "cluster"]).select("series_id", "d")
+    return Clustering(config, labels.join(near, "series_id"), cents, merges=merges, extra=extra or {})
+
+
+def single_linkage(series: DataFrame, k: int, distance: str = "dtw_basic", control: Hierarchical = Hierarchical("single"), dist_args: dict | None = None, centroid="pam", cent_args: dict | None = None, known: dict | None = None) -> Clustering:
+    """Single linkage of any number of series: the minimum spanning tree (extra["tree"]: i, j, d) without its k - 1 longest edges, all in Spark. Medoids come from sums within blocks."""
+    known = known or profile(series)
+    dist_args, cent_args = dist_args or {}, cent_args or {}
+    rules.check(known, "hierarchical", k, distance, centroid, dist_args.get("window"))
+    series = series.select("series_id", "values")
+    matrix = block_matrix(series, distance, known=known, **dist_args).kept()
+    tree = kept(trees.spanning_tree(matrix, series.select("series_id")))
+    labels = kept(trees.single_labels(tree, series.select("series_id"), k))
+    config = {"type": "hierarchical", "k": k, "distance": distance, "centroid": centroid, "dist_args": dist_args, "cent_args": cent_args, "control": control}
+    if centroid != "pam":
+        return _with_prototypes(series, labels, config, [], {"tree": tree})
+    medoid = labels.join(C.medoids_of(matrix.by_cluster(labels), labels), ["cluster"]).where(F.col("series_id") == F.col("medoid")).select("cluster", "series_id").join(series, "series_id")
+    cents = kept(medoid.select("cluster", "series_id", "values"))
+    d = to_centroids(series, cents, distance, check=False, **dist_args).join(labels, ["series_id", "cluster"])
+    return Clustering(config, d.select("series_id", "cluster", "d"), cents, extra={"tree": tree})
+
+
+def tadpole(series: DataFrame, k: int, control: Tadpole, centroid=None, cent_args: dict | None = None, known: dict | None = None) -> Clustering:
+    """Density peaks under DTW with pruning by bounds (peaks.py), labels by the nearest denser series."""
+    known = known or profile(series)
+    rules.check(known, "tadpole", k, "dtw_basic", centroid or "pam", control.window)
+    n, args = known["n"], {"window": control.window, "norm": "L2"}
     values = series.select("series_id", "values")
-    low = distances(values, method=control.lb, check=False, window=w, norm="L2", force_symmetry=True).withColumnRenamed("d", "lb")
-    high = distances(values, method="L2", check=False).withColumnRenamed("d", "ub")
-    bounds = kept(low.join(high, ["i", "j"]))
-    unsure = (F.col("lb") <= dc) & (F.col("ub") > dc)
-
-    def true_distance(open_pairs: DataFrame) -> DataFrame:
-        rows = open_pairs.select("i", "j").join(values.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")), "i").join(values.select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), "j")
-        return kept(rows.select("i", "j", D.pair_distance("dtw_basic", window=w, norm="L2", step="symmetric1").alias("dtw")))
-
-    exact = true_distance(bounds.where(unsure))
-    pairs = kept(bounds.join(exact, ["i", "j"], "left").select("i", "j", "lb", "ub", "dtw", F.when(F.col("lb") > dc, 3).when(unsure, F.when(F.col("dtw") <= dc, 0).otherwise(1)).when(F.col("ub") < dc, 2).otherwise(4).alias("flag")))
-    both = pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "lb", "ub", "dtw", "flag"))
-    rho = series.select("series_id").join(both.where("flag IN (0, 2)").groupBy(F.col("i").alias("series_id")).agg(F.count(F.lit(1)).alias("rho")), "series_id", "left").select("series_id", F.coalesce("rho", F.lit(0)).cast("double").alias("rho"))
-    low, high = rho.agg(F.min("rho"), F.max("rho")).first()
-    if high == 0:
-        raise SeriesError("No series has neighbours within dc; choose a larger one.")
-    scaled = kept(rho.select("series_id", F.lit(1.0).alias("rho") if high == low else ((F.col("rho") - low) / (high - low)).alias("rho")))
-
-    def ahead(order: DataFrame) -> DataFrame:
-        """Pairs (i, j) with j before i; order has (series_id, pos)."""
-        p = order.select("series_id", "pos")
-        return both.join(p.select(F.col("series_id").alias("i"), F.col("pos").alias("pi")), "i").join(p.select(F.col("series_id").alias("j"), F.col("pos").alias("pj")), "j").where("pj < pi")
-
-    dense = W.orderBy(F.desc("rho"), "series_id")  # N rows of two numbers: the result's size
-    order = kept(scaled.withColumn("pos", F.row_number().over(dense)))
-    ub = ahead(order).groupBy(F.col("i").alias("series_id")).agg(F.min(F.coalesce("dtw", "ub")).alias("delta"))
-    most = ub.agg(F.max("delta")).first()[0]
-    order = order.join(ub, "series_id", "left").withColumn("delta", F.coalesce("delta", F.lit(most)))
-    order = kept(order.select("series_id", "rho", "delta", F.row_number().over(W.orderBy(F.desc(F.col("rho") * F.col("delta")), "series_id")).alias("pos")))
-    open_pairs = ahead(order).join(order.select(F.col("series_id").alias("i"), F.col("delta").alias("bound")), "i")
-    need = open_pairs.where(F.col("dtw").isNull() & (F.col("lb") <= F.col("bound"))).select("i", "j")
-    more = true_distance(need).withColumnRenamed("dtw", "more")
-    near = open_pairs.join(more, ["i", "j"], "left").select("i", "pj", "j", F.coalesce("dtw", "more", "ub").alias("d")).groupBy(F.col("i").alias("series_id")).agg(F.min(F.struct("d", "pj", "j")).alias("b")).select("series_id", F.col("b.d").alias("d"), F.col("b.j").alias("nn"))
-    found = order.join(near, "series_id", "left").toPandas().sort_values("pos")  # N rows of numbers
-    delta = found["d"].fillna(found["d"].max()).to_numpy()
-    spread = delta.max() - delta.min()
-    delta = (delta - delta.min()) / spread if spread > 0 else np.ones(n)
-    score = found["rho"].to_numpy() * delta
-    top = sorted(found["series_id"].to_numpy()[np.argsort(-score, kind="stable")[:k]].tolist())
-    label = {s: c for c, s in enumerate(top, 1)}
-    for s, nn in zip(found["series_id"], found["nn"], strict=True):
-        if s not in label:
-            label[s] = label.get(int(nn)) if nn == nn else None
-    if None in label.values():  # the first in order without being a centroid goes to the nearest one
-        lost = [s for s, c in label.items() if c is None]
-        d = nearest(distances(series.where(F.col("series_id").isin(lost)), series.where(F.col("series_id").isin(top)), "dtw_basic", window=w, norm="L2", step="symmetric1", check=False))
-        label |= {r["i"]: label[r["j"]] for r in d.collect()}
-    labels = series.sparkSession.createDataFrame([(int(s), int(c)) for s, c in label.items()], "series_id long, cluster int")
-    if centroid is None:
-        cents = series.where(F.col("series_id").isin(top)).select("series_id", "values").join(labels, "series_id").select("cluster", "series_id", "values")
+    found = peaks.search(values, known, control.dc, control.window, control.lb)
+    top = [r[0] for r in found.rows.orderBy(F.desc("score"), F.desc("standing"), "series_id").limit(k).collect()]
+    labels, lost = peaks.inherit(found.rows, sorted(top))
+    if lost is not None:  # the first in order without being a centroid, and what leads to it, goes to the nearest one
+        near = D.nearest(distances(values.join(lost, "series_id"), values.where(F.col("series_id").isin(top)), "dtw_basic", step="symmetric1", check=False, **args))
+        labels = labels.unionByName(near.select(F.col("i").alias("series_id"), F.array_position(F.array(*[F.lit(t) for t in sorted(top)]), F.col("j")).cast("int").alias("cluster")))
+    labels = kept(labels)
+    if centroid is None or centroid == "pam":
+        cents = values.where(F.col("series_id").isin(top)).join(labels, "series_id").select("cluster", "series_id", "values")
     else:
-        members = series.select("series_id", "values").join(labels, "series_id")
-        cents = C.prototypes(centroid, members, members.where(F.col("series_id").isin(top)).select("cluster", "values"), lambda: symmetric_relation(values, "dtw_basic", window=w, norm="L2"), **(cent_args or {}))
-    computed = exact.count() + more.count()
-    args = {"window": w, "norm": "L2"}
-    d = to_centroids(series, cents, "dtw_basic", **args).join(labels, ["series_id", "cluster"])
+        members = values.join(labels, "series_id")
+        cents = C.prototypes(centroid, members, members.where(F.col("series_id").isin(top)).select("cluster", "values"), lambda: symmetric_relation(values, "dtw_basic", **args), **(cent_args or {}))
+    d = to_centroids(values, cents, "dtw_basic", **args).join(labels, ["series_id", "cluster"])
     config = {"type": "tadpole", "k": k, "distance": "dtw_basic", "centroid": centroid, "dist_args": args, "cent_args": cent_args or {}, "control": control}
-    return Clustering(config, labels.join(d.select("series_id", "d"), "series_id"), cents, extra={"percent": 100 * computed / (n * (n - 1) / 2), "rho": rho})
+    return Clustering(config, d.select("series_id", "cluster", "d"), cents, extra={"percent": 100 * found.computed / (n * (n - 1) / 2), "rho": found.rows.select("series_id", F.col("neighbours").cast("double").alias("rho"))})
 
 
 def cluster(
@@ -456,9 +520,6 @@ def cluster(
 ) -> Clustering | list[Clustering]:
     """The front door: one clustering, or a list for several k or repetitions. preproc_args, dist_args and cent_args go to the function of that kind; args is
     short for those of the distance, of which barycenter averaging takes window, norm and step, and the soft-DTW prototype gamma, unless cent_args has them."""
-    if isinstance(k, (list, tuple)):
-        runs = [cluster(series, type, x, preproc, distance, centroid, control, args, seed, init_ids, preproc_args, dist_args, cent_args) for x in k]
-        return [c for found in runs for c in (found if isinstance(found, list) else [found])]
     if type not in KINDS:
         raise SeriesError(f"No clustering is known as '{type}'.")
     if preproc is None and centroid == "shape":
@@ -466,21 +527,22 @@ def cluster(
     dist_args = {**(args or {}), **(dist_args or {})}
     shared = {"dba": ("window", "norm", "step"), "sdtw_cent": ("gamma",)}.get(centroid if isinstance(centroid, str) else "", ())
     cent_args = {a: dist_args[a] for a in shared if a in dist_args} | (cent_args or {})
-    ready = preprocess(series, preproc, **(preproc_args or {})).persist()
-    more = {"preproc": preproc, "preproc_args": preproc_args or {}}
     control = control or (KINDS[type]() if type != "tadpole" else None)
     if not isinstance(control, KINDS[type]):
         raise SeriesError(f"A {type} clustering takes a control of its own, {KINDS[type].__name__}.")
-    distance = distance or "dtw_basic"
+    ready = preprocess(series, preproc, **(preproc_args or {})).persist()
+    more = {"preproc": preproc, "preproc_args": preproc_args or {}}
+    distance, known, several = distance or "dtw_basic", profile(ready), list(k) if isinstance(k, (list, tuple)) else [k]
     if type == "partitional":
-        found = [partitional(ready, k, distance, centroid or "pam", _replace(control, repetitions=1), dist_args, cent_args, seed + r, init_ids) for r in range(control.repetitions)]
+        plans = [(one, seed + r) for one in several for r in range(control.repetitions)]
+        found = partitional_runs(ready, plans, distance, centroid or "pam", _replace(control, repetitions=1), dist_args, cent_args, init_ids, known)
     elif type == "fuzzy":
-        found = [fuzzy(ready, k, distance, centroid or "fcm", control, dist_args, seed, init_ids)]
+        found = fuzzy_runs(ready, [(one, seed) for one in several], distance, centroid or "fcm", control, dist_args, init_ids, known, cent_args)
     elif type == "hierarchical":
-        trees = hierarchical(ready, k, distance, control, dist_args, centroid, cent_args)
-        found = list(trees.values()) if isinstance(trees, dict) else [trees]
+        trees_of = [hierarchical(ready, one, distance, control, dist_args, centroid, cent_args, known) for one in several]
+        found = [c for t in trees_of for c in (t.values() if isinstance(t, dict) else [t])]
     else:
-        found = [tadpole(ready, k, control, centroid, cent_args)]
+        found = [tadpole(ready, one, control, centroid, cent_args, known) for one in several]
     found = [_replace(c, config=c.config | more) for c in found]
     return found if len(found) > 1 else found[0]
 

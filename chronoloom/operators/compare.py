@@ -55,15 +55,15 @@ def seed_of(seed: int, config_id: str) -> int:
 
 
 def run_config(series: DataFrame, type: str, config: dict, seed: int, ready: bool = False) -> list[Clustering]:
-    """One row of a grid. Columns named <argument>_preproc, _distance or _centroid go to that function, all others but k to the type's control; ready: series are preprocessed."""
+    """One row of a grid. Columns named <argument>_preproc, _distance or _centroid go to that function, init_ids are the first series (of fewer clusters the first of them), all others but k go to the type's control; ready: series are preprocessed."""
     own: dict = {"preproc": {}, "distance": {}, "centroid": {}, "": {}}
     for a, b in config.items():
-        if a in ("k", "preproc", "distance", "centroid"):
+        if a in ("k", "preproc", "distance", "centroid", "init_ids"):
             continue
         kind = next((s for s in own if s and a.endswith(f"_{s}")), "")
         own[kind][a.removesuffix(f"_{kind}") if kind else a] = b
     control = KINDS[type](**own[""]) if own[""] else None
-    found = cluster(series, type, config["k"], None if ready else config.get("preproc"), config.get("distance"), config.get("centroid"), control, None, seed, None, None if ready else own["preproc"], own["distance"], own["centroid"])
+    found = cluster(series, type, config["k"], None if ready else config.get("preproc"), config.get("distance"), config.get("centroid"), control, None, seed, config.get("init_ids"), None if ready else own["preproc"], own["distance"], own["centroid"])
     return found if isinstance(found, list) else [found]
 
 
@@ -98,7 +98,7 @@ def compare(series: DataFrame, configs: dict[str, list[dict]], score=None, pick=
 
     with ThreadPoolExecutor(parallel) as pool:
         rows = [r for rs in pool.map(run, jobs) for r in rs]
-    table = [{"config_id": n, "type": t} | {a: b for a, b in c.items() if a != "k"} | ({"k": r.config["k"]} if isinstance(r, Clustering) else {"error": str(r)}) | s for n, t, c, r, s in rows]
+    table = [{"config_id": n, "type": t} | {a: b for a, b in c.items() if a not in ("k", "init_ids")} | ({"k": r.config["k"]} if isinstance(r, Clustering) else {"error": str(r)}) | s for n, t, c, r, s in rows]
     out = {"results": table, "scores": {n: s for n, _, _, _, s in rows}}
     if keep:
         out["objects"] = {n: r for n, _, _, r, _ in rows}

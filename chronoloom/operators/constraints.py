@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from chronoloom.operators.clustering import cluster
 from chronoloom.operators.compare import consensus
+from chronoloom.operators.distances import kept
+from chronoloom.operators.graphs import components
 
 DONT_KNOW, CANNOT, MUST = -1, 0, 1
 
@@ -21,6 +23,7 @@ class PairTracker:
         self.edges: dict[int, set] = {DONT_KNOW: set(), CANNOT: set(), MUST: set()}
         self.seen: set[tuple[int, int]] = set()
         self.root = list(range(n + 1))
+        self.own = {k: [k] for k in range(1, n + 1)}
 
     def _find(self, i: int) -> int:
         while self.root[i] != i:
@@ -35,10 +38,12 @@ class PairTracker:
         self.edges[answer].add(pair)
         self.seen.add(pair)
         if answer == MUST:
-            self.root[self._find(i)] = self._find(j)
-            own = [k for k in range(1, self.n + 1) if self._find(k) == self._find(i)]
-            self.seen |= {(a, b) for a in own for b in own if a < b}
-            return len(own) == self.n
+            a, b = sorted((self._find(i), self._find(j)), key=lambda r: len(self.own[r]))
+            if a != b:
+                self.seen |= {(min(x, y), max(x, y)) for x in self.own[a] for y in self.own[b]}
+                self.root[a] = b
+                self.own[b] += self.own.pop(a)
+            return len(self.own[b]) == self.n
         return len(self.edges[answer]) == self.n * (self.n - 1) // 2
 
     def unseen_pair(self) -> tuple[int, int] | None:
@@ -50,6 +55,43 @@ class PairTracker:
                 return pair
 
 
+@dataclass(frozen=True)
+class Closure:
+    """What links imply: members (series_id, component) of must-links, cannot (a, b, a < b) between components, contradictions (i, j): cannot-links within a component."""
+
+    members: DataFrame
+    cannot: DataFrame
+    contradictions: DataFrame
+
+
+def closure(links: DataFrame) -> Closure:
+    """Links (i, j, type) as components: must-links are transitive, and a cannot-link holds between all of two components. No pair is written that wasn't given."""
+    given = links.where(f"type != {DONT_KNOW}").select("i", "j", "type")
+    own = kept(components(given.where(F.col("type") == MUST)))
+    members = given.select(F.explode(F.array("i", "j")).alias("series_id")).distinct().join(own.withColumnRenamed("id", "series_id"), "series_id", "left").select("series_id", F.coalesce("component", "series_id").alias("component"))
+    members = kept(members)
+    apart = given.where(F.col("type") == CANNOT)
+    for end, name in (("i", "a"), ("j", "b")):
+        apart = apart.join(members.select(F.col("series_id").alias(end), F.col("component").alias(name)), end)
+    apart = kept(apart)
+    cannot = apart.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return Closure(members, cannot, apart.where("a = b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct())
+
+
+def implied(pairs: DataFrame, links: Closure) -> DataFrame:
+    """pairs (i, j) with type: must or cannot where the closure says so, else don't know; contradicted: the component of either end holds a cannot-link."""
+    own = links.members
+    bad = links.contradictions.join(own.select(F.col("series_id").alias("i"), "component"), "i").select("component").distinct().withColumn("bad", F.lit(True))
+    marked = own.join(bad, "component", "left").select("series_id", "component", F.coalesce("bad", F.lit(False)).alias("bad"))
+    out = pairs.select("i", "j")
+    for end, name in (("i", "a"), ("j", "b")):
+        out = out.join(marked.select(F.col("series_id").alias(end), F.col("component").alias(name), F.col("bad").alias(f"bad_{name}")), end, "left")
+    out = out.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")})
+    out = out.join(links.cannot.select(F.col("a").alias("low"), F.col("b").alias("high"), F.lit(True).alias("apart")), ["low", "high"], "left")
+    kind = F.when(F.col("a") == F.col("b"), MUST).when(F.col("apart"), CANNOT).otherwise(DONT_KNOW)
+    return out.select("i", "j", kind.alias("type"), (F.coalesce("bad_a", F.lit(False)) | F.coalesce("bad_b", F.lit(False))).alias("contradicted"))
+
+
 def satisfied(labels: DataFrame, constraints: DataFrame) -> DataFrame:
     """(i, j, type, window, ok): whether a partition (window, series_id, cluster) keeps each constraint (i, j, type)."""
     a = labels.select("window", F.col("series_id").alias("i"), F.col("cluster").alias("ci"))

@@ -16,37 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from chronoloom.functions import kernels as K, series as S
-from chronoloom.sources.series import SeriesError, check_series, check_window, is_multivariate, profile
+from chronoloom.operators import rules
+from chronoloom.operators.rules import REGISTRY, Distance, lookup, register  # noqa: F401 - the registry's public names
+from chronoloom.sources.series import SeriesError, check_series, check_window, profile
 
 BROADCAST_VALUES, BLOCK_SERIES, LEAST_BLOCK, SIGMA_POINTS = 2_000_000, 512, 16, 10_000
 
 
-@dataclass(frozen=True)
-class Distance:
-    name: str
-    kernel: Callable | None = None  # of stacked pairs
-    prepare: Callable | None = None  # of a stack of series and the length of the others: what the kernel takes of each, by name
-    expression: Callable | None = None  # of columns x, y
-    ragged: bool = False
-    multivariate: bool = False
-    symmetric: Callable = lambda a: True  # of the arguments
-    diagonal: bool = False  # self-distances aren't 0
-
-
-REGISTRY: dict[str, Distance] = {}
-
-
-def register(distance: Distance, *names: str) -> None:
-    for n in (distance.name, *names):
-        REGISTRY[n.lower()] = distance
-
-
-def lookup(name: str) -> Distance:
-    if name.lower() not in REGISTRY:
-        raise SeriesError(f"No distance is known as '{name}'.")
-    return REGISTRY[name.lower()]
-
-
 def _dtw2(x, y, **a):
     return K.dtw(x, y, norm="L2", **a)
 
@@ -68,10 +44,10 @@ register(Distance("dtw2", _dtw2, ragged=True, multivariate=True, symmetric=_elas
 register(Distance("sdtw", K.sdtw, ragged=True, multivariate=True, diagonal=True))
 register(Distance("sbd", K.sbd, K.spectrum, ragged=True))
 register(Distance("ugak", K.log_gak, ragged=True, multivariate=True, diagonal=True))
-register(Distance("lbk", K.lb_keogh, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False)), "lb_keogh")
-register(Distance("lbi", K.lb_improved, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False)), "lb_improved")
-register(Distance("L1", expression=lambda x, y, **_: S.minkowski(x, y, 1)), "manhattan")
-register(Distance("L2", expression=lambda x, y, **_: S.minkowski(x, y, 2)), "euclidean")
+register(Distance("lbk", K.lb_keogh, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False), bound=True), "lb_keogh")
+register(Distance("lbi", K.lb_improved, K.envelopes, symmetric=lambda a: a.get("force_symmetry", False), bound=True), "lb_improved")
+register(Distance("L1", K.manhattan, expression=lambda x, y, **_: S.minkowski(x, y, 1)), "manhattan")
+register(Distance("L2", K.euclidean, expression=lambda x, y, **_: S.minkowski(x, y, 2)), "euclidean")
 register(Distance("gak", K.gak, K.gak_self, ragged=True, multivariate=True))
 
 
@@ -118,69 +94,126 @@ def pairs_of(x: DataFrame, y: DataFrame | None, lower: bool, diagonal: bool, kno
     return (met if cond is None else met.where(cond)).drop("_b", "_c")
 
 
-def _in_blocks(x: DataFrame, y: DataFrame | None, lower: bool, dist: Distance, args: dict, n_x: int, n_y: int) -> DataFrame:
-    """(i, j, d) by blocks: those of x meet those of y, or of x each pair of blocks once if only a lower triangle is wanted."""
-    tasks = 2 * x.sparkSession.sparkContext.defaultParallelism
-    cut = lambda n, most: max(1, -(-n // BLOCK_SERIES), min(most, -(-n // LEAST_BLOCK)))
-    if lower:
-        rows = columns = cut(n_x, int((2 * tasks) ** 0.5) + 1)
-    else:
-        columns = cut(n_y, 4)
-        rows = cut(n_x, -(-tasks // columns))
-    block = lambda n: F.pmod(F.xxhash64("series_id"), F.lit(n)).cast("int")
-    every = lambda a, b: F.explode(F.sequence(a, b))
-    # Columns of their own on either side: a cogroup takes those of one origin for the same.
-    left = x.select(F.col("series_id").alias("i"), F.col("values").alias("x"), block(rows).alias("p"))
-    right = (x if y is None else y).select(F.col("series_id").alias("j"), F.col("values").alias("y"), block(columns).alias("q"))
-    left = left.withColumn("q", every(F.col("p") if lower else F.lit(0), F.lit(columns - 1)))
-    right = right.withColumn("p", every(F.lit(0), F.col("q") if lower else F.lit(rows - 1)))
-    kernel, prepare, diagonal = dist.kernel, dist.prepare, dist.diagonal
-
-    def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64), "d": np.zeros(0)})
-        i, j = a["i"].to_numpy(), b["j"].to_numpy()
-        wanted = np.ones((len(i), len(j)), bool)
-        if lower and key[0] == key[1]:
-            wanted = i[:, None] >= j if diagonal else i[:, None] > j
-        d = K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), a["x"].tolist(), b["y"].tolist(), wanted, prepare and (lambda v, other: prepare(v, other, **args)))
+@dataclass(frozen=True)
+class Plan:
+    """A distance between two sides, looked at and ready: which pairs are wanted (lower: i > j of one side, with the diagonal where that isn't 0) and with what arguments."""
+
+    x: DataFrame
+    y: DataFrame | None
+    dist: Distance
+    args: dict
+    lower: bool
+    known: dict
+    other: dict
+
+    def blocks(self, square: bool = False) -> tuple[int, int]:
+        """Number of blocks of either side, for two tasks a core and blocks of BLOCK_SERIES at most."""
+        tasks = 2 * self.x.sparkSession.sparkContext.defaultParallelism
+        cut = lambda n, most: max(1, -(-n // BLOCK_SERIES), min(most, -(-n // LEAST_BLOCK)))
+        if square or self.lower:
+            n = cut(self.known["n"], int((2 * tasks) ** 0.5) + 1)
+            return n, n
+        columns = cut(self.other["n"], 4)
+        return cut(self.known["n"], -(-tasks // columns)), columns
+
+    def meet(self, body: Callable, schema: str, rows: int, columns: int) -> DataFrame:
+        """body(key, a, b, wanted) of each pair of blocks: frames a (i, x) and b (j, y); of a lower triangle each pair of blocks once."""
+        lower, diagonal = self.lower, self.dist.diagonal
+        block = lambda n: F.pmod(F.xxhash64("series_id"), F.lit(n)).cast("int")
+        every = lambda a, b: F.explode(F.sequence(a, b))
+        # Columns of their own on either side: a cogroup takes those of one origin for the same.
+        left = self.x.select(F.col("series_id").alias("i"), F.col("values").alias("x"), block(rows).alias("p"))
+        right = (self.x if self.y is None else self.y).select(F.col("series_id").alias("j"), F.col("values").alias("y"), block(columns).alias("q"))
+        left = left.withColumn("q", every(F.col("p") if lower else F.lit(0), F.lit(columns - 1)))
+        right = right.withColumn("p", every(F.lit(0), F.col("q") if lower else F.lit(rows - 1)))
+        empty = pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+
+        def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return empty
+            wanted = np.ones((len(a), len(b)), bool)
+            if lower and key[0] == key[1]:
+                i, j = a["i"].to_numpy()[:, None], b["j"].to_numpy()[None, :]
+                wanted = i >= j if diagonal else i > j
+            return body(key, a, b, wanted)
+
+        n = min(10_000, rows * (rows + 1) // 2 if lower else rows * columns)
+        return left.repartition(n, "p", "q").groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(run, schema)
+
+    def all_distances(self, emit: Callable) -> Callable:
+        """A body for meet() that computes every wanted distance: emit(i, j, d, wanted, key)."""
+        dist, args = self.dist, self.args
+        kernel, prepare = dist.kernel, dist.prepare
+
+        def body(key, a: pd.DataFrame, b: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
+            d = K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), a["x"].tolist(), b["y"].tolist(), wanted, prepare and (lambda v, other: prepare(v, other, **args)))
+            return emit(a["i"].to_numpy(), b["j"].to_numpy(), d, wanted, key)
+
+        return body
+
+
+def plan(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", check: bool = True, known: dict | None = None, **args) -> Plan:
+    """One job looks at x, and one at y, before distances are planned; known, a profile() of x, saves the first. check: whether the distance takes them."""
+    dist = lookup(method)
+    args["window"] = check_window(args.get("window"), required=dist.bound)
+    if known is None:
+        known = check_series(x) if check else profile(x)
+    other = (check_series(y) if check else profile(y)) if y is not None else known
+    if check:
+        rules.fits(method, known, other)
+        for p in (known, other):
+            rules.check_distance(method, p, args["window"])
+    equal = known["shortest"] == known["longest"] == other["longest"] == other["shortest"]
+    lower = y is None and dist.symmetric({**args, "equal_lengths": equal})
+    return Plan(x, y, dist, given(with_sigma(method, args, x)), lower, known, other)
+
+
+def distances(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", pairwise: bool = False, check: bool = True, known: dict | None = None, **args) -> DataFrame:
+    """(i, j, d). Without y: of x with itself, i > j if the distance is symmetric (i >= j for soft-DTW), else all pairs. pairwise: rows of equal series_id."""
+    own = plan(x, y, method, check, known, **args)
+    if pairwise:
+        rows = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")).join((y if y is not None else x).select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), F.col("i") == F.col("j"))
+        return rows.select("i", "j", pair_distance(method, **own.args).alias("d"))
+    if own.dist.expression:
+        return pairs_of(x, y, own.lower, own.dist.diagonal, own.other).select("i", "j", pair_distance(method, **own.args).alias("d"))
+    lower = own.lower
+
+    def rows(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray, key: tuple) -> pd.DataFrame:
         p, q = np.nonzero(wanted)
         i, j, d = i[p], j[q], d[p, q]
         return pd.DataFrame({"i": np.maximum(i, j) if lower else i, "j": np.minimum(i, j) if lower else j, "d": d})
 
-    n = min(10_000, rows * (rows + 1) // 2 if lower else rows * columns)
-    return left.repartition(n, "p", "q").groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(meet, "i long, j long, d double")
+    return own.meet(own.all_distances(rows), "i long, j long, d double", *own.blocks())
 
 
-def distances(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", pairwise: bool = False, check: bool = True, known: dict | None = None, **args) -> DataFrame:
-    """(i, j, d). Without y: of x with itself, i > j if the distance is symmetric (i >= j for soft-DTW), else all pairs. pairwise: rows of equal series_id.
+def nearest_neighbours(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic", digits: int | None = None, **args) -> DataFrame:
+    """(i, j, d): the nearest of y (without y, of the other series of x) for each of x, smallest id on ties; digits: distances are rounded to so many before they are compared.
 
-    One job looks at x, and one at y, before the relation is planned; known, a profile() of x, saves the first.
-    """
-    dist = lookup(method)
-    args["window"] = check_window(args.get("window"), required=dist.name in ("lbk", "lbi"))
-    if check or not known:
-        known = check_series(x, ragged=dist.ragged) if check else profile(x)
-    other = (check_series(y, ragged=dist.ragged) if check else profile(y)) if y is not None else known
-    if check:
-        if is_multivariate(x) and not dist.multivariate:
-            raise SeriesError(f"{dist.name} takes series of one variable.")
-        if not dist.ragged and known["longest"] != other["longest"]:
-            raise SeriesError(f"{dist.name} takes series of one length.")
-    equal = known["shortest"] == known["longest"] == other["longest"] == other["shortest"]
-    lower = y is None and not pairwise and dist.symmetric({**args, "equal_lengths": equal})
-    args = given(with_sigma(method, args, x))
-    if pairwise:
-        rows = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")).join((y if y is not None else x).select(F.col("series_id").alias("j"), F.col("values").alias("y_values")), F.col("i") == F.col("j"))
-        return rows.select("i", "j", pair_distance(method, **args).alias("d"))
-    if dist.expression:
-        return pairs_of(x, y, lower, dist.diagonal, other).select("i", "j", pair_distance(method, **args).alias("d"))
-    return _in_blocks(x, y, lower, dist, args, known["n"], other["n"])
+    A block sends one row for each of its series (for those of both sides where the distance is symmetric), not one for each pair."""
+    own = plan(x, y, method, **args)
+    lower, alone = own.lower, y is None
+
+    def best(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        order = np.argsort(j, kind="stable")
+        at = order[np.argmin(d[:, order], axis=1)]
+        found = d[np.arange(len(i)), at]
+        return pd.DataFrame({"i": i, "j": j[at], "d": found})[np.isfinite(found)]
+
+    def minima(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray, key: tuple) -> pd.DataFrame:
+        d = np.where(wanted & ~(alone & (i[:, None] == j[None, :])), d if digits is None else np.round(d, digits), np.inf)
+        return pd.concat([best(i, j, d), best(j, i, d.T)]) if lower else best(i, j, d)
+
+    return nearest(own.meet(own.all_distances(minima), "i long, j long, d double", *own.blocks()))
 
 
-def to_centroids(series: DataFrame, centroids: DataFrame, method: str, **args) -> DataFrame:
-    """(series_id, cluster, d): each series with each of a few centroids (cluster, values), which go to the tasks that hold the series."""
+def to_centroids(series: DataFrame, centroids: DataFrame, method: str, check: bool = True, **args) -> DataFrame:
+    """(series_id, cluster, d): each series with each of a few centroids (cluster, values), which go to the tasks that hold the series. check: both are looked at first, whether the distance takes them."""
     dist, args = lookup(method), given(args)
+    if check:
+        known, points = profile(series), profile(centroids)
+        rules.fits(method, known, points)
+        if dist.bound:
+            rules.check_distance(method, points, args.get("window"))
     if dist.expression:
         both = series.select("series_id", F.col("values").alias("x_values")).join(F.broadcast(centroids.select("cluster", F.col("values").alias("y_values"))), F.lit(True))
         return both.select("series_id", "cluster", pair_distance(method, **args).alias("d"))
@@ -217,10 +250,10 @@ def mirrored(d: DataFrame) -> DataFrame:
     return d.select(F.explode(ends).alias("p"), "d").select("p.i", "p.j", "d")
 
 
-def symmetric_relation(series: DataFrame, method: str, **args) -> DataFrame:
+def symmetric_relation(series: DataFrame, method: str, known: dict | None = None, **args) -> DataFrame:
     """All (i, j, d) with i != j (and i = j where that isn't 0)."""
-    known = check_series(series, ragged=lookup(method).ragged)
-    d = distances(series, method=method, known=known, check=False, **args)
+    known = known or check_series(series)
+    d = distances(series, method=method, known=known, **args)
     return mirrored(d) if lookup(method).symmetric({**args, "equal_lengths": known["shortest"] == known["longest"]}) else d
 
 
@@ -262,24 +295,56 @@ def warping_paths(pairs: DataFrame, **args) -> DataFrame:
     return pairs.withColumn("path", run("x_values", "y_values"))
 
 
-def dtw_lb(x: DataFrame, y: DataFrame | None, window: int, norm: str = "L1", margin: int = 1) -> DataFrame:
-    """Nearest neighbours under DTW with lower bounds first: each row's current nearest is replaced by its true distance until it is a true one.
+def dtw_lb(x: DataFrame, y: DataFrame | None, window: int, norm: str = "L1", margin: int = 1, step: str = "symmetric2", pairwise: bool = False, method: str = "dtw_basic", counts: bool = False, check: bool = True) -> DataFrame:
+    """Nearest neighbours under DTW, bounds first: (i, j, d) for each of x (margin 1) or of y; without y, of other series of x. One job; bounds are never written.
 
-    One bound a pair; a round sends to the kernel only the rows whose nearest is still a bound. Without y, of other series of x.
+    Within two blocks that meet, every series takes its candidates in the order of their lower bounds (lb_improved) and computes DTW until the next bound lies above the
+    best distance so far; all series of a block go on in step, so a step is one stack of pairs, and a pair whose cells all exceed its series' best is abandoned.
+    counts: with the number of distances computed and of pairs. pairwise: DTW of rows of equal series_id, no search. Ties go to the smallest id.
     """
-    by, other = ("i", "j") if margin == 1 else ("j", "i")
-    bounds = distances(x, x if y is None else y, "lbi", window=window, norm=norm).withColumn("exact", F.lit(False))
-    bounds, y = kept(bounds if y is not None else bounds.where("i != j")), x if y is None else y
-    dist = pair_distance("dtw_basic", window=window, norm=norm)
-    xs, ys = x.select(F.col("series_id").alias("i"), F.col("values").alias("x_values")), y.select(F.col("series_id").alias("j"), F.col("values").alias("y_values"))
-    known = None
-    while True:
-        now = bounds if known is None else bounds.join(known, ["i", "j"], "left").select("i", "j", F.coalesce("true_d", "d").alias("d"), F.col("true_d").isNotNull().alias("exact"))
-        best = now.groupBy(by).agg(F.min(F.struct("d", other, "exact")).alias("b")).select(by, f"b.{other}", "b.d", "b.exact")
-        new = kept(best.where(~F.col("exact")).join(xs, "i").join(ys, "j").select("i", "j", dist.alias("true_d")))
-        if not new.limit(1).count():
-            return best.select("i", "j", "d")
-        known = new if known is None else known.unionByName(new)
+    if method not in ("dtw_basic", "dtw", "dtw2") or step not in ("symmetric1", "symmetric2"):
+        raise SeriesError("A search by lower bounds is for dtw_basic, dtw or dtw2 with symmetric1 or symmetric2.")
+    norm = "L2" if method == "dtw2" else norm
+    if pairwise:
+        return distances(x, y, "dtw_basic", pairwise=True, check=check, window=window, norm=norm, step=step)
+    left, right = (x, x if y is None else y) if margin == 1 else (x if y is None else y, x)
+    alone, swap = y is None, margin != 1
+    own = plan(left, right, "lbi", check, window=window, norm=norm)
+    args = {"window": window, "norm": norm, "step": step}
+
+    def search(key, a: pd.DataFrame, b: pd.DataFrame, wanted: np.ndarray) -> pd.DataFrame:
+        i, j = a["i"].to_numpy(), b["j"].to_numpy()
+        order = np.argsort(j, kind="stable")
+        j, xs, ys = j[order], K.dense(a["x"].tolist()), K.dense(b["y"].tolist())[order]
+        # The bound is of x to y's envelope, whichever side searches.
+        bound = (lambda u, v, **k: K.lb_improved(v, u, window, norm, **{("x_" if s[0] == "y" else "y_") + s[2:]: w for s, w in k.items()})) if swap else (lambda u, v, **k: K.lb_improved(u, v, window, norm, **k))
+        bounds = K.of_blocks(bound, list(xs), list(ys), wanted, lambda v, other: K.envelopes(v, other, window))
+        if alone:
+            bounds[i[:, None] == j[None, :]] = np.inf
+        turn = np.argsort(bounds, axis=1, kind="stable")
+        best, found, at, n = np.full(len(i), np.inf), np.full(len(i), -1), np.zeros(len(i), int), np.zeros(len(i), np.int64)
+        live = np.arange(len(i))
+        while len(live):
+            live = live[at[live] < len(j)]
+            pick = turn[live, at[live]]
+            low = bounds[live, pick]
+            going = np.isfinite(low) & (low <= best[live] + 1e-9 * np.maximum(1, low))
+            live, pick = live[going], pick[going]
+            if not len(live):
+                break
+            d = K.dtw(xs[live], ys[pick], limit=best[live], **args)
+            n[live] += 1
+            better = (d < best[live]) | ((d == best[live]) & (pick < found[live]))
+            best[live[better]], found[live[better]] = d[better], pick[better]
+            at[live] += 1
+        out = pd.DataFrame({"i": i, "j": j[found], "d": best, "computed": n, "pairs": np.isfinite(bounds).sum(1)})
+        return out[found >= 0]
+
+    rows, columns = own.blocks()
+    one = own.meet(search, "i long, j long, d double, computed long, pairs long", rows, max(1, -(-own.other["n"] // BLOCK_SERIES)))
+    best = one.groupBy("i").agg(F.min(F.struct("d", "j")).alias("b"), F.sum("computed").alias("computed"), F.sum("pairs").alias("pairs"))
+    ends = (F.col("i"), F.col("b.j").alias("j")) if margin == 1 else (F.col("b.j").alias("i"), F.col("i").alias("j"))
+    return best.select(*ends, F.col("b.d").alias("d"), *(["computed", "pairs"] if counts else []))
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -42,28 +42,28 @@ def soft_external(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.select(((both - expected) / (((both + x) + (both + y)) / 2 - expected)).alias("ARI"), ((both + neither) / total).alias("RI"), (F.col("Ha") + F.col("Hb") - 2 * mi).alias("VI"), (mi / F.greatest("Ha", "Hb")).alias("NMIM"))
 
 
-def silhouette(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the mean silhouette; d has both halves; 0 for clusters of one."""
+def by_cluster(d: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sums of BlockMatrix.by_cluster() from a relation (i, j, d) with both halves."""
     lab = labels.select("series_id", "cluster")
-    sizes = lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    to = d.where("i != j").join(lab.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj")), "j").groupBy("i", "cj").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("k"))
-    each = lab.join(sizes, "cluster").join(to, F.col("series_id") == F.col("i"), "left")
-    per = each.groupBy("series_id", "n").agg(F.sum(F.when(F.col("cj") == F.col("cluster"), F.col("s") / (F.col("n") - 1))).alias("a"), F.min(F.when(F.col("cj") != F.col("cluster"), F.col("s") / F.col("k"))).alias("b"))
-    return per.agg(F.avg(F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)).alias("Sil"))
+    both = d.where("i != j").join(lab.select(F.col("series_id").alias("i"), "cluster"), "i").join(lab.select(F.col("series_id").alias("j"), F.col("cluster").alias("other")), "j")
+    return both.groupBy("i", "cluster", "other").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n"), F.min("d").alias("least"), F.max("d").alias("most"))
 
 
-def dunn(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the least distance between clusters over the greatest within one."""
-    lab = labels.select("series_id", "cluster")
-    both = d.where("i != j").join(lab.select(F.col("series_id").alias("i"), F.col("cluster").alias("ci")), "i").join(lab.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj")), "j")
-    return both.agg((F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))) / F.max(F.when(F.col("ci") == F.col("cj"), F.col("d")))).alias("D"))
+def silhouette(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: the mean silhouette; sums from by_cluster(); 0 for clusters of one."""
+    per = sums.groupBy("i", "cluster").agg(F.max(F.when(F.col("other") == F.col("cluster"), F.col("s") / F.col("n"))).alias("a"), F.min(F.when(F.col("other") != F.col("cluster"), F.col("s") / F.col("n"))).alias("b"))
+    each = labels.select(F.col("series_id").alias("i")).join(per, "i", "left")
+    return each.agg(F.avg(F.when(F.greatest("a", "b") > 0, F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).otherwise(0.0)).alias("Sil"))
 
 
-def cop(d: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: over the clusters, sum of distances to the centroid over the least greatest distance of a member to outsiders; by N. labels has d, the distance to the own centroid."""
-    lab = labels.select("series_id", "cluster")
-    out = d.join(lab.select(F.col("series_id").alias("i"), F.col("cluster").alias("ci")), "i").join(lab.select(F.col("series_id").alias("j"), F.col("cluster").alias("cj")), "j").where("ci != cj")
-    far = out.groupBy("i", "ci").agg(F.max("d").alias("m")).groupBy(F.col("ci").alias("cluster")).agg(F.min("m").alias("m"))
+def dunn(sums: DataFrame) -> DataFrame:
+    """One row: the least distance between clusters over the greatest within one; sums from by_cluster()."""
+    return sums.agg((F.min(F.when(F.col("cluster") != F.col("other"), F.col("least"))) / F.max(F.when(F.col("cluster") == F.col("other"), F.col("most")))).alias("D"))
+
+
+def cop(sums: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: over the clusters, sum of distances to the centroid over the least greatest distance of a member to outsiders; by N. sums from by_cluster(); labels has d, the distance to the own centroid."""
+    far = sums.where("cluster != other").groupBy("i", "cluster").agg(F.max("most").alias("m")).groupBy("cluster").agg(F.min("m").alias("m"))
     near = labels.groupBy("cluster").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n"))
     return near.join(far, "cluster").agg((F.sum(F.col("s") / F.col("m"))).alias("s"), F.sum("n").alias("n")).select((F.col("s") / F.col("n")).alias("COP"))
 
@@ -114,7 +114,8 @@ def one_hot(labels: DataFrame) -> DataFrame:
 def indices(clustering, series: DataFrame, which: str | list[str] = "valid", truth: DataFrame | None = None, distance_relation: DataFrame | None = None) -> dict[str, float]:
     """Indices of a clustering by name or group: valid, internal, external. What the given data don't allow is left out."""
     from chronoloom.operators import centroids as C
-    from chronoloom.operators.distances import kept, symmetric_relation, to_centroids
+    from chronoloom.operators.blocks import block_matrix
+    from chronoloom.operators.distances import kept, mirrored, to_centroids
 
     cfg, soft = clustering.config, clustering.membership is not None
     names = {"valid": (FUZZY_INTERNAL if soft else INTERNAL) + ((FUZZY_EXTERNAL if soft else EXTERNAL) if truth is not None else ()), "internal": FUZZY_INTERNAL if soft else INTERNAL, "external": FUZZY_EXTERNAL if soft else EXTERNAL}
@@ -128,12 +129,15 @@ def indices(clustering, series: DataFrame, which: str | list[str] = "valid", tru
         args, method, cents = cfg.get("dist_args", {}), cfg["distance"], clustering.centroids.select("cluster", "values")
         method = "dtw_basic" if method == "dtw_lb" else method
         as_series = cents.select(F.col("cluster").cast("long").alias("series_id"), "values")
-        relation = []  # all distances, computed where an index or a medoid needs them
+        matrix = []  # all distances in packed blocks, computed where an index or a medoid needs them
+
+        def blocks():
+            if not matrix:
+                matrix.append(block_matrix(series, method, **args).kept())
+            return matrix[0]
 
         def d() -> DataFrame:
-            if not relation:
-                relation.append(distance_relation if distance_relation is not None else kept(symmetric_relation(series, method, **args)))
-            return relation[0]
+            return distance_relation if distance_relation is not None else mirrored(blocks().relation()) if blocks().lower else blocks().relation()
 
         def to(rows: DataFrame, points: DataFrame) -> DataFrame:
             return to_centroids(rows, points, method, **args)
@@ -149,12 +153,11 @@ def indices(clustering, series: DataFrame, which: str | list[str] = "valid", tru
             u = clustering.membership.join(to(series, cents), ["series_id", "cluster"])
             add(fuzzy_internal(u, between, to_global, to(series, center).select("series_id", "d"), cfg["control"].fuzziness))
         else:
-            if "Sil" in inside:
-                add(silhouette(d(), clustering.labels))
-            if "D" in inside:
-                add(dunn(d(), clustering.labels))
-            if "COP" in inside:
-                add(cop(d(), clustering.labels))
+            if inside & {"Sil", "D", "COP"}:
+                sums = kept(by_cluster(distance_relation, clustering.labels) if distance_relation is not None else blocks().by_cluster(clustering.labels))
+                for name, one in (("Sil", lambda: silhouette(sums, clustering.labels)), ("D", lambda: dunn(sums)), ("COP", lambda: cop(sums, clustering.labels))):
+                    if name in inside:
+                        add(one())
             if inside & {"DB", "DBstar"}:
                 add(davies_bouldin(clustering.labels, between))
             if inside & {"CH", "SF"}:

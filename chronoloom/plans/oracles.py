@@ -201,8 +201,10 @@ ORACLES = {
       o AS (SELECT sum(o) AS over FROM (SELECT sum(least(p.u, q.u) ** 2) / sum(least(p.u, q.u)) AS o FROM u p JOIN u q ON p.id = q.id AND p.c < q.c GROUP BY p.c, q.c)), t AS (SELECT sum(w * w) / sum(w) AS top FROM (SELECT max(u) AS w FROM u GROUP BY id))
       SELECT round(1 - k / (k - 1) * (1 - uu / n), 6) AS "MPC", round((uudd + gg / k) / lo, 6) AS "K", round((uudd + bb / (k * (k - 1))) / (lo + 1 / k), 6) AS "T", round(gg / k / comp - over / top, 6) AS "SC", round((e / k / umd * hi) ** 2, 6) AS "PBMF" FROM a, b, g, x, v, o, t""",
     "cluster_sizes": f"WITH {EMB} SELECT CAST(c AS INT) AS cluster, count(*) AS size, round(avg(d), 6) AS av_dist FROM lab GROUP BY 1",
-    "config_grid": "SELECT k, preproc, distance, CAST(window_distance AS DOUBLE) AS window_distance FROM (VALUES (2), (3), (4)) a(k), (VALUES ('none'), ('zscore')) b(preproc), (VALUES ('dtw_basic', 5), ('dtw_basic', 10), ('sbd', NULL)) c(distance, window_distance)",
-    "config_grid_shared": "SELECT norm, CAST(window_distance AS DOUBLE) AS window_distance, centroid FROM (VALUES ('L1', 5), ('L2', 10)) a(norm, window_distance) FULL JOIN (VALUES ('L1', 'dba'), ('L3', 'pam')) b(norm, centroid) USING (norm)",
+    "config_grid": f"""WITH {NATION}, w AS (SELECT share, ceil((SELECT count(DISTINCT t) FROM obs) * share / 100) AS w FROM (VALUES (5), (10)) s(share)), c AS (SELECT 'dtw_basic' AS distance, w AS window_distance FROM w UNION ALL SELECT 'sbd', NULL)
+      SELECT k, preproc, distance, CAST(window_distance AS DOUBLE) AS window_distance FROM (VALUES (2), (3), (4)) a(k), (VALUES ('none'), ('zscore')) b(preproc), c""",
+    "config_grid_shared": f"""WITH {NATION}, a AS (SELECT CASE share WHEN 5 THEN 'L1' ELSE 'L2' END AS norm, ceil((SELECT count(DISTINCT t) FROM obs) * share / 100) AS window_distance FROM (VALUES (5), (10)) s(share))
+      SELECT norm, CAST(window_distance AS DOUBLE) AS window_distance, centroid FROM a FULL JOIN (VALUES ('L1', 'dba'), ('L3', 'pam')) b(norm, centroid) USING (norm)""",
     "consensus_partition": f"""WITH {EMB}, parts AS (SELECT 1 AS p, id, label AS c FROM e UNION ALL SELECT 2, id, c FROM lab UNION ALL SELECT 3, id, (x[1] > 0)::INT FROM e),
       ce AS (SELECT a.p AS pa, b.p AS pb, count(*) AS n FROM parts a JOIN parts b USING (id) GROUP BY a.p, b.p, a.c, b.c), s AS (SELECT pa, pb, sum(n * n) AS s FROM ce GROUP BY 1, 2), q AS (SELECT p, sum(n * n) AS q FROM (SELECT p, count(*) AS n FROM parts GROUP BY p, c) GROUP BY 1)
       SELECT arg_min(pa, (d, pa)) AS part FROM (SELECT pa, sum(a.q + b.q - 2 * s) AS d FROM s JOIN q a ON a.p = pa JOIN q b ON b.p = pb GROUP BY 1)""",
@@ -220,7 +222,7 @@ ORACLES |= {
     "reshape_multivariate": f"WITH {MULTI} SELECT id AS series_id, var, t, v AS value FROM mv",
     "cross_correlation": f"WITH {NATION}{Z}, n AS (SELECT id, sqrt(sum(v * v)) AS n FROM z GROUP BY 1) SELECT a.id AS series_id, a.t - b.t AS lag, round(sum(a.v * b.v) / any_value(p.n * q.n), 6) AS value FROM z a JOIN z b ON b.id = a.id + 1 JOIN n p ON p.id = a.id JOIN n q ON q.id = b.id GROUP BY 1, 2",
     "sbd_znorm": ORACLES["sbd_matrix"],
-    "distance_table": f"WITH {NATION}{Z}, m AS (SELECT a.id AS i, b.id AS j, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS d FROM z a JOIN z b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2) PIVOT m ON j USING first(d) ORDER BY i",
+    "distance_table": f"WITH {NATION}{Z}, m AS (SELECT a.id AS i, b.id AS j, round(sqrt(sum((a.v - b.v) ** 2)), 6) AS d FROM z a JOIN z b ON a.t = b.t AND a.id <> b.id GROUP BY 1, 2) SELECT i, " + ", ".join(f'max(d) FILTER (j = {j}) AS "{j}"' for j in range(25)) + " FROM m GROUP BY i",
     "dtw_ragged": dtw(NATION + Z, "SELECT a.id AS i, b.id AS j, a.x[1:40 + a.id] AS x, b.x[1:40 + b.id] AS y FROM s a JOIN s b ON a.id > b.id", norm="L2") + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
     "dtw_multivariate": dynamic(f"{MULTI}, s AS (SELECT id, list(p ORDER BY t) AS x FROM (SELECT id, t, list(v ORDER BY var) AS p FROM mv GROUP BY 1, 2) GROUP BY id)", LOWER, "list_sum(list_transform(range(1, len(x[a + 1]) + 1), lambda k: abs(x[a + 1][k] - y[b + 1][k])))",
         "c", "least(diag + 2 * c, lft + c, up + c)", "abs(a - b) <= 5") + "SELECT i, j, round(d, 6) AS d FROM done",
@@ -301,3 +303,101 @@ _PICK = f"""WITH {EMB}, l2 AS (SELECT lab.c AS a, e.label AS b FROM lab JOIN e U
  tall AS (UNPIVOT (SELECT * FROM one UNION ALL SELECT * FROM two) ON "RI", "ARI", "J", "FM" INTO NAME cvi VALUE score), best AS (SELECT cvi, arg_min(config_id, (-score, config_id)) AS config_id FROM tall GROUP BY 1)
  SELECT config_id, votes FROM (SELECT config_id, count(*) AS votes FROM best GROUP BY 1) ORDER BY votes DESC, config_id LIMIT 1"""
 ORACLES["majority_pick"] = _PICK
+_TREE = f"""{DAILY}{Z}, {SBD}, fl AS MATERIALIZED (SELECT i, j, d FROM sbd UNION ALL SELECT j, i, d FROM sbd),
+prim AS (
+  SELECT 1 AS n, [min(id)] AS done, {{'d': 0.0::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT, 'new': 0::BIGINT}} AS e FROM s
+  UNION ALL
+  SELECT n + 1, list_append(done, e['new']), e FROM (SELECT n, done, min({{'d': d, 'i': greatest(i, j), 'j': least(i, j), 'new': j}}) AS e FROM prim JOIN fl ON list_contains(done, i) AND NOT list_contains(done, j) GROUP BY n, done)
+), tree AS MATERIALIZED (SELECT e['i'] AS i, e['j'] AS j, e['d'] AS d FROM prim WHERE n > 1)"""
+ORACLES |= {
+    "spanning_tree": f"WITH RECURSIVE {_TREE} SELECT i, j, round(d, 6) AS d FROM tree",
+    "single_linkage": f"""WITH RECURSIVE {_TREE}, li AS (SELECT i, j FROM (SELECT *, row_number() OVER (ORDER BY d DESC, i DESC, j DESC) AS k FROM tree) WHERE k > 4),
+      reach AS (SELECT id AS a, id AS b FROM s UNION SELECT a, CASE WHEN b = i THEN j ELSE i END FROM reach JOIN li ON b = i OR b = j),
+      lb AS (SELECT a AS id, dense_rank() OVER (ORDER BY c) AS c FROM (SELECT a, min(b) AS c FROM reach GROUP BY 1)),
+      me AS (SELECT c, arg_min(id, (w, id)) AS m FROM (SELECT p.c, p.id, coalesce(sum(fl.d), 0) AS w FROM lb p LEFT JOIN lb q ON p.c = q.c AND p.id <> q.id LEFT JOIN fl ON fl.i = p.id AND fl.j = q.id GROUP BY 1, 2) GROUP BY 1)
+      SELECT id AS series_id, CAST(c AS INT) AS cluster, round(coalesce(fl.d, 0), 6) AS d FROM lb JOIN me USING (c) LEFT JOIN fl ON fl.i = id AND fl.j = m""",
+    "dendrogram": f"""WITH RECURSIVE {NATION}{Z}, nr AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM s),
+      fl AS MATERIALIZED (SELECT p.r AS i, q.r AS j, sqrt(sum((a.v - b.v) ** 2)) AS d FROM z a JOIN z b ON a.t = b.t AND a.id <> b.id JOIN nr p ON p.id = a.id JOIN nr q ON q.id = b.id GROUP BY 1, 2), nk AS (SELECT count(*) AS last FROM s),
+      run AS (
+        SELECT 1 AS n, last, i, j, d, 1.0::DOUBLE AS si, 1.0::DOUBLE AS sj FROM fl, nk
+        UNION ALL
+        SELECT n + 1, last, x, y, sum(d * w) / sum(w), CASE WHEN x = bi THEN sum(si) ELSE max(si) END, CASE WHEN y = bi THEN sum(sj) ELSE max(sj) END
+        FROM (SELECT *, CASE WHEN x = bi THEN si WHEN y = bi THEN sj ELSE 1.0 END AS w FROM (
+          SELECT n, last, d, si, sj, b['i'] AS bi, CASE WHEN i = b['j'] THEN b['i'] ELSE i END AS x, CASE WHEN j = b['j'] THEN b['i'] ELSE j END AS y
+          FROM (SELECT *, min({{'d': d, 'i': i, 'j': j}}) FILTER (i < j) OVER () AS b FROM run WHERE n < last)
+        ) WHERE x <> y) GROUP BY n, last, bi, x, y
+      ), mg AS MATERIALIZED (SELECT n, min({{'d': d, 'i': i, 'j': j}}) FILTER (i < j) AS b FROM run GROUP BY n),
+      ro AS (SELECT n, b['i'] AS i, b['j'] AS j, b['d'] AS h FROM mg),
+      nm AS (SELECT ro.n, ro.h, coalesce(max(p.n) FILTER (p.i = ro.i), -ro.i) AS a, coalesce(max(p.n) FILTER (p.i = ro.j), -ro.j) AS b FROM ro LEFT JOIN ro p ON p.n < ro.n AND (p.i = ro.i OR p.i = ro.j) GROUP BY ro.n, ro.h, ro.i, ro.j),
+      me AS MATERIALIZED (SELECT n, h, CASE WHEN (a > 0, abs(a)) <= (b > 0, abs(b)) THEN a ELSE b END AS a, CASE WHEN (a > 0, abs(a)) <= (b > 0, abs(b)) THEN b ELSE a END AS b FROM nm),
+      dn AS (SELECT n AS v, '' AS path FROM me WHERE n = (SELECT max(n) FROM me) UNION ALL SELECT unnest([a, b]), path || unnest(['0', '1']) FROM dn JOIN me ON me.n = dn.v),
+      pl AS (SELECT v, row_number() OVER (ORDER BY path) AS x FROM dn WHERE v < 0),
+      po AS (
+        SELECT 0 AS n, v, CAST(x AS DOUBLE) AS x, 0.0::DOUBLE AS h FROM pl
+        UNION ALL
+        SELECT * FROM (SELECT k AS n, v, x, h FROM (SELECT po.*, po.n + 1 AS k FROM po WHERE po.n < (SELECT max(n) FROM me))
+          UNION ALL SELECT k, k, avg(x), any_value(mh) FROM (SELECT po.*, me.n AS k, me.h AS mh FROM po JOIN me ON me.n = po.n + 1 AND (po.v = me.a OR po.v = me.b)) GROUP BY k)
+      ), en AS (SELECT v, x, h FROM po WHERE n = (SELECT max(n) FROM me))
+      SELECT CAST(me.n AS INT) AS merge, CAST(me.a AS INT) AS a, CAST(me.b AS INT) AS b, round(p.x, 6) AS left, round(q.x, 6) AS right, round(p.h, 6) AS left_height, round(q.h, 6) AS right_height, round(me.h, 6) AS height FROM me JOIN en p ON p.v = me.a JOIN en q ON q.v = me.b""",
+    "kshape_step": f"""WITH {DAILY}{Z}, st AS (SELECT id, row_number() OVER (ORDER BY id) AS g FROM (SELECT id FROM s ORDER BY id LIMIT 4)), h AS (SELECT g, t, v FROM z JOIN st USING (id)), hn AS (SELECT g, sqrt(sum(v * v)) AS n FROM h GROUP BY 1), zn AS (SELECT id, sqrt(sum(v * v)) AS n FROM z GROUP BY 1),
+      ca AS (SELECT z.id, h.g, h.t - z.t AS k, sum(h.v * z.v) AS c FROM z, h GROUP BY 1, 2, 3),
+      dg AS (SELECT id, g, CASE WHEN zn.n * hn.n > 0 THEN 1 - max(c) / (zn.n * hn.n) ELSE 1.0 END AS d FROM ca JOIN zn USING (id) JOIN hn USING (g) GROUP BY id, g, zn.n, hn.n), lb AS (SELECT id, arg_min(g, (d, g)) AS g FROM dg GROUP BY 1),
+      m AS (SELECT g, id, t, v FROM z JOIN lb USING (id)), f AS (SELECT g, min(id) AS id FROM m GROUP BY 1),
+      best AS (SELECT ca.id, arg_max(k, (c, -k)) AS k FROM ca JOIN lb USING (id, g) GROUP BY 1),
+      al AS (SELECT m.g, m.id, m.t, coalesce(o.v, 0.0) AS v FROM m JOIN best USING (id) LEFT JOIN m o ON o.id = m.id AND o.t = m.t - best.k),
+      y AS (SELECT g, id, t, CASE WHEN stddev_samp(v) OVER w > 0 THEN (v - avg(v) OVER w) / stddev_samp(v) OVER w ELSE 0.0 END AS v FROM al WINDOW w AS (PARTITION BY id)),
+      gr AS (SELECT a.g, a.t AS i, b.t AS j, sum(a.v * b.v) AS m FROM y a JOIN y b ON a.id = b.id GROUP BY 1, 2, 3),
+      w0 AS (SELECT g, i, j, m - avg(m) OVER (PARTITION BY g, i) - avg(m) OVER (PARTITION BY g, j) + avg(m) OVER (PARTITION BY g) AS m FROM gr),
+      {", ".join(_square(k) for k in range(1, SHAPES + 1))}, top AS (SELECT g, arg_max(j, m) AS j FROM w{SHAPES} WHERE i = j GROUP BY 1), v AS (SELECT g, i AS t, m AS v FROM w{SHAPES} JOIN top USING (g, j)),
+      sg AS (SELECT v.g, CASE WHEN sum(v.v * al.v) > 0 THEN 1 ELSE -1 END AS s FROM v JOIN f USING (g) JOIN al ON al.id = f.id AND al.t = v.t GROUP BY 1)
+      SELECT CAST(g AS INT) AS cluster, t, round(s * (v - avg(v) OVER w) / stddev_samp(v) OVER w, 6) AS value FROM v JOIN sg USING (g) WINDOW w AS (PARTITION BY g)""",
+}
+_CMP = {"L1": "sum(abs(l.v - it.v))", "L2": "sqrt(sum((l.v - it.v) ** 2))"}
+
+
+def _kmeans(name: str, k: int, d: str) -> str:
+    """Labels (id, a) of the 20th assignment of k-means from the k least ids."""
+    return f"""{name}_it AS (
+    SELECT 0 AS n, c, t, v FROM (SELECT id, row_number() OVER (ORDER BY id) AS c FROM (SELECT id FROM e ORDER BY 1 LIMIT {k})) JOIN l USING (id)
+    UNION ALL
+    SELECT n, c, t, avg(l.v) FROM (SELECT n, id, arg_min(c, (d, c)) AS c FROM (SELECT n + 1 AS n, id, c, {d} AS d FROM {name}_it it JOIN l USING (t) WHERE n < 19 GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN l USING (id) GROUP BY 1, 2, 3
+  ), {name} AS (SELECT id, arg_min(c, (d, c)) AS a FROM (SELECT id, c, {d} AS d FROM {name}_it it JOIN l USING (t) WHERE n = 19 GROUP BY 1, 2) GROUP BY 1)"""
+
+
+_CONFIGS = [(f"config{i}_{j}", m, k) for i, m in enumerate(("L1", "L2"), 1) for j, k in enumerate((5, 10), 1)]
+_RUNS = ", ".join(_kmeans(n, k, _CMP[m]) for n, m, k in _CONFIGS)
+_CELLS = " UNION ALL ".join(f"SELECT '{n}' AS config_id, '{m}' AS distance, {k} AS k, a, label AS b FROM {n} JOIN e USING (id)" for n, m, k in _CONFIGS)
+ORACLES["compare_configs"] = f"""WITH RECURSIVE e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), l AS (SELECT id, unnest(x) AS v, generate_subscripts(x, 1) AS t FROM e), {_RUNS},
+ ce AS (SELECT config_id, distance, k, a, b, count(*) AS n FROM ({_CELLS}) GROUP BY ALL),
+ pc AS (SELECT config_id, distance, k, sum(n * (n - 1) / 2.0) AS bth, sum(n) AS n, sum(n) * (sum(n) - 1) / 2.0 AS total, sum(n * log10(n)) AS hab FROM ce GROUP BY ALL),
+ ca AS (SELECT config_id, sum(n * (n - 1) / 2.0) AS pa, sum(n * log10(n)) AS ha FROM (SELECT config_id, sum(n) AS n FROM ce GROUP BY config_id, a) GROUP BY 1), cb AS (SELECT config_id, sum(n * (n - 1) / 2.0) AS pb, sum(n * log10(n)) AS hb FROM (SELECT config_id, sum(n) AS n FROM ce GROUP BY config_id, b) GROUP BY 1),
+ sc AS (SELECT config_id, distance, k, {PAIR_INDICES}, 1 / (abs(ha + hb - 2 * hab) / n) AS "VI" FROM pc JOIN ca USING (config_id) JOIN cb USING (config_id)),
+ tall AS (SELECT config_id, unnest(['RI', 'ARI', 'J', 'FM', 'VI']) AS cvi, unnest(["RI", "ARI", "J", "FM", "VI"]) AS score FROM sc), votes AS (SELECT cvi, arg_min(config_id, (-score, config_id)) AS config_id FROM tall GROUP BY 1),
+ pick AS (SELECT config_id FROM (SELECT config_id, count(*) AS v, min(cvi) AS f FROM votes GROUP BY 1) ORDER BY v DESC, f LIMIT 1)
+ SELECT config_id, distance, CAST(k AS INT) AS k, round("RI", 6) AS "RI", round("ARI", 6) AS "ARI", round("J", 6) AS "J", round("FM", 6) AS "FM", round("VI", 6) AS "VI", config_id = (SELECT config_id FROM pick) AS best FROM sc"""
+ORACLES["constraint_closure"] = f"""WITH RECURSIVE {DAILY}, lv AS (SELECT id, ((CAST(floor(round(sum(v), 2) / 50) AS BIGINT) % 3) + 3) % 3 AS l1, ((CAST(floor(round(sum(v) FILTER (t < 7), 2) / 50) AS BIGINT) % 3) + 3) % 3 AS l2 FROM obs GROUP BY 1),
+ links AS (SELECT a.id AS i, b.id AS j, CASE b.id - a.id WHEN 1 THEN a.l1 = b.l1 ELSE a.l2 = b.l2 END AS must FROM lv a JOIN lv b ON b.id - a.id IN (1, 2)), ends AS (SELECT i AS id FROM links UNION SELECT j FROM links), bo AS (SELECT i, j FROM links WHERE must UNION ALL SELECT j, i FROM links WHERE must),
+ reach AS (SELECT id AS a, id AS b FROM ends UNION SELECT a, j FROM reach JOIN bo ON b = i), co AS MATERIALIZED (SELECT a AS id, min(b) AS c FROM reach GROUP BY 1),
+ apart AS MATERIALIZED (SELECT least(p.c, q.c) AS a, greatest(p.c, q.c) AS b FROM links JOIN co p ON p.id = i JOIN co q ON q.id = j WHERE NOT must), bad AS (SELECT DISTINCT a AS c FROM apart WHERE a = b)
+ SELECT l.id AS i, l.id + 5 AS j, CAST(CASE WHEN p.c = q.c THEN 1 WHEN EXISTS (SELECT 1 FROM apart WHERE a <> b AND a = least(p.c, q.c) AND b = greatest(p.c, q.c)) THEN 0 ELSE -1 END AS INT) AS type,
+  coalesce(p.c IN (SELECT c FROM bad), FALSE) OR coalesce(q.c IN (SELECT c FROM bad), FALSE) AS contradicted
+ FROM lv l LEFT JOIN co p ON p.id = l.id LEFT JOIN co q ON q.id = l.id + 5"""
+# x is the prototype; r the matrix of soft costs row by row, e what each cell passes on to the end, from the last cell back.
+_SOFT = "least(diag, lft, up) - ln(exp(least(diag, lft, up) - diag) + exp(least(diag, lft, up) - lft) + exp(least(diag, lft, up) - up))"
+_PASS = lambda there, k, e: f"CASE WHEN {there} THEN exp(m[{k} + 1] - m[k + 1] - (x[({k}) // len(y) + 1] - y[({k}) % len(y) + 1]) ** 2) * e[{e}] ELSE 0 END"
+ORACLES["sdtw_step"] = f"""WITH RECURSIVE {DAILY}{Z}, ce AS (SELECT g, list(v ORDER BY t) AS x FROM (SELECT id % 4 AS g, t, avg(v) AS v FROM z GROUP BY 1, 2) GROUP BY g), pairs AS (SELECT id AS i, g AS j, ce.x AS x, s.x AS y FROM s JOIN ce ON g = id % 4),
+run AS (
+  SELECT i, j, x, y, 0 AS k, []::DOUBLE[] AS m FROM pairs
+  UNION ALL
+  SELECT i, j, x, y, k + 1, list_append(m, c + CASE WHEN k = 0 THEN 0 ELSE {_SOFT} END) FROM (
+    SELECT *, (x[a + 1] - y[b + 1]) ** 2 AS c, CASE WHEN a > 0 AND b > 0 THEN m[k - len(y)] ELSE 'inf'::DOUBLE END AS diag, CASE WHEN b > 0 THEN m[k] ELSE 'inf'::DOUBLE END AS lft, CASE WHEN a > 0 THEN m[k + 1 - len(y)] ELSE 'inf'::DOUBLE END AS up
+    FROM (SELECT *, k // len(y) AS a, k % len(y) AS b FROM run WHERE k < len(x) * len(y)))
+), done AS (SELECT i, j, x, y, m FROM run WHERE k = len(x) * len(y)
+), back AS (
+  SELECT i, j, x, y, m, 1 AS n, [1.0]::DOUBLE[] AS e FROM done
+  UNION ALL
+  SELECT i, j, x, y, m, n + 1, list_append(e, {_PASS("b + 1 < len(y)", "k + 1", "n")} + {_PASS("a + 1 < len(x)", "k + len(y)", "n + 1 - len(y)")} + {_PASS("a + 1 < len(x) AND b + 1 < len(y)", "k + len(y) + 1", "n - len(y)")})
+  FROM (SELECT *, k // len(y) AS a, k % len(y) AS b FROM (SELECT *, len(x) * len(y) - 1 - n AS k FROM back WHERE n < len(x) * len(y)))
+), gr AS (SELECT j, k // len(y) AS t, sum(e * 2 * (x[k // len(y) + 1] - y[k % len(y) + 1])) AS g FROM (SELECT i, j, x, y, unnest(e) AS e, len(x) * len(y) - generate_subscripts(e, 1) AS k FROM back WHERE n = len(x) * len(y)) GROUP BY 1, 2),
+ob AS (SELECT j, sum(m[len(m)]) AS v FROM done GROUP BY 1)
+SELECT CAST(j AS INT) AS cluster, CAST(t AS INT) AS t, round(v, 6) AS objective, round(ce.x[t + 1] - 0.001 * gr.g, 6) AS value FROM gr JOIN ob USING (j) JOIN ce ON ce.g = j"""

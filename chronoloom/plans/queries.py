@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from chronoloom.functions import series as S
-from chronoloom.operators import centroids as C, clustering as K, compare, constraints, distances as D, validity as V
+from chronoloom.operators import blocks, centroids as C, clustering as K, compare, constraints, distances as D, trees, validity as V
 from chronoloom.sources import series as src
 from chronoloom.streaming import predict as streaming
 
@@ -54,6 +55,10 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
     return D.mirrored(D.distances(src.embeddings(spark, d).select("series_id", "values"), method="L2"))
 
 
+def l2_blocks(spark: SparkSession, d: str) -> blocks.BlockMatrix:
+    return blocks.block_matrix(src.embeddings(spark, d).select("series_id", "values"), "L2")
+
+
 # Series and their functions
 @query
 def series_daily(spark, d):
@@ -223,8 +228,7 @@ def dtw_path(spark, d):
 @query
 def dtw_nn(spark, d):
     """Nearest neighbour of each user's daily series."""
-    near = D.nearest(D.mirrored(D.distances(daily_z(spark, d))).select("i", "j", r("d").alias("d")))
-    return near.select("i", "j", "d")
+    return _d(D.nearest_neighbours(daily_z(spark, d), digits=6))
 
 
 @query
@@ -290,7 +294,8 @@ def cent_multivariate(spark, d):
 
 @query
 def medoid(spark, d):
-    return C.medoids(l2(spark, d), by_label(spark, d))
+    x = by_label(spark, d)
+    return C.medoids_of(l2_blocks(spark, d).by_cluster(x), x).select("cluster", F.col("medoid").alias("series_id"))
 
 
 @query
@@ -339,6 +344,16 @@ def sdtw_centroid(spark, d):
     return C.sdtw_centroid(x, C.mean(x), 1.0).select("cluster", F.posexplode("values").alias("t", "value"))
 
 
+@query
+def sdtw_step(spark, d):
+    """Of the users of one remainder by 4 the sum of soft-DTW to their mean, and the mean a gradient step further."""
+    x = daily_z(spark, d).withColumn("cluster", F.pmod("series_id", F.lit(4)).cast("int"))
+    start = {c["cluster"]: np.array(c["values"]) for c in C.mean(x).collect()}  # 4 prototypes
+    found = C.sdtw_gradients(x.select("cluster", "values", F.lit(1.0).alias("w")), start, 1.0)
+    rows = [(c, t, round(float(v), 6), round(float(z), 6)) for c, (v, g) in found.items() for t, z in enumerate(start[c] - 0.001 * g)]
+    return spark.createDataFrame(rows, "cluster int, t int, objective double, value double")
+
+
 # Clusterings from the series of the least ids, to the default limits of iterations
 def least_ids(x: DataFrame, k: int) -> list[int]:
     return [i[0] for i in x.select("series_id").orderBy("series_id").limit(k).collect()]
@@ -378,6 +393,40 @@ def hierarchical_clustering(spark, d):
     return _labels_of(K.cluster(daily_z(spark, d), "hierarchical", 5, distance="sbd"))
 
 
+@query
+def spanning_tree(spark, d):
+    """The minimum spanning tree of the users' series under the shape-based distance."""
+    x = daily_z(spark, d)
+    return _d(trees.spanning_tree(blocks.block_matrix(x, "sbd").kept(), x.select("series_id")))
+
+
+@query
+def single_linkage(spark, d):
+    """Single linkage by its spanning tree, without a matrix on the driver."""
+    return _labels_of(K.single_linkage(daily_z(spark, d), 5, "sbd"))
+
+
+@query
+def dendrogram(spark, d):
+    """Merges of the nations' series in order (observations by their place among the ids, negative), with their boxes as drawn."""
+    x = nation_z(spark, d)
+    ids = [i[0] for i in x.select("series_id").orderBy("series_id").collect()]  # of nations
+    merges = K.cluster(x, "hierarchical", 2, distance="L2").merges
+    place, boxes = trees.layout(merges, len(ids))
+    rows = [(n, a, b, *(round(float(v), 6) for v in box)) for n, ((a, b, _), box) in enumerate(zip(merges, boxes, strict=True), 1)]
+    return spark.createDataFrame(rows, "merge int, a int, b int, left double, right double, left_height double, right_height double, height double")
+
+
+@query
+def kshape_step(spark, d):
+    """One step of k-Shape from the series of the least ids: each series' nearest by shape, then the shapes extracted from those."""
+    x = daily_z(spark, d)
+    ids = least_ids(x, 4)
+    first = x.where(F.col("series_id").isin(ids)).select((F.dense_rank().over(W.orderBy("series_id"))).alias("cluster"), "values")
+    labels = K.assign(D.to_centroids(x, first, "sbd"))
+    return C.shape(x.join(labels.select("series_id", "cluster"), "series_id"), first).select("cluster", F.posexplode("values").alias("t", "value")).select("cluster", "t", r("value").alias("value"))
+
+
 @query
 def tadpole_clustering(spark, d):
     return K.cluster(daily_z(spark, d), "tadpole", 4, control=K.Tadpole(6.0, 3)).labels.select("series_id", "cluster")
@@ -426,17 +475,19 @@ def cvi_soft_external(spark, d):
 
 @query
 def cvi_silhouette(spark, d):
-    return _rounded(V.silhouette(l2(spark, d), _labels(spark, d)))
+    labels = _labels(spark, d)
+    return _rounded(V.silhouette(l2_blocks(spark, d).by_cluster(labels), labels))
 
 
 @query
 def cvi_dunn(spark, d):
-    return _rounded(V.dunn(l2(spark, d), _labels(spark, d)))
+    return _rounded(V.dunn(l2_blocks(spark, d).by_cluster(_labels(spark, d))))
 
 
 @query
 def cvi_cop(spark, d):
-    return _rounded(V.cop(l2(spark, d), _labels(spark, d)))
+    labels = _labels(spark, d)
+    return _rounded(V.cop(l2_blocks(spark, d).by_cluster(labels), labels))
 
 
 @query
@@ -469,22 +520,42 @@ def cluster_sizes(spark, d):
 
 
 # Comparison of configurations
+def _windows(spark, d):
+    """(share, window): windows as shares of the length of the nations' series."""
+    length = src.nation_monthly(spark, d).agg(F.max(F.size("values")).alias("n"))
+    return length.select(F.explode(F.array(F.lit(5), F.lit(10))).alias("share"), "n").select("share", F.ceil(F.col("n") * F.col("share") / 100).cast("double").alias("window_distance"))
+
+
 @query
 def config_grid(spark, d):
     k = spark.range(2, 5).select(F.col("id").cast("int").alias("k"))
     prep = spark.createDataFrame([("none",), ("zscore",)], "preproc string")
-    dist = spark.createDataFrame([("dtw_basic", 5.0), ("dtw_basic", 10.0), ("sbd", None)], "distance string, window_distance double")
+    dist = _windows(spark, d).select(F.lit("dtw_basic").alias("distance"), "window_distance").unionByName(spark.createDataFrame([("sbd", None)], "distance string, window_distance double"))
     return compare.grid_frame(spark, [k, prep, dist])
 
 
 @query
 def config_grid_shared(spark, d):
     """A grid whose parts share a column that isn't expanded: a full outer join."""
-    a = spark.createDataFrame([("L1", 5.0), ("L2", 10.0)], "norm string, window_distance double")
+    a = _windows(spark, d).select(F.when(F.col("share") == 5, "L1").otherwise("L2").alias("norm"), "window_distance")
     b = spark.createDataFrame([("L1", "dba"), ("L3", "pam")], "norm string, centroid string")
     return compare.grid_frame(spark, [a, b], ["norm"])
 
 
+@query
+def compare_configs(spark, d):
+    """Two numbers of clusters under two distances on the embeddings, each scored against the labels; best: the pick by majority."""
+    x = src.embeddings(spark, d)
+    series, truth = x.select("series_id", "values"), x.select("series_id", F.col("label").alias("cluster"))
+    first = least_ids(series, 10)
+    configs = {"partitional": [{"k": [5, 10], "distance": m, "centroid": "mean", "iterations": 20, "init_ids": first} for m in ("L1", "L2")]}
+    names = ["RI", "ARI", "J", "FM", "VI"]
+    score, pick = compare.evaluators(names, truth)
+    out = compare.compare(series, configs, score, pick, keep=False)
+    rows = [(r["config_id"], r["distance"], r["k"], *(round(float(r[n]), 6) for n in names), r["config_id"] == out.get("pick")) for r in out["results"]]
+    return spark.createDataFrame(rows, "config_id string, distance string, k int, " + ", ".join(f"{n} double" for n in names) + ", best boolean")
+
+
 def _partitions(spark, d):
     """Three partitions of the embeddings: by label, by nearest mean of a label and by the sign of the first value."""
     x = src.embeddings(spark, d)
@@ -533,3 +604,17 @@ def constraint_complexity(spark, d):
 @query
 def window_vote(spark, d):
     return constraints.choose_window(constraints.complexity(_flags(spark, d)), 0.5)
+
+
+@query
+def constraint_closure(spark, d):
+    """What links between users one and two ids apart say of pairs five apart: the former must be together if their sums are of one level of three, and must not otherwise; the latter by their sums of the first week."""
+    x = src.daily(spark, d)
+    level = lambda v: F.pmod(F.floor(F.round(S.total(v), 2) / 50).cast("long"), F.lit(3))
+    x = x.select("series_id", level(F.col("values")).alias("l1"), level(F.slice("values", 1, 7)).alias("l2"))
+    links = None
+    for n in (1, 2):
+        other = x.select((F.col("series_id") - n).alias("series_id"), F.col(f"l{n}").alias("other"))
+        one = x.join(other, "series_id").select(F.col("series_id").alias("i"), (F.col("series_id") + n).alias("j"), (F.col(f"l{n}") == F.col("other")).cast("int").alias("type"))
+        links = one if links is None else links.unionByName(one)
+    return constraints.implied(x.select(F.col("series_id").alias("i"), (F.col("series_id") + 5).alias("j")), constraints.closure(links))

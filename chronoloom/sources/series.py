@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 
 class SeriesError(ValueError):
@@ -42,8 +42,11 @@ def profile(series: DataFrame) -> dict:
 
 
 def check_series(series: DataFrame, ragged: bool = True) -> dict:
-    p = profile(series)
-    if p["missing"]:
+    return check_profile(profile(series), ragged)
+
+
+def check_profile(p: dict, ragged: bool = True) -> dict:
+    if p.get("missing"):
         raise SeriesError("A series needs numbers: it may not be empty, nor hold text or gaps.")
     if p["least_vars"] != p["most_vars"]:
         raise SeriesError("The series differ in how many variables they have.")
@@ -91,12 +94,22 @@ def characteristics(series: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of the files of a path, numbered from 1 in order of file names. A file is read in as many splits as Spark makes of it: lines are counted by split, and a line's
+    number is its place within its split (rows of a split are numbered in a row by the task) after the lines of the splits before."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("file", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each split
+    before = W.orderBy("file", "at").rowsBetween(W.unboundedPreceding, -1)
+    starts = splits.select("file", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(starts, ["file", "at"]).select((F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def read_csv_directory(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of one ragged series a line, one file a variable; lines with equal numbers are the variables of one multivariate series."""
+    """Files of one ragged series a line, one path a variable; lines with equal numbers are the variables of one multivariate series."""
     parts = []
     for i, p in enumerate(paths):
-        lines = spark.read.text(p, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\n$", "")), "\n")).alias("line", "text"))
-        parts.append(lines.select((F.col("line") + 1).cast("long").alias("series_id"), F.transform(F.split("text", ","), lambda x: F.trim(x).cast("double")).alias(f"v{i}")))
+        lines = numbered_lines(spark, p)
+        parts.append(lines.select(F.col("line").alias("series_id"), F.transform(F.split("text", ","), lambda x: F.trim(x).cast("double")).alias(f"v{i}")))
     out = parts[0]
     for p in parts[1:]:
         out = out.join(p, "series_id")
