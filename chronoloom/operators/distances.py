@@ -8,6 +8,8 @@ symmetric self-distance is computed for i > j only; `mirrored` gives both halves
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -348,11 +350,16 @@ def dtw_lb(x: DataFrame, y: DataFrame | None, window: int, norm: str = "L1", mar
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration: a checkpoint in the shared folder where one is set (on the context, or as spark.checkpoint.dir), else a cached frame."""
+    """Cut the lineage of an iteration: a table written to the folder of spark.checkpoint.dir and read back, which outlives executors and leaves nothing of the plan (a checkpoint keeps its constraints, which
+    grow with every round); where it is unset, on a machine of its own in a temporary folder, and on a cluster, whose machines share no such folder, a cached frame, which saves the work again but lets the plan grow."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             return df.persist()
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+        folder = f"file://{tempfile.mkdtemp(prefix='chronoloom-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -401,3 +401,6 @@ run AS (
 ), gr AS (SELECT j, k // len(y) AS t, sum(e * 2 * (x[k // len(y) + 1] - y[k % len(y) + 1])) AS g FROM (SELECT i, j, x, y, unnest(e) AS e, len(x) * len(y) - generate_subscripts(e, 1) AS k FROM back WHERE n = len(x) * len(y)) GROUP BY 1, 2),
 ob AS (SELECT j, sum(m[len(m)]) AS v FROM done GROUP BY 1)
 SELECT CAST(j AS INT) AS cluster, CAST(t AS INT) AS t, round(v, 6) AS objective, round(ce.x[t + 1] - 0.001 * gr.g, 6) AS value FROM gr JOIN ob USING (j) JOIN ce ON ce.g = j"""
+SEGMENT = NATION.replace("SELECT c_nationkey AS id, year", "SELECT c_nationkey * (SELECT count(DISTINCT c_mktsegment) FROM customer) + place AS id, year").replace("JOIN customer ON o_custkey = c_custkey", "JOIN customer ON o_custkey = c_custkey JOIN (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS place FROM (SELECT DISTINCT c_mktsegment FROM customer)) USING (c_mktsegment)")
+ORACLES["hierarchical_segments"] = ORACLES["hierarchical_clustering"].replace(DAILY, SEGMENT).replace("count(*) - 5 AS last", "count(*) - 20 AS last")
+ORACLES["fuzzy_nations"] = ORACLES["fuzzy_clustering"].replace(DAILY, NATION).replace("unnest(range(11))", "unnest(range(51))").replace("LIMIT 4)", "LIMIT 5)")

@@ -393,6 +393,21 @@ def hierarchical_clustering(spark, d):
     return _labels_of(K.cluster(daily_z(spark, d), "hierarchical", 5, distance="sbd"))
 
 
+@query
+def hierarchical_segments(spark, d):
+    """125 series under the shape-based distance, 20 clusters by average linkage."""
+    x = src.segment_monthly(spark, d).withColumn("values", S.zscore(F.col("values")))
+    return _labels_of(K.cluster(x, "hierarchical", 20, distance="sbd"))
+
+
+@query
+def fuzzy_nations(spark, d):
+    """25 series by their autocorrelations up to lag 50, 5 clusters."""
+    x = src.nation_monthly(spark, d)
+    c = K.cluster(x, "fuzzy", 5, "acf", "L2", preproc_args={"lags": 50}, init_ids=least_ids(x, 5))
+    return c.membership.select("series_id", "cluster", r("u").alias("u"))
+
+
 @query
 def spanning_tree(spark, d):
     """The minimum spanning tree of the users' series under the shape-based distance."""

@@ -174,3 +174,15 @@ def nation_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
     sums = o.groupBy(F.col("c_nationkey").cast("long").alias("series_id"), month.alias("t")).agg(F.sum("o_totalprice").cast("double").alias("value"))
     return _filled(sums, None, sums.agg(F.min("t").alias("first"), (F.max("t") - F.min("t") + 1).alias("n")))
+
+
+def segment_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation and market segment the sum of order prices by month over the months of the table, 0 where there are none; series_id is nation x segments + place of the segment by name."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    names = customers.select("c_mktsegment").distinct()  # a handful of segments
+    places = names.withColumn("place", F.row_number().over(W.orderBy("c_mktsegment")) - 1).withColumn("of", F.count(F.lit(1)).over(W.partitionBy()))
+    own = customers.join(F.broadcast(places), "c_mktsegment")
+    o = table(spark, sf_dir, "orders").join(own, F.col("o_custkey") == F.col("c_custkey"))
+    month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("int")
+    sums = o.groupBy((F.col("c_nationkey") * F.col("of") + F.col("place")).cast("long").alias("series_id"), month.alias("t")).agg(F.sum("o_totalprice").cast("double").alias("value"))
+    return _filled(sums, None, sums.agg(F.min("t").alias("first"), (F.max("t") - F.min("t") + 1).alias("n")))
