@@ -23,7 +23,7 @@ def test_shards_of_a_graph_are_level_and_cut_little(spark):
     # Communities of twenty, a hub that a third of all links lead to, links to nowhere and to itself.
     edges = [(int(20 * c + a), int(20 * c + b), 1.0) for c in range(30) for a, b in rng.integers(0, 20, (60, 2))]
     edges += [(0, int(i), 0.01) for i in rng.integers(1, 600, 900)] + [(3, 3, 5.0), (4, 99_999, 5.0), (None, 4, 1.0), (5, 6, None), (5, 6, -2.0), (5, 6, 1.0), (6, 5, 1.0)]
-    placed, cut = sharding.shard_graph(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(edges, "a long, b long, weight double"), 6, 12)
+    placed, cut = sharding.shard_graph(spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(edges, "a long, b long, weight double"), 6, 8)
     rows = placed.collect()
     sizes = np.bincount([r["shard"] for r in rows], [r["copies"] for r in rows], 6)
     assert sizes.sum() == 609 and sizes.max() - sizes.min() <= 1
@@ -36,7 +36,7 @@ def test_shards_of_a_graph_are_level_and_cut_little(spark):
         first.setdefault(r["doc_id"], r["shard"])
     before, after = cut.first()
     assert round(after, 6) == round(cut_of(rows, [e for e in edges if None not in e[:2]], first), 6) and after < 0.5 * before
-    again = {tuple(r) for r in sharding.shard_graph(spark.createDataFrame(docs, SCHEMA).repartition(5), spark.createDataFrame(edges, "a long, b long, weight double").repartition(4), 6, 12)[0].collect()}
+    again = {tuple(r) for r in sharding.shard_graph(spark.createDataFrame(docs, SCHEMA).repartition(5), spark.createDataFrame(edges, "a long, b long, weight double").repartition(4), 6, 8)[0].collect()}
     assert again == {tuple(r) for r in rows}
 
 

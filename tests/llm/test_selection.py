@@ -158,7 +158,7 @@ def vectors(seed, n=700):
     return rows
 
 
-@pytest.mark.parametrize("block,group", [(None, 8192), (40, 3), (64, 5)])
+@pytest.mark.parametrize("block,group", [(None, 8192), (40, 3)])
 def test_top_k_by_brute_force(spark, monkeypatch, block, group):
     monkeypatch.setattr(innerproducts, "TILE", 16)
     rows = vectors(6)
