@@ -90,6 +90,29 @@ def repeated(df: DataFrame, count: str, place: str) -> DataFrame:
     return begun.withColumn(place, F.explode(F.sequence(F.col(place), last)))
 
 
+#: Equal rows are many if their texts and ROW_BYTES for each come to so many bytes; so many kinds of them at most have their hashes broadcast (8 bytes each).
+MANY_BYTES, ROW_BYTES, MOST_KINDS = 1 << 20, 1 << 10, 1_000_000
+
+
+def split_repeats(docs: DataFrame, count: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of docs (with a column text) that aren't one of many equal ones, and those that are, each once, or None if there are none; the column count says how many a row stands for.
+
+    Which rows these are is told by sums for each hash, without moving a text. Their texts are then added up where they are read, so a row that makes up much of
+    a table moves once from each task; the other rows don't move."""
+    weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    hashed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    sums = hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
+    many = materialize(sums.where((F.col("n") > 1) & (F.col("w") >= MANY_BYTES)).select("_row"), "many-equal")
+    kinds = many.count()
+    if not kinds:
+        return docs.withColumn(count, F.lit(1).cast("long")), None
+    many = F.broadcast(many) if kinds <= MOST_KINDS else many
+    once = hashed.join(many, "_row", "left_anti").select(*docs.columns, F.lit(1).cast("long").alias(count))
+    # Grouped by the row itself: two rows of one hash stay apart.
+    added = hashed.join(many, "_row", "left_semi").groupBy(*docs.columns).agg(F.count(F.lit(1)).alias(count))
+    return once, materialize(added, "equal-rows")
+
+
 def exact_ids(texts) -> pd.api.extensions.ExtensionArray:
     """Ids that came as text: with nulls among them pandas would have held numbers as doubles."""
     return pd.array([None if x is None or x != x else int(x) for x in texts], "Int64")

@@ -8,7 +8,7 @@ MinHash (128 bins of 16 bits), `likeness` estimates the Jaccard similarity of tw
 
 Edge cases: a null text counts as empty; an empty text has no anchor (all bins zero) and is like another empty
 one (1.0) and unlike any other (0.0); a text of fewer than k code points has one anchor, the whole text. Rows of
-equal doc_id are taken in the order of a hash of their texts, null ids first; repeated rows follow each other. Texts are fingerprinted whole, however
+equal doc_id are taken in the order of a hash of their texts, null ids first; repeated rows follow each other (many equal ones are read once, with their number). Texts are fingerprinted whole, however
 long. Only doc_id and text are read, whatever other columns there are. An empty table gives an empty result.
 """
 
@@ -20,11 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import POLY, exact_ids, mix, small_batches, text_totals
+from .common import POLY, exact_ids, materialize, mix, repeated, small_batches, split_repeats, text_totals
 
 K, S, BINS = 11, 4, 128
 RANGE_BYTES, MOST_RANGES = 64 << 20, 20_000  # of text in a range, and ranges at most, as their bounds are literals of the plan
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long"
+COUNTED = f"{SCHEMA}, n long"
 
 
 def _codes(text: str) -> np.ndarray:
@@ -116,22 +117,28 @@ def edited(text: str, after: str) -> str:
 
 
 def _pairs(batches):
-    """Rows arrive by bucket and then by id; the row that closes a bucket is a copy of the next bucket's first."""
-    pending = None  # bucket, doc_id, text, bins, anchors
+    """Rows arrive by bucket and then by id; the row that closes a bucket is a copy of the next bucket's first. Of a row that stands for several, all but the last are followed by itself."""
+    pending = None  # bucket, doc_id, text, bins, anchors, rows
+
+    def pair(row: tuple, text: str, bins: np.ndarray, times: int) -> tuple:
+        _, own_id, own, own_bins, anchors, _ = row
+        new = edited(own, text)
+        new_bins = fingerprint(new)[0] if new != own else own_bins
+        return own_id, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(own_bins), to_hex(new_bins), likeness(own_bins, new_bins), likeness(own_bins, bins), anchors, times
+
     for pdf in batches:
         out = []
-        for bucket, copy, doc_id, text in zip(pdf.bucket, pdf.copy_of, pdf.doc_id, pdf.text, strict=True):
+        for bucket, copy, doc_id, text, rows in zip(pdf.bucket, pdf.copy_of, pdf.doc_id, pdf.text, pdf.n, strict=True):
             if copy and (pending is None or pending[0] != bucket):
                 continue  # a second copy of the same first id
             text = text or ""
             bins, n = fingerprint(text)
             if pending is not None:
-                _, own_id, own, own_bins, own_n = pending
-                new = edited(own, text)
-                new_bins = fingerprint(new)[0] if new != own else own_bins
-                out.append((own_id, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_hex(own_bins), to_hex(new_bins), likeness(own_bins, new_bins), likeness(own_bins, bins), own_n))
-            pending = None if copy else (bucket, doc_id, text, bins, n)
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                if pending[5] > 1:
+                    out.append(pair(pending, pending[2], pending[3], pending[5] - 1))
+                out.append(pair(pending, text, bins, 1))
+            pending = None if copy else (bucket, doc_id, text, bins, n, rows)
+        frame = pd.DataFrame(out, columns=[x.split()[0] for x in COUNTED.split(", ")])
         frame["doc_id"] = exact_ids(frame["doc_id"])
         yield frame
 
@@ -145,8 +152,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).min)).alias("_key"), F.xxhash64("text").alias("_hash"))
-    parts = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), text_totals(docs)[1] // RANGE_BYTES))
+    size = text_totals(docs)[1]
+    once, equal = split_repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "n")
+    docs = (once if equal is None else once.unionByName(equal)).select("doc_id", "text", "n", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).min)).alias("_key"), F.xxhash64("text").alias("_hash"))
+    parts = min(MOST_RANGES, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES))
     steps = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     bounds = np.sort(np.array(docs.agg(F.percentile_approx("_key", steps, 50 * parts)).first()[0] or [], np.int64))
 
@@ -171,7 +180,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"own": at.astype(np.int32), "also": np.array(also, np.int32)})
 
     at = docs.withColumn("_at", place("_key", "_hash"))
-    rows = at.select("doc_id", "text", "_key", "_hash", F.explode(F.expr("filter(array(struct(_at.own AS bucket, 0 AS copy_of), struct(_at.also AS bucket, 1 AS copy_of)), x -> x.bucket >= 0)")).alias("_to"))
-    rows = rows.select(F.col("_to.bucket").alias("bucket"), F.col("_to.copy_of").alias("copy_of"), "_key", "_hash", "doc_id", "text")
+    rows = at.select("doc_id", "text", "n", "_key", "_hash", F.explode(F.expr("filter(array(struct(_at.own AS bucket, 0 AS copy_of), struct(_at.also AS bucket, 1 AS copy_of)), x -> x.bucket >= 0)")).alias("_to"))
+    rows = rows.select(F.col("_to.bucket").alias("bucket"), F.col("_to.copy_of").alias("copy_of"), "_key", "_hash", "doc_id", "text", "n")
     dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "copy_of", "_key", "_hash", "text")
-    return dealt.select("bucket", "copy_of", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_pairs, SCHEMA)
+    paired = dealt.select("bucket", "copy_of", F.col("doc_id").cast("string").alias("doc_id"), "text", "n").mapInPandas(_pairs, COUNTED)
+    return (paired if equal is None else repeated(materialize(paired, "fingerprints"), "n", "place")).select(*(x.split()[0] for x in SCHEMA.split(", ")))

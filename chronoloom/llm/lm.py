@@ -16,7 +16,7 @@ Words are known by 64 bits of a hash, longer n-grams by about 20 bits more than
 that never occurs is taken for another that does with a probability of about one in a million.
 
 Edge cases: a null or empty text is its end token alone; unknown words get the mass of an unseen token; a null doc_id is in
-training; repeated rows are counted and scored as rows of their own, with equal results; without any training token every probability
+training; repeated rows are counted and scored as rows of their own, with equal results (many equal ones are read once and weigh what they are); without any training token every probability
 is 1/1 of the single unknown token, so scores are 0. Texts are read whole, however long. Only doc_id, text and the columns of
 held_out are read, whatever others there are. Scores are rounded to 6 decimals. An empty table gives an empty result.
 """
@@ -29,13 +29,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import GOLDEN, Words, chunks, exact_ids, mix, text_totals
+from .common import GOLDEN, Words, chunks, exact_ids, materialize, mix, repeated, split_repeats, text_totals
 from .exchange import answer_of, blocked, count_exchange, send
 
 #: Chosen on held-out texts of the test tables: of 5, 20, 60, 200 and 1, 4, 15, 60.
 MASSES = (200.0, 15.0)
 END, BEGIN = mix(np.array([1, 2], np.uint64))
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+COUNTED = f"{SCHEMA}, n long"
 
 
 def key_bits(total_bytes: int) -> int:
@@ -133,10 +134,11 @@ class Automaton:
 def _sender(blocks: int, order: int, bits: int):
     def sender(pdf: pd.DataFrame) -> list[tuple]:
         grams = Grams(pdf["text"].tolist(), order, bits)
-        train = np.repeat(~pdf["held_out"].to_numpy(bool), grams.count + 1)
+        rows = np.repeat(np.where(pdf["held_out"].to_numpy(bool), 0, pdf["n"].to_numpy()), grams.count + 1)  # of the training that a place stands for
         block, out = int(pdf["block"].iloc[0]), []
         for n, (known, number) in enumerate(zip(grams.known, grams.number, strict=True)):
-            count = np.bincount(number[train & (number >= 0)], minlength=len(known))
+            use = (rows > 0) & (number >= 0)
+            count = np.bincount(number[use], weights=rows[use], minlength=len(known)).astype(np.int64)
             keep = known != BEGIN if n == 0 else slice(None)  # the beginning is no token
             out += send(block, known[keep], count[keep], blocks, n, 64 if n == 0 else bits)
         return out
@@ -147,7 +149,7 @@ def _sender(blocks: int, order: int, bits: int):
 def _scorer(total: int, distinct: int, starts: int, masses: tuple[float, ...], bits: int):
     def score(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            return pd.DataFrame(columns=[x.split()[0] for x in COUNTED.split(", ")])
         grams = Grams(pdf["text"].tolist(), len(masses) + 1, bits)
         counts = [answer_of(answers, n) for n in range(len(masses) + 1)]
         counts[0] = np.insert(counts[0], np.searchsorted(grams.known[0], BEGIN), starts)
@@ -156,7 +158,7 @@ def _scorer(total: int, distinct: int, starts: int, masses: tuple[float, ...], b
         base = np.log10((counts[0].astype(np.float64) + 1) / (total + distinct + 1))
         add = lambda x: np.add.reduceat(x, np.cumsum(grams.count) - grams.count)
         return pd.DataFrame(
-            {"doc_id": exact_ids(pdf["doc_id"]), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]).round(6), "score": machine.scores(grams).round(6)}
+            {"doc_id": exact_ids(pdf["doc_id"]), "held_out": pdf["held_out"].to_numpy(), "n_tokens": grams.count, "n_known": add((counts[0] > 0)[token].astype(np.int64)), "train_tokens": total, "base_score": add(base[token]).round(6), "score": machine.scores(grams).round(6), "n": pdf["n"].to_numpy()}
         )
 
     return score
@@ -168,10 +170,12 @@ def score_corpus(docs: DataFrame, held_out, masses: tuple[float, ...] = MASSES)
     docs = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     starts, size = docs.where(~F.col("held_out")).count(), text_totals(docs)[1]
     bits = key_bits(size)
-    rows, blocks = blocked(docs, size)
+    once, equal = split_repeats(docs, "n")
+    rows, blocks = blocked(once if equal is None else once.unionByName(equal), size)
     answers = count_exchange(rows, blocks, _sender(blocks, len(masses) + 1, bits), "lm-counts")
     total, distinct = answers.where("kind = 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(int(total), int(distinct), starts, masses, bits), SCHEMA)
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scorer(int(total), int(distinct), starts, masses, bits), COUNTED)
+    return (scored if equal is None else repeated(materialize(scored, "lm-scores"), "n", "place")).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
 #: CRC-32 of a short ASCII string, bit by bit.

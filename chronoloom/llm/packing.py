@@ -6,7 +6,7 @@ that still holds them. The tree has a leaf for every remaining capacity and find
 log2(length) steps.
 
 Documents are dealt to groups of about GROUP_BYTES of text by a hash of doc_id and text and each group is packed by itself, so the result
-doesn't depend on the cluster. A task holds one group, as there are as many tasks as groups up to MOST_TASKS; at most a fraction of a row a group is lost to that.
+doesn't depend on the cluster. Many equal rows go in shares of about MANY_BYTES, each to a group of its own hash. A task holds one group, as there are as many tasks as groups up to MOST_TASKS; at most a fraction of a row a group is lost to that.
 
 Each output row has the ids as little-endian unsigned 32-bit (`ids`, padded to the row length with the end id), the
 cumulative segment lengths from 0 (`cu_seqlens`), the positions at which position ids start again (`resets`), and
@@ -14,7 +14,7 @@ for each segment its document, its offset in the document's tokens and its lengt
 
 write_packed() puts packed rows into files, as matrices of ids with their segments; read_packed() reads them.
 
-Edge cases: a null or empty text is its end id alone; repeated rows are packed as rows of their own (in one group); a null doc_id stays null; texts are
+Edge cases: a null or empty text is its end id alone; repeated rows are packed as rows of their own; a null doc_id stays null; texts are
 tokenized whole, however long; ties of length go to the smaller id, then text. Only doc_id and text are read, whatever other columns there are. An
 empty table gives an empty result.
 """
@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import text_totals
+from .common import MANY_BYTES, ROW_BYTES, repeated, split_repeats, text_totals
 
 ROW_LENGTH, GROUP_BYTES, MOST_TASKS = 2048, 8 << 20, 50_000
 VOCABULARY, END_ID = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", 50256
@@ -115,7 +115,8 @@ def _packer(content, row: int):
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["known", "key", "text"], kind="stable")
         encode = encoder(content.value).encode_ordinary
-        tokens = [np.array([*encode(t), END_ID], "<u4") for t in pdf["text"]]
+        ids_of = {t: np.array([*encode(t), END_ID], "<u4") for t in pdf["text"].unique()}
+        tokens = [ids_of[t] for t in pdf["text"]]
         pieces = [(d, a, min(row, len(t) - a)) for d, t in enumerate(tokens) for a in range(0, len(t), row)]
         ids = [int(x) if known else None for x, known in zip(pdf["key"], pdf["known"], strict=True)]
         out = []
@@ -135,7 +136,12 @@ def pack_documents(docs: DataFrame, path: str = VOCABULARY, row: int = ROW_LENGT
     groups = max(1, -(-text_totals(docs)[1] // GROUP_BYTES))
     # A missing id goes as a flag beside a number: with nulls among them pandas would hold ids as doubles.
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("key")
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("bucket"), key, F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, equal = split_repeats(docs.select(key, F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text")), "n")
+    rows = rows.withColumn("place", F.lit(0).cast("long"))
+    if equal is not None:
+        rows = rows.unionByName(repeated(equal, "n", "place"))
+    share = F.floor(F.col("place") / F.greatest(F.lit(1), F.floor(F.lit(MANY_BYTES) / (F.octet_length("text") + ROW_BYTES))))
+    dealt = rows.select(F.pmod(F.xxhash64("known", "key", "text", share), F.lit(groups)).cast("int").alias("bucket"), "key", "known", "text")
     dealt = dealt.repartition(min(groups, MOST_TASKS), "bucket")
     # The driver reads the vocabulary (about 1 MB) and sends it to the executors, which need no such file.
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
