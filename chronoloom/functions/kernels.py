@@ -76,7 +76,36 @@ SLOPES = {
     "asymmetricP1": [(1, 2, [(0, 1, 0.5), (0, 0, 0.5)]), (1, 1, [(0, 0, 1.0)]), (2, 1, [(1, 0, 1.0), (0, 0, 1.0)])],
     "symmetricP2": [(2, 3, [(1, 2, 2.0), (0, 1, 2.0), (0, 0, 1.0)]), (1, 1, [(0, 0, 2.0)]), (3, 2, [(2, 1, 2.0), (1, 0, 2.0), (0, 0, 1.0)])],
     "asymmetricP2": [(2, 3, [(1, 2, 2 / 3), (0, 1, 2 / 3), (0, 0, 2 / 3)]), (1, 1, [(0, 0, 1.0)]), (3, 2, [(2, 1, 1.0), (1, 0, 1.0), (0, 0, 1.0)])],
+    "symmetricP05": [(1, 3, [(0, 2, 2.0), (0, 1, 1.0), (0, 0, 1.0)]), (1, 2, [(0, 1, 2.0), (0, 0, 1.0)]), (1, 1, [(0, 0, 2.0)]), (2, 1, [(1, 0, 2.0), (0, 0, 1.0)]), (3, 1, [(2, 0, 2.0), (1, 0, 1.0), (0, 0, 1.0)])],
+    "asymmetricP05": [(1, 3, [(0, 2, 1 / 3), (0, 1, 1 / 3), (0, 0, 1 / 3)]), (1, 2, [(0, 1, 0.5), (0, 0, 0.5)]), (1, 1, [(0, 0, 1.0)]), (2, 1, [(1, 0, 1.0), (0, 0, 1.0)]), (3, 1, [(2, 0, 1.0), (1, 0, 1.0), (0, 0, 1.0)])],
+    "asymmetricP0": [(0, 1, []), (1, 1, [(0, 0, 1.0)]), (1, 0, [(0, 0, 1.0)])],
+    "mori2006": [(2, 1, [(1, 0, 2.0), (0, 0, 1.0)]), (1, 1, [(0, 0, 3.0)]), (1, 2, [(0, 1, 3.0), (0, 0, 3.0)])],
+    "rigid": [(1, 1, [(0, 0, 1.0)])],
 }
+# The classic types of local constraints as the steps in x and y of each way into a cell.
+TYPES = {
+    "I": [[(1, 1), (1, 0)], [(1, 1)], [(1, 1), (0, 1)]],
+    "II": [[(2, 1)], [(1, 1)], [(1, 2)]],
+    "III": [[(1, 2)], [(1, 1)], [(1, 1), (1, 0)], [(1, 2), (1, 0)]],
+    "IV": [[(1, up), *[(1, 0)] * on] for on in range(3) for up in (1, 2, 3)],
+}
+#: Weight of a step of u points in x and v in y.
+LAWS = {"a": min, "b": max, "c": lambda u, v: u, "d": lambda u, v: u + v}
+
+
+def _way(steps: list[tuple[int, int]], law: str, smooth: bool) -> tuple:
+    """A way into a cell in the form of SLOPES; smooth spreads its weight evenly over its steps."""
+    weights = [float(LAWS[law](u, v)) for u, v in steps]
+    weights = [sum(weights) / len(weights)] * len(weights) if smooth else weights
+    rest = [(sum(u for u, _ in steps[n:]), sum(v for _, v in steps[n:])) for n in range(len(steps) + 1)]
+    return *rest[0], [(u, v, w) for (u, v), w in zip(rest[1:], weights, strict=True)]
+
+
+SLOPES |= {f"type{t}{law}{'s' * smooth}": [_way(steps, law, smooth) for steps in ways] for t, ways in TYPES.items() for law in LAWS for smooth in (False, True)}
+#: How often the lengths of x and y go into the weight that all paths of a step pattern have (those of mori2006 thrice as much); patterns whose paths weigh differently aren't there.
+PATH_WEIGHT = {"symmetric2": (1, 1), "asymmetric": (1, 0), "mori2006": (0, 1), "rigid": (1, 0)}
+PATH_WEIGHT |= {s: (1, 1) for s in SLOPES if s.startswith("symmetric") or s.rstrip("s").endswith("d") and s != "rigid"}
+PATH_WEIGHT |= {s: (1, 0) for s in SLOPES if s.startswith("asymmetric") or s.rstrip("s").endswith("c")}
 
 
 def _sloped(x: np.ndarray, y: np.ndarray, window: int | None, power: int, ways: list) -> np.ndarray:
@@ -90,12 +119,15 @@ def _sloped(x: np.ndarray, y: np.ndarray, window: int | None, power: int, ways:
         if i == 0:
             row[:, 0] = costs[0][:, deep]
         for di, dj, terms in ways:
-            if di <= i:
+            if 0 < di <= i:
                 value = rows[-di][:, deep - dj + j].copy()
                 for oi, oj, weight in terms:
                     value += weight * costs[-1 - oi][:, deep - oj + j]
                 row = np.minimum(row, value)
         row[:, ~allowed[i]] = np.inf
+        if (0, 1, []) in ways:  # along y for free
+            row = np.minimum.accumulate(row, 1)
+            row[:, ~allowed[i]] = np.inf
         rows.append(pad(row, np.inf))
         costs, rows = costs[-deep:], rows[-deep:]
     return rows[-1][:, -1]
@@ -105,12 +137,14 @@ def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1
     """Dynamic time warping. L2 costs are squared and the root is taken at the end; root=False leaves it out (L2 only).
 
     Paths of symmetricP1, symmetricP2, asymmetricP1 and asymmetricP2 have slopes between 1/2 and 2, or 2/3 and 3/2; series whose lengths don't allow that are at an
-    infinite distance. step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
-    Normalized are symmetric steps (but symmetric1) by both lengths and asymmetric ones by the length of x. limit: a distance for each pair, beyond which it may
+    infinite distance; those of symmetricP05 and asymmetricP05 are between 1/3 and 3, symmetricP0 is symmetric2, asymmetricP0 moves along y for free, rigid along the diagonal alone.
+    typeIa to typeIVd, with an s if smoothed, are the ways of TYPES with weights by LAWS. step="asymmetric" counts each point of x once; with it the path may begin (open_begin) or end (open_end) anywhere in y.
+    Normalized are patterns whose paths have one weight (PATH_WEIGHT): symmetric ones (but symmetric1) by both lengths, asymmetric ones by the length of x, mori2006 by that of y. limit: a distance for each pair, beyond which it may
     be given up as infinite (symmetric1 and symmetric2, not normalized).
     """
-    if normalize and step == "symmetric1":
-        raise ValueError("Paths of symmetric1 have no common weight to normalize by.")
+    step = "symmetric2" if step == "symmetricP0" else step
+    if normalize and step not in PATH_WEIGHT:
+        raise ValueError(f"Paths of {step} have no common weight to normalize by.")
     if step != "asymmetric" and (open_begin or open_end):
         raise ValueError("Open ends need the asymmetric step.")
     power = {"L1": 1, "L2": 2}[norm]
@@ -124,7 +158,7 @@ def dtw(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1
         most = None if limit is None else np.asarray(limit, float) ** (2 if norm == "L2" and root else 1) * (1 + 1e-12)
         out = _sweep(x, y, lambda c: c, combine, np.inf, _band(x.shape[1], y.shape[1], window), power, most)
     out = np.sqrt(out) if norm == "L2" and root else out
-    return out / (x.shape[1] + (y.shape[1] if step.startswith("symmetric") else 0)) if normalize else out
+    return out / np.dot(PATH_WEIGHT[step], (x.shape[1], y.shape[1])) if normalize else out
 
 
 def dtw_paths(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2") -> tuple[np.ndarray, list[np.ndarray]]:

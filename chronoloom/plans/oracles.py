@@ -75,14 +75,17 @@ run AS (
 """
 
 
-def sloped(with_: str, pairs: str) -> str:
-    """Slopes between 1/2 and 2, squared costs: q is the row of x[a], p the one before."""
-    inf, cost = "'inf'::DOUBLE", lambda a, b: f"(x[{a}] - y[{b}]) ** 2"
-    here = cost("a + 1", "b + 1")
-    ways = [f"CASE WHEN b >= 2 THEN q[b - 1] + 2 * {cost('a + 1', 'b')} + {here} ELSE {inf} END", f"CASE WHEN b >= 1 THEN q[b] + 2 * {here} ELSE {inf} END", f"CASE WHEN b >= 1 AND a >= 2 THEN p[b] + 2 * {cost('a', 'b + 1')} + {here} ELSE {inf} END"]
+P1 = [(1, 2, [(0, 1, 2), (0, 0, 1)]), (1, 1, [(0, 0, 2)]), (2, 1, [(1, 0, 2), (0, 0, 1)])]
+IIIC = [(1, 2, [(0, 0, 1)]), (1, 1, [(0, 0, 1)]), (2, 1, [(1, 0, 1), (0, 0, 1)]), (2, 2, [(1, 0, 1), (0, 0, 1)])]
+
+
+def sloped(with_: str, pairs: str, ways: list = P1, cost: str = SQUARE) -> str:
+    """Ways into a cell from one or two points of x before: q is the row of x[a], p the one before; costs passed on a way by how far back they lie."""
+    inf, at = "'inf'::DOUBLE", lambda u, v: cost.replace("a + 1", f"a + 1 - {u}").replace("b + 1", f"b + 1 - {v}")
+    ways = [f"CASE WHEN a >= {u} AND b >= {v} THEN {'qp'[u - 1]}[b + 1 - {v}] + {' + '.join(f'{w} * {at(s, t)}' for s, t, w in terms)} ELSE {inf} END" for u, v, terms in ways]
     return f"""WITH RECURSIVE {with_}, pairs AS ({pairs}),
 run AS (
-  SELECT i, j, x, y, 1 AS a, []::DOUBLE[] AS p, [CASE WHEN b = 0 THEN {cost("1", "1")} ELSE {inf} END FOR b IN range(0, len(y))] AS q FROM pairs
+  SELECT i, j, x, y, 1 AS a, []::DOUBLE[] AS p, [CASE WHEN b = 0 THEN {cost.replace("a + 1", "1")} ELSE {inf} END FOR b IN range(0, len(y))] AS q FROM pairs
   UNION ALL
   SELECT i, j, x, y, a + 1, q, [least({", ".join(ways)}) FOR b IN range(0, len(y))] FROM run WHERE a < len(x)
 ), done AS (SELECT i, j, x, y, q FROM run WHERE a = len(x))
@@ -159,6 +162,7 @@ ORACLES = {
     "dtw_normalized": dtw(NATION + Z) + "SELECT i, j, round(d / (len(x) + len(y)), 6) AS d FROM done",
     "dtw_asymmetric": asymmetric(NATION + Z, LOWER.replace("a.id > b.id", "TRUE"), ABS) + "SELECT i, j, round(q[len(y)] / len(x), 6) AS d FROM done",
     "dtw_sloped": sloped(NATION + Z, LOWER) + "SELECT i, j, round(sqrt(q[len(y)]) / (len(x) + len(y)), 6) AS d FROM done",
+    "dtw_typed": sloped(NATION + Z, LOWER.replace("a.id > b.id", "TRUE"), IIIC, ABS) + "SELECT i, j, round(q[len(y)] / len(x), 6) AS d FROM done",
     "dtw_open_ends": asymmetric(NATION + Z, "SELECT a.id AS i, b.id AS j, a.x[-24:] AS x, b.x AS y FROM s a, s b", SQUARE, "TRUE") + "SELECT i, j, round(sqrt(list_min(q)), 6) AS d FROM done",
     "dtw_pairwise": dtw(NATION + Z, "SELECT id AS i, id AS j, x, list_reverse(x) AS y FROM s", norm="L2") + "SELECT i, j, round(sqrt(d), 6) AS d FROM done",
     "dtw_nn": dtw(DAILY + Z) + ", bth AS (SELECT i, j, round(d, 6) AS d FROM done UNION ALL SELECT j, i, round(d, 6) FROM done) SELECT i, arg_min(j, (d, j)) AS j, min(d) AS d FROM bth GROUP BY 1",

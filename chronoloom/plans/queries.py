@@ -198,6 +198,12 @@ def dtw_sloped(spark, d):
     return _d(D.distances(nation_z(spark, d), method="dtw_basic", step="symmetricP1", norm="L2", normalize=True))
 
 
+@query
+def dtw_typed(spark, d):
+    """Between all nations either way: the pattern of the third type isn't symmetric."""
+    return _d(D.distances(nation_z(spark, d), method="dtw_basic", step="typeIIIc", normalize=True))
+
+
 @query
 def dtw_open_ends(spark, d):
     """Each nation's last 24 months within all months of every nation."""

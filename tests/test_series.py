@@ -74,8 +74,29 @@ def test_sloped_dtw_equals_all_paths(step, window):
 
     want = [slow(p, q) for p, q in zip(x, y)]
     assert K.dtw(x, y, window, step=step) == pytest.approx(want)
-    assert K.dtw(x, y, window, step=step, normalize=True) == pytest.approx(np.array(want) / (18 if step.startswith("s") else 8))
-    assert np.isinf(K.dtw(x[:, :3], y, step=step)).all()
+    assert step == "rigid" or np.isfinite(want).all()
+    if step in K.PATH_WEIGHT:
+        weight = {"s": 18, "a": 8, "r": 8, "m": 10}.get(step[0]) or {"c": 8, "d": 18}[step.rstrip("s")[-1]]
+        assert K.dtw(x, y, window, step=step, normalize=True) == pytest.approx(np.array(want) / weight)
+    else:
+        assert step.rstrip("s")[-1] in "ab"
+        with pytest.raises(ValueError, match="no common weight"):
+            K.dtw(x, y, window, step=step, normalize=True)
+    assert step == "asymmetricP0" or np.isinf(K.dtw(x[:, :3], y, step=step)).all()
+
+
+def test_types_of_local_constraints():
+    """Known values: the first type weighed by both lengths is symmetricP1, by min it counts a bend once; every path of a normalizable pattern weighs the same."""
+    assert sorted(K.SLOPES["typeId"]) == sorted(K.SLOPES["symmetricP1"])
+    assert K.SLOPES["typeIa"] == [(2, 1, [(1, 0, 1.0), (0, 0, 0.0)]), (1, 1, [(0, 0, 1.0)]), (1, 2, [(0, 1, 1.0), (0, 0, 0.0)])]
+    assert K.SLOPES["typeIcs"][2] == (1, 2, [(0, 1, 0.5), (0, 0, 0.5)])
+    assert [w[2] for w in K.SLOPES["typeIIb"]] == [[(0, 0, 2.0)], [(0, 0, 1.0)], [(0, 0, 2.0)]]
+    assert len(K.SLOPES["typeIVc"]) == 9 and (3, 2, [(2, 0, 1.0), (1, 0, 1.0), (0, 0, 1.0)]) in K.SLOPES["typeIVc"]
+    for step, (p, q) in K.PATH_WEIGHT.items():
+        for u, v, terms in K.SLOPES.get(step, []):
+            assert sum(w for _, _, w in terms) == pytest.approx(p * u + q * v) or step == "mori2006"
+    x, y = RNG.normal(size=(3, 8)), RNG.normal(size=(3, 10))
+    assert K.dtw(x, y, step="symmetricP0", normalize=True) == pytest.approx(K.dtw(x, y) / 18)
 
 
 def test_unreachable_band_is_infinite():
