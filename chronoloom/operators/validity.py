@@ -129,11 +129,11 @@ def indices(clustering, series: DataFrame, which: str | list[str] = "valid", tru
         args, method, cents = cfg.get("dist_args", {}), cfg["distance"], clustering.centroids.select("cluster", "values")
         method = "dtw_basic" if method == "dtw_lb" else method
         as_series = cents.select(F.col("cluster").cast("long").alias("series_id"), "values")
-        matrix = []  # all distances in packed blocks, computed where an index or a medoid needs them
+        matrix = []  # all distances, computed where an index or a medoid needs them, and not stored
 
         def blocks():
             if not matrix:
-                matrix.append(block_matrix(series, method, **args).kept())
+                matrix.append(block_matrix(series, method, **args))
             return matrix[0]
 
         def d() -> DataFrame:

@@ -1,11 +1,13 @@
 """All pairs of many series: kernels over two stacks, tiles of blocks, and what is made of pairs without keeping them."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from chronoloom.functions import kernels as K
-from chronoloom.operators import distances as D
+from chronoloom.operators import blocks as B, centroids as C, clustering as CL, distances as D
 
 RNG = np.random.default_rng(5)
 X, Y = RNG.normal(size=(70, 12)), RNG.normal(size=(300, 12))
@@ -49,3 +51,29 @@ def test_blocks_are_gone_through_by_tiles(spark, monkeypatch, method, args, pair
     assert len(tiles.drop_duplicates(["p", "q"])) == (6 if plan.lower else 9) < len(tiles)
     rows = D.distances(frame(spark, X), method=method, **args).toPandas()
     assert len(rows) == pairs == len(rows.drop_duplicates(["i", "j"]))
+
+
+def labelled(spark, x):
+    return spark.createDataFrame([(k + 1, k % 4) for k in range(len(x))], "series_id long, cluster int")
+
+
+@pytest.mark.parametrize("method,args", [("L2", {}), ("sbd", {}), ("lbk", {"window": 2})])
+def test_sums_are_made_where_distances_are(spark, monkeypatch, method, args):
+    """As from stored blocks, without any."""
+    monkeypatch.setattr(D, "BLOCK_SERIES", 5)
+    monkeypatch.setattr(D, "BLOCK_TILES", 3)
+    series, labels = frame(spark, X), labelled(spark, X)
+    matrix = B.block_matrix(series, method, **args)
+    got, want = (m.by_cluster(labels).toPandas().sort_values(["i", "other"], ignore_index=True) for m in (replace(matrix, frame=None), matrix.kept()))
+    pd.testing.assert_frame_equal(got, want)
+
+
+@pytest.mark.parametrize("method,args", [("L2", {}), ("lbk", {"window": 2})])
+def test_fuzzy_medoids_without_a_relation(spark, monkeypatch, method, args):
+    monkeypatch.setattr(D, "BLOCK_SERIES", 5)
+    monkeypatch.setattr(D, "BLOCK_TILES", 3)
+    series = frame(spark, X)
+    u = CL.memberships(D.to_centroids(series, frame(spark, X[4:7]).withColumnRenamed("series_id", "cluster").selectExpr("int(cluster) cluster", "values"), "L2"))
+    sums = B.weighted_sums(series, method, u, **args)
+    assert sums.count() == 3 * len(X)
+    assert sorted(C.least_sums(sums).collect()) == sorted(C.fcmdd(u, D.symmetric_relation(series, method, **args)).collect())
