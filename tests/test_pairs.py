@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from chronoloom.functions import kernels as K
-from chronoloom.operators import blocks as B, centroids as C, clustering as CL, distances as D
+from chronoloom.operators import blocks as B, centroids as C, clustering as CL, distances as D, trees
 
 RNG = np.random.default_rng(5)
 X, Y = RNG.normal(size=(70, 12)), RNG.normal(size=(300, 12))
@@ -77,3 +77,20 @@ def test_fuzzy_medoids_without_a_relation(spark, monkeypatch, method, args):
     sums = B.weighted_sums(series, method, u, **args)
     assert sums.count() == 3 * len(X)
     assert sorted(C.least_sums(sums).collect()) == sorted(C.fcmdd(u, D.symmetric_relation(series, method, **args)).collect())
+
+
+@pytest.mark.parametrize("x", [X, np.repeat(X[:9], 7, 0), np.round(X)])
+def test_spanning_tree_by_forests_of_blocks(spark, monkeypatch, x):
+    """Kruskal's edges, in order of (d, i, j), with ties as well, and no stored matrix."""
+    monkeypatch.setattr(D, "BLOCK_SERIES", 5)
+    monkeypatch.setattr(D, "BLOCK_TILES", 3)
+    d = K.euclidean_outer(x, x)
+    root, want = list(range(len(x))), []
+    for v, i, j in sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i)):
+        a, b = root[i], root[j]
+        if a != b:
+            root = [a if r == b else r for r in root]
+            want.append((i + 1, j + 1, v))
+    series = frame(spark, x)
+    tree = trees.spanning_tree(replace(B.block_matrix(series, "L2"), frame=None), series.select("series_id"))
+    assert sorted(tuple(r) for r in tree.collect()) == sorted(want)
