@@ -131,6 +131,28 @@ def dba(members: DataFrame, centroids: DataFrame, iterations: int = 20, delta: f
     return spark.createDataFrame(list(now.items()), centroids.select("cluster", "values").schema)
 
 
+def shape_sums(z: np.ndarray, ids: np.ndarray, series: list, znorm: bool = False, known: tuple | None = None) -> tuple[np.ndarray, int, np.ndarray]:
+    """Of series shifted to z: their Gram matrix, the least id and that series; added to what is known."""
+    g, low, head = known or (0, np.inf, None)
+    for rows in K.by_length(series).values():
+        x = K.dense([series[i] for i in rows])
+        moved = K.sbd_shifts(z, x, znorm)[1] if z.any() else x
+        y = K.zscores(moved)
+        first = ids[rows].argmin()
+        g, low, head = g + y.T @ y, *((ids[rows][first], moved[first]) if ids[rows][first] < low else (low, head))
+    return g, low, head
+
+
+def shape_of(head: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """The shape of a Gram matrix, z-scored, on the side of head."""
+    n = len(head)
+    p = np.eye(n) - 1 / n
+    top = np.linalg.eigh(p @ gram.reshape(n, n) @ p)[1][:, -1]
+    top = -top if np.linalg.norm(head - top) >= np.linalg.norm(head + top) else top
+    s = top.std(ddof=1) if n > 1 else 0
+    return (top - top.mean()) / s if s > 0 else top * 0
+
+
 def shape(members: DataFrame, centroids: DataFrame | None = None, znorm: bool = False) -> DataFrame:
     """Shape extraction per cluster; with a centroid, series are first shifted to it. The Gram matrix (length x length) of a cluster is summed from partial ones, so no task holds a cluster. znorm: z-scored series are shifted."""
     c = centroids.select("cluster", F.col("values").alias("z")) if centroids is not None else members.groupBy("cluster").agg(F.min(F.struct("series_id", "values")).alias("f")).select("cluster", F.col("f.values").alias("z"))
@@ -141,26 +163,13 @@ def shape(members: DataFrame, centroids: DataFrame | None = None, znorm: bool =
         for pdf in batches:
             ids, series = pdf["series_id"].to_numpy(), pdf["values"].tolist()
             for k, own in pdf.groupby("cluster").indices.items():
-                z = np.asarray(pdf["z"].iloc[own[0]], float)
-                for rows in K.by_length([series[i] for i in own]).values():
-                    at = own[rows]
-                    x = K.dense([series[i] for i in at])
-                    moved = K.sbd_shifts(z, x, znorm)[1] if z.any() else x
-                    y = K.zscores(moved)
-                    g, low, head = sums.get(k, (0, np.inf, None))
-                    first = ids[at].argmin()
-                    sums[k] = (g + y.T @ y, *((ids[at][first], moved[first]) if ids[at][first] < low else (low, head)))
+                sums[k] = shape_sums(np.asarray(pdf["z"].iloc[own[0]], float), ids[own], [series[i] for i in own], znorm, sums.get(k))
         if sums:
             yield pd.DataFrame({"cluster": list(sums), "first": [int(v[1]) for v in sums.values()], "head": [v[2].tolist() for v in sums.values()], "gram": [v[0].ravel().tolist() for v in sums.values()]})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         head = np.asarray(pdf.sort_values("first")["head"].iloc[0], float)
-        n = len(head)
-        p = np.eye(n) - 1 / n
-        top = np.linalg.eigh(p @ np.sum([np.asarray(g, float) for g in pdf["gram"]], axis=0).reshape(n, n) @ p)[1][:, -1]
-        top = -top if np.linalg.norm(head - top) >= np.linalg.norm(head + top) else top
-        s = top.std(ddof=1) if n > 1 else 0
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "values": [((top - top.mean()) / s if s > 0 else top * 0).tolist()]})
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "values": [shape_of(head, np.sum([np.asarray(g, float) for g in pdf["gram"]], axis=0)).tolist()]})
 
     parts = joined.select("cluster", "series_id", "values", "z").mapInPandas(gram, "cluster int, first long, head array<double>, gram array<double>")
     return parts.groupBy("cluster").applyInPandas(solve, "cluster int, values array<double>")  # one partial a task and cluster
