@@ -43,3 +43,56 @@ def test_means_and_shapes_store_labels_once(spark, monkeypatch, twins):
         assert [r["cluster"] - 1 for r in rows] == label.tolist() and [r["d"] for r in rows] == pytest.approx(d.tolist())
     stored.clear()
     assert CL.k_shape(series, 3).iterations > 1 and len(stored) == 1
+
+
+def test_density_peaks_store_nothing_of_a_pair(spark, monkeypatch):
+    """Twice as many series: tables between the passes have a row for each series, with tiles and blocks of several sizes the same labels."""
+    from chronoloom.operators import distances as D, peaks
+
+    x = np.concatenate([RNG.normal(c, 0.6, size=(30, 10)).cumsum(1) for c in (-1, 0, 1)]).round(2)
+    series = src.as_series(spark, x).repartition(3).persist()
+    found, kept, tables = [], D.kept, []
+    monkeypatch.setattr(peaks.D, "kept", lambda df: tables.append(kept(df)) or tables[-1])
+    for tile, block in ((512, 8), (16, 2), (7, 1)):
+        monkeypatch.setattr(D, "BLOCK_SERIES", tile)
+        monkeypatch.setattr(D, "BLOCK_TILES", block)
+        for lb in ("lbk", "lbi"):
+            tables.clear()
+            c = CL.cluster(series, "tadpole", 3, control=CL.Tadpole(4.0, 2, lb))
+            assert max(t.count() for t in tables) <= 90 and not any("binary" in t.dtypes for t in tables)
+            found.append([tuple(r) for r in c.labels.select("series_id", "cluster").orderBy("series_id").collect()])
+            found[-1].append(peaks_by_hand(x, 4.0, 2, lb, 3))
+    labels, by_hand = [f[:-1] for f in found], [f[-1] for f in found]
+    assert all(v == labels[0] for v in labels)
+    assert all([c for _, c in v] == h for v, h in zip(labels, by_hand, strict=True))
+
+
+def peaks_by_hand(x, dc, window, lb, k):
+    from chronoloom.functions import kernels as K
+
+    n = len(x)
+    i, j = (v.ravel() for v in np.indices((n, n)))
+    low = {"lbk": K.lb_keogh, "lbi": K.lb_improved}[lb](x[i], x[j], window, "L2", True).reshape(n, n)
+    up, dtw = K.euclidean(x[i], x[j]).reshape(n, n), K.dtw(x[i], x[j], window, "L2", "symmetric1").reshape(n, n)
+    dtw = np.tril(dtw, -1) + np.tril(dtw, -1).T
+    unsure = (low <= dc) & (up > dc)
+    within = np.where(unsure, dtw <= dc, (low <= dc) & (up < dc))
+    np.fill_diagonal(within, False)
+    rho = within.sum(1)
+    rho = (rho - rho.min()) / (rho.max() - rho.min())
+    d = np.where(unsure, dtw, up)
+    before = lambda v: (v[None] > v[:, None]) | ((v[None] == v[:, None]) & (np.arange(n)[None] < np.arange(n)[:, None]))
+    delta = np.where(before(rho), d, np.inf).min(1)
+    delta[np.isinf(delta)] = delta[np.isfinite(delta)].max()
+    standing = rho * delta
+    ahead = before(standing)
+    d = np.where(ahead, np.where(~unsure & (low <= delta[:, None]), dtw, d), np.inf)
+    order = np.lexsort((np.arange(n), -standing))
+    nn, near = order[d[:, order].argmin(1)], d.min(1)
+    near[np.isinf(near)] = near[np.isfinite(near)].max()
+    score = rho * (near - near.min()) / (near.max() - near.min())
+    top = sorted(np.lexsort((np.arange(n), -standing, -score))[:k])
+    label = {}
+    for v in order:
+        label[v] = top.index(v) + 1 if v in top else label.get(nn[v]) or 1 + int(np.argmin(dtw[v, top]))
+    return [label[v] for v in range(n)]
