@@ -96,3 +96,16 @@ def peaks_by_hand(x, dc, window, lb, k):
     for v in order:
         label[v] = top.index(v) + 1 if v in top else label.get(nn[v]) or 1 + int(np.argmin(dtw[v, top]))
     return [label[v] for v in range(n)]
+
+
+@pytest.mark.parametrize("method", ["average", "complete"])
+def test_trees_beyond_the_driver_s_limit_are_those_on_it(spark, monkeypatch, method):
+    x = np.r_[RNG.normal(size=(40, 7)).cumsum(1), np.tile(RNG.normal(size=7), (9, 1))]  # nine equal series
+    series = src.as_series(spark, x).repartition(3).persist()
+    how = {"distance": "L2", "control": CL.Hierarchical(method, large=True)}
+    want = CL.cluster(series, "hierarchical", 6, **how)
+    monkeypatch.setattr(CL, "TREE_SERIES", 16)
+    got = CL.cluster(series, "hierarchical", 6, **how)
+    assert [r["d"] for r in got.extra["tree"].orderBy("d").collect()] == pytest.approx([h for _, _, h in want.merges])
+    rows = lambda c: [tuple(r) for r in c.labels.select("series_id", "cluster", "d").orderBy("series_id").collect()]
+    assert [r[:2] for r in rows(got)] == [r[:2] for r in rows(want)] and [r[2] for r in rows(got)] == pytest.approx([r[2] for r in rows(want)])
