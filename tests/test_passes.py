@@ -109,3 +109,15 @@ def test_trees_beyond_the_driver_s_limit_are_those_on_it(spark, monkeypatch, met
     assert [r["d"] for r in got.extra["tree"].orderBy("d").collect()] == pytest.approx([h for _, _, h in want.merges])
     rows = lambda c: [tuple(r) for r in c.labels.select("series_id", "cluster", "d").orderBy("series_id").collect()]
     assert [r[:2] for r in rows(got)] == [r[:2] for r in rows(want)] and [r[2] for r in rows(got)] == pytest.approx([r[2] for r in rows(want)])
+
+
+def test_compare_stores_labels_once_for_a_distance(spark, monkeypatch):
+    from chronoloom.operators import compare
+
+    series = src.as_series(spark, RNG.normal(size=(40, 6))).repartition(3)
+    truth = series.selectExpr("series_id", "cast(series_id % 3 as int) cluster")
+    stored, kept = [], CL.kept
+    monkeypatch.setattr(CL, "kept", lambda df: stored.append(1) or kept(df))
+    configs = {"partitional": [{"k": [2, 4], "distance": m, "centroid": "mean", "iterations": 20, "init_ids": [1, 2, 3, 4]} for m in ("L1", "L2")]}
+    out = compare.compare(series, configs, compare.evaluators(["RI"], truth)[0], keep=False)
+    assert len(out["results"]) == 4 and all(0 < r["RI"] <= 1 for r in out["results"]) and len(stored) == 2
