@@ -383,10 +383,11 @@ def _tiles(f: Callable, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """f(x, y) over tiles: x and y are what is known of either side, series last."""
     m, n = x[0].shape[-1], y[0].shape[-1]
     out = np.empty((m, n))
-    for a in range(0, m, TILE[0]):
-        rows = [v[..., a : a + TILE[0], None] for v in x]
+    high = TILE[0] * TILE[1] // max(1, min(n, TILE[1]))  # of few columns, as prototypes are, a tile is as large by more rows
+    for a in range(0, m, high):
+        rows = [v[..., a : a + high, None] for v in x]
         for b in range(0, n, TILE[1]):
-            out[a : a + TILE[0], b : b + TILE[1]] = f(rows, [v[..., None, b : b + TILE[1]] for v in y])
+            out[a : a + high, b : b + TILE[1]] = f(rows, [v[..., None, b : b + TILE[1]] for v in y])
     return out
 
 

@@ -35,6 +35,17 @@ def test_kernels_of_two_stacks_of_other_lengths_and_variables(monkeypatch):
     assert K.sbd_outer(a[:, :, 0], b[:, :, 0]) == pytest.approx(K.sbd(a[i, :, 0], b[j, :, 0]).reshape(20, 30), abs=1e-12)
 
 
+@pytest.mark.parametrize("name", ["manhattan", "euclidean", "dtw"])
+@pytest.mark.parametrize("m,n,most", [(2000, 0, 0), (2000, 1, 1), (2000, 10, 2), (200, 300, 8)])
+def test_tiles_of_few_columns_are_as_large_by_more_rows(monkeypatch, name, m, n, most):
+    x, y, seen, tiles = RNG.normal(size=(m, 4)), RNG.normal(size=(n, 4)), [], K._tiles
+    monkeypatch.setattr(K, "_tiles", lambda f, u, v: tiles(lambda p, q: seen.append(p[0].shape[-2] * q[0].shape[-1]) or f(p, q), u, v))
+    got = getattr(K, f"{name}_outer")(x, y)
+    assert sum(seen) == m * n and len(seen) == most and max(seen, default=0) <= K.TILE[0] * K.TILE[1]
+    i, j = (v.ravel() for v in np.indices((m, n)))
+    assert got == pytest.approx(getattr(K, name)(x[i], y[j]).reshape(m, n), abs=1e-12)
+
+
 def frame(spark, x):
     return spark.createDataFrame([(k + 1, v.tolist()) for k, v in enumerate(x)], "series_id long, values array<double>").repartition(5)
 
