@@ -524,8 +524,12 @@ def memberships(d: np.ndarray, fuzziness: float = 2.0) -> np.ndarray:
     return np.where(at.any(1, keepdims=True), at / np.maximum(at.sum(1, keepdims=True), 1), soft)
 
 
-def dense(series: list) -> np.ndarray:
+def dense(series: list | np.ndarray) -> np.ndarray:
     """Equally long series (of arrays, or of arrays of a point's variables) as one array."""
+    if isinstance(series, np.ndarray) and series.dtype == float:
+        return series
+    if len(series) and all(type(r) is np.ndarray and r.dtype == float and r.ndim == 1 for r in series) and len(by_length(series)) == 1:
+        return np.concatenate(series).reshape(len(series), len(series[0]))  # np.stack would go through the arrays one by one
     return np.stack([np.stack(r) if getattr(r, "dtype", None) == object else np.asarray(r, float) for r in series])
 
 
@@ -535,6 +539,13 @@ def by_length(series: list) -> dict[int, np.ndarray]:
     return {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
 
 
+def stacks(series: list | np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Positions and stack of the series of each length; an array is such a stack."""
+    if isinstance(series, np.ndarray):
+        return {series.shape[1]: (np.arange(len(series)), series)}
+    return {n: (at, dense([series[k] for k in at])) for n, at in by_length(series).items()}
+
+
 def in_batches(kernel, x: list, y: list, most: int = 2048) -> np.ndarray:
     """kernel over pairs of arrays of any lengths: pairs of equal shapes are stacked."""
     groups: dict[tuple[int, int], list[int]] = {}
@@ -548,10 +559,10 @@ def in_batches(kernel, x: list, y: list, most: int = 2048) -> np.ndarray:
     return out
 
 
-def of_blocks(kernel, x: list, y: list, wanted: np.ndarray, prepare=None, most: int = 4096, outer=None) -> np.ndarray:
+def of_blocks(kernel, x: list | np.ndarray, y: list | np.ndarray, wanted: np.ndarray, prepare=None, most: int = 4096, outer=None) -> np.ndarray:
     """kernel for the wanted (x, y) pairs of two blocks; what prepare(stack, other length) gives of each series is computed once and passed on. outer, of all pairs of two stacks, serves where it is given."""
     out = np.full(wanted.shape, np.nan)
-    left, right = ({n: (at, dense([v[k] for k in at])) for n, at in by_length(v).items()} for v in (x, y))
+    left, right = stacks(x), stacks(y)
     for n, (p, a) in left.items():
         for m, (q, b) in right.items():
             if outer and len(p) * len(q) >= MANY_PAIRS:

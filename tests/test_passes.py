@@ -121,3 +121,41 @@ def test_compare_stores_labels_once_for_a_distance(spark, monkeypatch):
     configs = {"partitional": [{"k": [2, 4], "distance": m, "centroid": "mean", "iterations": 20, "init_ids": [1, 2, 3, 4]} for m in ("L1", "L2")]}
     out = compare.compare(series, configs, compare.evaluators(["RI"], truth)[0], keep=False)
     assert len(out["results"]) == 4 and all(0 < r["RI"] <= 1 for r in out["results"]) and len(stored) == 2
+
+
+@pytest.mark.parametrize("lengths", [(8,), (8, 6)])
+def test_a_pass_stacks_a_batch_and_computes_its_distances_once(monkeypatch, lengths):
+    """Whatever the number of runs, and of points that moved."""
+    import pandas as pd
+
+    from chronoloom.functions import kernels as K
+
+    class Batches:  # stands for the series' frame: what a task would do with its batches
+        select = groupBy = applyInPandas = lambda self, *_: self
+
+        def mapInPandas(self, task, schema):
+            self.task = task
+            return self
+
+    x = [RNG.normal(size=lengths[i % len(lengths)]) for i in range(300)]
+    runs = [CL.Run(2, ()), CL.Run(3, ())]
+    points, before = ({r: [RNG.normal(size=8) for _ in range(c.k)] for r, c in enumerate(runs)} for _ in "ab")
+    stacked, met, dense, of_blocks = [], [], K.dense, K.of_blocks
+    monkeypatch.setattr(K, "dense", lambda v: (len(v) > 50 and not isinstance(v, np.ndarray) and stacked.append(len(v))) or dense(v))
+    monkeypatch.setattr(K, "of_blocks", lambda *a, **b: met.append(1) or of_blocks(*a, **b))
+    pdf, number = pd.DataFrame({"series_id": range(300), "values": x}), CL._Numbering(runs)
+    method, centroid = ("L2", "mean") if len(lengths) == 1 else ("sbd", "shape")
+    task = lambda f: pd.concat(f.task([pdf]), ignore_index=True)
+    sums = task(CL._hard_sums(Batches(), points, before, number, method, {}, centroid, {}))
+    assert len(met) == 1 and (len(lengths) > 1 or stacked == [300])
+    labels = task(CL._nearest_labels(Batches(), points, number, method, {}))
+    assert len(met) == 2 and (len(lengths) > 1 or stacked == [300, 300])
+    for r, c in enumerate(runs):
+        near = [np.array([[(np.linalg.norm(v - p) if method == "L2" else K.sbd(v[None], p[None])[0]) for p in ps[r]] for v in x]) for ps in (points, before)]
+        now, was = (d.argmin(1) for d in near)
+        own, rows = labels[labels["run"] == r], sums[sums["cluster"].isin(number.of(r))].sort_values("cluster")
+        assert (own["cluster"] - number.base[r] - 1).tolist() == now.tolist() and own["d"].tolist() == pytest.approx(near[0].min(1).tolist())
+        assert rows["n"].tolist() == np.bincount(now, minlength=c.k).tolist()
+        assert rows["moved"].tolist() == (np.bincount(now[now != was], minlength=c.k) + np.bincount(was[now != was], minlength=c.k)).tolist()
+        if centroid == "mean":
+            assert np.array(rows["s"].tolist()) == pytest.approx(np.array([np.sum([v for v, w in zip(x, now, strict=True) if w == k], axis=0) for k in range(c.k)]))
