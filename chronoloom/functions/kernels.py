@@ -445,11 +445,65 @@ def _dtw_rows(x: np.ndarray, y: np.ndarray, allowed: np.ndarray, power: int, twi
     return row[ny].copy()
 
 
+def _narrow_rows(x: np.ndarray, y: np.ndarray, allowed: np.ndarray, power: int, twice: bool, far: float) -> np.ndarray:
+    """As _dtw_rows, of any type of numbers: far stands for infinity. A minimum is taken before the cost is added, which in integers is the same sum."""
+    ny, shape = len(y), (x.shape[-2], y.shape[-1])
+    old, new = (np.full((ny + 1, *shape), far, x.dtype) for _ in range(2))
+    c, e = (np.empty(shape, x.dtype) for _ in range(2))
+
+    def local(u: np.ndarray, v: np.ndarray, out: np.ndarray) -> None:
+        np.subtract(u, v, out=out)
+        np.multiply(out, out, out=out) if power == 2 else np.abs(out, out=out)
+
+    for i in range(len(x)):
+        cells = np.flatnonzero(allowed[i])
+        if not len(cells):
+            return np.full(shape, far, x.dtype)
+        new[cells[0]] = far
+        for j in cells:
+            if x.ndim == 4:
+                local(x[i, 0], y[j, 0], c)
+                for v in range(1, x.shape[1]):
+                    local(x[i, v], y[j, v], e)
+                    np.add(c, e, out=c)
+            else:
+                local(x[i], y[j], c)
+            cell = new[j + 1]
+            if i == j == 0:
+                np.copyto(cell, c)
+                continue
+            np.minimum(old[j + 1], new[j], out=cell)
+            np.minimum(cell, np.add(old[j], c, out=e) if twice else old[j], out=cell)
+            np.add(cell, c, out=cell)
+        new[cells[-1] + 2 :] = far
+        old, new = new, old
+    return old[ny].copy()
+
+
+def _whole(x: np.ndarray, y: np.ndarray, power: int) -> tuple[list[np.ndarray], int] | None:
+    """Both stacks in the narrowest integers that hold every sum of a path, and a number beyond all of them, if all values are whole numbers: sums are exact so, as in doubles."""
+    if not all(len(v) and np.isfinite(v).all() and (np.rint(v) == v).all() for v in (x, y)):
+        return None
+    low, high = np.minimum(x.min((0, 1)), y.min((0, 1))), np.maximum(x.max((0, 1)), y.max((0, 1)))
+    cost = float(((high - low) ** power).sum())
+    far = (x.shape[1] + y.shape[1]) * cost + 1
+    for kind in (np.int16, np.int32):
+        if 2 * far + 2 * cost <= np.iinfo(kind).max:  # what doesn't exist grows by costs as well
+            return [(v - low).astype(kind) for v in (x, y)], int(far)
+    return None
+
+
 def dtw_outer(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", normalize: bool = False, root: bool = True) -> np.ndarray:
     """dtw() with symmetric1 or symmetric2."""
-    allowed, power = _band(x.shape[1], y.shape[1], window), {"L1": 1, "L2": 2}[norm]
-    u, v = ([np.ascontiguousarray(np.moveaxis(a, 0, -1))] for a in (x, y))
-    out = _tiles(lambda p, q: _dtw_rows(p[0], q[0], allowed, power, step == "symmetric2"), u, v)
+    allowed, power, twice = _band(x.shape[1], y.shape[1], window), {"L1": 1, "L2": 2}[norm], step == "symmetric2"
+    last = lambda a: [np.ascontiguousarray(np.moveaxis(a, 0, -1))]
+    whole = _whole(x, y, power)
+    if whole:
+        (u, v), far = map(last, whole[0]), whole[1]
+        out = _tiles(lambda p, q: _narrow_rows(p[0], q[0], allowed, power, twice, far), u, v)
+        out[out >= far] = np.inf
+    else:
+        out = _tiles(lambda p, q: _dtw_rows(p[0], q[0], allowed, power, twice), last(x), last(y))
     out = np.sqrt(out) if norm == "L2" and root else out
     return out / np.dot(PATH_WEIGHT[step], (x.shape[1], y.shape[1])) if normalize else out
 

@@ -133,10 +133,16 @@ class Plan:
         right = (self.x if self.y is None else self.y).withColumn("q", block(columns)).withColumn("p", every(F.lit(0), F.col("q") if lower else F.lit(rows - 1)))
         if lower:  # a block meets itself: its series are sent once
             right = right.where("p < q")
-        names = [c for c in self.x.columns if c not in ("series_id", "values")]
+        names, nested = [c for c in self.x.columns if c not in ("series_id", "values")], isinstance(self.x.schema["values"].dataType.elementType, T.ArrayType)
+        more = [*names, "_length"] if nested else names
+        if nested:  # points of several variables are sent as one array and get their shape back
+            left, right = (v.withColumn("_length", F.size("values")).withColumn("values", F.flatten("values")) for v in (left, right))
 
         def sides(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-            a, b = (v.sort_values("series_id", ignore_index=True)[["series_id", "values", *names]] for v in (a, a if lower and key[0] == key[1] else b))
+            a, b = (v.sort_values("series_id", ignore_index=True) for v in (a, a if lower and key[0] == key[1] else b))
+            if nested:
+                a, b = (v.assign(values=pd.Series([x.reshape(n, -1) for x, n in zip(v["values"], v["_length"], strict=True)], dtype=object)) for v in (a, b))
+            a, b = (v[["series_id", "values", *names]] for v in (a, b))
             return a.rename(columns={"series_id": "i", "values": "x"}), b.rename(columns={"series_id": "j", "values": "y"})
 
         def pairs(key: tuple, a: pd.DataFrame, b: pd.DataFrame, own: bool) -> np.ndarray:
@@ -166,7 +172,7 @@ class Plan:
 
         n = min(10_000, rows * (rows + 1) // 2 if lower else rows * columns)
         # aliases: both sides may be one frame, whose columns would be ambiguous
-        one, other = (v.select(*[F.col(c).alias(c) for c in ("p", "q", "series_id", "values", *names)]).repartition(n, "p", "q").groupBy("p", "q") for v in (left, right))
+        one, other = (v.select(*[F.col(c).alias(c) for c in ("p", "q", "series_id", "values", *more)]).repartition(n, "p", "q").groupBy("p", "q") for v in (left, right))
         met = one.cogroup(other)
         # a cogroup gives one frame: where all distances are sent on it gives the two blocks, which the next step goes through by tiles
         return met.applyInPandas(once, schema) if whole else met.applyInPandas(pack, "p int, q int, both binary").mapInPandas(by_tiles, schema)
@@ -214,8 +220,11 @@ def distances(x: DataFrame, y: DataFrame | None = None, method: str = "dtw_basic
     lower = own.lower
 
     def rows(i: np.ndarray, j: np.ndarray, d: np.ndarray, wanted: np.ndarray, key: tuple) -> pd.DataFrame:
-        p, q = np.nonzero(wanted)
-        i, j, d = i[p], j[q], d[p, q]
+        if wanted.all():
+            i, j, d = np.repeat(i, len(j)), np.tile(j, len(i)), d.ravel()
+        else:
+            p, q = np.nonzero(wanted)
+            i, j, d = i[p], j[q], d[p, q]
         return pd.DataFrame({"i": np.maximum(i, j) if lower else i, "j": np.minimum(i, j) if lower else j, "d": d})
 
     return own.meet(own.all_distances(rows), "i long, j long, d double", *own.blocks())

@@ -46,6 +46,21 @@ def test_tiles_of_few_columns_are_as_large_by_more_rows(monkeypatch, name, m, n,
     assert got == pytest.approx(getattr(K, name)(x[i], y[j]).reshape(m, n), abs=1e-12)
 
 
+@pytest.mark.parametrize("args", [{}, {"window": 2}, {"step": "symmetric1"}, {"norm": "L2"}, {"norm": "L2", "root": False, "window": 3}, {"normalize": True}])
+@pytest.mark.parametrize("size,kind", [(3, np.int16), (5000, np.int32), (10**9, None)])
+def test_whole_numbers_are_warped_in_narrow_integers(monkeypatch, args, size, kind):
+    """Counts as dtw_multivariate has: the same distances, in as many bits as the greatest sum needs; other values stay doubles."""
+    a, b = (RNG.integers(-size, size, (n, 12, 2)).astype(float) for n in (20, 30))
+    used, rows = [], K._narrow_rows
+    monkeypatch.setattr(K, "_narrow_rows", lambda x, *rest: used.append(x.dtype) or rows(x, *rest))
+    i, j = (v.ravel() for v in np.indices((20, 30)))
+    kind = {np.int16: np.int16, np.int32: np.int32 if args.get("norm") != "L2" else None}.get(kind)
+    assert np.array_equal(K.dtw_outer(a, b, **args), K.dtw(a[i], b[j], **args).reshape(20, 30)) and set(used) == ({np.dtype(kind)} if kind else set())
+    used.clear()
+    assert np.array_equal(K.dtw_outer(a + 0.5, b, **args), K.dtw(a[i] + 0.5, b[j], **args).reshape(20, 30)) and not used
+    assert np.isinf(K.dtw_outer(a, b[:, :5], window=2)).all() == np.isinf(K.dtw(a[:1], b[:1, :5], window=2)).all()
+
+
 def frame(spark, x):
     return spark.createDataFrame([(k + 1, v.tolist()) for k, v in enumerate(x)], "series_id long, values array<double>").repartition(5)
 
