@@ -508,6 +508,16 @@ def dtw_outer(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str
     return out / np.dot(PATH_WEIGHT[step], (x.shape[1], y.shape[1])) if normalize else out
 
 
+def dtw_single(x: np.ndarray, y: np.ndarray, window: int | None = None, step: str = "symmetric2") -> tuple[np.ndarray, np.ndarray]:
+    """dtw() of every x with every y of one variable by L1 in single precision, and how far each may lie off: of sums of costs that aren't negative an operation adds a unit of rounding in proportion,
+    and each cost is off by that of its two values."""
+    allowed = _band(x.shape[1], y.shape[1], window)
+    u, v = ([np.ascontiguousarray(a.T, np.float32)] for a in (x, y))
+    out = _tiles(lambda p, q: _narrow_rows(p[0], q[0], allowed, 1, step == "symmetric2", np.inf), u, v)
+    most = max(np.abs(x).max(initial=0), np.abs(y).max(initial=0))
+    return out, np.finfo(np.float32).eps * 2 * (x.shape[1] + y.shape[1] + 4) * (out + 4 * most)
+
+
 def dtw_banded(x: np.ndarray, y: np.ndarray, window: int | None = None, norm: str = "L1", step: str = "symmetric2", most: int = 1 << 14) -> np.ndarray:
     """dtw() with symmetric1 or symmetric2 of stacked pairs of one variable by rows of cells, within the band alone."""
     allowed, power, out = _band(x.shape[1], y.shape[1], window), {"L1": 1, "L2": 2}[norm], np.empty(len(x))

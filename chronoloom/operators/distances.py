@@ -22,7 +22,7 @@ from chronoloom.operators import rules
 from chronoloom.operators.rules import REGISTRY, Distance, lookup, register  # noqa: F401 - the registry's public names
 from chronoloom.sources.series import SeriesError, check_series, check_window, profile
 
-BROADCAST_VALUES, BLOCK_SERIES, BLOCK_TILES, LEAST_BLOCK, SIGMA_POINTS = 50_000, 512, 8, 16, 10_000
+BROADCAST_VALUES, BLOCK_SERIES, BLOCK_TILES, LEAST_BLOCK, SIGMA_POINTS, MANY = 50_000, 512, 8, 16, 10_000, 1 << 14
 
 
 def _dtw2(x, y, **a):
@@ -247,7 +247,49 @@ def nearest_neighbours(x: DataFrame, y: DataFrame | None = None, method: str = "
         d = np.where(wanted & ~(alone & (i[:, None] == j[None, :])), d if digits is None else np.round(d, digits), np.inf)
         return pd.concat([best(i, j, d), best(j, i, d.T)]) if lower else best(i, j, d)
 
-    return nearest(own.meet(own.all_distances(minima), "i long, j long, d double", *own.blocks()))
+    schema = "i long, j long, d double"
+    if not _by_single(own):
+        return nearest(own.meet(own.all_distances(minima), schema, *own.blocks()))
+    given_args, slack = {k: own.args[k] for k in ("window", "step") if k in own.args}, 0.0 if digits is None else 2 * 10.0**-digits
+
+    def search(key: tuple, a: pd.DataFrame, b: pd.DataFrame, _: np.ndarray) -> pd.DataFrame:
+        """Of a pair of blocks: distances in single precision, then those in double of the pairs that could be a series' nearest by them."""
+        twin, xs, ys = lower and key[0] == key[1], K.dense(a["x"].tolist()), K.dense(b["y"].tolist())
+        i, j = a["i"].to_numpy(), b["j"].to_numpy()
+        most = [np.full(len(v), np.inf) for v in (i, j)]  # a series' nearest is no farther
+        most = most[:1] * 2 if twin else most
+        kept_pairs = []
+        for s in range(0, len(i), BLOCK_SERIES):
+            for t in range(0, s + 1 if twin else len(j), BLOCK_SERIES):
+                p, q = slice(s, s + BLOCK_SERIES), slice(t, t + BLOCK_SERIES)
+                d, off = K.dtw_single(xs[p], ys[q], **given_args)
+                if alone:
+                    d[i[p][:, None] == j[q][None, :]] = np.inf
+                high, low = d + off, d - off - slack
+                most[0][p] = np.minimum(most[0][p], high.min(1))
+                near = low <= most[0][p][:, None]
+                if lower:
+                    most[1][q] = np.minimum(most[1][q], high.min(0))
+                    near |= low <= most[1][q][None, :]
+                m, n = np.nonzero(near & np.isfinite(d))
+                kept_pairs.append((m + s, n + t, low[m, n]))
+        m, n, low = (np.concatenate(c) for c in zip(*kept_pairs, strict=True))
+        some = (low <= most[0][m]) | (lower & (low <= most[1][n]))
+        m, n = m[some], n[some]
+        d = np.concatenate([K.dtw_banded(xs[m[at : at + MANY]], ys[n[at : at + MANY]], **given_args) for at in range(0, len(m), MANY)] or [np.zeros(0)])
+        rows = pd.DataFrame({"i": i[m], "j": j[n], "d": d if digits is None else np.round(d, digits)})
+        rows = pd.concat([rows, rows.rename(columns={"i": "j", "j": "i"})[["i", "j", "d"]]]) if lower else rows
+        return rows.sort_values(["i", "d", "j"]).drop_duplicates("i")
+
+    return nearest(own.meet(search, schema, *own.blocks(), whole=True))
+
+
+
+def _by_single(own: Plan) -> bool:
+    """Whether a search may look at DTW in single precision first: of one variable and length, by L1 and the steps that are for all pairs of two stacks."""
+    lengths = {p[k] for p in (own.known, own.other) for k in ("shortest", "longest")}
+    nested = isinstance(own.x.schema["values"].dataType.elementType, T.ArrayType)
+    return own.dist.name == "dtw_basic" and not nested and len(lengths) == 1 and set(own.args) <= {"window", "step", "norm"} and own.args.get("norm", "L1") == "L1" and own.args.get("step", "symmetric2") in ("symmetric1", "symmetric2")
 
 
 def to_centroids(series: DataFrame, centroids: DataFrame, method: str, check: bool = True, **args) -> DataFrame:

@@ -79,6 +79,30 @@ def test_blocks_are_gone_through_by_tiles(spark, monkeypatch, method, args, pair
     assert len(rows) == pairs == len(rows.drop_duplicates(["i", "j"]))
 
 
+@pytest.mark.parametrize("x", [X, np.repeat(X[:9], 7, 0), np.round(X), X * 1e6 + 1e8])
+@pytest.mark.parametrize("args", [{}, {"window": 3, "step": "symmetric1"}])
+@pytest.mark.parametrize("digits", [None, 6])
+def test_nearest_neighbours_by_single_precision_first(spark, monkeypatch, x, args, digits):
+    """Those of all distances in double precision, smallest id on ties, of which few are computed."""
+    monkeypatch.setattr(D, "BLOCK_SERIES", 5)
+    monkeypatch.setattr(D, "BLOCK_TILES", 6)
+    i, j = (v.ravel() for v in np.indices((len(x), len(x))))
+    d = K.dtw(x[i], x[j], **args).reshape(len(x), -1)
+    np.fill_diagonal(d, np.inf)
+    d = d if digits is None else np.round(d, digits)
+    got = D.nearest_neighbours(frame(spark, x), digits=digits, **args).orderBy("i").toPandas()
+    assert got["j"].tolist() == (d.argmin(1) + 1).tolist() and got["d"].to_numpy() == pytest.approx(d.min(1), rel=1e-12)
+    other = D.nearest_neighbours(frame(spark, x[:20]), frame(spark, x[20:]), digits=digits, **args).orderBy("i").toPandas()
+    assert other["j"].tolist() == (d[:20, 20:].argmin(1) + 1).tolist()
+
+
+def test_single_precision_is_off_by_less_than_told():
+    i, j = (v.ravel() for v in np.indices((len(X), len(Y))))
+    for x, y in ((X, Y), (X * 1e-3 + 1e4, Y * 1e3), (X * 0, Y)):
+        d, off = K.dtw_single(x, y)
+        assert (np.abs(d - K.dtw(x[i], y[j]).reshape(d.shape)) <= off).all()
+
+
 def labelled(spark, x):
     return spark.createDataFrame([(k + 1, k % 4) for k in range(len(x))], "series_id long, cluster int")
 
