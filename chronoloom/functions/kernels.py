@@ -413,6 +413,29 @@ def euclidean_outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(_tiles(lambda u, v: _added(u[0], v[0], 2), [_last(x)], [_last(y)]))
 
 
+NEAR = (1e-3, 0.05)  # share of the norms below which a product of matrices would lose digits; share of such pairs from which on all are computed otherwise
+
+
+def euclidean_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """euclidean_outer() by a product of matrices, to some 12 digits: pairs that lie too near for that (or aren't finite) are computed by their differences."""
+    p, q = (np.einsum("ij,ij->i", v, v) for v in (x, y))
+    d = x @ y.T
+    d *= -2
+    d += p[:, None]
+    d += q[None, :]
+    near = ~(d >= NEAR[0] * (p.max(initial=0) + q.max(initial=0)))
+    n = np.count_nonzero(near)
+    if n > NEAR[1] * near.size:
+        return euclidean_outer(x, y)
+    if n:
+        d[near] = 0
+    np.sqrt(d, out=d)
+    if n:
+        i, j = np.nonzero(near)
+        d[i, j] = euclidean(x[i], y[j])
+    return d
+
+
 def _dtw_rows(x: np.ndarray, y: np.ndarray, allowed: np.ndarray, power: int, twice: bool) -> np.ndarray:
     """The last cell; x and y time first. A row of cells takes the place of the one before, within the band alone."""
     ny, shape = len(y), (x.shape[-2], y.shape[-1])

@@ -113,9 +113,9 @@ class Plan:
     known: dict
     other: dict
 
-    def blocks(self, square: bool = False, wide: int = 1) -> tuple[int, int]:
-        """Number of blocks of either side, for two tasks a core and blocks of wide x BLOCK_TILES tiles at most: a series is sent once for each block of the other side, so the larger, the less is sent."""
-        tasks, most = 2 * self.x.sparkSession.sparkContext.defaultParallelism, wide * BLOCK_TILES * BLOCK_SERIES
+    def blocks(self, square: bool = False, wide: int = 1, most: int | None = None) -> tuple[int, int]:
+        """Number of blocks of either side, for two tasks a core and blocks of wide x BLOCK_TILES tiles (or of `most` series) at most: a series is sent once for each block of the other side, so the larger, the less is sent."""
+        tasks, most = 2 * self.x.sparkSession.sparkContext.defaultParallelism, most or wide * BLOCK_TILES * BLOCK_SERIES
         cut = lambda n, few: max(1, -(-n // most), min(few, -(-n // LEAST_BLOCK)))
         if square or self.lower:
             n = cut(self.known["n"], int((2 * tasks) ** 0.5) + 1)
@@ -183,6 +183,13 @@ class Plan:
         kernel, prepare, outer = dist.kernel, dist.prepare, dist.outer(args)
         return lambda x, y, wanted: K.of_blocks(lambda u, v, **known: kernel(u, v, **args, **known), x, y, wanted, prepare and (lambda v, other: prepare(v, other, **args)), outer=outer and (lambda u, v: outer(u, v, **args)))
 
+    def sums_kernel(self) -> Callable:
+        """Distances of all pairs of two lists (or stacks) of series, of which only sums, least and greatest ones are wanted: f(x, y)."""
+        if self.dist.name == "L2":
+            return lambda x, y: K.euclidean_products(K.dense(x), K.dense(y))
+        f = self.kernel()
+        return lambda x, y: f(x, y, np.ones((len(x), len(y)), bool))
+
     def all_distances(self, emit: Callable) -> Callable:
         """A body for meet() that computes every wanted distance: emit(i, j, d, wanted, key)."""
         f = self.kernel()

@@ -297,7 +297,7 @@ def cent_multivariate(spark, d):
 @query
 def medoid(spark, d):
     x = by_label(spark, d)
-    return C.medoids_of(l2_blocks(spark, d).by_cluster(x), x).select("cluster", F.col("medoid").alias("series_id"))
+    return C.medoids_of(l2_blocks(spark, d).by_cluster(x, within=True), x).select("cluster", F.col("medoid").alias("series_id"))
 
 
 @query

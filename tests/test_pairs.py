@@ -118,6 +118,47 @@ def test_sums_are_made_where_distances_are(spark, monkeypatch, method, args):
     pd.testing.assert_frame_equal(got, want)
 
 
+@pytest.mark.parametrize("method,args", [("L2", {}), ("lbk", {"window": 2})])
+def test_sums_within_clusters_compute_no_others(spark, monkeypatch, tmp_path, method, args):
+    monkeypatch.setattr(D, "BLOCK_SERIES", 5)
+    monkeypatch.setattr(D, "BLOCK_TILES", 3)
+    series, labels = frame(spark, X), labelled(spark, X)
+    plan = D.plan(series, None, method, **args)
+    want = B.sums_by_cluster(plan, labels).where("cluster = other").toPandas().sort_values("i", ignore_index=True)
+    pairs = spark.sparkContext.accumulator(0)
+    kernel = D.Plan.sums_kernel
+
+    def counted(self):
+        f = kernel(self)
+
+        def run(x, y):
+            pairs.add(len(x) * len(y))
+            return f(x, y)
+
+        return run
+
+    monkeypatch.setattr(D.Plan, "sums_kernel", counted)
+    got = B.sums_by_cluster(plan, labels, within=True).toPandas().sort_values("i", ignore_index=True)
+    pd.testing.assert_frame_equal(got, want)
+    assert pairs.value < len(X) ** 2 / 2 / (1 if method == "lbk" else 2)
+
+
+def test_blocks_of_sums_are_bounded_by_bytes_and_clusters(spark):
+    """615,384 embeddings: each is sent to some 20 blocks instead of 76."""
+    plan = replace(D.plan(frame(spark, X), None, "L2"), known={"n": 615_384, "values": 615_384 * 64})
+    assert B._blocks_of_sums(plan, 10)[0] <= 20 and B._blocks_of_sums(plan, 1000)[0] > 76
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e3, 1e9])
+def test_distances_by_products_of_matrices(shift):
+    x, y = X + shift, np.vstack([Y, X[:5], X[:5] + 1e-9]) + shift
+    want = K.euclidean_outer(x, y)
+    assert K.euclidean_products(x, y) == pytest.approx(want, rel=1e-10, abs=0)
+    y[0, 0] = np.inf
+    with np.errstate(invalid="ignore"):
+        assert np.array_equal(np.isinf(K.euclidean_products(x, y)), np.isinf(K.euclidean_outer(x, y)))
+
+
 @pytest.mark.parametrize("method,args", [("L2", {}), ("lbk", {"window": 2})])
 def test_fuzzy_medoids_without_a_relation(spark, monkeypatch, method, args):
     monkeypatch.setattr(D, "BLOCK_SERIES", 5)
