@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from chronoloom.functions import kernels as K
-from chronoloom.operators import blocks as B, centroids as C, clustering as CL, distances as D, trees
+from chronoloom.operators import blocks as B, centroids as C, clustering as CL, distances as D, peaks as P, trees
 
 RNG = np.random.default_rng(5)
 X, Y = RNG.normal(size=(70, 12)), RNG.normal(size=(300, 12))
@@ -51,13 +51,13 @@ def test_tiles_of_few_columns_are_as_large_by_more_rows(monkeypatch, name, m, n,
 def test_whole_numbers_are_warped_in_narrow_integers(monkeypatch, args, size, kind):
     """Counts as dtw_multivariate has: the same distances, in as many bits as the greatest sum needs; other values stay doubles."""
     a, b = (RNG.integers(-size, size, (n, 12, 2)).astype(float) for n in (20, 30))
-    used, rows = [], K._narrow_rows
-    monkeypatch.setattr(K, "_narrow_rows", lambda x, *rest: used.append(x.dtype) or rows(x, *rest))
+    used, rows = [], K._dtw_rows
+    monkeypatch.setattr(K, "_dtw_rows", lambda x, *rest: used.append(x.dtype) or rows(x, *rest))
     i, j = (v.ravel() for v in np.indices((20, 30)))
     kind = {np.int16: np.int16, np.int32: np.int32 if args.get("norm") != "L2" else None}.get(kind)
-    assert np.array_equal(K.dtw_outer(a, b, **args), K.dtw(a[i], b[j], **args).reshape(20, 30)) and set(used) == ({np.dtype(kind)} if kind else set())
+    assert np.array_equal(K.dtw_outer(a, b, **args), K.dtw(a[i], b[j], **args).reshape(20, 30)) and set(used) == {np.dtype(kind or float)}
     used.clear()
-    assert np.array_equal(K.dtw_outer(a + 0.5, b, **args), K.dtw(a[i] + 0.5, b[j], **args).reshape(20, 30)) and not used
+    assert np.array_equal(K.dtw_outer(a + 0.5, b, **args), K.dtw(a[i] + 0.5, b[j], **args).reshape(20, 30)) and set(used) == {np.dtype(float)}
     assert np.isinf(K.dtw_outer(a, b[:, :5], window=2)).all() == np.isinf(K.dtw(a[:1], b[:1, :5], window=2)).all()
 
 
@@ -96,11 +96,31 @@ def test_nearest_neighbours_by_single_precision_first(spark, monkeypatch, x, arg
     assert other["j"].tolist() == (d[:20, 20:].argmin(1) + 1).tolist()
 
 
+def test_rows_of_warping_leave_nothing_to_the_next_tile():
+    """Of three tiles the last cell lies outside the band: infinite whatever the tile before left in the rows."""
+    for x, y in ((X, Y[:, :9]), (X[:, :9], Y), (np.round(X), np.round(Y[:, :9])), (np.round(X[:, :9]), np.round(Y))):
+        for w in (0, 1, 2, 3):
+            i, j = (v.ravel() for v in np.indices((len(x), len(y))))
+            want = K.dtw(x[i], y[j], window=w).reshape(len(x), -1)
+            assert np.array_equal(K.dtw_outer(x, y, window=w), want) and np.array_equal(K.dtw_banded(x[i], y[j], window=w, most=700), want.ravel())
+
+
 def test_single_precision_is_off_by_less_than_told():
     i, j = (v.ravel() for v in np.indices((len(X), len(Y))))
     for x, y in ((X, Y), (X * 1e-3 + 1e4, Y * 1e3), (X * 0, Y)):
-        d, off = K.dtw_single(x, y)
-        assert (np.abs(d - K.dtw(x[i], y[j]).reshape(d.shape)) <= off).all()
+        for args, norm in (({}, {}), ({"step": "symmetric1", "window": 2, "power": 2}, {"step": "symmetric1", "window": 2, "norm": "L2", "root": False})):
+            d, off = K.dtw_single(x, y, **args)
+            assert (np.abs(d - K.dtw(x[i], y[j], **norm).reshape(d.shape)) <= off).all()
+
+
+@pytest.mark.parametrize("window,dc", [(2, 2.5), (4, 3.0)])
+def test_density_peaks_by_single_precision_first(spark, monkeypatch, window, dc):
+    """As with all warping in double precision."""
+    series, parts = frame(spark, np.vstack([X, X[:9]])), []
+    for dense in (0.0, 2.0):  # single precision first wherever there is a pair, and never
+        monkeypatch.setattr(P, "DENSE", dense)
+        parts.append(P.search(series, D.plan(series, None, "dtw_basic").known, dc, window).rows.toPandas().sort_values("series_id", ignore_index=True))
+    pd.testing.assert_frame_equal(*parts, check_exact=False, rtol=1e-12)
 
 
 def labelled(spark, x):
