@@ -96,6 +96,16 @@ def test_nearest_neighbours_by_single_precision_first(spark, monkeypatch, x, arg
     assert other["j"].tolist() == (d[:20, 20:].argmin(1) + 1).tolist()
 
 
+def test_products_of_shapes_stay_small(monkeypatch):
+    """Products of a lag are made for so many rows at a time, with the same distances."""
+    sizes, product = [], np.matmul
+    monkeypatch.setattr(K, "PRODUCTS", 3000)
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: sizes.append(out.size) or product(a, b, out=out))
+    i, j = (v.ravel() for v in np.indices((len(X), len(Y))))
+    assert K.sbd_outer(X, Y) == pytest.approx(K.sbd(X[i], Y[j]).reshape(len(X), -1), abs=1e-12)
+    assert max(sizes) <= 3000 and sum(sizes) == 23 * len(X) * len(Y)
+
+
 def test_rows_of_warping_leave_nothing_to_the_next_tile():
     """Of three tiles the last cell lies outside the band: infinite whatever the tile before left in the rows."""
     for x, y in ((X, Y[:, :9]), (X[:, :9], Y), (np.round(X), np.round(Y[:, :9])), (np.round(X[:, :9]), np.round(Y))):
